@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as ld
+from . import minhash_dedup as md
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 80 of 100 on sets of 2-word shingles, and their components."""
+    return md.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+OP6_SQL = None
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of 20 code points or more that 3 documents hold stay in the largest doc_id only."""
     return ld.line_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
@@ -40,4 +49,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: globals()[f"{k.split('_')[0].upper()}_SQL"] for k in queries() if f"{k.split('_')[0].upper()}_SQL" in globals()}
+    found = {k: globals().get(f"{k.split('_')[0].upper()}_SQL") for k in queries()}
+    return {k: v for k, v in found.items() if v}
