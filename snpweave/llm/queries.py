@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as ld
 from . import minhash_dedup as md
+from . import quality as qc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learnt from labels whose crc32 modulo 4 is not 2."""
+    return qc.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 80 of 100 on sets of 2-word shingles, and their components."""
     return md.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
