@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup as ld
 from . import minhash_dedup as md
 from . import quality as qc
+from . import toxicity as tx
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document's restored text; learnt from labels whose crc32 modulo 5 is not 0."""
+    return tx.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 80 of 100 on sets of 2-word shingles, and their components."""
     return md.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
