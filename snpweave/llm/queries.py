@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as dc
 from . import line_dedup as ld
 from . import minhash_dedup as md
+from . import mixing as mx
 from . import quality as qc
 from . import toxicity as tx
 
@@ -26,6 +28,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak items of the benchmark, with the items."""
+    return dc.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 80 of 100 on sets of 2-word shingles, and their components."""
     return md.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -34,6 +41,57 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = None
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1; 150% of all words; no source over twice its size."""
+    return mx.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+
+
+def _position_sql(knots) -> str:
+    area = mx.integral(knots)
+    out = "1.0"
+    for k in range(len(knots) - 2, -1, -1):
+        (t0, w0), (t1, w1) = knots[k], knots[k + 1]
+        slope = (w1 - w0) / (t1 - t0)
+        rest = f"(y - {area[k]!r})"
+        t = f"{rest} / {w0!r}" if slope == 0 else f"(sqrt(greatest({w0 * w0!r} + {2 * slope!r} * {rest}, 0.0)) - {w0!r}) / {slope!r}"
+        out = f"CASE WHEN y < {area[k + 1]!r} THEN {t0!r} + {t} ELSE {out} END"
+    return f"(SELECT {out} FROM (SELECT (due * {area[-1]!r})::DOUBLE AS y))"
+
+
+def mixing_sql(table: str = "documents") -> str:
+    """DuckDB SQL of ``op7_source_mixing`` over a table."""
+    pos = " ".join(f"WHEN place % 3 = {k} THEN {_position_sql(s)}" for k, s in enumerate((mx.FADE, mx.STEADY, mx.RISE)))
+    return f"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {table}
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM sizes
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2 AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5 AS want FROM placed
+), levels AS (
+  SELECT *, (want - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM weighed
+), level AS (
+  SELECT level FROM levels WHERE level * weight <= cap ORDER BY cap::DOUBLE / weight, place LIMIT 1
+), goal AS (
+  SELECT w.source, place, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM level) * weight, cap::DOUBLE)) AS target FROM weighed w
+), laid AS (
+  SELECT b.doc_id, b.size, g.place, g.source_size, g.target,
+    coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h, b.doc_id, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM base b JOIN goal g ON b.source IS NOT DISTINCT FROM g.source
+), cut AS (
+  SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
+    start::DOUBLE / nullif(target, 0) AS due FROM laid
+)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE {pos} END, 9) END AS position FROM cut
+"""
+
+
+OP7_SQL = mixing_sql()
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of 20 code points or more that 3 documents hold stay in the largest doc_id only."""
     return ld.line_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
