@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     asked = stage(placed.select("g", "cls", F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), "b")).alias("b")).select("g", "b", (F.col("b") < F.col("own")).alias("asks"), "cls"), "placed")
     used = asked.select(F.col("cls").alias("doc_id")).distinct()
     hashes = bands * rows
-    sets = stage(own.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(shingle, hashes), "cls long, items binary, sig binary"), "sets")
+    # one plan at every size: the texts of all documents meet the ids by a shuffle
+    sets = stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(shingle, hashes), "cls long, items binary, sig binary"), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.join(sets, "cls").select("g", "b", "asks", "cls", "items", "sig").repartition(parts, "g", "b").sortWithinPartitions("g", "b", "asks", "cls")
     edges = stage(dealt.mapInArrow(_confirm(percent, hashes), "a long, b long").distinct(), "edges")
