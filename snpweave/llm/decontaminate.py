@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds with substitution-tolerant verification.
 
-Words are runs of letters and digits, A-Z as a-z.  A seed is the hash of the words at the marked
+Words are runs of letters and digits; capitals of ASCII and Latin-1 count as small letters.  A seed is the hash of the words at the marked
 positions of a fixed mask; the other positions are ignored, so a passage with replaced words still
 shares seeds.  The seeds of the benchmark are a stated query set: it is dealt in blocks of at most
 ``BLOCK_WORDS`` words, each block is broadcast (that bound is its proven size) and all documents are
@@ -46,7 +46,7 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 def _items(batches):
     for rb in batches:
-        for b in tk.blocks(rb.column(1), tk.ALNUM):
+        for b in tk.blocks(rb.column(1), tk.ALNUM, fold=True):
             ids = rb.column(0)[b.lo : b.hi]
             words = [b.hashes[b.ptr[i] : b.ptr[i + 1]].tobytes() for i in range(b.hi - b.lo)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.binary())], ["item_id", "words"])
@@ -91,7 +91,7 @@ def _scan(queries, min_words: int, share: float, long: int):
         q: Queries = queries.value
         for rb in batches:
             found: dict[tuple[int, int], float] = {}
-            for b in tk.blocks(rb.column(1), tk.ALNUM):
+            for b in tk.blocks(rb.column(1), tk.ALNUM, fold=True):
                 row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
                 tried = set()
                 for m in q.masks:

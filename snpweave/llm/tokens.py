@@ -64,6 +64,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def fold_latin(d: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of Latin-1 (two bytes, the first 0xC3) as small letters."""
+    m = np.zeros(len(d), bool)
+    m[1:] = (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E) & (d[1:] != 0x97)
+    return d + m.astype(np.uint8) * np.uint8(32)
+
+
 @dataclass
 class Block:
     """Tokens of rows ``lo`` to ``hi``: those of row ``lo + i`` are ``ptr[i]:ptr[i + 1]``."""
@@ -76,7 +83,7 @@ class Block:
     ptr: np.ndarray
 
 
-def _run(data: np.ndarray, base: int, breaks: np.ndarray, cls: np.ndarray, sub: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _run(data: np.ndarray, base: int, breaks: np.ndarray, cls: np.ndarray, sub: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -98,7 +105,7 @@ def _run(data: np.ndarray, base: int, breaks: np.ndarray, cls: np.ndarray, sub:
         last[b] = tok[b] > 0
     s, e = np.flatnonzero(new), np.flatnonzero(last) + 1
     up, down = _tables(max(n, BLOCK * 2))
-    v = sub[data] * up[:n]
+    v = sub[fold_latin(data) if fold else data] * up[:n]
     np.cumsum(v, out=v)
     h = v[e - 1]
     h[s > 0] -= v[s[s > 0] - 1]
@@ -106,11 +113,11 @@ def _run(data: np.ndarray, base: int, breaks: np.ndarray, cls: np.ndarray, sub:
     return h, s + base, e + base
 
 
-def blocks(col: pa.Array, cls: np.ndarray = NON_WHITE, sub: np.ndarray = SUB_LOWER) -> Iterator[Block]:
+def blocks(col: pa.Array, cls: np.ndarray = NON_WHITE, sub: np.ndarray = SUB_LOWER, fold: bool = False) -> Iterator[Block]:
     """The tokens of each row, by blocks of whole rows.
 
     ``cls`` marks the bytes of tokens (or numbers several classes, of which a token has one), ``sub``
-    substitutes bytes before hashing.  A row longer than a block is cut at bytes between tokens.
+    substitutes bytes before hashing, ``fold`` equates Latin-1 capitals with small letters.  A row longer than a block is cut at bytes between tokens.
     """
     data, off = text_buffers(col)
     n, lo = len(off) - 1, 0
@@ -126,10 +133,10 @@ def blocks(col: pa.Array, cls: np.ndarray = NON_WHITE, sub: np.ndarray = SUB_LOW
                     cut += int(gap[0])
                     break
                 cut += len(window)
-            parts.append(_run(data[a:cut], a, np.zeros(0, np.int64), cls, sub))
+            parts.append(_run(data[a:cut], a, np.zeros(0, np.int64), cls, sub, fold))
             a = cut
         cuts = off[lo:hi] - a
-        parts.append(_run(data[a:b], a, cuts[(cuts >= 0) & (cuts < b - a)], cls, sub))
+        parts.append(_run(data[a:b], a, cuts[(cuts >= 0) & (cuts < b - a)], cls, sub, fold))
         h, s, e = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
         yield Block(lo, hi, h, s, e, np.searchsorted(s, off[lo : hi + 1]))
         lo = hi
