@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as dc
+from . import license_scan as ls
 from . import line_dedup as ld
 from . import minhash_dedup as md
 from . import mixing as mx
@@ -23,6 +24,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return ls.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document's restored text; learnt from labels whose crc32 modulo 5 is not 0."""
     return tx.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
