@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ann
 from . import decontaminate as dc
 from . import license_scan as ls
 from . import line_dedup as ld
@@ -24,6 +25,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose vec_id is divisible by 50."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     return ls.scan(_table(spark, sf_dir, "documents"))
