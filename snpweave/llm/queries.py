@@ -12,7 +12,9 @@ from . import license_scan as ls
 from . import line_dedup as ld
 from . import minhash_dedup as md
 from . import mixing as mx
+from . import pii
 from . import quality as qc
+from . import token_counts as tc
 from . import toxicity as tx
 
 
@@ -104,6 +106,11 @@ SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(
 OP7_SQL = mixing_sql()
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by sentence; a token on a boundary belongs to the sentence of most of its bytes."""
+    return tc.section_tokens(_table(spark, sf_dir, "documents"), rule="most", sections=tc.sentences)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of 20 code points or more that 3 documents hold stay in the largest doc_id only."""
     return ld.line_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
@@ -126,6 +133,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

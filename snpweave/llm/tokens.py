@@ -172,7 +172,7 @@ def shingle_hashes(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
             out[ptr[rows][rep] + within] = h[b.ptr[rows][rep] + within]
         for r in np.flatnonzero((~full) & (count > 0)):
             t = b.hashes[b.ptr[r] : b.ptr[r + 1]]
-            out[ptr[r]] = (t * coef[: len(t)]).sum(dtype=U64) + U64(len(t)) * U64(_BASE)
+            out[ptr[r]] = (int((t * coef[: len(t)]).sum(dtype=U64)) + len(t) * _BASE) & _MASK
     return mix(out), ptr
 
 
