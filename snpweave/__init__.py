@@ -1,0 +1 @@
+"""Population-genomics analytics on Spark DataFrames."""
