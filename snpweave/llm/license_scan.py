@@ -64,7 +64,7 @@ def rules() -> list[tuple[tuple[str, ...], str, str, str, int]]:
         for v in _GNU_VERSIONS[label]:
             at = rf"(?:gnu )?\b{name} @ (?:as published by the free software foundation )?(?:either )?(?:version |v)?{v}" + ("" if " " in v else "(?: 0)?")
             tag = f"{label}-{v.replace(' ', '.')}"
-            out.append((LICENSE, "public", at + r" (?:of the license )?or (?:at your option )?any later\b", f"{tag}-or-later", 1))
+            out.append((LICENSE, "public", at + r" (?:of the license )?or (?:at your option )?(?:any )?later\b", f"{tag}-or-later", 1))
             out.append((LICENSE, "public", at + r" only\b", f"{tag}-only", 1))
             out.append((LICENSE, "public", at + r"\b", tag, 1))
         out.append((LICENSE, "public", rf"(?:gnu )?\b{name} @\b", label, 2))
