@@ -39,8 +39,8 @@ def update_blacklist(log: DataFrame | None, bad: DataFrame, name: str, key: str
     return new if log is None else log.unionByName(new)
 
 
-def clean_vcf_markers(m: DataFrame, source: str = "unknown", reference: bool = True) -> DataFrame:
-    """CHROM, LOCUS, POS, COL by caller, MARKERS with ``_n`` for repeats, M_SEQ in the order of VARIANT_ID."""
+def name_vcf_markers(m: DataFrame, source: str = "unknown", reference: bool = True) -> DataFrame:
+    """CHROM, LOCUS, POS and COL by caller, and MARKERS; repeats keep one name.  A projection."""
     m = m.withColumn("CHROM", F.col("CHROM").cast("string") if reference else F.lit("1")).withColumn("POS", F.col("POS").cast("string"))
     locus = F.col("LOCUS").cast("string")
     empty = locus.isNull() | locus.isin("", ".")
@@ -51,11 +51,25 @@ def clean_vcf_markers(m: DataFrame, source: str = "unknown", reference: bool = T
         m = m.withColumn("LOCUS", F.when(empty, F.col("VARIANT_ID").cast("string")).otherwise(plain))
     for c in ("CHROM", "LOCUS", "POS"):
         m = m.withColumn(c, clean_markers_names(F.col(c)))
-    m = m.withColumn("MARKERS", F.concat_ws("__", "CHROM", "LOCUS", "POS"))
-    w = Window.partitionBy("MARKERS")
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("VARIANT_ID"))
-    name = F.when(n > 1, F.concat_ws("_", "MARKERS", i.cast("string"))).otherwise(F.col("MARKERS"))
-    return m.withColumn("__n", name).withColumn("MARKERS", F.col("__n")).drop("__n").withColumn("M_SEQ", F.row_number().over(Window.orderBy("VARIANT_ID")))
+    return m.withColumn("MARKERS", F.concat_ws("__", "CHROM", "LOCUS", "POS"))
+
+
+def repeats(m: DataFrame) -> DataFrame:
+    """(VARIANT_ID, i): the place of each marker among those of its name, for names that stand more than once."""
+    k = m.select("MARKERS", "VARIANT_ID")
+    many = k.groupBy("MARKERS").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("MARKERS")
+    return k.join(many, "MARKERS", "left_semi").select("VARIANT_ID", F.row_number().over(Window.partitionBy("MARKERS").orderBy("VARIANT_ID")).alias("i"))
+
+
+def suffixed(m: DataFrame, again: DataFrame) -> DataFrame:
+    j = m.join(again.withColumnRenamed("i", "__i"), "VARIANT_ID", "left")
+    return j.withColumn("MARKERS", F.when(F.col("__i").isNotNull(), F.concat_ws("_", "MARKERS", F.col("__i").cast("string"))).otherwise(F.col("MARKERS"))).drop("__i")
+
+
+def clean_vcf_markers(m: DataFrame, source: str = "unknown", reference: bool = True) -> DataFrame:
+    """A marker table with names, ``_n`` on repeats, and M_SEQ in the order of VARIANT_ID (an order over marker rows)."""
+    m = name_vcf_markers(m, source, reference)
+    return suffixed(m, repeats(m)).withColumn("M_SEQ", F.row_number().over(Window.orderBy("VARIANT_ID")))
 
 
 def classify_selection(b: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def detect_dart_format(lines: list[str]) -> tuple[str, int]:
     two = any(a == b for a, b in zip(ids, ids[1:], strict=False)) or (len(body) > 1 and "SNP" in head and body[1][head.index("SNP")] in ("", "NA"))
     if not two:
         return "1row", stars
-    last = [c for r in body for c in r[-4:] if c.isdigit()]
+    called = [i for i, n in enumerate(head) if n not in ("AlleleID", "CloneID", "SNP", "SnpPosition")][-4:]
+    last = [r[i] for r in body for i in called if i < len(r) and r[i].isdigit()]
     return ("counts" if any(int(c) > 1 for c in last) else "2rows"), stars
 
 
@@ -79,9 +80,12 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None) ->
     """Long genotypes with depths; samples cleaned, strata joined (samples without one go), markers named."""
     head = vcf_header(spark, path)
     raw = read_vcf_raw(spark, path)
-    order = Window.orderBy("CHROM", F.col("POS").cast("long"), "REF", "ALT")
-    sites = raw.withColumn("VARIANT_ID", F.row_number().over(order))
-    m = metadata.clean_vcf_markers(sites, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
+    # increasing in the file's order; no sort and no shuffle of the calls
+    sites = raw.withColumn("VARIANT_ID", F.monotonically_increasing_id())
+    m = metadata.name_vcf_markers(sites, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
+    again = metadata.repeats(m)
+    if again.limit(1).count():  # rare: only then do the calls meet a join
+        m = metadata.suffixed(m, again)
     ids = F.array(*[F.lit(s) for s in head["samples"]])
     x = m.select("MARKERS", "CHROM", "LOCUS", "POS", "REF", "ALT", "FILTER", "FORMAT", F.explode(F.arrays_zip(ids.alias("INDIVIDUALS"), F.col("calls").alias("call"))).alias("x"))
     field = F.split("call", ":")
