@@ -12,7 +12,7 @@ from .adapter import BASE_SQL
 from .functions import genotypes as gt
 from .functions import names
 from .model import WHITELIST, Dataset, tag
-from .operators import dart, detect, filters, hwe, metadata, pairs, recode, stats, strata
+from .operators import dart, detect, filters, hwe, metadata, models, pairs, recode, stats, strata
 from .plans import cascade
 from .sinks import writers
 
@@ -356,6 +356,20 @@ QUERIES["write_gtypes"], ORACLES["write_gtypes"] = QUERIES["tidy_gtypes"], ORACL
 simple("write_colony__markers", writers.colony_markers, counts("MARKERS") + f" SELECT MARKERS, round({P}, 2) AS FREQ_1, round(1 - {P}, 2) AS FREQ_2 FROM c WHERE N > 0")
 simple("write_fasta", lambda g: writers.fasta(g.select("MARKERS", F.concat("REF", "ALT").alias("SEQUENCE")).distinct()), " SELECT MARKERS, '>' || MARKERS || chr(10) || 'AC' AS LINE FROM mk")
 
+_VS = "CASE GT_BIN WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END || ':' || STRATA"
+simple("vcf_strata", lambda g: writers.vcf_strata(g, ["STRATA"]), f", b AS (SELECT CHROM, POS, MARKERS, REF, ALT, count(GT_BIN) AS NS, string_agg({_VS}, chr(9) ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL) SELECT MARKERS, {_join('CHROM', 'POS', 'MARKERS', 'REF', 'ALT', chr(39) + '.' + chr(39), chr(39) + 'PASS' + chr(39), chr(39) + 'NS=' + chr(39) + ' || NS', chr(39) + 'GT:STRATA' + chr(39), 'BODY')} AS LINE FROM b")
+
+# ---- iterating operators and the tables behind plots ----------------------------------------------------------
+simple("estimate_m", lambda g: models.estimate_m(g, reps=100))
+simple("simulate_genos_from_posterior", lambda g: models.simulate_genotypes(g, 0.1).select("MARKERS", "INDIVIDUALS", "GT_BIN"))
+simple("detect_inversions", lambda g: models.outlier_windows(models.local_pca(g, 20), 0.5))
+simple("ld_missing", models.ld_by_chromosome, _LD + ", v AS (SELECT split_part(MARKERS_A, '__', 1) AS CHROM, LD FROM ld WHERE LD IS NOT NULL), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS THRESHOLD) SELECT CHROM, THRESHOLD, count(*) FILTER (WHERE LD > THRESHOLD) AS LINKED_PAIRS, count(*) AS PAIRS FROM v CROSS JOIN t GROUP BY ALL")
+simple("summarize_sex__residuals", lambda g: models.quantile_residuals(detect.summarize_sex(_sexed(g)), "DEPTH_MEAN", "HET_MEAN").select("MARKERS", F.round("QR_RESIDUALS", 4).alias("QR_RESIDUALS")))
+simple("plot_histogram", lambda g: models.histogram(stats.individual_stats(g), "COVERAGE_TOTAL", 10), ISTATS + ", l AS (SELECT min(COVERAGE_TOTAL)::DOUBLE AS lo, max(COVERAGE_TOTAL)::DOUBLE AS hi FROM ist) SELECT coalesce(least(floor((COVERAGE_TOTAL - lo) / nullif(hi - lo, 0) * 10), 9), 0)::INT AS BIN, count(*) AS N FROM ist, l GROUP BY 1")
+simple("plot_upset", models.shared_sets, counts("MARKERS", "STRATA") + ", s AS (SELECT MARKERS, string_agg(STRATA, '&' ORDER BY STRATA) AS STRATA_SET FROM c WHERE N > 0 GROUP BY MARKERS) SELECT STRATA_SET, count(*) AS N FROM s GROUP BY STRATA_SET")
+simple("plot_snp_number_loci", lambda g: stats.marker_stats(g).groupBy("SNP_PER_LOCUS").agg(F.count(F.lit(1)).alias("N")), MSTATS + " SELECT SNP_PER_LOCUS, count(*) AS N FROM ms GROUP BY SNP_PER_LOCUS")
+simple("plot_snp_position_read", lambda g: stats.marker_stats(g).groupBy("COL").agg(F.count(F.lit(1)).alias("N")), " SELECT COL, count(*) AS N FROM mk GROUP BY COL")
+
 # ---- the cascade ------------------------------------------------------------------------------------------------
 _CASCADE = """, m1 AS (SELECT MARKERS FROM g GROUP BY MARKERS HAVING count(DISTINCT GT_BIN) <> 1), m2 AS (SELECT MARKERS FROM (SELECT MARKERS, STRATA, count(GT_BIN) AS n FROM g GROUP BY ALL) GROUP BY MARKERS HAVING min(n) > 0),
 m3 AS (SELECT MARKERS FROM g WHERE MARKERS IN (FROM m1) AND MARKERS IN (FROM m2) GROUP BY MARKERS HAVING least(sum(2 - GT_BIN), sum(GT_BIN)) >= 40), m4 AS (SELECT MARKERS FROM g WHERE MARKERS IN (FROM m3) GROUP BY MARKERS HAVING (count(*) - count(GT_BIN)) / count(*) <= 0.1)"""

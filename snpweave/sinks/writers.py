@@ -270,3 +270,11 @@ def split_vcf(g: DataFrame, groups: DataFrame, folder: str) -> list[str]:
         own = g.join(groups.filter(F.col("SPLIT") == n).select("INDIVIDUALS"), "INDIVIDUALS", "left_semi")
         write_lines(vcf(own), f"{folder}/{n}", vcf_header([r[0] for r in own.select("INDIVIDUALS").distinct().orderBy("INDIVIDUALS").collect()]))
     return names
+
+
+def vcf_strata(g: DataFrame, fields: list[str]) -> DataFrame:
+    """VCF lines whose samples carry further fields (columns of ``g``) after the genotype."""
+    call = F.concat_ws(":", gt.vcf_from_bin(_b()), *[F.coalesce(F.col(f).cast("string"), F.lit(".")) for f in fields])
+    m = marker_lines(g, call, "\t", ("CHROM", "POS", "MARKERS", "REF", "ALT"))
+    form = F.lit(":".join(["GT", *fields]))
+    return m.select("MARKERS", F.concat_ws("\t", "CHROM", "POS", "MARKERS", "REF", "ALT", F.lit("."), F.lit("PASS"), F.concat(F.lit("NS="), F.col("NS").cast("string")), form, "BODY").alias("LINE"))
