@@ -136,7 +136,7 @@ simple("sexy_markers__genetic_sex", lambda g: detect.genetic_sex(g, g.filter("CH
 _PAIRS = ", pr AS (SELECT a.INDIVIDUALS AS ID1, b.INDIVIDUALS AS ID2, a.STRATA AS S1, b.STRATA AS S2, a.GT_BIN AS x, b.GT_BIN AS y FROM g a JOIN g b ON a.MARKERS = b.MARKERS AND a.INDIVIDUALS < b.INDIVIDUALS WHERE a.GT_BIN IS NOT NULL AND b.GT_BIN IS NOT NULL)"
 _POP = "CASE WHEN S1 = S2 THEN 'same pop' ELSE 'different pop' END AS POP_COMP"
 simple("genome_similarity", pairs.genome_similarity, _PAIRS + f", t AS (SELECT count(DISTINCT MARKERS) AS n FROM g), s AS (SELECT ID1, ID2, S1, S2, count(*) AS c, count(*) FILTER (WHERE x = y) AS i FROM pr GROUP BY ALL) SELECT ID1, ID2, {_POP}, n AS MARKERS_TOTAL, c AS MARKERS_COMMON, c / n AS MARKERS_COMMON_PROP, n - c AS MARKERS_MISSING, i AS IDENTICAL, c - i AS DIFFERENT, i / c AS IDENTICAL_PROP, i / n AS IDENTICAL_PROP_TOTAL FROM s, t")
-for _m, _e in (("manhattan", "sum(2 * abs(x - y))::DOUBLE"), ("ibs", "1 - avg(1 - abs(x - y) / 2)")):
+for _m, _e in (("manhattan", "sum(2 * abs(x - y))::DOUBLE"), ("ibs", "sum(abs(x - y)) / (2 * count(*))")):
     simple(f"distance_individuals__{_m}", lambda g, m=_m: pairs.distance(g, m), _PAIRS + f", s AS (SELECT ID1, ID2, S1 AS ID1_POP, S2 AS ID2_POP, {_POP}, {_e} AS DISTANCE FROM pr GROUP BY ID1, ID2, S1, S2) SELECT *, DISTANCE / nullif(max(DISTANCE) OVER (), 0) AS DISTANCE_RELATIVE FROM s")
 _square = lambda g: (lambda p: p.unionByName(p.select(F.col("ID2").alias("ID1"), F.col("ID1").alias("ID2"), "DISTANCE")))(pairs.distance(g).select("ID1", "ID2", "DISTANCE"))
 simple("distance2tibble", lambda g: pairs.matrix_to_pairs(_square(g)), _PAIRS + ", s AS (SELECT ID1, ID2, sum(2 * abs(x - y))::DOUBLE AS DISTANCE FROM pr GROUP BY ID1, ID2) SELECT *, DISTANCE / nullif(max(DISTANCE) OVER (), 0) AS DISTANCE_RELATIVE FROM s")

@@ -1,39 +1,76 @@
 """Pairs of samples and of markers: genome similarity, distances, linkage disequilibrium, pruning.
 
-Pairs are inherent here (every pair is the result).  The self-join is an equi-join on the marker (or the sample,
-for linkage), so a task holds the pairs of one marker; sums are combined on the map side.
+Pairs are inherent here (every pair is the result).  Pairs of samples come from products of blocks; linked markers from
+an equi-join on the sample within a chromosome, with sums combined on the map side.
 """
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_pairs(g: DataFrame) -> DataFrame:
-    """(ID1, ID2, a, b) of every marker that both samples of a pair have; ID1 < ID2."""
-    s = g.filter("GT_BIN is not null").select("MARKERS", "INDIVIDUALS", "STRATA", "GT_BIN")
-    a = s.select("MARKERS", F.col("INDIVIDUALS").alias("ID1"), F.col("STRATA").alias("ID1_STRATA"), F.col("GT_BIN").alias("a"))
-    b = s.select("MARKERS", F.col("INDIVIDUALS").alias("ID2"), F.col("STRATA").alias("ID2_STRATA"), F.col("GT_BIN").alias("b"))
-    return a.join(b, "MARKERS").filter("ID1 < ID2")
+BLOCK = 256
+
+
+def pair_counts(g: DataFrame) -> DataFrame:
+    """(ID1, ID2, ID1_STRATA, ID2_STRATA, COMMON, IDENTICAL, ABSDIFF) of each pair of samples with markers in common; ID1 < ID2.
+
+    Samples are dealt in blocks of about ``BLOCK``; each pair of blocks is a bounded group whose counts are products of
+    small matrices.  A row for each marker of each pair never exists.
+    """
+    seq = g.select("MARKERS").distinct().withColumn("j", F.row_number().over(Window.orderBy("MARKERS")) - 1)
+    m = seq.count()
+    n = g.select("INDIVIDUALS").distinct().count()
+    blocks = max(1, -(-n // BLOCK))
+    called = g.filter("GT_BIN is not null").join(seq, "MARKERS").groupBy("INDIVIDUALS", "STRATA").agg(F.collect_list(F.struct("j", F.col("GT_BIN").cast("int").alias("d"))).alias("x"))
+    own = called.withColumn("b", F.pmod(F.xxhash64("INDIVIDUALS"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "b", "INDIVIDUALS", "STRATA", F.transform("x", lambda v: v["j"]).alias("js"), F.transform("x", lambda v: v["d"]).alias("ds"))
+    out = "ID1 string, ID2 string, ID1_STRATA string, ID2_STRATA string, COMMON long, IDENTICAL long, ABSDIFF long"
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key
+        x = np.full((len(pdf), m), -1, np.int8)
+        for i, (js, ds) in enumerate(zip(pdf["js"], pdf["ds"], strict=True)):
+            x[i, js] = ds
+        ids, pops, side = pdf["INDIVIDUALS"].to_numpy(), pdf["STRATA"].to_numpy(), pdf["b"].to_numpy()
+        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        hot = [(x == d).astype(np.float32) for d in (0, 1, 2)]
+        at = [[hot[d][a] @ hot[e][b].T for e in range(3)] for d in range(3)]
+        same = at[0][0] + at[1][1] + at[2][2]
+        one, two = at[0][1] + at[1][0] + at[1][2] + at[2][1], at[0][2] + at[2][0]
+        common = same + one + two
+        i, j = np.nonzero((common > 0) & ((ids[a][:, None] < ids[b][None, :]) if lo == hi else True))
+        left, right = a[i], b[j]
+        turn = ids[left] > ids[right]
+        left, right = np.where(turn, right, left), np.where(turn, left, right)
+        whole = lambda c: np.rint(c[i, j]).astype(np.int64)
+        return pd.DataFrame({"ID1": ids[left], "ID2": ids[right], "ID1_STRATA": pops[left], "ID2_STRATA": pops[right], "COMMON": whole(common), "IDENTICAL": whole(same), "ABSDIFF": whole(one + 2 * two)})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(solve, out)
+
+
+def _pop_comp():
+    return F.when(F.col("ID1_STRATA") == F.col("ID2_STRATA"), "same pop").otherwise("different pop").alias("POP_COMP")
 
 
 def genome_similarity(g: DataFrame) -> DataFrame:
     """Markers in common, identical and different of each pair, and their proportions."""
     n = g.select("MARKERS").distinct().count()
-    p = sample_pairs(g).groupBy("ID1", "ID2", "ID1_STRATA", "ID2_STRATA").agg(F.count(F.lit(1)).alias("MARKERS_COMMON"), F.count_if(F.col("a") == F.col("b")).alias("IDENTICAL"))
-    total = F.lit(n)
-    return p.select("ID1", "ID2", F.when(F.col("ID1_STRATA") == F.col("ID2_STRATA"), "same pop").otherwise("different pop").alias("POP_COMP"), total.cast("long").alias("MARKERS_TOTAL"), "MARKERS_COMMON",
-                    (F.col("MARKERS_COMMON") / total).alias("MARKERS_COMMON_PROP"), (total - F.col("MARKERS_COMMON")).cast("long").alias("MARKERS_MISSING"), "IDENTICAL", (F.col("MARKERS_COMMON") - F.col("IDENTICAL")).alias("DIFFERENT"),
-                    (F.col("IDENTICAL") / F.col("MARKERS_COMMON")).alias("IDENTICAL_PROP"), (F.col("IDENTICAL") / total).alias("IDENTICAL_PROP_TOTAL"))
+    total, c, i = F.lit(n).cast("long"), F.col("COMMON"), F.col("IDENTICAL")
+    return pair_counts(g).select("ID1", "ID2", _pop_comp(), total.alias("MARKERS_TOTAL"), c.alias("MARKERS_COMMON"), (c / total).alias("MARKERS_COMMON_PROP"), (total - c).alias("MARKERS_MISSING"),
+                                 "IDENTICAL", (c - i).alias("DIFFERENT"), (i / c).alias("IDENTICAL_PROP"), (i / total).alias("IDENTICAL_PROP_TOTAL"))
 
 
 def distance(g: DataFrame, method: str = "manhattan") -> DataFrame:
-    """Distance of each pair: ``manhattan`` over both allele counts (2 |a - b|) or ``ibs`` (1 - mean of 1 - |a - b| / 2)."""
-    d = F.abs(F.col("a") - F.col("b"))
-    value = F.sum(2 * d) if method == "manhattan" else 1 - F.avg(1 - d / 2)
-    p = sample_pairs(g).groupBy("ID1", "ID2", F.col("ID1_STRATA").alias("ID1_POP"), F.col("ID2_STRATA").alias("ID2_POP")).agg(value.cast("double").alias("DISTANCE"))
-    return relative(p).withColumn("POP_COMP", F.when(F.col("ID1_POP") == F.col("ID2_POP"), "same pop").otherwise("different pop"))
+    """Distance of each pair: ``manhattan`` over both allele counts (2 |a - b|) or ``ibs`` (mean of |a - b| / 2)."""
+    d = (2 * F.col("ABSDIFF")).cast("double") if method == "manhattan" else F.col("ABSDIFF") / (2 * F.col("COMMON"))
+    p = pair_counts(g).select("ID1", "ID2", F.col("ID1_STRATA").alias("ID1_POP"), F.col("ID2_STRATA").alias("ID2_POP"), _pop_comp(), d.alias("DISTANCE"))
+    return relative(p)
 
 
 def relative(p: DataFrame) -> DataFrame:
@@ -83,8 +120,6 @@ def closure(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="snpweave-"))

@@ -118,3 +118,37 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_catalog_is_complete():
     assert len(catalog.QUERIES) > 180 and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_pair_blocks(spark, monkeypatch):
+    from snpweave import adapter
+
+    g = adapter.tidy(spark, SF)
+    one = sorted(map(tuple, pairs.pair_counts(g).collect()))
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    assert sorted(map(tuple, pairs.pair_counts(g).collect())) == one and len(one) == 45
+
+
+def test_models(spark):
+    import numpy as np
+
+    from snpweave import adapter
+    from snpweave.operators import models
+
+    g = adapter.tidy(spark, SF)
+    a, b = (models.estimate_m(g, reps=20).collect() for _ in range(2))
+    assert a == b and all(0 <= r["M"] <= 1 for r in a)
+    assert models.simulate_genotypes(g, 0.0).filter("GT_BIN = 1").count() == g.filter("GT_BIN = 1").count()
+    x = np.linspace(0, 1, 200)
+    assert np.allclose(models.quantile_fit(x, 1 + 2 * x, 0.3), (1, 2), atol=1e-6)
+    w = models.local_pca(g, 20).collect()
+    assert len(w) == 10 and all(r["N_SNP"] == 20 and 0 <= r["EXPLAINED"] <= 1 for r in w)
+
+
+def test_run_control(tmp_path):
+    from snpweave.plans import run
+
+    p = run.make_folder("step", str(tmp_path), date=False)
+    assert p.endswith("01_step") and run.folder_prefix(str(tmp_path)) == 2
+    assert run.file_name("x", "tsv", "/d", date=False) == "/d/x.tsv" and run.cores(9, 5) % 2 == 0
+    assert cascade.choose_markers_subsample(1000, 10) == 1.0 and cascade.choose_markers_subsample(3_000_000, 2000) < 0.3
