@@ -151,4 +151,4 @@ def test_run_control(tmp_path):
     p = run.make_folder("step", str(tmp_path), date=False)
     assert p.endswith("01_step") and run.folder_prefix(str(tmp_path)) == 2
     assert run.file_name("x", "tsv", "/d", date=False) == "/d/x.tsv" and run.cores(9, 5) % 2 == 0
-    assert cascade.choose_markers_subsample(1000, 10) == 1.0 and cascade.choose_markers_subsample(3_000_000, 2000) < 0.3
+    assert cascade.choose_markers_subsample(1000, 10) == 1.0 and cascade.choose_markers_subsample(3_000_000, 9000) < 0.3
