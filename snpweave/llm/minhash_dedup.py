@@ -214,7 +214,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     groups = stage(groups.join(up, "lead", "left").select(F.coalesce("to", "lead").alias("g"), "cls").distinct(), "groups2")
     size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(size, "g").select("g", "cls", "blocks", F.pmod(F.xxhash64("cls", "g"), F.col("blocks")).cast("int").alias("b"))
-    asked = stage(placed.select("g", "cls", F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), "b")).alias("b")).select("g", "b", (F.col("b") < F.col("own")).alias("asks"), "cls"), "placed")
+    # block b visits the half of the blocks that follows it in the round, so each block has as many visitors
+    visits = placed.select("g", "cls", "blocks", "b", F.explode(F.sequence(F.lit(0), (F.col("blocks") / 2).cast("int"))).alias("d"))
+    asked = stage(visits.select("g", F.pmod(F.col("b") + F.col("d"), "blocks").alias("b"), (F.col("d") > 0).alias("asks"), "cls"), "placed")
     used = asked.select(F.col("cls").alias("doc_id")).distinct()
     hashes = bands * rows
     # one plan at every size: the texts of all documents meet the ids by a shuffle
