@@ -28,8 +28,7 @@ def vcf_from_bin(gt: Column) -> Column:
 
 
 def bin_from_vcf(gt: Column) -> Column:
-    g = F.replace(gt, F.lit("|"), F.lit("/"))
-    return F.when(g == "0/0", 0).when(g.isin("0/1", "1/0"), 1).when(g == "1/1", 2)
+    return F.when(gt.isin("0/0", "0|0"), 0).when(gt.isin("0/1", "1/0", "0|1", "1|0"), 1).when(gt.isin("1/1", "1|1"), 2)
 
 
 def nuc_from_bin(gt: Column, ref: Column, alt: Column) -> Column:

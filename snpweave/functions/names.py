@@ -32,3 +32,8 @@ def snake_upper(name: str) -> str:
     s = re.sub(r"[^0-9A-Za-z]+", "_", name.strip())
     s = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", s)
     return re.sub(r"_+", "_", s).strip("_").upper()
+
+
+def clean_ind(name: str) -> str:
+    """``clean_ind_names`` of one name."""
+    return re.sub(r"[\s,]", "", name.translate(str.maketrans("_:", "--")))

@@ -58,8 +58,15 @@ def detect_dart_format(lines: list[str]) -> tuple[str, int]:
 
 
 def vcf_header(spark: SparkSession, path: str) -> dict:
-    """Caller, reference, samples: from the header lines, which are filtered out in parallel."""
-    lines = [r[0] for r in spark.read.text(path).filter("value like '#%'").collect()]
+    """Caller, reference, samples: from the header lines alone."""
+    text, n = spark.read.text(path), 1000
+    lines = [r[0] for r in text.take(n)]
+    while len(lines) == n and lines[-1].startswith("#"):  # the first split holds the header of one file
+        n *= 10
+        lines = [r[0] for r in text.take(n)]
+    lines = [x for x in lines if x.startswith("#")]
+    if not any(x.startswith("#CHROM") for x in lines):  # parts in a folder come in any order
+        lines = [r[0] for r in text.filter("value like '#%'").collect()]
     low = "\n".join(lines).lower()
     caller = next((v for k, v in CALLERS.items() if f"source={k}" in low or f"##source=\"{k}" in low), next((v for k, v in CALLERS.items() if k in low), "unknown"))
     cols = next(x for x in lines if x.startswith("#CHROM")).split("\t")
@@ -68,39 +75,46 @@ def vcf_header(spark: SparkSession, path: str) -> dict:
 
 
 def read_vcf_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Site columns with FORMAT and the samples' fields as arrays."""
-    f = F.split("value", "\t")
+    """Site columns, FORMAT, and the rest of the line with the samples' fields, which is split only where it is used."""
+    f = F.split("value", "\t", 10)
     at = lambda i: F.get(f, F.lit(i))
     v = spark.read.text(path).filter("value not like '#%' and value <> ''")
     info = F.str_to_map(at(7), F.lit(";"), F.lit("="))
-    return v.select(at(0).alias("CHROM"), at(1).alias("POS"), at(2).alias("LOCUS"), at(3).alias("REF"), at(4).alias("ALT"), at(5).alias("QUAL"), at(6).alias("FILTER"), info.alias("INFO"), F.split(at(8), ":").alias("FORMAT"), F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("calls"))
+    return v.select(at(0).alias("CHROM"), at(1).alias("POS"), at(2).alias("LOCUS"), at(3).alias("REF"), at(4).alias("ALT"), at(5).alias("QUAL"), at(6).alias("FILTER"), info.alias("INFO"), at(8).alias("FORMAT"), at(9).alias("calls"))
 
 
 def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None) -> DataFrame:
-    """Long genotypes with depths; samples cleaned, strata joined (samples without one go), markers named."""
+    """Long genotypes; samples cleaned, strata joined (samples without one go), markers named.
+
+    The header says which fields exist: depths are parsed only where DP or AD is declared.
+    """
     head = vcf_header(spark, path)
-    raw = read_vcf_raw(spark, path)
+    declared = {x.split("ID=", 1)[1].split(",", 1)[0] for x in head["formats"] if "ID=" in x}
     # increasing in the file's order; no sort and no shuffle of the calls
-    sites = raw.withColumn("VARIANT_ID", F.monotonically_increasing_id())
+    sites = read_vcf_raw(spark, path).withColumn("VARIANT_ID", F.monotonically_increasing_id())
     m = metadata.name_vcf_markers(sites, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
     again = metadata.repeats(m)
     if again.limit(1).count():  # rare: only then do the calls meet a join
         m = metadata.suffixed(m, again)
-    ids = F.array(*[F.lit(s) for s in head["samples"]])
-    x = m.select("MARKERS", "CHROM", "LOCUS", "POS", "REF", "ALT", "FILTER", "FORMAT", F.explode(F.arrays_zip(ids.alias("INDIVIDUALS"), F.col("calls").alias("call"))).alias("x"))
+    keys = ["MARKERS", "CHROM", "LOCUS", "POS", "REF", "ALT", "FILTER"]
+    ids = F.array(*[F.lit(names.clean_ind(s)) for s in head["samples"]])
+    x = m.select(*keys, "FORMAT", F.posexplode(F.split("calls", "\t")).alias("k", "call"))
+    who = F.get(ids, F.col("k")).alias("INDIVIDUALS")
+    only = bool(declared) and declared <= {"GT"}
+    call = F.col("call") if only else F.substring_index("call", ":", 1)
     field = F.split("call", ":")
-    of = lambda k: F.try_element_at(field, F.array_position("FORMAT", k).cast("int"))
-    named = lambda k: F.when(F.array_contains("FORMAT", k), of(k))
-    x = x.select("MARKERS", "CHROM", "LOCUS", "POS", "REF", "ALT", "FILTER", "FORMAT", names.clean_ind_names(F.col("x.INDIVIDUALS")).alias("INDIVIDUALS"), F.col("x.call").alias("call"))
-    ad = F.transform(F.split(named("AD"), ","), lambda d: F.try_to_number(d, F.lit("999999999")).cast("long"))
-    x = x.select("MARKERS", "CHROM", "LOCUS", "POS", "REF", "ALT", "FILTER", "INDIVIDUALS", gt.bin_from_vcf(F.split_part(F.col("call"), F.lit(":"), F.lit(1))).alias("GT_BIN"),
-                 F.try_to_number(named("DP"), F.lit("999999999")).cast("long").alias("READ_DEPTH"), ad.alias("AD"))
-    x = recode.parse_depths(x).drop("AD")
-    if strata is not None:
-        x = x.join(strata.select(names.clean_ind_names(F.col("INDIVIDUALS")).alias("INDIVIDUALS"), "STRATA"), "INDIVIDUALS")
+    of = lambda k: F.when(F.array_contains(F.split("FORMAT", ":"), k), F.try_element_at(field, F.array_position(F.split("FORMAT", ":"), k).cast("int")))
+    number = lambda c: F.try_to_number(c, F.lit("999999999")).cast("long")
+    none = F.lit(None).cast("long")
+    depth = number(of("DP")) if "DP" in declared or not declared else none
+    x = x.select(*keys, who, gt.bin_from_vcf(call).alias("GT_BIN"), depth.alias("READ_DEPTH"), *([F.transform(F.split(of("AD"), ","), number).alias("AD")] if "AD" in declared or not declared else []))
+    if "AD" in x.columns:
+        x = recode.parse_depths(x).drop("AD")
     else:
-        x = x.withColumn("STRATA", F.lit("pop"))
-    return x
+        x = x.withColumn("ALLELE_REF_DEPTH", none).withColumn("ALLELE_ALT_DEPTH", none)
+    if strata is not None:
+        return x.join(strata.select(names.clean_ind_names(F.col("INDIVIDUALS")).alias("INDIVIDUALS"), "STRATA"), "INDIVIDUALS")
+    return x.withColumn("STRATA", F.lit("pop"))
 
 
 def read_tped(spark: SparkSession, path: str) -> DataFrame:
