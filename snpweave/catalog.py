@@ -376,7 +376,8 @@ m3 AS (SELECT MARKERS FROM g WHERE MARKERS IN (FROM m1) AND MARKERS IN (FROM m2)
 
 
 def _run(g: DataFrame) -> Dataset:
-    return cascade.run(Dataset.from_tidy(g), cascade.steps(ma=40, genotyping=0.1))
+    # every step reads the genotypes again
+    return cascade.run(Dataset.from_tidy(g.persist()), cascade.steps(ma=40, genotyping=0.1))
 
 
 simple("filter_rad", lambda g: _run(g).markers.filter(F.col("FILTERS") == WHITELIST).select("MARKERS"), _CASCADE + " SELECT MARKERS FROM m4")
