@@ -3,9 +3,11 @@
 A character trigram model over bytes (26 letters, a word's edge, and the bytes of other letters) is
 counted over the words of every document; tasks send their counts, which grow with what they read, and
 the sum has a fixed upper size (155^3 numbers).  Suspicious spans (signs or digits among letters, single
-letters set apart, letters repeated where the corpus does not repeat them) become character lattices: a
-sign may stand for letters, a repeated letter or a separator for nothing.  Viterbi decoding finds the
-cheapest reading under channel and model, and the text with these readings is what is scored.
+letters set apart, a letter three or more times in a row) become character lattices: a sign may stand for
+letters, a repeated letter or a separator for nothing.  Words with such a row are not counted into the
+model, so elongations never become the corpus's own habit; a single letter's row and Roman numerals stay.
+Viterbi decoding finds the cheapest reading under channel and model, and the text with these readings is
+what is scored.
 
 Features are words and the beginnings of words; those that mark toxic rows are chosen, and a logistic
 model is fitted, on a bounded sample of labelled rows (``max_train``, the smallest hashes of doc_id).
@@ -14,7 +16,7 @@ Defined results
 * null or empty text: no feature, so the model's base rate.
 * no labelled row: every score is 0.5; labels of one kind only: their smoothed share.
 * null ``doc_id``: scored, never learnt from, held_out false.
-* spans of over ``LONGEST`` bytes are left as they are; everything else is scored over the whole text.
+* spans of over ``LONGEST`` bytes with signs or single letters are left as they are; everything else is scored over the whole text.
 * repeated rows are scored alike; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -38,6 +40,7 @@ LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(25
 #: symbols of the model: 0 a word's edge, 1-26 letters, 27-154 bytes from 128
 SYMBOL = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in range(256)], np.int64)
 N = 155
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: what a sign or digit may stand for
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGNS = np.zeros(256, bool)
@@ -48,6 +51,19 @@ _TAIL = b"!$%&*#@|.,;:?)\"'+]}"
 _HEAD = b"%&*#|.,;:?(\"'+[{!"
 
 
+def _threes(d: np.ndarray) -> np.ndarray:
+    """Where a letter (of one to three bytes) begins that stands three times in a row; small and capital alike in ASCII."""
+    low, out = _LOWER[d], np.zeros(len(d), bool)
+    out[:-2] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & LETTER[d[:-2]] & (d[:-2] < 128)
+    if (d >= 0xC0).any():
+        for k, lead, after in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0)):
+            n = len(d) - 3 * k + 1
+            if n > 0:
+                same = np.concatenate([[0], np.cumsum(d[:-k] == d[k:], dtype=np.int64)])
+                out[:n] |= (d[:n] >= lead) & (d[:n] < after) & (same[2 * k : 2 * k + n] - same[:n] == 2 * k)
+    return out
+
+
 def _trigrams(batches):
     total = np.zeros(N**3, np.int64)
     for rb in batches:
@@ -56,12 +72,18 @@ def _trigrams(batches):
             if not len(b.starts):
                 continue
             lo, hi = int(b.starts[0]), int(b.ends[-1])
+            three = np.concatenate([[0], np.cumsum(_threes(data[lo:hi]), dtype=np.int64)])
+            own = three[b.ends - lo] == three[b.starts - lo]
+            if not own.any():
+                continue
+            starts, ends = b.starts[own], b.ends[own]
+            inside = _mask(starts, ends, lo, hi)
             # words side by side, with two edges between them
-            n = b.ends - b.starts
+            n = ends - starts
             at = np.cumsum(n + 2) - n
             line = np.zeros(int(at[-1] + n[-1] + 1), np.int64)
-            where = np.repeat(at - (b.starts - lo), n) + np.flatnonzero(_mask(b, lo, hi))
-            line[where] = SYMBOL[data[lo:hi][_mask(b, lo, hi)]]
+            where = np.repeat(at - (starts - lo), n) + np.flatnonzero(inside)
+            line[where] = SYMBOL[data[lo:hi][inside]]
             key = (line[:-2] * N + line[1:-1]) * N + line[2:]
             total += np.bincount(key, minlength=N**3)
     some = np.flatnonzero(total)
@@ -70,10 +92,10 @@ def _trigrams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["gram", "n"])
 
 
-def _mask(b, lo: int, hi: int) -> np.ndarray:
+def _mask(starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> np.ndarray:
     m = np.zeros(hi - lo + 1, np.int8)
-    np.add.at(m, b.starts - lo, 1)
-    np.add.at(m, b.ends - lo, -1)
+    np.add.at(m, starts - lo, 1)
+    np.add.at(m, ends - lo, -1)
     return np.cumsum(m[:-1], dtype=np.int8) > 0
 
 
@@ -88,10 +110,6 @@ class CharModel:
         p2 = (bi + 20 * p1) / (bi.sum(axis=1, keepdims=True) + 20)
         self.cost = -np.log((c + 20 * p2) / (tri + 20)).astype(np.float32)
 
-    def rare(self, s: int) -> bool:
-        """Whether the corpus does not set this symbol three times in a row."""
-        return bool(self.cost[s, s, s] > 3.0)
-
 
 def char_model(docs: DataFrame) -> CharModel:
     """Counts over all words of all documents."""
@@ -103,40 +121,50 @@ def char_model(docs: DataFrame) -> CharModel:
 
 
 def decode(span: str, model: CharModel) -> str:
-    """The cheapest reading of a suspicious span."""
-    raw = span.lower().encode()
-    best: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
-    cost = model.cost
-    for i, b in enumerate(raw):
-        c = chr(b)
+    """The cheapest reading of a suspicious span, in time and memory linear in its length."""
+    text = span.lower()
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    cost, symbol = model.cost.item, SYMBOL.tolist()
+    for i, c in enumerate(text):
+        raw = c.encode()
         if c in STANDS:
-            arcs = [(COST_SIGN, x.encode()) for x in STANDS[c]] + [(COST_KEPT, bytes([b]))]
+            arcs = [(COST_SIGN, x.encode()) for x in STANDS[c]] + [(COST_KEPT, raw)]
         elif c in SEPARATORS:
             arcs = [(COST_SEPARATOR, b""), (COST_SPACE, b" ")]
-        elif LETTER[b]:
-            arcs = [(0.0, bytes([b]))]
-            if i and raw[i - 1] == b or i > 1 and raw[i - 2] == b and chr(raw[i - 1]) in SEPARATORS:
-                arcs.append((COST_REPEAT, b""))
         else:
-            arcs = [(0.0, bytes([b]))]
-        new: dict[tuple[int, int], tuple[float, bytes]] = {}
-        for (p, q), (v, text) in best.items():
+            arcs = [(0.0, raw)]
+            if LETTER[raw[0]] and (i and text[i - 1] == c or i > 1 and text[i - 2] == c and text[i - 1] in SEPARATORS):
+                arcs.append((COST_REPEAT, b""))
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (p, q), (v, back) in best.items():
             for w, out in arcs:
-                if not out:
-                    k, x = (p, q), v + w
-                elif LETTER[out[0]]:
-                    s = int(SYMBOL[out[0]])
-                    k, x = (q, s), v + w + float(cost[p, q, s])
-                else:  # a kept sign or a space ends the word
-                    k, x = (0, 0), v + w + (float(cost[p, q, 0]) if q else 0.0)
+                k, x = (p, q), v + w
+                if out and LETTER[out[0]]:
+                    for s in out:
+                        x += cost(*k, symbol[s])
+                        k = (k[1], symbol[s])
+                elif out:  # a kept sign or a space ends the word
+                    k, x = (0, 0), x + (cost(p, q, 0) if q else 0.0)
                 if k not in new or x < new[k][0]:
-                    new[k] = (x, text + out)
+                    new[k] = (x, (back, out) if out else back)
         best = new
-    v, text = min(((v + (float(cost[p, q, 0]) if q else 0.0), t) for (p, q), (v, t) in best.items()), default=(0.0, raw))
-    return text.decode(errors="replace")
+    _, back = min(((v + (cost(p, q, 0) if q else 0.0), t) for (p, q), (v, t) in best.items()), key=lambda x: x[0])
+    parts = []
+    while back:
+        back, out = back
+        parts.append(out)
+    return b"".join(reversed(parts)).decode(errors="replace")
 
 
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+
+
+def _elongated(word: str) -> bool:
+    """Whether a word of letters has one three times in a row that it would lose nothing without."""
+    low = word.lower()
+    return bool(_TRIPLE.search(low)) and len(set(low)) > 1 and not _ROMAN.fullmatch(low)
 _DOTTED = re.compile(r"^[^\W\d_](?:[.\-_*][^\W\d_]){3,}$")
 
 
@@ -145,9 +173,10 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model, self.memo = model, {}
-        self.rare = np.array([LETTER[b] and model.rare(int(SYMBOL[b])) for b in range(256)])
 
     def read(self, span: str) -> str:
+        if len(span) > 256:  # too long to remember
+            return decode(span, self.model)
         if (got := self.memo.get(span)) is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
@@ -169,11 +198,9 @@ class Restorer:
             count = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int64)])
             cl, cs = count(letters), count(SIGNS[d])
             nl, ns = cl[e] - cl[s], cs[e] - cs[s]
-            three = np.zeros(len(d), bool)
-            three[:-2] = (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:]) & self.rare[d[:-2]]
-            ct = count(three)
-            nt = ct[np.maximum(e - 2, s)] - ct[s]
-            odd = (size <= LONGEST) & (nl >= 2) & ((ns > 0) | (nt > 0) | ((size >= 7) & (nl >= 4) & (size == 2 * nl - 1)))
+            ct = count(_threes(d))
+            nt = ct[e] - ct[s]
+            odd = (nl >= 2) & ((nt > 0) | (size <= LONGEST) & ((ns > 0) | (size >= 7) & (nl >= 4) & (size == 2 * nl - 1)))
             # a token of one letter
             one = (size == 1) & (nl == 1) | (size == 2) & (d[s] >= 0xC3) & (nl == 2)
             row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
@@ -200,9 +227,15 @@ class Restorer:
                 text = core.decode(errors="replace")
                 signs = sum(c in STANDS for c in text)
                 alike = sum(c.isalpha() for c in text)
-                if not (2 <= alike and (0 < signs <= 1.5 * alike and not re.search(r"[.:/=\"]", text) or _TRIPLE.search(text.lower()) or _DOTTED.match(text))):
-                    continue
+                whole = 2 <= alike and (0 < signs <= 1.5 * alike and not re.search(r"[.:/=\"]", text) or _DOTTED.match(text))
                 s, e = s + head, s + head + len(core)
+                if not whole:  # only the words with a repeated letter, in their places
+                    if not _TRIPLE.search(text.lower()):
+                        continue
+                    got = _LETTERS.sub(lambda m: self.read(m[0]) if _elongated(m[0]) else m[0], text)
+                    if got != text:
+                        new.setdefault(row, []).append((s, e, got))
+                    continue
             else:
                 text = raw.decode(errors="replace")
                 if len({c for c in text.lower() if not c.isspace()}) < 3:

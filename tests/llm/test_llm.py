@@ -189,6 +189,20 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_many_elongated_words(spark):
+    r = random.Random(14)
+    voc = ["the", "house", "is", "green", "and", "tall", "river", "stone", "walks", "good", "stood"]
+    rows = [(i, " ".join([*(r.choice(voc) for _ in range(20)), *(["moron"] if i % 4 == 0 else [])])) for i in range(400)]
+    rows += [(2000 + i, f"the {'m' + 'o' * r.randint(3, 9) + 'ron'} walks") for i in range(600)] + [(3000, "see www.site.org/xiii and III green"), (3001, "The MoOoron")]
+    rows += [(3002, "идиот стоит рядом " * 50), (3003, "идииииот")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    d = make(spark, rows)
+    back = {x["doc_id"]: x["text"] for x in toxicity.restore(d).collect()}
+    assert all(back[i] == "the moron walks" for i in range(2000, 2600)) and back[3001] == "The moron" and back[3003] == "идиот"
+    assert back[3000] == rows[1000][1]
+    assert all(x["predicted"] == 1 for x in toxicity.score(d, labels).collect() if 2000 <= (x["doc_id"] or 0) < 2600)
+
+
 def test_decontaminate(spark):
     r = random.Random(6)
     voc = [f"v{i}" for i in range(500)]
