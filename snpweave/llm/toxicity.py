@@ -16,7 +16,8 @@ Defined results
 * null or empty text: no feature, so the model's base rate.
 * no labelled row: every score is 0.5; labels of one kind only: their smoothed share.
 * null ``doc_id``: scored, never learnt from, held_out false.
-* spans of over ``LONGEST`` bytes with signs or single letters are left as they are; everything else is scored over the whole text.
+* spans of any length are read and the whole text is scored; letters set apart are joined over the narrowest
+  gap of their row, a wider gap or a line's end (in a row not set line by line) parts words.
 * repeated rows are scored alike; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -35,7 +36,6 @@ from .quality import fold, labelled
 from .staging import stage
 
 U64 = np.uint64
-LONGEST = 48
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: symbols of the model: 0 a word's edge, 1-26 letters, 27-154 bytes from 128
 SYMBOL = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in range(256)], np.int64)
@@ -47,8 +47,10 @@ SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in STANDS]] = True
 SEPARATORS = " .-_*"
 COST_SIGN, COST_KEPT, COST_REPEAT, COST_SEPARATOR, COST_SPACE = 0.5, 6.0, 0.6, 0.2, 2.5
+STARTS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC0 for b in range(256)])
 _TAIL = b"!$%&*#@|.,;:?)\"'+]}"
 _HEAD = b"%&*#|.,;:?(\"'+[{!"
+_IS_TAIL, _IS_HEAD, _IS_APART, _IS_LINE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (_TAIL, _HEAD, b".-_*", b"\n\r"))
 
 
 def _threes(d: np.ndarray) -> np.ndarray:
@@ -165,7 +167,8 @@ def _elongated(word: str) -> bool:
     """Whether a word of letters has one three times in a row that it would lose nothing without."""
     low = word.lower()
     return bool(_TRIPLE.search(low)) and len(set(low)) > 1 and not _ROMAN.fullmatch(low)
-_DOTTED = re.compile(r"^[^\W\d_](?:[.\-_*][^\W\d_]){3,}$")
+_ONE = "(?:[^\\W_]|[@$!|+])"
+_DOTTED = re.compile(rf"^{_ONE}(?:[.\-_*]{_ONE}){{2,}}$")
 
 
 class Restorer:
@@ -184,7 +187,7 @@ class Restorer:
         return got
 
     def spans(self, col):
-        """(row, start, end) in bytes of suspicious spans, in order; rows without any are passed over in numpy."""
+        """(row, start, end, tokens set apart or none) in bytes of suspicious spans, in order; rows without any are passed over in numpy."""
         data, _ = tk.text_buffers(col)
         for b in tk.blocks(col, tk.NON_WHITE):
             n = len(b.starts)
@@ -194,41 +197,58 @@ class Restorer:
             d = data[lo : int(b.ends[-1])]
             s, e = b.starts - lo, b.ends - lo
             size = e - s
-            letters = LETTER[d]
+            letters, signs = LETTER[d], SIGNS[d]
             count = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int64)])
-            cl, cs = count(letters), count(SIGNS[d])
-            nl, ns = cl[e] - cl[s], cs[e] - cs[s]
+            within = lambda c, a=s, z=e: c[z] - c[a]
+            nl, ns, first, apart = (within(count(m)) for m in (letters, signs, STARTS[d], _IS_APART[d]))
             ct = count(_threes(d))
             nt = ct[e] - ct[s]
-            odd = (nl >= 2) & ((nt > 0) | (size <= LONGEST) & ((ns > 0) | (size >= 7) & (nl >= 4) & (size == 2 * nl - 1)))
-            # a token of one letter
-            one = (size == 1) & (nl == 1) | (size == 2) & (d[s] >= 0xC3) & (nl == 2)
             row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
-            start = one.copy()
-            start[1:] &= ~(one[:-1] & (row[1:] == row[:-1]))
-            stop = one.copy()
-            stop[:-1] &= ~(one[1:] & (row[1:] == row[:-1]))
-            i, j = np.flatnonzero(start), np.flatnonzero(stop)
-            long = (j - i >= 3) & (e[j] - s[i] <= LONGEST)
-            found = [(int(row[x]) + b.lo, int(s[x]) + lo, int(e[y]) + lo, True) for x, y in zip(i[long], j[long], strict=True)]
-            found += [(int(row[x]) + b.lo, int(s[x]) + lo, int(e[x]) + lo, False) for x in np.flatnonzero(odd)]
-            yield from sorted(found)
+            odd = (nl >= 2) & ((nt > 0) | (ns > 0) | (first >= 2) & (apart >= 2) & (first <= apart + 1))
+            found = [(int(row[x]) + b.lo, int(s[x]) + lo, int(e[x]) + lo, None) for x in np.flatnonzero(odd)]
+            # a token of one letter or sign; before it, only the first of a row has more, and after it, the last
+            tail, head = count(_IS_TAIL[d]), count(_IS_HEAD[d])
+            sign = (nl == 0) & (ns > 0)
+            left = (first == 1) & letters[e - 1] & (nl + within(head) == size) | sign & signs[e - 1] & (within(head, s, e - 1) == size - 1)
+            right = (first == 1) & letters[s] & (nl + within(tail) == size) | sign & signs[s] & (within(tail, s + 1, e) == size - 1)
+            joint = left[:-1] & right[1:] & (row[1:] == row[:-1])
+            edge = np.diff(np.concatenate([[False], joint, [False]]).astype(np.int8))
+            i, j = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            lettered = count(nl > 0)
+            long = (j - i >= 2) & (lettered[j + 1] - lettered[i] >= 2)
+            i, j = i[long], j[long]
+            if len(i):
+                gap = s[1:] - e[:-1]
+                lines = count(_IS_LINE[d])
+                gap = np.where(lines[s[1:]] > lines[e[:-1]], gap + len(d), gap)
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    g = gap[x:y]
+                    cut = [x - 1, *(x + np.flatnonzero(g > g.min())).tolist(), y]
+                    for a, z in zip(cut[:-1], cut[1:], strict=True):
+                        if z - a >= 3:
+                            own = (int(row[x]) + b.lo, int(s[a + 1]) + lo, int(e[z]) + lo)
+                            found.append((*own, [(int(p) + lo, int(q) + lo) for p, q in zip(s[a + 1 : z + 1], e[a + 1 : z + 1], strict=True)]))
+            yield from sorted(found, key=lambda x: x[:3])
 
     def restore(self, col: pa.Array) -> pa.Array:
         """The column with suspicious spans replaced by their readings."""
         data, off = tk.text_buffers(col)
         new: dict[int, list] = {}
         for row, s, e, apart in self.spans(col):
-            raw = data[s:e].tobytes()
-            if not apart:
-                core = raw.rstrip(_TAIL)
-                head = len(core) - len(core.lstrip(_HEAD))
-                core = core[head:]
-                text = core.decode(errors="replace")
-                signs = sum(c in STANDS for c in text)
-                alike = sum(c.isalpha() for c in text)
-                whole = 2 <= alike and (0 < signs <= 1.5 * alike and not re.search(r"[.:/=\"]", text) or _DOTTED.match(text))
-                s, e = s + head, s + head + len(core)
+            core = data[s:e].tobytes().rstrip(_TAIL)
+            head = len(core) - len(core.lstrip(_HEAD))
+            s, e = s + head, s + len(core)
+            if apart:
+                text = " ".join(data[max(p, s) : min(q, e)].tobytes().decode(errors="replace") for p, q in apart if q > s and p < e)
+            else:
+                text = data[s:e].tobytes().decode(errors="replace")
+            signs = sum(c in STANDS for c in text)
+            alike = sum(c.isalpha() for c in text)
+            if apart:
+                if text.count(" ") < 2 or not 2 <= alike or signs > 1.5 * alike or len(set(text.lower())) < 3:
+                    continue
+            else:
+                whole = 2 <= alike and signs <= 1.5 * alike and (signs > 0 and not re.search(r"[.:/=\"]", text) or _DOTTED.match(text))
                 if not whole:  # only the words with a repeated letter, in their places
                     if not _TRIPLE.search(text.lower()):
                         continue
@@ -236,10 +256,6 @@ class Restorer:
                     if got != text:
                         new.setdefault(row, []).append((s, e, got))
                     continue
-            else:
-                text = raw.decode(errors="replace")
-                if len({c for c in text.lower() if not c.isspace()}) < 3:
-                    continue
             got = self.read(text)
             if got != text.lower():
                 new.setdefault(row, []).append((s, e, got))

@@ -203,6 +203,22 @@ def test_toxicity_of_many_elongated_words(spark):
     assert all(x["predicted"] == 1 for x in toxicity.score(d, labels).collect() if 2000 <= (x["doc_id"] or 0) < 2600)
 
 
+def test_toxicity_reads_every_span(spark):
+    r = random.Random(24)
+    voc = ["the", "house", "is", "green", "and", "tall", "river", "stone", "walks", "idiot", "moron", "ass"]
+    rows = [(i, " ".join(r.choice(voc) for _ in range(30))) for i in range(300)]
+    said = ["the", "green", "idiot", "walks", "and", "moron", "is", "the", "tall", "house", "idiot"]
+    odd = {
+        "i d 1 0 t": "idiot", "1 d 1 o t": "idiot", "the i d i o t.": "the idiot.", '"i d i o t!" is': '"idiot!" is', "a s s": "ass", "a.s.s": "ass", "i.d.i.o.t.": "idiot.", "i.d.1.0.t": "idiot", "i\nd\ni\no\nt": "idiot", "i  d  i  o  t": "idiot",
+        "  ".join(" ".join(w) for w in said): "  ".join(w if len(w) > 2 else " ".join(w) for w in said), "i d i o t\nm o r o n": "idiot\nmoron", "i_d_i_0_t-" * 12 + "i": None, "m0r0n" * 20: None, "house 1 2 3 4": "house 1 2 3 4", "3.14 is 1.2.3": "3.14 is 1.2.3",
+    }
+    rows += [(1000 + k, x) for k, x in enumerate(odd)] + [(2000, " ".join(" ".join(w) for w in said))]
+    back = {x["doc_id"]: x["text"] for x in toxicity.restore(make(spark, rows)).collect()}
+    for k, (x, y) in enumerate(odd.items()):
+        assert back[1000 + k] == y if y is not None else not re.search("[01]", back[1000 + k]), (x, back[1000 + k])
+    assert {"idiot", "moron"} <= set(back[2000].split()), back[2000]
+
+
 def test_decontaminate(spark):
     r = random.Random(6)
     voc = [f"v{i}" for i in range(500)]
