@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 Texts become words (A-Z as a-z; digits, letters and all that is not ASCII).  A cheap substring gate
-passes over texts that hold no keyword.  In the rest each keyword occurrence opens a window of
-``REACH`` words on either side; the rules of that keyword whose second word stands in the window are
-tried as regular expressions that must take in the keyword itself, so a match has an exact word span.
+passes over texts that hold no keyword.  In the rest each keyword occurrence opens a window of as many
+words before and after it as the longest rule takes there (``reach``); the rules of that keyword whose
+second word stands in the window are tried as regular expressions that must take in the keyword itself, so
+a match has an exact word span.
 Detections are sorted by start and run through one fold: a detection whose span lies in the span of one
 of the same or a better priority is suppressed.  Everything is a projection of a row: no shuffle, no
 Python on the executors, memory bounded by one text.
@@ -24,7 +25,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REACH = 12
 #: the phrases of the base scan, and their labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,6 +134,13 @@ def keywords() -> dict[str, list[tuple[int, str, str, str, int]]]:
     return out
 
 
+@lru_cache(1)
+def reach() -> tuple[int, int]:
+    """The most words that a rule takes before and after its keyword: a regex matches no more spaces than it has, as none of them repeats."""
+    sides = [r[2].split("@", 1) for r in rules()]
+    return max(a.count(" ") for a, _ in sides), max(b.count(" ") for _, b in sides)
+
+
 def gate(text: Column) -> Column:
     """Whether a text can hold a keyword or a phrase; true for every text that does."""
     t = F.lower(text)
@@ -162,19 +169,20 @@ def _spaces(s: Column) -> Column:
 def _detections(words: Column, at: Column, table: Column) -> Column:
     """Of each keyword place, the rules that match there: (start, -end, priority, order, label)."""
 
+    before, after = reach()
+
     def here(i):
         w = F.get(words, i)
-        low = F.greatest(i - REACH, F.lit(0))
+        low = F.greatest(i - before, F.lit(0))
         head = F.array_join(F.slice(words, low + 1, i - low), " ")
-        tail = F.array_join(F.slice(words, i + 2, F.lit(REACH)), " ")
+        tail = F.array_join(F.slice(words, i + 2, F.lit(after)), " ")
         window = F.concat(head, F.when(F.length(head) > 0, F.lit(" ")).otherwise(F.lit("")), F.lit(MARK), w, F.when(F.length(tail) > 0, F.lit(" ")).otherwise(F.lit("")), tail)
         near = F.filter(F.element_at(table, w), lambda r: window.contains(r["second"]))
         hits = F.transform(near, lambda r: F.struct(r["ord"].alias("ord"), r["label"].alias("label"), r["prio"].alias("prio"), F.call_function("regexp_extract", window, r["regex"], F.lit(0)).alias("m")))
         hits = F.filter(hits, lambda h: h["m"] != "")
 
         def span(h):
-            before = F.substring_index(h["m"], MARK, 1)
-            start = i - _spaces(before)
+            start = i - _spaces(F.substring_index(h["m"], MARK, 1))
             end = start + _spaces(h["m"])
             return F.struct(start.alias("start"), (-end).alias("back"), h["prio"].alias("prio"), h["ord"].alias("ord"), h["label"].alias("label"))
 

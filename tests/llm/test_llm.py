@@ -271,6 +271,41 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 300 and license_scan.scan(make(spark, rows).limit(0)).count() == 0
 
 
+def longest(tree):
+    """The words of a regex's longest form."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "MAX_REPEAT":
+            out += longest(arg[2])
+        elif op == "SUBPATTERN":
+            out += longest(arg[3])
+        elif op == "BRANCH":
+            out += max(map(longest, arg[1]), key=lambda x: (x.count(" "), len(x)))
+        elif op == "IN":
+            out += "9" if "DIGIT" in str(arg) else "x"
+    return out
+
+
+def test_license_scan_takes_every_rule_whole(spark):
+    notice = "under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    gnu = [(n, v, f"{x}-{v}-or-later") for n, x, v in (("General Public", "gpl", "2"), ("General Public", "gpl", "3"), ("Lesser General Public", "lgpl", "2.1"), ("Affero General Public", "agpl", "3"))]
+    rows = [(i, notice.format(n, v)) for i, (n, v, _) in enumerate(gnu)]
+    forms = [(longest(re._parser.parse(r[2].replace("@", w))), r) for r in license_scan.rules() for w in r[0]]
+    rows += [(100 + i, x) for i, (x, _) in enumerate(forms)]
+    got = {x["doc_id"]: x["labels"].split(",") for x in license_scan.scan(make(spark, rows)).collect()}
+    for i, (_, _, label) in enumerate(gnu):
+        assert label in got[i] and label.removesuffix("-or-later") not in got[i]
+    text = [re.sub(" +", " ", x).strip() for x, _ in forms]
+    for i, (_, (_, _, _, label, prio)) in enumerate(forms):
+        # the whole form is one match: its label, or that of a rule which matches as much and goes before
+        better = {r[3] for r in license_scan.rules() if r[4] <= prio for w in r[0] if (m := re.search(r[2].replace("@", w), text[i])) and m[0] == text[i]}
+        assert label in got[100 + i] or better & set(got[100 + i]), (text[i], label, got[100 + i])
+        assert not label.endswith("-or-later") or label in got[100 + i], (text[i], label, got[100 + i])
+
+
 def fill(sizes, weights, total, cap=2):
     caps = {k: cap * v for k, v in sizes.items()}
     done, left, out = set(), float(total), {}
