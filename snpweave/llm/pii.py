@@ -39,13 +39,13 @@ FAMILY = ("Abel", "Adler", "Baker", "Bauer", "Castro", "Cole", "Dumas", "Ellis",
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f"}
 _NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][a-zß-ÿ'\-]+)(?: ([A-ZÀ-Þ][a-zß-ÿ'\-]+))?")
 _GATE = "@|[0-9]|" + "|".join(rf"{t}\.? [A-ZÀ-Þ]" for t in TITLES)
-_LEFT, _RIGHT = re.compile(r"[\w.+\-]+$"), re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
+_RIGHT = re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _DIGITS = re.compile(r"\+?\(?\d[\d ().\-]{5,24}\d")
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)")
-_HEX = re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,128})")
+_HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})")
 
 
 def luhn(digits: str) -> bool:
@@ -58,9 +58,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     at = text.find("@")
     while at >= 0:
-        left, right = _LEFT.search(text, max(0, at - 64), at), _RIGHT.match(text, at + 1)
-        if left and right:
-            a, b = left.start(), right.end()
+        a, right = at, _RIGHT.match(text, at + 1)
+        while right and a and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+            a -= 1
+        if a < at:
+            b = right.end()
             out.append((a, b, "email", text[a:b].lower()))
         at = text.find("@", at + 1)
     if any(c in text for c in "0123456789"):

@@ -395,6 +395,19 @@ def test_pii(spark):
     assert m[1] in pii.FEMALE and m[2] == m[3] and m[2] != "Keller"
 
 
+def test_pii_takes_long_entities_whole(spark):
+    r = random.Random(31)
+    jwt = "".join(r.choice("abcdefghijkXYZ0123456789-_.") for _ in range(300))
+    key, local = "".join(r.choice("0123456789abcdef") for _ in range(256)), "".join(r.choice("abcdefgh.") for _ in range(120)) + "z"
+    rows = [(1, f"token={jwt} end"), (2, f"token={jwt[:150]}other{jwt[155:]} end"), (3, f"key {key} end"), (4, f"mail {local}@host.example end")]
+    got = {x["doc_id"]: x for x in pii.pseudonymise(make(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i]["n_entities"] == 1 and len(got[i]["text"]) == len(t)
+    assert jwt[128:160] not in got[1]["text"] and jwt[-20:] not in got[1]["text"] and got[1]["text"][6:134] != got[2]["text"][6:134]
+    assert re.fullmatch("key [0-9a-f]{256} end", got[3]["text"]) and key[:32] not in got[3]["text"] and key[-32:] not in got[3]["text"]
+    assert local[:20] not in got[4]["text"] and got[4]["text"].endswith(".example end")
+
+
 def test_pii_surrogates_are_distinct(spark, monkeypatch):
     rows = [(i, f"Mrs. {''.join(chr(97 + int(c)) for c in str(i)).capitalize()} Stone") for i in range(300)]
     names = [n for _, t in rows for _, _, k, n in pii.find(t) if k == "given-f"]
