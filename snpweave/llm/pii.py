@@ -8,7 +8,8 @@ number in two formats, or a name in two documents, gets one surrogate.
 
 Distinctness is checked over the whole corpus: distinct entities are aggregated (combined on the map side),
 surrogates that two entities share, or that are an entity themselves, are found by an aggregate and a join,
-and all but one of the entities try again until no collision is left.  Entities that needed another
+and all but one of the entities try again until no collision is left; surrogates of e-mail addresses and
+secrets grow by a letter with each try from the second, names by a syllable from the first.  Entities that needed another
 try are few; up to ``FEW`` of them (a counted bound) go to the tasks, more than that are joined by document.
 
 Defined results
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
+@lru_cache(4096)
+def _akin(c: str) -> str:
+    """The letters (or numerals) around ``c`` of its script, category and case; ``c`` itself where it has no kin."""
+    script = lambda x: unicodedata.name(x, "").split(" ")[0]
+    near = (chr(i) for i in range(ord(c) & ~255, (ord(c) & ~255) + 256))
+    kin = [x for x in near if unicodedata.category(x) == unicodedata.category(c) and script(x) == script(c) and (x.lower() == x) == (c.lower() == c) and len(x.upper()) == 1 and unicodedata.normalize("NFKC", x) == x]
+    return "".join(kin) or c
+
+
 class Keyed:
     """Surrogates of normal forms under a key."""
 
@@ -120,23 +132,31 @@ class Keyed:
         for lo, hi in (("a", "z"), ("A", "Z"), ("à", "ö"), ("α", "ω"), ("а", "я"), ("А", "Я")):
             if lo <= c <= hi:
                 return chr(ord(lo) + b % (ord(hi) - ord(lo) + 1))
+        if c.isalnum():
+            kin = _akin(c)
+            return kin[b % len(kin)]
         return c
 
+    def _more(self, text: str, n: int, s) -> str:
+        """``n`` letters like the last letter of ``text`` that has kin."""
+        like = next((c for c in reversed(text) if c.isalpha() and (c.isascii() or len(_akin(c)) > 1)), "a")
+        return "".join(self._like(like, next(s)) for _ in range(n))
+
     def surrogate(self, kind: str, norm: str, attempt: int = 0) -> str:
         """In the normal form's own shape."""
-        s = self._stream(kind, norm, attempt)
+        s, more = self._stream(kind, norm, attempt), max(0, attempt - 1)
         if kind == "ip":
             return ".".join(str(1 + next(s) % 254) for _ in range(4))
         if kind == "email":
             local, _, host = norm.rpartition("@")
             name, dot, top = host.rpartition(".")
-            return "".join(self._like(c, next(s)) for c in local) + "@" + "".join(self._like(c, next(s)) for c in name) + dot + top
+            return "".join(self._like(c, next(s)) for c in local) + self._more(local, more, s) + "@" + "".join(self._like(c, next(s)) for c in name) + dot + top
         if kind == "secret":
             hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm)
             if hexa:
                 digits = "0123456789ABCDEF" if norm.upper() == norm else "0123456789abcdef"
-                return "".join(digits[next(s) % 16] for _ in norm)
-            return "".join(self._like(c, next(s)) for c in norm)
+                return "".join(digits[next(s) % 16] for _ in range(len(norm) + more))
+            return "".join(self._like(c, next(s)) for c in norm) + self._more(norm, more, s)
         if kind in ("card", "phone", "ssn"):
             keep = 1 if kind != "ssn" else 0
             d = norm[:keep] + "".join(str(next(s) % 10) for _ in norm[keep:])

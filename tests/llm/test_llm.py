@@ -408,6 +408,21 @@ def test_pii_takes_long_entities_whole(spark):
     assert local[:20] not in got[4]["text"] and got[4]["text"].endswith(".example end")
 
 
+def test_pii_surrogates_in_every_script(spark):
+    odd = ["例え@例え.jp", "名前@例え.jp", "かな@かな.jp", "이름@한국.kr", "שם@דואר.il", "اسم@بريد.sa", "_@_.t", "-@_.t", "ø@ł.no", "пётр@почта.рф"]
+    mails = odd + [f"{x}@{y}.t" for x in "abcdefghijklmnopqrstuvwxyz" for y in "abcdefghijklmnopqrstuvwxyz"]
+    assert all(pii.find(m) == [(0, len(m), "email", m)] for m in mails)
+    done = {r["norm"]: r["surrogate"] for r in pii.settle(spark.createDataFrame([("email", m) for m in mails], "kind string, norm string"), b"k").collect()}
+    assert set(done) == set(mails) and len(set(done.values())) == len(mails) and not set(done.values()) & set(mails)
+    assert all(pii.find(m) == [(0, len(m), "email", m)] for m in done.values())
+    import unicodedata
+
+    for m in odd[:6]:
+        assert unicodedata.name(done[m][0]).split()[0] == unicodedata.name(m[0]).split()[0]
+    got = pii.pseudonymise(make(spark, [(i, f"to {m} now") for i, m in enumerate(odd)])).collect()
+    assert len({x["text"] for x in got}) == len(odd) and all(odd[x["doc_id"]] not in x["text"] and x["n_entities"] == 1 for x in got)
+
+
 def test_pii_surrogates_are_distinct(spark, monkeypatch):
     rows = [(i, f"Mrs. {''.join(chr(97 + int(c)) for c in str(i)).capitalize()} Stone") for i in range(300)]
     names = [n for _, t in rows for _, _, k, n in pii.find(t) if k == "given-f"]
