@@ -19,15 +19,16 @@ def _star(e: DataFrame) -> DataFrame:
     return e.join(low, "u")
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for each node of ``edges``: the smallest node reachable.
 
-    Each round writes its edges to the shared folder; the number of edges never grows.  The smallest
-    neighbour comes from a combined aggregate and is joined back, so a hub is no group in one task.
+    Rounds go on until nothing changes.  Each round writes its edges to the shared folder; the number of edges
+    never grows.  The smallest neighbour comes from a combined aggregate and is joined back, so a hub is no group
+    in one task.
     """
     cur = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "star")
     before = _sum(cur)
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large")

@@ -99,24 +99,30 @@ def linkage(g: DataFrame, key: str = "CHROM") -> DataFrame:
     return t.select("MARKERS_A", "MARKERS_B", F.round(F.try_divide(cov.cast("double") * cov, vx.cast("double") * vy), 6).alias("LD")).filter("LD is not null")
 
 
-def closure(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
-    """(node, grp): the smallest node that edges reach, by spreading minima until nothing changes.
+def _star(e: DataFrame) -> DataFrame:
+    """``e`` has rows (u, v): with the smallest of u and its neighbours as m."""
+    low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return e.join(low, "u")
 
-    Each round's result is written to the shared checkpoint folder, which cuts the lineage.
+
+def closure(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, grp): the smallest node that edges reach, by alternating large and small stars until nothing changes.
+
+    Rounds grow with the logarithm of the longest path.  Each round's edges, never more than before, are written
+    to the shared checkpoint folder, which cuts the lineage.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    lab = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("grp")).withColumnRenamed("u", "node")
-    e = checkpointed(e)
-    lab = checkpointed(lab)
-    for _ in range(rounds):
-        got = e.join(lab, e["v"] == lab["node"]).groupBy("u").agg(F.min("grp").alias("low"))
-        new = checkpointed(lab.join(got, lab["node"] == got["u"], "left").select("node", F.least("grp", "low").alias("grp")))
-        moved = new.withColumnRenamed("grp", "now").join(lab, "node").filter("now <> grp").limit(1).count()
-        lab = new
-        if not moved:
-            break
-    return lab
+    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    mark = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    cur = e.filter("u <> v")
+    after, before = mark(cur), None
+    while after != before:
+        large = checkpointed(_star(cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        s = _star(large)
+        small = s.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v")))
+        cur = checkpointed(small.filter("u <> v").distinct())
+        after, before = mark(cur), after
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return nodes.join(cur, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("grp"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -120,6 +120,22 @@ def test_catalog_is_complete():
     assert len(catalog.QUERIES) > 180 and set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
+def test_closure_of_long_chains(spark):
+    import random
+
+    names = [f"n{i:04d}" for i in range(400)]
+    mixed = names[1:]
+    random.Random(5).shuffle(mixed)
+    chain = [*mixed[:200], names[0], *mixed[200:]]
+    e = list(zip(chain, chain[1:])) + [(f"q{i:03d}", f"q{i + 1:03d}") for i in range(60)] + [("z", "z")]
+    got = dict(map(tuple, pairs.closure(spark.createDataFrame(e, "a string, b string"), "a", "b").collect()))
+    assert got == {n: "n0000" for n in names} | {f"q{i:03d}": "q000" for i in range(61)} | {"z": "z"}
+    ld = spark.createDataFrame([(a, b, 0.9) for a, b in e[:399]], "MARKERS_A string, MARKERS_B string, LD double")
+    miss = spark.createDataFrame([(n, 0.1) for n in names], "MARKERS string, MISSING_PROP double")
+    assert [r["MARKERS"] for r in pairs.ld_pruning(ld, miss).filter("KEEP").collect()] == ["n0000"]
+    assert pairs.closure(ld.limit(0), "MARKERS_A", "MARKERS_B").count() == 0
+
+
 def test_pair_blocks(spark, monkeypatch):
     from snpweave import adapter
 
