@@ -23,29 +23,58 @@ def distinct_counts(g: DataFrame) -> DataFrame:
 def estimate_m(g: DataFrame, reps: int = 200, start: float = 0.1, a0: float = 0.5, a1: float = 0.5, step: float = 0.05, seed: int = 1) -> DataFrame:
     """A chain for the rate m at which heterozygotes are called homozygous: (ITERATION, M).
 
-    The likelihood depends on the distinct triples of counts alone; at most ``MAX_COUNTS`` of them are sampled over.
+    The likelihood depends on the distinct triples of counts alone.  Up to ``MAX_COUNTS`` of them make one block, held
+    by the driver; more are dealt into blocks of about that size, whose frequencies stay with Spark: each iteration
+    sends their share of the likelihood ratio and writes their state to the checkpoint folder.
     """
-    c = distinct_counts(g).orderBy("N0", "N1", "N2").limit(MAX_COUNTS + 1).toPandas()
-    if len(c) > MAX_COUNTS:
-        raise ValueError("too many distinct genotype counts for one chain")
-    n, w = c[["N0", "N1", "N2"]].to_numpy(float), c["MARKERS"].to_numpy(float)
-    rng = np.random.default_rng(seed)
-    m, p = start, (2 * n[:, 0] + n[:, 1] + a0) / (2 * n.sum(axis=1) + a0 + a1)
-
-    def loglik(m, p):
+    triples = pairs.checkpointed(distinct_counts(g))
+    blocks = -(-triples.count() // MAX_COUNTS)
+    prior = lambda x: (a0 - 1) * np.log(x) + (a1 - 1) * np.log(1 - x)
+
+    def loglik(n, m, p):
         h = 2 * p * (1 - p)
         f = np.stack([p * p + h * m / 2, h * (1 - m), (1 - p) ** 2 + h * m / 2], axis=1)
         return (n * np.log(np.maximum(f, 1e-300))).sum(axis=1)
 
-    out = []
-    for i in range(reps):
+    def first(n):
+        return (2 * n[:, 0] + n[:, 1] + a0) / (2 * n.sum(axis=1) + a0 + a1)
+
+    def move(rng, n, m, p):
         new = np.clip(p + rng.normal(0, step, len(p)), 1e-4, 1 - 1e-4)
-        prior = lambda x: (a0 - 1) * np.log(x) + (a1 - 1) * np.log(1 - x)
-        take = np.log(rng.random(len(p))) < loglik(m, new) + prior(new) - loglik(m, p) - prior(p)
-        p = np.where(take, new, p)
+        take = np.log(rng.random(len(p))) < loglik(n, m, new) + prior(new) - loglik(n, m, p) - prior(p)
+        return np.where(take, new, p)
+
+    def ratio(n, w, m, t, p):
+        return float((w * (loglik(n, t, p) - loglik(n, m, p))).sum())
+
+    rng, m, out = np.random.default_rng(seed), start, []
+    if blocks <= 1:
+        c = triples.orderBy("N0", "N1", "N2").toPandas()
+        n, w = c[["N0", "N1", "N2"]].to_numpy(float), c["MARKERS"].to_numpy(float)
+        p = first(n)
+    else:
+        fields = "N0 long, N1 long, N2 long, MARKERS long, b int, p double, d double"
+        state = triples.withColumn("b", F.pmod(F.xxhash64("N0", "N1", "N2"), F.lit(blocks)).cast("int")).withColumn("p", F.lit(None).cast("double")).withColumn("d", F.lit(0.0))
+
+    def turn(i, m, t):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["N0", "N1", "N2"])
+            n, w = pdf[["N0", "N1", "N2"]].to_numpy(float), pdf["MARKERS"].to_numpy(float)
+            p = move(np.random.default_rng([seed, i, int(pdf["b"].iloc[0])]), n, m, first(n) if i == 0 else pdf["p"].to_numpy(float))
+            return pdf.assign(p=p, d=w * (loglik(n, t, p) - loglik(n, m, p)))
+
+        return run
+
+    for i in range(reps):
+        if blocks <= 1:
+            p = move(rng, n, m, p)
         t = abs(m + rng.normal(0, step))
-        if t < 1 and np.log(rng.random()) < (w * (loglik(t, p) - loglik(m, p))).sum():
-            m = t
+        if blocks > 1:
+            state = pairs.checkpointed(state.groupBy("b").applyInPandas(turn(i, m, t if t < 1 else m), fields))
+        if t < 1:
+            d = ratio(n, w, m, t, p) if blocks <= 1 else state.agg(F.sum("d")).first()[0]
+            if np.log(rng.random()) < d:
+                m = t
         out.append((i + 1, float(m)))
     return g.sparkSession.createDataFrame(out, "ITERATION int, M double")
 
@@ -75,13 +104,25 @@ def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 100) ->
     return float(b[0]), float(b[1])
 
 
-def quantile_residuals(s: DataFrame, x: str, y: str, tau: float = 0.3, sample: int = 50_000) -> DataFrame:
-    """``s`` with QR_RESIDUALS of y on x; the line is fitted on at most ``sample`` rows (smallest hashes), applied to all."""
-    fit = s.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(*s.columns)).limit(sample).select(x, y).toPandas()
-    if len(fit) < 2:
+def quantile_residuals(s: DataFrame, x: str, y: str, tau: float = 0.3, rounds: int = 100) -> DataFrame:
+    """``s`` with QR_RESIDUALS of y on x; the line is fitted on all rows by ``quantile_fit``'s rounds, five sums each."""
+    own = pairs.checkpointed(s.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    n, mean = own.agg(F.count(F.lit(1)), F.avg("x")).first()
+    if n < 2:
         return s.withColumn("QR_RESIDUALS", F.lit(None).cast("double"))
-    a, b = quantile_fit(fit[x].to_numpy(float), fit[y].to_numpy(float), tau)
-    return s.withColumn("QR_RESIDUALS", F.col(y) - F.lit(a) - F.lit(b) * F.col(x))
+    z, a, b = F.col("x") - F.lit(mean), 0.0, 0.0
+    for k in range(rounds + 1):
+        # the step from the line so far, which keeps the sums small
+        r = F.col("y") - F.lit(a) - F.lit(b) * z
+        w = F.when(r >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(1e-6)) if k else F.lit(1.0)
+        sw, sz, sr, szz, szr = own.select(w.alias("w"), z.alias("z"), r.alias("r")).agg(F.sum("w"), F.sum(F.expr("w * z")), F.sum(F.expr("w * r")), F.sum(F.expr("w * z * z")), F.sum(F.expr("w * z * r"))).first()
+        spread = szz - sz * sz / sw
+        up = (szr - sz * sr / sw) / spread if spread > 1e-12 * szz else 0.0
+        right = (sr - up * sz) / sw
+        if k and max(abs(right), abs(up), abs(right - up * mean)) < 1e-10:
+            break
+        a, b = a + right, b + up
+    return s.withColumn("QR_RESIDUALS", F.col(y) - F.lit(a - b * mean) - F.lit(b) * F.col(x))
 
 
 def local_pca(g: DataFrame, size: int = 100, k: int = 2, clusters: int = 3) -> DataFrame:

@@ -161,6 +161,27 @@ def test_models(spark):
     assert len(w) == 10 and all(r["N_SNP"] == 20 and 0 <= r["EXPLAINED"] <= 1 for r in w)
 
 
+def test_models_use_all_rows(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from snpweave import adapter
+    from snpweave.operators import models
+
+    # 60,000 rows: the line must be that of all of them
+    s = spark.range(60_000).select((F.col("id") % 97 / 10.0).alias("x"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 38) + F.col("id") % 97 / 30.0).alias("y"))
+    got = models.quantile_residuals(s, "x", "y").toPandas()
+    a, b = models.quantile_fit(got["x"].to_numpy(), got["y"].to_numpy(), 0.3)
+    off = np.abs(got["QR_RESIDUALS"] - (got["y"] - a - b * got["x"])).max()
+    assert off < 5e-4, off  # the rounds end a little before the last digits settle
+    g = adapter.tidy(spark, SF)
+    whole = models.estimate_m(g, reps=6).collect()
+    monkeypatch.setattr(models, "MAX_COUNTS", 20)
+    assert models.distinct_counts(g).count() > 20
+    one, two = (models.estimate_m(g, reps=6).collect() for _ in range(2))
+    assert one == two and len(one) == len(whole) == 6 and all(0 <= r["M"] <= 1 for r in one) and len({r["M"] for r in one}) > 1
+
+
 def test_run_control(tmp_path):
     from snpweave.plans import run
 
