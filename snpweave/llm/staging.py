@@ -11,28 +11,41 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="snpweave-")
     return _own[app]
 
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a lost executor costs no recomputation."""
+    """Write ``df`` once to the shared folder and read it back: a lost executor costs no recomputation.
+
+    The table goes when ``drop_stage`` removes it, and at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/snpweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Remove a staged table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stage(*tables: DataFrame) -> None:
+    """Remove staged tables that no later plan reads."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            p, fs = _path(df.sparkSession, f)
+            fs.delete(p.getParent(), True)
