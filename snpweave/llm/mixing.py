@@ -7,14 +7,18 @@ A source also has a weight schedule over training time, piecewise linear.  Its i
 target, is the source's cumulative demand; inverting it gives the training position at which a
 document's words are due, and documents are range-sorted by position.
 
-Cumulative sizes come in two levels: totals of (source, first three digits of the md5) are added up over
-the digits, then rows within one such cell.  A source with a third of all rows is thus 4096 cells, and no
-task ever holds a source.
+Cumulative sizes come in two levels: totals of (source, first digits of the md5) are added up over the
+digits, then rows within one such cell.  The number of digits follows the number of rows (``CELL_ROWS`` a cell
+and source if ids differ), so a source with a third of all rows is thousands of cells and no task ever holds a
+source.  Rows that share an id and a size are one row with a count until their places are known: ids that a
+third of all rows repeat, or lack, take as many rows as they have sizes.
 
 Defined results
 * null text: size 0.  Null source: a source of its own, last in order.
 * null ``doc_id``: a document like others (its key is the empty text).
 * repeated rows are separate documents; empty tables give empty results; further columns are ignored.
+* a document that the mix takes more than once has a position for each time (``curriculum``); ``mix`` gives the
+  first two, null where it is not taken so often.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
+CELL_ROWS, LOT = 2000, 50_000
 #: weight schedules by a source's place, repeating: (time, weight) knots from time 0 to 1
 FADE, STEADY, RISE = ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))
 
@@ -78,30 +83,64 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
     return s.select("key", "source", "place", "weight", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), schedules=(FADE, STEADY, RISE), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position) of each row, sorted by position.
+def _by_place(expr, schedules) -> Column:
+    out = expr(schedules[-1])
+    for k, s in enumerate(schedules[:-1]):
+        out = F.when(F.pmod("place", F.lit(len(schedules))) == k, expr(s)).otherwise(out)
+    return out
 
-    ``taken`` counts words, repeats too; ``position`` (0 to 1) is when the document's first words are due,
-    null if none are taken.
-    """
+
+def _placed(docs: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """(doc_id, size, place, source_size, target, start) of each row: ``start`` counts the words of its source that go before."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("key", key)
-    base = stage(base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("h", 1, 3)), "sizes")
-    cells = base.groupBy("key", "cell").agg(F.first("source").alias("source"), F.sum("size").alias("cell_size"))
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    base = stage(base.withColumn("h", h).groupBy("key", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "sizes")
+    digits = 1
+    rows = base.count()
+    while 16**digits * CELL_ROWS < rows and digits < 12:
+        digits += 1
+    base = base.withColumn("cell", F.substring("h", 1, digits))
+    cells = base.groupBy("key", "cell").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("cell_size"))
     sizes = cells.groupBy("key").agg(F.first("source").alias("source"), F.sum("cell_size").alias("source_size"))
     goal = targets(sizes, weights, share, cap).select("key", "place", "source_size", "target")
-    before = F.sum("cell_size").over(Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.withColumn("cell_before", F.coalesce(before, F.lit(0))).select("key", "cell", "cell_before").join(goal, "key")
-    rows = base.join(cells, ["key", "cell"])
-    inside = F.sum("size").over(Window.partitionBy("key", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("start", F.col("cell_before") + F.coalesce(inside, F.lit(0)))
-    want = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), want - F.col("start") - F.col("source_size") * k)) for k in range(1, cap)), F.greatest(F.lit(0), F.least(F.col("size"), want - F.col("start"))))
-    rows = rows.withColumn("taken", taken.cast("long"))
-    due = F.col("start").cast("double") / F.col("target")
-    pos = position(due, schedules[-1])
-    for k, s in enumerate(schedules[:-1]):
-        pos = F.when(F.pmod("place", F.lit(len(schedules))) == k, position(due, s)).otherwise(pos)
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(pos, 9)))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    # cells are summed in two levels as well: by their first digits, then within these
+    cells = cells.withColumn("top", F.substring("cell", 1, (digits + 1) // 2))
+    tops = cells.groupBy("key", "top").agg(F.sum("cell_size").alias("top_size"))
+    upto = F.sum("top_size").over(Window.partitionBy("key").orderBy("top").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.withColumn("top_before", F.coalesce(upto, F.lit(0))).select("key", "top", "top_before")
+    before = F.sum("cell_size").over(Window.partitionBy("key", "top").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(tops, ["key", "top"]).select("key", "cell", (F.col("before") + F.col("top_before")).alias("cell_before")).join(goal, "key")
+    rows = base.drop("source").join(cells, ["key", "cell"])
+    inside = F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("key", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("first", F.col("cell_before") + F.coalesce(inside, F.lit(0)))
+    # in two steps, so that no array follows the number of equal rows
+    rows = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT).cast("long"))))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("n"), (F.col("lot") + 1) * LOT) - 1)))
+    return rows.select("doc_id", "size", "place", "source_size", "target", (F.col("first") + F.col("i") * F.col("size")).alias("start"))
+
+
+def _turn(k: int) -> tuple[Column, Column]:
+    """Words that the mix takes of a document the ``k``-th time (from 0), and the share of the demand that goes before."""
+    at = F.col("start") + F.col("source_size") * k
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - at)).cast("long"), F.try_divide(at.cast("double"), "target")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), schedules=(FADE, STEADY, RISE), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position, repeat_position) of each row, sorted by position.
+
+    ``taken`` counts words, repeats too; ``position`` (0 to 1) is when the document's first words are due, ``repeat_position``
+    when they are due again; null if none are taken.
+    """
+    rows = _placed(docs, weights, share, cap).withColumn("taken", sum((_turn(k)[0] for k in range(1, cap)), _turn(0)[0]))
+    when = lambda k: F.when(_turn(k)[0] > 0, F.round(_by_place(lambda s: position(_turn(k)[1], s), schedules), 9)) if k < cap else F.lit(None).cast("double")
+    rows = rows.withColumn("position", when(0)).withColumn("repeat_position", when(1))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position").orderBy("position", "doc_id")
+
+
+def curriculum(docs: DataFrame, weights=(5, 2, 1), schedules=(FADE, STEADY, RISE), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(position, doc_id, turn, words): a row for each time the mix takes a document, range-sorted by training position."""
+    rows = _placed(docs, weights, share, cap)
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), _turn(k)[0].alias("words"), _by_place(lambda s, k=k: position(_turn(k)[1], s), schedules).alias("position")) for k in range(cap)])
+    return rows.select("doc_id", F.explode(turns).alias("x")).filter("x.words > 0").select(F.round("x.position", 9).alias("position"), "doc_id", "x.turn", "x.words").orderBy("position", "doc_id", "turn")

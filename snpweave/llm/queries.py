@@ -60,7 +60,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
 
 
-def _position_sql(knots) -> str:
+def _position_sql(knots, due: str) -> str:
     area = mx.integral(knots)
     out = "1.0"
     for k in range(len(knots) - 2, -1, -1):
@@ -69,12 +69,12 @@ def _position_sql(knots) -> str:
         rest = f"(y - {area[k]!r})"
         t = f"{rest} / {w0!r}" if slope == 0 else f"(sqrt(greatest({w0 * w0!r} + {2 * slope!r} * {rest}, 0.0)) - {w0!r}) / {slope!r}"
         out = f"CASE WHEN y < {area[k + 1]!r} THEN {t0!r} + {t} ELSE {out} END"
-    return f"(SELECT {out} FROM (SELECT (due * {area[-1]!r})::DOUBLE AS y))"
+    return f"(SELECT {out} FROM (SELECT ({due} * {area[-1]!r})::DOUBLE AS y))"
 
 
 def mixing_sql(table: str = "documents") -> str:
     """DuckDB SQL of ``op7_source_mixing`` over a table."""
-    pos = " ".join(f"WHEN place % 3 = {k} THEN {_position_sql(s)}" for k, s in enumerate((mx.FADE, mx.STEADY, mx.RISE)))
+    pos, again = (" ".join(f"WHEN place % 3 = {k} THEN {_position_sql(s, due)}" for k, s in enumerate((mx.FADE, mx.STEADY, mx.RISE))) for due in ("due", "due_again"))
     return f"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {table}
@@ -96,10 +96,10 @@ WITH base AS (
     coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h, b.doc_id, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM base b JOIN goal g ON b.source IS NOT DISTINCT FROM g.source
 ), cut AS (
-  SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
-    start::DOUBLE / nullif(target, 0) AS due FROM laid
+  SELECT *, greatest(0, least(size, floor(target)::BIGINT - start))::BIGINT AS once, greatest(0, least(size, floor(target)::BIGINT - start - source_size))::BIGINT AS again,
+    start::DOUBLE / nullif(target, 0) AS due, (start + source_size)::DOUBLE / nullif(target, 0) AS due_again FROM laid
 )
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE {pos} END, 9) END AS position FROM cut
+SELECT doc_id, size, source_size, target, once + again AS taken, CASE WHEN once > 0 THEN round(CASE {pos} END, 9) END AS position, CASE WHEN again > 0 THEN round(CASE {again} END, 9) END AS repeat_position FROM cut
 """
 
 
