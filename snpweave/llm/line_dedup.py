@@ -1,12 +1,18 @@
 """Line deduplication over whole corpora, by range-partitioned line hashes.
 
-Every line's normalised key is hashed on the executors; only (hash, document, position) rows are
-shuffled, never text.  They are range-partitioned by (hash, document) and sorted by hash, document
+Every line's normalised key is hashed on the executors; to find the lines that go, only (hash, document,
+position) rows are shuffled, never text.  They are range-partitioned by (hash, document) and sorted by hash, document
 (largest first) and position, so that a stream over a partition meets the document that keeps a key
 first and can decide all later ones with constant memory.  The range includes the document: a line
 that a third of all documents share spreads over several partitions.  Only the first and the last
 key of a partition can continue in another one; their counts (two rows a partition) are added up
-and sent back.  The result is a compressed keep bitmap for each document.
+and sent back.  The result is a compressed keep bitmap for each document (``keep_bitmaps``).
+
+Where kept text is wanted (``line_digest``, ``line_dedup``) the bitmaps meet their documents again by a join on
+(doc_id, hash of the text), which shuffles each text once: the bitmaps of a corpus have no size that could be broadcast.
+
+Texts are read in pieces of whole lines of about ``2 * BLOCK`` bytes, and a longer line is hashed piece by piece, so
+memory does not follow the length of a text or a line.
 
 Defined results
 * null or empty text: one empty line, kept.
@@ -27,56 +33,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .staging import stage
+from .staging import drop_stage, stage
 
 _SUB2 = tk.mix(np.arange(1001, 1257, dtype=np.uint64))[tk.LOWER]
 _POW2 = 0xD1342543DE82EF95
 
 
+def _pieces(data: np.ndarray, off: np.ndarray):
+    """(first row, byte offsets of its rows, number of the first row's lines before): rows of about 2 * BLOCK bytes together, a longer one in pieces of whole lines."""
+    n, lo, most = len(off) - 1, 0, 2 * tk.BLOCK
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+        if off[hi] - off[lo] <= most:
+            yield lo, off[lo : hi + 1], 0
+        else:
+            a, b, before = int(off[lo]), int(off[hi]), 0
+            while True:
+                cut = b if b - a <= most else _line_end(data, a, a + most, b)
+                yield lo, np.array([a, cut]), before
+                if cut == b:
+                    break
+                before += int(np.count_nonzero(data[a:cut] == 10)) + 1
+                a = cut + 1
+        lo = hi
+
+
+def _line_end(data: np.ndarray, a: int, want: int, b: int) -> int:
+    """The last newline of ``data[a:want]``, else the first from there to ``b``, else ``b``."""
+    if len(found := np.flatnonzero(data[a:want] == 10)):
+        return a + int(found[-1])
+    while want < b:
+        if len(found := np.flatnonzero(data[want : min(b, want + tk.BLOCK)] == 10)):
+            return want + int(found[0])
+        want += tk.BLOCK
+    return b
+
+
+def _long_line(d: np.ndarray, min_chars: int):
+    """Hashes of the key of one long line (two arrays of one), or none; piece by piece."""
+    step, lo, hi = tk.BLOCK, 0, len(d)
+    while lo < hi and not len(f := np.flatnonzero(tk.NON_WHITE[d[lo : lo + step]])):
+        lo += step
+    if lo >= hi:
+        return None
+    lo += int(f[0])
+    while not len(f := np.flatnonzero(tk.NON_WHITE[d[max(lo, hi - step) : hi]])):
+        hi -= step
+    hi = max(lo, hi - step) + int(f[-1]) + 1
+    if sum(int(np.count_nonzero((d[i : min(hi, i + step)] & 0xC0) != 0x80)) for i in range(lo, hi, step)) < min_chars:
+        return None
+    return tuple(tk.long_hash(d[lo:hi], sub) for sub in (tk.SUB_LOWER, _SUB2))
+
+
 def _line_rows(min_chars: int):
     def run(batches):
-        white_free = tk.NON_WHITE
         for rb in batches:
             data, off = tk.text_buffers(rb.column(1))
             ids, rid = rb.column(0), rb.column(2).to_numpy(zero_copy_only=False)
             known = ~np.asarray(ids.is_null())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            n, lo = len(off) - 1, 0
-            while lo < n:
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + 2 * tk.BLOCK, "right")) - 1)
-                a, b = int(off[lo]), int(off[hi])
-                d = data[a:b]
-                rows_at = off[lo : hi + 1] - a
-                nl = np.flatnonzero(d == 10)
-                starts = np.sort(np.concatenate([rows_at[:-1], nl + 1]), kind="stable")
-                # a row's newline that ends its last byte starts an empty line at the next row's offset
-                row = np.concatenate([np.arange(lo, hi), lo + np.searchsorted(rows_at, nl, "right") - 1])
-                at = np.concatenate([rows_at[:-1], nl + 1])
-                order = np.lexsort((at, row))
-                starts, row = at[order], row[order]
-                last = np.ones(len(row), bool)
-                last[:-1] = row[1:] != row[:-1]
-                ends = np.empty(len(row), np.int64)
-                ends[:-1] = starts[1:] - 1
-                ends[last] = rows_at[row[last] - lo + 1]
-                first_of = np.searchsorted(row, np.arange(lo, hi))
-                pos = np.arange(len(row)) - first_of[row - lo]
-                nz = np.flatnonzero(white_free[d])
-                i, j = np.searchsorted(nz, starts), np.searchsorted(nz, ends) - 1
-                full = (j >= i) & known[row]
-                i, j, row, pos = i[full], j[full], row[full], pos[full]
-                s, e = nz[i], nz[j] + 1
-                cp = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
-                long = cp[e] - cp[s] >= min_chars
-                s, e, row, pos = s[long], e[long], row[long], pos[long]
-                if len(s):
-                    h1, h2 = tk.range_hash(d, s, e, tk.SUB_LOWER), tk.range_hash(d, s, e, _SUB2)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row]), pa.array(rid[row]), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "rid", "pos"])
-                lo = hi
+            for first, offsets, before in _pieces(data, off):
+                got = _keys(data, offsets, known[first : first + len(offsets) - 1], min_chars)
+                if got is not None:
+                    h1, h2, row, pos = got
+                    row += first
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row]), pa.array(rid[row]), pa.array((pos + before).astype(np.int32))], ["h1", "h2", "doc_id", "rid", "pos"])
 
     return run
 
 
+def _keys(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, min_chars: int):
+    """(h1, h2, row, position) of the lines of the rows that ``offsets`` part, whose keys are long enough."""
+    a, b = int(offsets[0]), int(offsets[-1])
+    d = data[a:b]
+    if len(d) > 2 * tk.BLOCK:  # one long row; if no line ends in it, one long line
+        if not known[0]:
+            return None
+        if not (d == 10).any():
+            h = _long_line(d, min_chars)
+            return None if h is None else (*h, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    rows_at = offsets - a
+    n = len(rows_at) - 1
+    nl = np.flatnonzero(d == 10)
+    # a row's newline that ends its last byte starts an empty line at the next row's offset
+    row = np.concatenate([np.arange(n), np.searchsorted(rows_at, nl, "right") - 1])
+    at = np.concatenate([rows_at[:-1], nl + 1])
+    order = np.lexsort((at, row))
+    starts, row = at[order], row[order]
+    last = np.ones(len(row), bool)
+    last[:-1] = row[1:] != row[:-1]
+    ends = np.empty(len(row), np.int64)
+    ends[:-1] = starts[1:] - 1
+    ends[last] = rows_at[row[last] + 1]
+    pos = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+    nz = np.flatnonzero(tk.NON_WHITE[d])
+    i, j = np.searchsorted(nz, starts), np.searchsorted(nz, ends) - 1
+    full = (j >= i) & known[row]
+    i, j, row, pos = i[full], j[full], row[full], pos[full]
+    s, e = nz[i], nz[j] + 1
+    cp = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
+    long = cp[e] - cp[s] >= min_chars
+    s, e, row, pos = s[long], e[long], row[long], pos[long]
+    if not len(s):
+        return None
+    return tk.range_hash(d, s, e, tk.SUB_LOWER), tk.range_hash(d, s, e, _SUB2), row, pos
+
+
 _OUT = "kind int, h1 long, h2 long, doc_id long, rid long, pos int, n_docs long"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
@@ -178,6 +240,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     # at most two summary rows a partition: small enough to send to every task
     totals = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("all_docs"), F.max("doc_id").alias("top"))
     late = found.filter("kind = 1").join(F.broadcast(totals), ["h1", "h2"]).filter((F.col("all_docs") >= min_docs) & (F.col("doc_id") < F.col("top")))
+    drop_stage(rows)
     cols = ["doc_id", "rid", "pos"]
     return found.filter("kind = 0").select(*cols).unionByName(late.select(*cols))
 

@@ -184,3 +184,13 @@ def range_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, sub: np.ndarray)
     h = v[e - 1]
     h[s > 0] -= v[s[s > 0] - 1]
     return mix(h * down[s] + (e - s).astype(U64))
+
+
+def long_hash(data: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """``range_hash`` of the whole of ``data``, in pieces of ``BLOCK`` bytes."""
+    up, _ = _tables(BLOCK * 2)
+    total = 0
+    for i in range(0, len(data), BLOCK):
+        part = data[i : i + BLOCK]
+        total = (total + int((sub[part] * up[: len(part)]).sum(dtype=U64)) * pow(_BASE, i, 1 << 64)) & _MASK
+    return mix(np.array([(total + len(data)) & _MASK], U64))
