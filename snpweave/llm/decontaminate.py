@@ -1,20 +1,26 @@
 """Benchmark decontamination by spaced seeds with substitution-tolerant verification.
 
-Words are runs of letters and digits; capitals of ASCII and Latin-1 count as small letters.  A seed is the hash of the words at the marked
-positions of a fixed mask; the other positions are ignored, so a passage with replaced words still
-shares seeds.  The seeds of the benchmark are a stated query set: it is dealt in blocks of at most
-``BLOCK_WORDS`` words, each block is broadcast (that bound is its proven size) and all documents are
-streamed past it; nothing of a document is shuffled.  Around each hit the item is laid along the
-document on the hit's diagonal; matching words count for, others against, and the best stretch decides.
+Words are runs of letters and digits; capitals of ASCII and Latin-1 count as small letters.  A seed is the hash of
+the words at the marked positions of a fixed mask; the other positions are ignored, so a passage with replaced words
+still shares seeds.  One plan serves every size of benchmark:
+
+1. The benchmark's seeds are a table (seed, item, position).  A bit table of them, of at most ``MOST_BITS`` bits, goes
+   to all tasks; documents are read once, and a document in which no seed's bit is set goes no further.
+2. The others are kept as hashes of their words, and their seeds are joined with the benchmark's by a shuffle on the
+   seed.  A seed that many items or many documents hold is split over ``SALTS`` tasks on the document's side.
+3. A hit names an item and a diagonal.  Distinct ones (combined before their shuffle) meet the items' words and the
+   documents' words again; the item is laid along the document on the diagonal, matching words count for, others
+   against, and the best stretch decides.
 
 A document leaks an item when the best stretch holds at least ``share`` of the item's words, or
 ``long`` words, and at least ``min_words``.  Items of fewer than ``min_words`` words count only where all
 their words stand in a row.
 
 Defined results
-* null or empty texts and items without words match nothing; null ids take no part.
+* null or empty texts and items without words match nothing; null item ids take no part.
+* ``leaks``: null doc_ids take no part; ``drop_leaks`` judges rows without an id by their text.
 * items with the same words are one, named by the smallest item_id.
-* rows that repeat a ``doc_id`` give one row for each text that leaks.
+* one row for each distinct (doc_id, text) that leaks, whatever the benchmark's size; rows that repeat both are one.
 * an empty benchmark or table gives an empty result; further columns are ignored.
 """
 
@@ -26,10 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .staging import drop_stage, stage
 
 U64 = np.uint64
 MASKS = ("111011", "1101011", "110010011", "10110101")
-BLOCK_WORDS = 1_000_000
+#: bits for a seed, and at most: 32 MB
+BITS_PER_SEED, MOST_BITS = 32, 1 << 28
+SALTS, HOT = 16, 4096
+#: documents whose ids are sent to all tasks: at most 16 bytes each
+FEW = 1_000_000
 _COEF = tk.mix(np.arange(201, 233, dtype=U64)) | U64(1)
 
 
@@ -52,28 +63,97 @@ def _items(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.binary())], ["item_id", "words"])
 
 
-class Queries:
-    """The seeds of one block of benchmark items."""
-
-    def __init__(self, ids: list[int], words: list[np.ndarray], min_words: int):
-        self.ids, self.words = ids, words
-        self.short = sorted({len(w) for w in words if len(w) < max(min_words, max(map(len, MASKS)))})
-        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, w in enumerate(words):
-            kinds = ["1" * len(w)] if len(w) in self.short else list(MASKS)
-            if len(w) in self.short and len(w) >= min_words:
-                kinds += [m for m in MASKS if len(m) <= len(w)]
-            for m in kinds:
-                s = _seeds(w, m)
-                rows.append((s, np.full(len(s), i), np.arange(len(s))))
-        self.seed = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, U64)
-        item = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-        at = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.at = self.seed[order], item[order], at[order]
-        self.table = np.zeros(1 << 22, bool)
-        self.table[(self.seed & U64((1 << 22) - 1)).astype(np.int64)] = True
-        self.masks = [*MASKS, *("1" * n for n in self.short)]
+def _masks(n: int, min_words: int) -> list[str]:
+    """The masks of an item of ``n`` words: a short item is sought whole, and by masks where it need not be."""
+    if n < max(min_words, max(map(len, MASKS))):
+        return ["1" * n] + [m for m in MASKS if n >= min_words and len(m) <= n]
+    return list(MASKS)
+
+
+def _item_seeds(min_words: int):
+    def run(batches):
+        for rb in batches:
+            seed, item, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, raw in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                w = np.frombuffer(raw, U64)
+                for m in _masks(len(w), min_words):
+                    s = _seeds(w, m)
+                    seed.append(s)
+                    item.append(np.full(len(s), i))
+                    at.append(np.arange(len(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seed).view(np.int64)), pa.array(np.concatenate(item)), pa.array(np.concatenate(at).astype(np.int32))], ["seed", "item_id", "at"])
+
+    return run
+
+
+def _bits(bits: int):
+    """Set bits of a task's seeds, in pieces of 4096 bytes."""
+
+    def run(batches):
+        some: dict[int, np.ndarray] = {}
+        for rb in batches:
+            h = rb.column(0).to_numpy().view(U64) & U64(bits - 1)
+            for p in np.unique(h >> U64(15)):
+                own = (h[h >> U64(15) == p] & U64(32767)).astype(np.int64)
+                some.setdefault(int(p), np.zeros(32768, bool))[own] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in some.values()], pa.binary())], ["piece", "set"])
+
+    return run
+
+
+def _either(batches):
+    some: dict[int, np.ndarray] = {}
+    for rb in batches:
+        for p, x in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            some[p] = some[p] | np.frombuffer(x, np.uint8) if p in some else np.frombuffer(x, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([x.tobytes() for x in some.values()], pa.binary())], ["piece", "set"])
+
+
+def _bit_table(seeds: DataFrame, n: int) -> np.ndarray:
+    bits = 1 << 15
+    while bits < min(n * BITS_PER_SEED, MOST_BITS):
+        bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    schema = "piece long, set binary"
+    for r in seeds.select("seed").mapInArrow(_bits(bits), schema).repartition("piece").mapInArrow(_either, schema).toLocalIterator():
+        out[r[0] * 4096 : (r[0] + 1) * 4096] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def _hits(table, short: list[int]):
+    """Of each document that shows a set bit: its words' hashes, and the seeds with their positions."""
+    masks = [*MASKS, *("1" * n for n in short)]
+
+    def run(batches):
+        bits = table.value
+        low = U64(len(bits) * 8 - 1)
+        for rb in batches:
+            out = []
+            for b in tk.blocks(rb.column(2), tk.ALNUM, fold=True):
+                row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
+                found = []
+                for m in masks:
+                    h = _seeds(b.hashes, m)
+                    if not len(h):
+                        continue
+                    k = (h & low).astype(np.int64)
+                    p = np.flatnonzero((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
+                    p = p[row[p] == row[p + len(m) - 1]]
+                    found.append((p, h[p]))
+                if not any(len(p) for p, _ in found):
+                    continue
+                at, h = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                order = np.argsort(at, kind="stable")
+                at, h = at[order], h[order]
+                cut = np.searchsorted(at, b.ptr)
+                for r in np.unique(row[at]):
+                    own = slice(cut[r], cut[r + 1])
+                    words = b.hashes[b.ptr[r] : b.ptr[r + 1]]
+                    out.append((rb.column(0)[b.lo + r].as_py(), rb.column(1)[b.lo + r].as_py(), words.tobytes(), h[own].view(np.int64), (at[own] - b.ptr[r]).astype(np.int32)))
+            c = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int32()))], ["doc_id", "rid", "words", "seeds", "ats"])
+
+    return run
 
 
 def best_stretch(same: np.ndarray) -> int:
@@ -86,85 +166,77 @@ def best_stretch(same: np.ndarray) -> int:
     return int(same[start:end].sum())
 
 
-def _scan(queries, min_words: int, share: float, long: int):
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int, share: float, long: int) -> float:
+    """The share of the item's words that the best stretch on a diagonal holds, or 0 where that is no leak."""
+    n = len(item)
+    s, e = max(diagonal, 0), min(diagonal + n, len(doc))
+    same = doc[s:e] == item[s - diagonal : e - diagonal]
+    if not len(same):
+        return 0.0
+    got = best_stretch(same)
+    whole = n < min_words and len(same) == n and bool(same.all())
+    return got / n if whole or (n >= min_words and got >= min_words and (got >= share * n or got >= long)) else 0.0
+
+
+def _verify(min_words: int, share: float, long: int):
     def run(batches):
-        q: Queries = queries.value
         for rb in batches:
-            found: dict[tuple[int, int], float] = {}
-            for b in tk.blocks(rb.column(1), tk.ALNUM, fold=True):
-                row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
-                tried = set()
-                for m in q.masks:
-                    h = _seeds(b.hashes, m)
-                    if not len(h):
-                        continue
-                    p = np.flatnonzero(q.table[(h & U64((1 << 22) - 1)).astype(np.int64)])
-                    p = p[row[p] == row[p + len(m) - 1]]
-                    lo, hi = np.searchsorted(q.seed, h[p], "left"), np.searchsorted(q.seed, h[p], "right")
-                    for x, a, z in zip(p[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                        for k in range(a, z):
-                            i = int(q.item[k])
-                            key = (i, x - int(q.at[k]))
-                            if key in tried:
-                                continue
-                            tried.add(key)
-                            words, r = q.words[i], int(row[x])
-                            s, e = max(key[1], int(b.ptr[r])), min(key[1] + len(words), int(b.ptr[r + 1]))
-                            same = b.hashes[s:e] == words[s - key[1] : e - key[1]]
-                            n = len(words)
-                            got = best_stretch(same)
-                            if (n < min_words and same.all() and len(same) == n) or (n >= min_words and got >= min_words and (got >= share * n or got >= long)):
-                                pair = (b.lo + r, i)
-                                found[pair] = max(found.get(pair, 0.0), got / n)
-            rows: dict[int, list] = {}
-            for (r, i), o in found.items():
-                rows.setdefault(r, []).append((q.ids[i], o))
-            at = [r for r in sorted(rows) if rb.column(0)[r].is_valid]
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(at, pa.int64())), pa.array([sorted(x[0] for x in rows[r]) for r in at], pa.list_(pa.int64())), pa.array([max(x[1] for x in rows[r]) for r in at], pa.float64()), pa.array(at, pa.int32())], ["doc_id", "item_ids", "overlap", "row"])
+            out = []
+            for doc, item, diagonals in zip(rb.column("words").to_pylist(), rb.column("item_words").to_pylist(), rb.column("diagonals").to_pylist(), strict=True):
+                d, w = np.frombuffer(doc, U64), np.frombuffer(item, U64)
+                out.append(max(overlap(d, w, x, min_words, share, long) for x in diagonals))
+            keep = pa.array([x > 0 for x in out], pa.bool_())
+            cols = [rb.column(n) for n in ("doc_id", "rid", "item_id")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], ["doc_id", "rid", "item_id", "overlap"]).filter(keep)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, min_words: int):
-    """Broadcasts of the benchmark's blocks, one after the other."""
-    spark = benchmark.sparkSession
+def _leaks(docs: DataFrame, benchmark: DataFrame, min_words: int, share: float, long: int) -> DataFrame | None:
+    """(doc_id, rid, item_ids, overlap) of the distinct (doc_id, text) that leak; ``rid`` is the hash of the text.  None: no item has words."""
+    spark = docs.sparkSession
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    items = own.mapInArrow(_items, "item_id long, words binary").filter("length(words) > 0").groupBy("words").agg(F.min("item_id").alias("item_id"))
-    total = items.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    parts = max(1, -(-int(total) // BLOCK_WORDS))
-    for k in range(parts if total else 0):
-        some = items.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k).orderBy("item_id").collect()  # about BLOCK_WORDS words
-        yield spark.sparkContext.broadcast(Queries([r["item_id"] for r in some], [np.frombuffer(r["words"], U64) for r in some], min_words))
+    items = stage(own.mapInArrow(_items, "item_id long, words binary").filter("length(words) > 0").groupBy("words").agg(F.min("item_id").alias("item_id")), "items")
+    seeds = stage(items.select("item_id", "words").mapInArrow(_item_seeds(min_words), "seed long, item_id long, at int"), "item-seeds")
+    n = seeds.count()
+    if not n:
+        return None
+    limit = max(min_words, max(map(len, MASKS)))
+    short = [r[0] for r in items.select((F.length("words") / 8).cast("int").alias("n")).filter(F.col("n") < limit).distinct().orderBy("n").collect()]  # fewer than ``limit``
+    table = spark.sparkContext.broadcast(_bit_table(seeds, n))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
+    near = stage(text.mapInArrow(_hits(table, short), "doc_id long, rid long, words binary, seeds array<long>, ats array<int>").dropDuplicates(["doc_id", "rid"]), "seed-hits")
+    hits = near.select("doc_id", "rid", F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("ats").alias("p"))).alias("x")).select("doc_id", "rid", F.col("x.s").alias("seed"), F.col("x.p").alias("p"))
+    # seeds that many documents hold are dealt to SALTS tasks each; there are as many as hits over HOT at most
+    hot = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seed", F.lit(SALTS).alias("salts"))
+    salt = F.pmod(F.xxhash64("doc_id", "rid", "p"), F.coalesce("salts", F.lit(1)))
+    left = hits.join(hot, "seed", "left").withColumn("salt", salt)
+    right = seeds.join(hot, "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
+    found = left.drop("salts").join(right.drop("salts"), ["seed", "salt"]).select("doc_id", "rid", "item_id", (F.col("p") - F.col("at")).alias("d"))
+    lots = found.groupBy("doc_id", "rid", "item_id").agg(F.collect_set("d").alias("diagonals"))
+    named = items.select("item_id", F.col("words").alias("item_words"))
+    same = lots["doc_id"].eqNullSafe(near["doc_id"]) & (lots["rid"] == near["rid"])
+    pairs = lots.join(named, "item_id").join(near.select("doc_id", "rid", "words"), same).select(lots["doc_id"], lots["rid"], "item_id", "diagonals", "words", "item_words")
+    got = pairs.mapInArrow(_verify(min_words, share, long), "doc_id long, rid long, item_id long, overlap double")
+    out = stage(got.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("overlap")), "leaks")
+    drop_stage(items, seeds, near)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, share: float = 0.6, long: int = 13) -> DataFrame:
     """(doc_id, item_ids, overlap) of the documents that leak: the items, and the largest share of one that was found."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [own.mapInArrow(_scan(q, min_words, share, long), "doc_id long, item_ids array<long>, overlap double, row int").drop("row") for q in _blocks(benchmark, min_words)]
-    if not parts:
+    out = _leaks(docs.filter(F.col("doc_id").cast("long").isNotNull()), benchmark, min_words, share, long)
+    if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_ids array<long>, overlap double")
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
+    return out.select("doc_id", "item_ids", "overlap")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, share: float = 0.6, long: int = 13) -> DataFrame:
-    """``docs`` without the rows whose text leaks an item; texts are not shuffled."""
-    at = docs.columns.index("text")
-    out = docs
-    for q in _blocks(benchmark, min_words):
-
-        def run(batches, q=q):
-            for rb in batches:
-                text = rb.column(at)
-                pair = pa.RecordBatch.from_arrays([pa.array(np.arange(rb.num_rows)), text], ["doc_id", "text"])
-                keep = np.ones(rb.num_rows, bool)
-                for got in _scan(q, min_words, share, long)([pair]):
-                    keep[got.column(0).to_numpy()] = False
-                yield rb.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    """``docs`` without the rows whose text leaks an item; texts are not shuffled while at most ``FEW`` documents leak."""
+    out = _leaks(docs, benchmark, min_words, share, long)
+    if out is None:
+        return docs
+    gone = out.select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r"))
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__r")), "left_anti")

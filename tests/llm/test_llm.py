@@ -245,12 +245,65 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(d, bench.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), bench).count() == 0
 
 
-def test_decontaminate_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+def test_decontaminate_brute_force(spark, monkeypatch):
+    """Every item laid on every place of every document; hot seeds split."""
+    monkeypatch.setattr(decontaminate, "HOT", 3)
+    r = random.Random(16)
+    voc = [f"v{i}" for i in range(60)]
+    base = [r.choice(voc) for _ in range(14)]
+    items = [(i, base[: r.randint(6, 14)] + [r.choice(voc) for _ in range(r.randint(0, 8))]) for i in range(25)] + [(60, ["v1"]), (61, ["v2", "v3", "v4"]), (62, base), (63, base)]
+    rows = []
+    for i in range(80):
+        body = [r.choice(voc) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 2)):
+            w = list(r.choice(items)[1])
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = "other"
+            k = r.randint(0, len(body))
+            body[k:k] = w
+        rows.append((i, " ".join(body)))
+    rows += [(5, rows[6][1]), (5, rows[7][1]), (5, rows[7][1]), (None, rows[8][1])]
+
+    def seeded(d, w, x):
+        for m in decontaminate._masks(len(w), 8):
+            for k in range(len(w) - len(m) + 1):
+                if 0 <= x + k and x + k + len(m) <= len(d) and all(c == "0" or w[k + j] == d[x + k + j] for j, c in enumerate(m)):
+                    return True
+        return False
+
+    known = {}
+    for i, w in sorted(items, reverse=True):
+        known[tuple(w)] = i
+    want, leaky = collections.Counter(), set()
+    for i, t in {(i, t) for i, t in rows}:
+        d, got = t.split(), {}
+        for w, k in known.items():
+            for x in range(-len(w), len(d)):
+                if seeded(d, w, x):
+                    o = decontaminate.overlap(np.array(d), np.array(w), x, 8, 0.6, 13)
+                    if o:
+                        got[k] = max(o, got.get(k, 0))
+        if got:
+            leaky.add(t)
+            if i is not None:
+                want[(i, tuple(sorted(got)), round(max(got.values()), 9))] += 1
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string").withColumn("rid", F.lit(1))
+    d = make(spark, rows).withColumn("words", F.lit(1)).withColumn("rid", F.lit(2)).repartition(3)
+    out = decontaminate.leaks(d, bench).collect()
+    assert collections.Counter((x["doc_id"], tuple(x["item_ids"]), round(x["overlap"], 9)) for x in out) == want
+    for few in (decontaminate.FEW, 0):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        left = decontaminate.drop_leaks(d, bench)
+        assert left.columns == d.columns and sorted(x["text"] for x in left.collect()) == sorted(t for _, t in rows if t not in leaky)
+
+
+def test_decontaminate_grain_at_every_size(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(15))) for i in range(10)]
-    rows = [(i, "lead " + items[i][1] + " tail " + items[(i + 1) % 10][1]) for i in range(10)] + [(99, "nothing to see")]
-    got = {x["doc_id"]: x["item_ids"] for x in decontaminate.leaks(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {i: sorted([i, (i + 1) % 10]) for i in range(10)}
+    rows = [(i, "lead " + items[i][1] + " tail " + items[(i + 1) % 10][1]) for i in range(10)] + [(99, "nothing to see"), (1, "again " + items[4][1]), (50, "word " * 400_000 + items[3][1])]
+    for bits in (1 << 28, 1 << 15):  # a full bit table lets everything through to the join
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        got = sorted((x["doc_id"], x["item_ids"]) for x in decontaminate.leaks(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+        assert got == sorted([(i, sorted([i, (i + 1) % 10])) for i in range(10)] + [(1, [4]), (50, [3])])
 
 
 def test_license_scan(spark):
@@ -456,3 +509,31 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(e.limit(0), lambda i: i % 50 == 0).count() == 0
     few = ann.nearest(e.filter("vec_id in (0, 1, 2)"), lambda i: i % 50 == 0).collect()
     assert sorted(x["vec_id"] for x in few) == [1, 2]
+
+
+def test_mixing_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LOT", 7)
+    rows = [(None, "w " * (i % 5), "en", "a", 0) for i in range(300)] + [(7, "x y z", "en", "a", 0) for _ in range(200)] + [(1000 + i, "q " * 9, "en", "b", 0) for i in range(40)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows)
+    for size, n in (((sum(len(words(r[1])) for r in rows if r[3] == s)), sum(r[3] == s for r in rows)) for s in "ab"):
+        own = [x for x in got if x["source_size"] == size]
+        assert len(own) == n and abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 2
+    turns = mixing.curriculum(d).collect()
+    assert sum(x["words"] for x in turns) == sum(x["taken"] for x in got) and [x["position"] for x in turns] == sorted(x["position"] for x in turns)
+    assert sum(x["turn"] == 1 for x in turns) == sum(x["repeat_position"] is not None for x in got) > 0
+    assert all(x["repeat_position"] > x["position"] for x in got if x["repeat_position"] is not None and x["position"] is not None)
+
+
+def test_line_dedup_reads_long_texts_in_pieces(spark, monkeypatch):
+    r = random.Random(15)
+    pool = [f"a line that is shared number {i} é" for i in range(8)] + ["short", "", "\t" + "Long " * 400, " " * 700]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 300)))) for i in range(12)] + [(20 + i, " " * i + "One line only, very long " * 500 + "\t") for i in range(4)] + [(None, "x" * 9000)]
+    want = line_reference(rows)
+    rb = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array(range(len(rows)))], ["doc_id", "text", "rid"])
+    take = lambda: sorted(x for b in line_dedup._line_rows(20)([rb]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    whole = take()
+    monkeypatch.setattr(tokens, "BLOCK", 256)
+    assert take() == whole
+    assert collections.Counter(map(tuple, line_dedup.line_digest(make(spark, rows)).collect())) == want
