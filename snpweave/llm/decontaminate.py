@@ -4,8 +4,9 @@ Words are runs of letters and digits; capitals of ASCII and Latin-1 count as sma
 the words at the marked positions of a fixed mask; the other positions are ignored, so a passage with replaced words
 still shares seeds.  One plan serves every size of benchmark:
 
-1. The benchmark's seeds are a table (seed, item, position).  A bit table of them, of at most ``MOST_BITS`` bits, goes
-   to all tasks; documents are read once, and a document in which no seed's bit is set goes no further.
+1. The benchmark's seeds are a table (seed, item, position).  A Bloom filter of them (``PROBES`` bits a seed in a table
+   of at most ``MOST_BITS``, 1 in 10^7 others pass) goes to all tasks; documents are read once, and one without a
+   passing seed goes no further.
 2. The others are kept as hashes of their words, and their seeds are joined with the benchmark's by a shuffle on the
    seed.  A seed that many items or many documents hold is split over ``SALTS`` tasks on the document's side.
 3. A hit names an item and a diagonal.  Distinct ones (combined before their shuffle) meet the items' words and the
@@ -36,8 +37,8 @@ from .staging import drop_stage, stage
 
 U64 = np.uint64
 MASKS = ("111011", "1101011", "110010011", "10110101")
-#: bits for a seed, and at most: 32 MB
-BITS_PER_SEED, MOST_BITS = 32, 1 << 28
+#: the filter's bits for a seed, and at most: 64 MB; a benchmark of more than 8 million seeds lets more through to the join
+BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 29, 8
 SALTS, HOT = 16, 4096
 #: documents whose ids are sent to all tasks: at most 16 bytes each
 FEW = 1_000_000
@@ -86,16 +87,22 @@ def _item_seeds(min_words: int):
     return run
 
 
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The ``k``-th bit of each seed."""
+    return ((h + U64(k) * (tk.mix(h) | U64(1))) & U64(bits - 1)).astype(np.int64)
+
+
 def _bits(bits: int):
     """Set bits of a task's seeds, in pieces of 4096 bytes."""
 
     def run(batches):
         some: dict[int, np.ndarray] = {}
         for rb in batches:
-            h = rb.column(0).to_numpy().view(U64) & U64(bits - 1)
-            for p in np.unique(h >> U64(15)):
-                own = (h[h >> U64(15) == p] & U64(32767)).astype(np.int64)
-                some.setdefault(int(p), np.zeros(32768, bool))[own] = True
+            h = rb.column(0).to_numpy().view(U64)
+            at = np.sort(np.concatenate([_probe(h, k, bits) for k in range(PROBES)]))
+            pieces, cut = np.unique(at >> 15, return_index=True)
+            for p, own in zip(pieces.tolist(), np.split(at & 32767, cut[1:]), strict=True):
+                some.setdefault(p, np.zeros(32768, bool))[own] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in some.values()], pa.binary())], ["piece", "set"])
 
     return run
@@ -126,7 +133,6 @@ def _hits(table, short: list[int]):
 
     def run(batches):
         bits = table.value
-        low = U64(len(bits) * 8 - 1)
         for rb in batches:
             out = []
             for b in tk.blocks(rb.column(2), tk.ALNUM, fold=True):
@@ -136,8 +142,10 @@ def _hits(table, short: list[int]):
                     h = _seeds(b.hashes, m)
                     if not len(h):
                         continue
-                    k = (h & low).astype(np.int64)
-                    p = np.flatnonzero((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
+                    p = np.arange(len(h))
+                    for k in range(PROBES):
+                        at = _probe(h[p], k, len(bits) * 8)
+                        p = p[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
                     p = p[row[p] == row[p + len(m) - 1]]
                     found.append((p, h[p]))
                 if not any(len(p) for p, _ in found):
