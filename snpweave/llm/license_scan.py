@@ -9,8 +9,9 @@ Detections are sorted by start and run through one fold: a detection whose span
 of the same or a better priority is suppressed.  Everything is a projection of a row: no shuffle, no
 Python on the executors, memory bounded by one text.
 
-Rules are built from families (names, versions, clauses) in the order of their priority: 1 a licence with
-its version or terms, 2 a licence's name, 3 a notice that names none.
+Rules are hand-written signatures of licence bodies and notices (``BODIES``), then families of names, versions and
+clauses, each with its priority: 1 a licence with its version or terms, 2 a licence's name, 3 a notice that names none.
+A signature may let some words of its own stand between (a holder's name); it spells out how many.
 
 Defined results
 * null or empty text: no words, no labels, score 0, null word places.
@@ -54,15 +55,42 @@ _SPDX = ("mit", "mit-0", "apache-1.1", "apache-2.0", "bsd-2-clause", "bsd-3-clau
          "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "ofl-1.1", "psf-2.0", "ncsa", "postgresql", "x11", "upl-1.0")
 
 
+_SOME = "(?: [^ ]+)?"
+#: fixed values: sentences that stand in the licences themselves, as words: (keyword, another word of it, before the keyword, from the keyword on, label)
+BODIES = (
+    ("hereby", "charge", "permission is ", " granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("hereby", "charge", "permission is ", " granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "bsl-1.0"),
+    ("hereby", "charge", "permission is ", " granted free of charge to any person obtaining a copy of the font software", "ofl-1.1"),
+    ("hereby", "fee", "permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is ", " granted", "isc"),
+    ("hereby", "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is ", " granted", "postgresql"),
+    ("hereby", "documentation", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee )?is ", " granted", "hpnd"),
+    ("redistribution", "binary", "", " and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("endorse", "promote", f"neither the names? of{_SOME * 12} may be used to ", " or promote products derived from this software", "bsd-3-clause"),
+    ("advertising", "materials", "all ", " materials mentioning features or use of this software must display the following acknowledge?ment", "bsd-4-clause"),
+    ("liable", "authors", "in no event will the authors? be held ", " for any damages arising from the use of this software", "zlib"),
+    ("unencumbered", "free", "this is free and ", " software released into the public domain", "unlicense"),
+    ("license", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this ", " document", "wtfpl"),
+    ("license", "compliance", "licensed under the apache license version 2 0 the ", " you may not use this file except in compliance with the license", "apache-2.0"),
+    ("evil", "good", "the software shall be used for good not ", "", "json"),
+    ("openssl", "developed", "this product includes software developed by the ", " project", "openssl"),
+    ("berkeley", "developed", "this product includes software developed by the university of california ", "", "bsd-4-clause-uc"),
+    ("licensee", "python", "psf is making python(?: \\d+)?(?: \\d+)?(?: \\d+)? available to ", " on an as is basis", "psf-2"),
+    ("dedicated", "deed", "the person who associated a work with this deed has ", " the work to the public domain", "cc0-1.0"),
+    ("proprietary", "confidential", "confidential and ", "", "proprietary"),
+)
+
+
 @lru_cache(1)
 def rules() -> list[tuple[tuple[str, ...], str, str, str, int]]:
     """(keywords, second word, regex with @ for the keyword, label, priority) in order."""
     out: list[tuple[tuple[str, ...], str, str, str, int]] = []
+    for word, second, before, after, label in BODIES:
+        out.append(((word,) if word != "license" else LICENSE, second, f"{before}@{after}\\b", label, 1))
     for sid in _SPDX:
         out.append((LICENSE, "identifier", rf"spdx @ identifier {sid.replace('-', ' ').replace('.', ' ')}\b", sid, 1))
     for name, label in _GNU.items():
         for v in _GNU_VERSIONS[label]:
-            at = rf"(?:gnu )?\b{name} @ (?:as published by the free software foundation )?(?:either )?(?:version |v)?{v}" + ("" if " " in v else "(?: 0)?")
+            at = rf"(?:gnu )?\b{name} @ (?:as published by the free software foundation )?(?:either )?(?:version |v ?)?{v}" + ("" if " " in v else "(?: 0)?")
             tag = f"{label}-{v.replace(' ', '.')}"
             out.append((LICENSE, "public", at + r" (?:of the license )?or (?:at your option )?(?:any )?later\b", f"{tag}-or-later", 1))
             out.append((LICENSE, "public", at + r" only\b", f"{tag}-only", 1))
@@ -73,13 +101,13 @@ def rules() -> list[tuple[tuple[str, ...], str, str, str, int]]:
             tag, tight = f"{label}-{v.replace(' ', '.')}", v.replace(" ", "")
             out.append(((f"{label}v{tight}",), "", r"@ or later\b|@ plus\b", f"{tag}-or-later", 1))
             out.append(((f"{label}v{tight}",), "", r"@", tag, 1))
-            out.append(((label,), "", rf"(?:gnu )?@ (?:version |v)?{v}(?: 0)?(?: or (?:any )?later)\b", f"{tag}-or-later", 1))
-            out.append(((label,), "", rf"(?:gnu )?@ (?:version |v)?{v}(?: 0)?\b", tag, 1))
+            out.append(((label,), "", rf"(?:gnu )?@ (?:version |v ?)?{v}(?: 0)?(?: or (?:any )?later)\b", f"{tag}-or-later", 1))
+            out.append(((label,), "", rf"(?:gnu )?@ (?:version |v ?)?{v}(?: 0)?\b", tag, 1))
         out.append(((label,), "", r"(?:gnu )?@", label, 2))
     for short, long in _CC_TERMS.items():
         tag = "cc-" + short.replace(" ", "-")
         for v in _CC_VERSIONS:
-            out.append((("cc",), "by", rf"@ {short} (?:v)?{v}\b", f"{tag}-{v.replace(' ', '.')}", 1))
+            out.append((("cc",), "by", rf"@ {short} (?:v ?)?{v}\b", f"{tag}-{v.replace(' ', '.')}", 1))
             out.append((("commons",), "attribution", rf"creative @ {long} {v}\b", f"{tag}-{v.replace(' ', '.')}", 1))
         out.append((("cc",), "by", rf"@ {short}\b(?! (?:sa|nc|nd)\b)", tag, 1 if short != "by" else 2))
         out.append((("commons",), "attribution", rf"creative @ {long}\b", tag, 2))
@@ -88,9 +116,9 @@ def rules() -> list[tuple[tuple[str, ...], str, str, str, int]]:
     out.append((("commons",), "public", r"creative @ public domain\b", "cc0-1.0", 2))
     for v in ("1 0", "1 1", "2 0", "2"):
         tag = "apache-" + {"2": "2.0"}.get(v, v.replace(" ", "."))
-        out.append((LICENSE, "apache", rf"apache(?: software)? @ (?:version |v)?{v}\b", tag, 1))
-        out.append((LICENSE, "apache", rf"apache (?:version |v)?{v} @\b", tag, 1))
-        out.append((("licensed",), "apache", rf"@ under (?:the )?apache (?:version |v)?{v}\b", tag, 1))
+        out.append((LICENSE, "apache", rf"apache(?: software)? @ (?:version |v ?)?{v}\b", tag, 1))
+        out.append((LICENSE, "apache", rf"apache (?:version |v ?)?{v} @\b", tag, 1))
+        out.append((("licensed",), "apache", rf"@ under (?:the )?apache (?:version |v ?)?{v}\b", tag, 1))
     out.append((LICENSE, "apache", r"apache(?: software)? @\b", "apache", 2))
     for n, words in (("2", "2 clause|two clause|simplified|freebsd"), ("3", "3 clause|three clause|new|revised|modified"), ("4", "4 clause|four clause|original|old")):
         out.append((LICENSE, "bsd", rf"\b(?:{words}) bsd(?: style)? @\b", f"bsd-{n}-clause", 1))
@@ -107,8 +135,8 @@ def rules() -> list[tuple[tuple[str, ...], str, str, str, int]]:
     for name, (label, versions) in _NAMED.items():
         second = name.split()[0]
         for v in versions:
-            out.append((LICENSE, second, rf"\b{name} @ (?:version |v)?{v}\b", f"{label}-{v.replace(' ', '.')}", 1))
-            out.append((LICENSE, second, rf"\b{name} (?:version |v)?{v} @\b", f"{label}-{v.replace(' ', '.')}", 1))
+            out.append((LICENSE, second, rf"\b{name} @ (?:version |v ?)?{v}\b", f"{label}-{v.replace(' ', '.')}", 1))
+            out.append((LICENSE, second, rf"\b{name} (?:version |v ?)?{v} @\b", f"{label}-{v.replace(' ', '.')}", 1))
         out.append((LICENSE, second, rf"\b{name} @\b", label, 2))
     for words, label in ((("unlicense",), "unlicense"), (("wtfpl",), "wtfpl"), (("copyleft",), "copyleft")):
         out.append((words, "", r"(?:the )?@\b", label, 2))
@@ -145,8 +173,9 @@ def gate(text: Column) -> Column:
     """Whether a text can hold a keyword or a phrase; true for every text that does."""
     t = F.lower(text)
     has = lambda w: t.contains(w)
-    stems = ("licen", "gpl", "copyright", "copyleft", "wtfpl", "cc0")
+    stems = ("licen", "gpl", "copyright", "copyleft", "wtfpl", "cc0", "hereby", "redistribution", "unencumbered")
     out = (has("cc") & has("by")) | (has("commons") & has("creative")) | (has("rights") & has("reserved")) | (has("public") & has("domain"))
+    out = out | (has("endorse") & has("promote")) | (has("advertising") & has("materials")) | (has("liable") & has("authors")) | (has("evil") & has("good")) | ((has("openssl") | has("berkeley")) & has("developed")) | (has("dedicated") & has("deed")) | (has("proprietary") & has("confidential"))
     for w in stems:
         out = out | has(w)
     return out
