@@ -1,27 +1,32 @@
 """Personal data: keyed surrogates that keep kind, gender, script and format.
 
-Entities are e-mail and IP addresses, phone and card numbers, social security numbers, secrets, and names
-after a form of address.  A keyed hash (BLAKE2 under ``key``) of an entity's normal form chooses its
-surrogate: digits for digits, letters for letters of the same script and case, a valid check digit where
-the original has one, a given name of the same gender.  The normal form carries coreference: a phone
-number in two formats, or a name in two documents, gets one surrogate.
+Entities are e-mail and IP addresses (both versions), phone and card numbers, account numbers (IBAN), social security
+numbers, secrets, and names after a form of address or "my name is" in Latin, Cyrillic and Greek letters.  A keyed hash
+(BLAKE2 under ``key``) of an entity's normal form chooses its surrogate: digits for digits, letters for letters of the
+same script and case, valid check digits where the original has them, a given name of the same gender and script.  The
+normal form carries coreference: a phone number in two formats, with its country code +1 or without, an address of the
+sixth version in full or short, or a name in two documents, gets one surrogate.
 
 Distinctness is checked over the whole corpus: distinct entities are aggregated (combined on the map side),
-surrogates that two entities share, or that are an entity themselves, are found by an aggregate and a join,
-and all but one of the entities try again until no collision is left; surrogates of e-mail addresses and
-secrets grow by a letter with each try from the second, names by a syllable from the first.  Entities that needed another
-try are few; up to ``FEW`` of them (a counted bound) go to the tasks, more than that are joined by document.
+surrogates that two entities share, or that are an entity themselves, are found by an aggregate and a join, and all but
+one of the entities try again until no collision is left; later rounds look at what the last one changed.  Surrogates
+grow with the tries (e-mail addresses and secrets by a letter from the second, names by a further name from the first,
+numbers by a digit from the twelfth), so no shape can run out.  Entities that needed another try are few; up to ``FEW``
+of them (a counted bound) go to the tasks, more than that are joined by document.
 
 Defined results
 * null text stays null, with no entities; empty text stays empty.
 * null ``doc_id``: treated like others.  Repeated rows get the same surrogates.
-* overlapping finds: the earlier, then the longer, then the order of ``FINDERS``.
+* overlapping finds: the earlier, then the longer, then the order in which ``find`` looks for kinds.
+* a number of 13 to 19 digits is a card only with a valid check digit, an account only with valid check digits.
+* a value after ``password=`` and the like is a secret if it holds a digit, is quoted, follows ``=``, or mixes cases.
 * an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from functools import lru_cache
@@ -32,23 +37,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import drop_stage, stage
 
 FEW = 50_000
-TRIES = 50
 FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Greta", "Hanna", "Ida", "Irene", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marta", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Vera")
 MALE = ("Adam", "Albert", "Anton", "Bruno", "Carl", "David", "Emil", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jan", "Karl", "Leo", "Lukas", "Marco", "Martin", "Max", "Oscar", "Paul", "Peter", "Robert", "Simon", "Victor")
 FAMILY = ("Abel", "Adler", "Baker", "Bauer", "Castro", "Cole", "Dumas", "Ellis", "Fischer", "Garcia", "Hall", "Keller", "Lang", "Lopez", "Marsh", "Meyer", "Moreau", "Novak", "Petit", "Reyes", "Rossi", "Silva", "Stone", "Weber", "Wood")
-TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f"}
-_NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][a-zß-ÿ'\-]+)(?: ([A-ZÀ-Þ][a-zß-ÿ'\-]+))?")
-_GATE = "@|[0-9]|" + "|".join(rf"{t}\.? [A-ZÀ-Þ]" for t in TITLES)
+_GIVEN_STEMS = ("Adel", "Albert", "Anton", "Bern", "Carl", "Christ", "Dor", "Ern", "Flor", "Franc", "Georg", "Henri", "Jos", "Just", "Laur", "Leon", "Luc", "Magn", "Mart", "Nicol", "Paul", "Ros", "Silv", "Valent", "Vict", "Wilhelm")
+_FAMILY_STEMS = ("Ander", "Berg", "Brand", "Carl", "Dahl", "Eck", "Fried", "Gold", "Hart", "Holm", "Kirch", "Lind", "Mark", "Nord", "Ost", "Peter", "Rich", "Sand", "Stein", "Thor", "Wald", "West", "Win")
+_CYRILLIC = ("Абрам", "Белоус", "Владимир", "Гаврил", "Данил", "Егор", "Захар", "Иван", "Кирилл", "Лаврент", "Матве", "Назар", "Осип", "Павл", "Роман", "Семён", "Тимоф", "Фёдор", "Харитон", "Яковл")
+_GREEK = ("Αγγελ", "Βασιλ", "Γεωργ", "Δημητρ", "Ευαγγελ", "Ζαχαρ", "Θεοδωρ", "Ιωανν", "Κωνσταντιν", "Λεωνιδ", "Μιχαλ", "Νικολ", "Παναγιωτ", "Σταυρ", "Χριστ")
+
+
+def _made(stems, ends):
+    return tuple(x + y for x in stems for y in ends)
+
+
+#: names by kind and script
+POOLS = {
+    "given-f": FEMALE + _made(_GIVEN_STEMS, ("a", "ina", "ella", "etta", "iana")), "given-m": MALE + _made(_GIVEN_STEMS, ("o", "us", "in", "ian", "el")), "family": FAMILY + _made(_FAMILY_STEMS, ("er", "mann", "son", "ley", "ford", "ström", "ini", "eau")),
+    "given-f:cyrillic": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Тамара", "Ульяна", "Юлия"), "given-m:cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Евгений", "Игорь", "Лев", "Максим", "Никита", "Олег", "Пётр", "Руслан", "Сергей", "Тарас", "Юрий"),
+    "family-m:cyrillic": _made(_CYRILLIC, ("ов", "ин", "енко", "ский")), "family-f:cyrillic": _made(_CYRILLIC, ("ова", "ина", "енко", "ская")),
+    "given-f:greek": ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Σοφία"), "given-m:greek": ("Ανδρέας", "Βασίλης", "Γιάννης", "Δημήτρης", "Ηλίας", "Κώστας", "Λευτέρης", "Μιχάλης", "Νίκος", "Πέτρος", "Στέλιος"),
+    "family-m:greek": _made(_GREEK, ("όπουλος", "άκης", "ίδης")), "family-f:greek": _made(_GREEK, ("οπούλου", "άκη", "ίδου")),
+}
+POOLS["given"] = POOLS["given-f"] + POOLS["given-m"]
+TITLES = {"Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f"}
+TITLES_CYRILLIC = {"господин": "m", "Господин": "m", "г-н": "m", "госпожа": "f", "Госпожа": "f", "г-жа": "f"}
+TITLES_GREEK = {"κύριος": "m", "Κύριος": "m", "κύριο": "m", "κυρία": "f", "Κυρία": "f"}
+_SAID = ("[Mm]y name is", "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]on nom est", "[Mm]e llamo", "[Mm]i nombre es")
+
+
+def _any(titles) -> str:
+    return "|".join(sorted(titles, key=len, reverse=True))
+
+
+def _named(lead: str, first: str, rest: str):
+    one = f"[{first}][{rest}'\\-]+"
+    return re.compile(rf"(?<!\w)({lead})\.? ({one}(?:-[{first}][{rest}]+)*)(?: ({one}(?:-[{first}][{rest}]+)*))?")
+
+
+_LATIN, _KYR, _HEL = ("A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"), ("А-ЯЁ", "а-яё"), ("Α-ΫΆΈ-Ώ", "ΐά-ώ")
+_NAMES = ((_named(_any(TITLES), *_LATIN), TITLES, ""), (_named(_any(TITLES_CYRILLIC), *_KYR), TITLES_CYRILLIC, ":cyrillic"), (_named(_any(TITLES_GREEK), *_HEL), TITLES_GREEK, ":greek"))
+_SAYS = _named("|".join(_SAID), *_LATIN)
+_SECRET_WORDS = r"token|secret|password|passwd|passphrase|api[_\-]?key|access[_\-]?key|private[_\-]?key"
+_GATE = "@|[0-9]|" + "|".join(rf"{t}\.? [A-ZÀ-Þ]" for t in TITLES) + "|" + "|".join((*TITLES_CYRILLIC, *TITLES_GREEK, *_SAID)) + f"|(?i:{_SECRET_WORDS})[\"']?\\s*[=:]|::|[0-9a-fA-F]:[0-9a-fA-F]"
 _RIGHT = re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _DIGITS = re.compile(r"\+?\(?\d[\d ().\-]{5,24}\d")
-_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)")
+_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})")
+_SECRET = re.compile(rf"(?i)\b(?:{_SECRET_WORDS})\b[\"']?\s*([=:])\s*([\"']?)([^\s\"',;]{{6,}})")
 
 
 def luhn(digits: str) -> bool:
@@ -56,6 +98,28 @@ def luhn(digits: str) -> bool:
     return sum(d[::2]) % 10 == 0 if len(d) == 1 else (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
+def iban_check(body: str) -> str:
+    """The two check digits of an account number (country, then the rest without them)."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body[2:] + body[:2] + '00')) % 97:02d}"
+
+
+def _six(found: str) -> str | None:
+    """The full form of an address of the sixth version; none for times, code and the like."""
+    groups = [x for x in found.split(":") if x]
+    if len(groups) < 3 or not any(c.isdigit() for c in found):
+        return None
+    try:
+        return ipaddress.IPv6Address(found).exploded
+    except ValueError:
+        return None
+
+
+def _is_secret(sign: str, quote: str, value: str) -> bool:
+    if any(c.isdigit() for c in value) or quote or sign == "=":
+        return True
+    return value.isalpha() and value != value.lower() and value != value.upper() and value[1:] != value[1:].lower()
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order and without overlaps."""
     out = []
@@ -68,13 +132,21 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             b = right.end()
             out.append((a, b, "email", text[a:b].lower()))
         at = text.find("@", at + 1)
+    for m in _SECRET.finditer(text):
+        if _is_secret(m[1], m[2], m[3]):
+            out.append((m.start(3), m.end(3), "secret", m[3]))
+    if ":" in text:
+        for m in _IP6.finditer(text):
+            if (norm := _six(m[0])) is not None:
+                out.append((m.start(), m.end(), "ip6", norm))
     if any(c in text for c in "0123456789"):
-        for m in _SECRET.finditer(text):
-            if any(c.isdigit() for c in m[1]):
-                out.append((m.start(1), m.end(1), "secret", m[1]))
         for m in _HEX.finditer(text):
             if any(c.isdigit() for c in m[0]) and not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()):
                 out.append((m.start(), m.end(), "secret", m[0]))
+        for m in _IBAN.finditer(text):
+            norm = m[0].replace(" ", "")
+            if len(norm) >= 15 and iban_check(norm[:2] + norm[4:]) == norm[2:4]:
+                out.append((m.start(), m.end(), "iban", norm))
         free = lambda m: not (text[max(0, m.start() - 1) : m.start()].isdigit() or text[m.end() : m.end() + 1].isdigit())
         for m in _IP.finditer(text):
             if free(m) and all(int(x) < 256 for x in m[0].split(".")):
@@ -82,19 +154,23 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in _SSN.finditer(text):
             if free(m):
                 out.append((m.start(), m.end(), "ssn", m[0].replace("-", "")))
-        out += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text) if not text[max(0, m.start() - 1) : m.start()].isalpha()]
+        for m in _CARD.finditer(text):
+            norm = re.sub(r"\D", "", m[0])
+            if luhn(norm) and not text[max(0, m.start() - 1) : m.start()].isalpha():
+                out.append((m.start(), m.end(), "card", norm))
         for m in _DIGITS.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             if not free(m) or text[max(0, m.start() - 1) : m.start()].isalpha():
                 continue
             if 8 <= len(digits) <= 15 and ("(" in m[0] or m[0].startswith("+") or re.fullmatch(r"\d{3}[ .\-]\d{3,4}[ .\-]\d{4}", m[0])):
-                out.append((m.start(), m.end(), "phone", digits))
-    for m in _NAME.finditer(text):
-        g = TITLES[m[1]]
-        words = [2, 3] if m[3] else [2]
-        for w in words:
-            kind = f"given-{g}" if w == 2 and m[3] else "family"
-            out.append((m.start(w), m.end(w), kind, m[w].lower()))
+                # the country code of ten-digit plans is no part of the number's identity
+                out.append((m.start(), m.end(), "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits))
+    for pattern, titles, script in _NAMES:
+        for m in pattern.finditer(text):
+            g = titles[m[1]]
+            out += [(m.start(w), m.end(w), (f"given-{g}" if w == 2 and m[3] else f"family-{g}" if script else "family") + script, m[w].lower()) for w in ([2, 3] if m[3] else [2])]
+    for m in _SAYS.finditer(text):
+        out += [(m.start(w), m.end(w), "given" if w == 2 else "family", m[w].lower()) for w in ([2, 3] if m[3] else [2])]
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], -1
     for x in out:
@@ -145,8 +221,12 @@ class Keyed:
     def surrogate(self, kind: str, norm: str, attempt: int = 0) -> str:
         """In the normal form's own shape."""
         s, more = self._stream(kind, norm, attempt), max(0, attempt - 1)
+        digits = lambda n: "".join(str(next(s) % 10) for _ in range(n))
+        late = max(0, attempt - 11)
         if kind == "ip":
-            return ".".join(str(1 + next(s) % 254) for _ in range(4))
+            return ".".join(str(1 + next(s) % 254) for _ in range(4)) + (f":{digits(late)}" if late else "")
+        if kind == "ip6":
+            return ":".join("0000" if g == "0000" else "".join(("123456789abcdef" if i == 0 else "0123456789abcdef")[next(s) % (15 if i == 0 else 16)] if c != "0" or g[:i].strip("0") else "0" for i, c in enumerate(g)) for g in norm.split(":")) + (f":{digits(late)}" if late else "")
         if kind == "email":
             local, _, host = norm.rpartition("@")
             name, dot, top = host.rpartition(".")
@@ -154,30 +234,47 @@ class Keyed:
         if kind == "secret":
             hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm)
             if hexa:
-                digits = "0123456789ABCDEF" if norm.upper() == norm else "0123456789abcdef"
-                return "".join(digits[next(s) % 16] for _ in range(len(norm) + more))
+                base = "0123456789ABCDEF" if norm.upper() == norm else "0123456789abcdef"
+                return "".join(base[next(s) % 16] for _ in range(len(norm) + more))
             return "".join(self._like(c, next(s)) for c in norm) + self._more(norm, more, s)
+        if kind == "iban":
+            body = norm[:2] + "".join(self._like(c, next(s)) for c in norm[4:]) + digits(late)
+            return body[:2] + iban_check(body) + body[2:]
         if kind in ("card", "phone", "ssn"):
             keep = 1 if kind != "ssn" else 0
-            d = norm[:keep] + "".join(str(next(s) % 10) for _ in norm[keep:])
-            if kind == "card" and luhn(norm):
+            d = norm[:keep] + digits(len(norm) - keep + late)
+            if kind == "card":
                 d = next(x for x in (d[:-1] + str(i) for i in range(10)) if luhn(x))
             return d
-        pool = FEMALE if kind == "given-f" else MALE if kind == "given-m" else FAMILY
-        name = pool[(next(s) * 256 + next(s)) % len(pool)].lower()
-        for _ in range(attempt):  # the pool is small: later tries grow by a syllable
-            name += "bdfglmnrst"[next(s) % 10] + "aeiou"[next(s) % 5]
-        return name
+        pool = POOLS[kind]
+        # the pool is bounded: each further try adds a name by a hyphen
+        return "-".join(pool[(next(s) * 65536 + next(s) * 256 + next(s)) % len(pool)] for _ in range(1 + attempt)).lower()
 
     def dress(self, kind: str, found: str, plain: str) -> str:
         """A surrogate in the format in which the entity stands in the text."""
-        if kind in ("card", "phone", "ssn"):
-            it = iter(plain)
-            return "".join(next(it) if c.isdigit() else c for c in found)
+        if kind in ("card", "phone", "ssn", "iban"):
+            room = sum(c.isalnum() for c in found) - len(plain)
+            it, lead = iter(plain), room
+            out = []
+            for c in found:
+                if not c.isalnum():
+                    out.append(c)
+                elif lead > 0:  # a country code that is no part of the normal form
+                    out.append(c)
+                    lead -= 1
+                else:
+                    out.append(next(it))
+            return "".join([*out, *it])
+        if kind == "ip6":
+            if len(plain) > 39:
+                return plain
+            address = ipaddress.IPv6Address(plain)
+            same = plain if len(found) == 39 else address.compressed if "::" in found else ":".join(g.lstrip("0") or "0" for g in plain.split(":"))
+            return same.upper() if found.upper() == found else same
         if kind == "email":
             return "".join(p.upper() if c.isupper() else p for c, p in zip(found, plain, strict=True)) if len(found) == len(plain) else plain
-        if kind in ("given-f", "given-m", "family"):
-            return plain.upper() if found.isupper() else plain.capitalize()
+        if kind.split(":")[0].split("-")[0] in ("given", "family"):
+            return plain.upper() if found.isupper() else "-".join(x.capitalize() for x in plain.split("-"))
         return plain
 
 
@@ -200,20 +297,31 @@ def _tries(key: bytes):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def settle(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, attempt, surrogate) of distinct entities, with surrogates that no two share and that are no entity."""
     schema = "kind string, norm string, attempt int, surrogate string"
     cur = stage(entities.select("kind", "norm", F.lit(0).alias("attempt")).mapInArrow(_tries(key), schema), "surrogates")
-    for _ in range(TRIES):
-        shared = cur.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        lost = cur.join(shared, ["kind", "surrogate"]).filter("norm <> owner").select("kind", "norm")
-        real = cur.select("kind", "surrogate", "norm").join(cur.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
+    new, first = cur, True
+    while True:
+        # after the first round only surrogates that the last one made can collide
+        pool = cur if first else cur.join(_few(new.select("kind", "surrogate").distinct()), ["kind", "surrogate"], "left_semi")
+        shared = pool.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        lost = pool.join(shared, ["kind", "surrogate"]).filter("norm <> owner").select("kind", "norm")
+        real = new.select("kind", "surrogate", "norm").join(cur.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
         again = stage(lost.unionByName(real).distinct(), "again")
         if again.limit(1).count() == 0:
+            drop_stage(again)
             return cur
-        new = cur.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_tries(key), schema)
-        cur = stage(cur.join(again, ["kind", "norm"], "left_anti").unionByName(new), "surrogates")
-    raise RuntimeError("surrogates still collide")
+        few = _few(again)
+        fresh = stage(cur.join(few, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_tries(key), schema), "fresh")
+        old = cur
+        cur = stage(cur.join(few, ["kind", "norm"], "left_anti").unionByName(fresh), "surrogates")
+        drop_stage(old, again, *([] if first else [new]))
+        new, first = fresh, False
 
 
 _OUT = "doc_id long, n_entities long, kinds string, text string"
