@@ -1,11 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small calibrated network.
 
 Words are maximal runs of one character class (small letters, capitals, digits, signs), so that shape
-survives; each falls in one of a fixed number of buckets, split by class.  Random indexing adds, for
-every occurrence in every document, the sparse random index vectors of the neighbouring words to the
-word's context vector.  The sums are integers, so any dealing of the rows gives the same vectors, and
-each task sends at most ``BUCKETS`` rows whatever it reads; reducers stream them.  The finished matrix
-has a fixed size (``BUCKETS * DIM`` numbers, 2 MB as float32) and is broadcast.
+survives; each falls in one of a fixed number of buckets, split by class, so that words share a vector only where
+a corpus has more of them than ``SHARES`` (rare words then share with others: what they add to a document's mean is
+small).  Random indexing adds, for every occurrence in every document, the sparse random index vectors of the
+neighbouring words to the word's context vector.  The sums are integers, so any dealing of the rows gives the same
+vectors, and each task sends at most ``BUCKETS`` rows whatever it reads; as many reducers as there are shuffle
+partitions add them up.  The finished matrix has a fixed size (``BUCKETS * DIM`` numbers, 8 MB as float32) and is broadcast.
 
 A document is the mean and the spread of its words' vectors, its length, and the share of words that
 repeat one of the three before.  A network with one hidden layer is fitted
@@ -32,7 +33,7 @@ from . import tokens as tk
 
 DIM, WINDOW, ONES = 64, 2, 4
 #: buckets by class: small letters, capitals, digits, signs
-SHARES = (6144, 1024, 256, 768)
+SHARES = (24576, 4096, 1024, 3072)
 BUCKETS = sum(SHARES)
 U64 = np.uint64
 CLASS = np.array([0 if b in (32, 9, 10, 11, 12, 13) else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 else 4 for b in range(256)], np.uint8)
@@ -61,15 +62,20 @@ def _contexts(batches):
     for rb in batches:
         for b, w in _buckets(rb.column(0)):
             row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.ptr))
+            keys, weights = [], []
             for gap in range(1, WINDOW + 1):
                 if len(w) <= gap:
                     continue
                 same = row[gap:] == row[:-gap]
                 left, right = w[:-gap][same], w[gap:][same]
                 for x, y in ((left, right), (right, left)):
-                    at = (x * DIM)[:, None] + places[y]
-                    total += np.bincount(at.ravel(), weights=signs[y].ravel(), minlength=BUCKETS * DIM)
-    m = total.reshape(BUCKETS, DIM).astype(np.int32)
+                    keys.append(((x * DIM)[:, None] + places[y]).ravel())
+                    weights.append(signs[y].ravel())
+            if keys:
+                total += np.bincount(np.concatenate(keys), weights=np.concatenate(weights), minlength=BUCKETS * DIM)
+    # whole numbers: exact in doubles up to 2^53 and sent as 4 bytes each where they fit
+    m = total.reshape(BUCKETS, DIM)
+    m = m.astype(np.int32 if np.abs(m).max() < 1 << 31 else np.int64)
     some = np.flatnonzero(m.any(axis=1))
     if len(some):
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([m[i].tobytes() for i in some], pa.binary())], ["bucket", "vec"])
@@ -79,7 +85,7 @@ def _add_up(batches):
     sums: dict[int, np.ndarray] = {}
     for rb in batches:
         for k, v in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(v, np.int32)
+            x = np.frombuffer(v, np.int32 if len(v) == 4 * DIM else np.int64)
             sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["bucket", "vec"])
@@ -88,7 +94,7 @@ def _add_up(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of the buckets, from all documents; a matrix of fixed size."""
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "bucket int, vec binary")
-    rows = parts.repartition(8, "bucket").mapInArrow(_add_up, "bucket int, vec binary").collect()
+    rows = parts.repartition("bucket").mapInArrow(_add_up, "bucket int, vec binary").collect()
     m = np.zeros((BUCKETS, DIM))
     for r in rows:
         m[r["bucket"]] = np.frombuffer(r["vec"], np.int64)
@@ -96,30 +102,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (m / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-FEATURES = 2 * DIM + 3
+FEATURES = 2 * DIM + 2
 
 
 def _pooled(col, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(col), FEATURES), np.float32)
-    both = np.hstack([vectors, vectors * vectors])
+    data, _ = tk.text_buffers(col)
     for b, w in _buckets(col):
-        data, _ = tk.text_buffers(col)
         letters = CLASS[data[b.starts]] == 1 if len(w) else np.zeros(0, bool)
         echo = np.zeros(len(w), bool)
         for gap in (1, 2, 3):  # a word that one of the last three repeats
             echo[gap:] |= b.hashes[gap:] == b.hashes[:-gap]
         echoes = np.concatenate([[0], np.cumsum(echo & letters)])
-        for lo in range(b.lo, b.hi, 64):
-            hi = min(b.hi, lo + 64)
-            p = b.ptr[lo - b.lo : hi - b.lo + 1]
-            n = np.diff(p)
-            row = np.repeat(np.arange(hi - lo), n)
-            c = np.bincount(row * BUCKETS + w[p[0] : p[-1]], minlength=(hi - lo) * BUCKETS).astype(np.float32).reshape(hi - lo, BUCKETS)
-            m = (c @ both) / np.maximum(n, 1)[:, None]
-            out[lo:hi, :DIM] = m[:, :DIM]
-            out[lo:hi, DIM : 2 * DIM] = np.sqrt(np.maximum(m[:, DIM:] - m[:, :DIM] ** 2, 0))
-            out[lo:hi, -2] = np.log1p(n)
-            out[lo:hi, -1] = (echoes[p[1:]] - echoes[p[:-1]]) / np.maximum(n, 1)
+        n = np.diff(b.ptr)
+        row = np.repeat(np.arange(b.hi - b.lo), n)
+        sums = np.zeros((b.hi - b.lo, 2 * DIM))
+        for i in range(0, len(w), 1 << 15):
+            r, v = row[i : i + (1 << 15)], vectors[w[i : i + (1 << 15)]]
+            first = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+            sums[r[first], :DIM] += np.add.reduceat(v, first, axis=0)
+            sums[r[first], DIM:] += np.add.reduceat(v * v, first, axis=0)
+        m = sums / np.maximum(n, 1)[:, None]
+        out[b.lo : b.hi, :DIM] = m[:, :DIM]
+        out[b.lo : b.hi, DIM : 2 * DIM] = np.sqrt(np.maximum(m[:, DIM:] - m[:, :DIM] ** 2, 0))
+        out[b.lo : b.hi, -2] = np.log1p(n)
+        out[b.lo : b.hi, -1] = (echoes[b.ptr[1:]] - echoes[b.ptr[:-1]]) / np.maximum(n, 1)
     return out
 
 
