@@ -3,15 +3,18 @@
 1. Each document becomes its distinct word shingles (64-bit hashes).  Documents with equal sets share
    a 128-bit set fingerprint and collapse to one class (its smallest doc_id) by a map-side combined
    aggregate, so thousands of copies cost one row from here on.
-2. Class representatives get ``bands * rows`` universal hash minima; each band's minima make a bucket
-   key.  The smallest class in a bucket leads it.  All classes of a bucket meet again in the group of
-   its leader, so a group list (leader, class) covers every pair that shares a bucket while growing
-   only with the number of classes.
-3. Groups are dealt in blocks of about ``BLOCK`` members; every pair of blocks meets once.  A task holds
-   one block and streams the other members past it: signatures are compared first, then the full sets,
-   and only edges that join two of the block's components leave the task (a spanning forest, not all
-   pairs).  Nothing is capped: larger groups make more blocks.
-4. Alternating large-star and small-star joins find the components of the confirmed edges.
+2. Class representatives get ``bands * rows`` universal hash minima; each band's minima make a bucket key.  Only ids
+   are dealt by key: the smallest class in a bucket leads it, and a bucket of one class goes no further.
+3. Stars: every class meets the leaders of its buckets, signatures (a byte of each minimum) first.  Only pairs whose
+   signatures agree fetch their full sets and are confirmed.  Their components join most copies of a group at once.
+4. Across: buckets that still hold several components are searched for links between them, for ids and signatures
+   first again.  The members outside a bucket's largest component are held in blocks of about ``BLOCK``; all members
+   stream past them.  Pairs within a component need no look: they change nothing.
+5. Alternating large-star and small-star joins find the components of the confirmed edges.
+
+A leader with more than ``BLOCK`` followers is copied to several tasks that share them.  So every pair that shares a
+bucket is either compared or known to be connected, nothing is capped, and the sets of a group of m copies travel about
+once each, not m times.
 
 A pair at similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 with the
 defaults, less above.
@@ -20,7 +23,8 @@ Defined results
 * null or empty text, or no word: empty set, linked with nothing, kept.
 * fewer words than a shingle has: the whole sequence is the only shingle.
 * null ``doc_id``: takes no part; component null, kept true.
-* rows that repeat a ``doc_id``: each is answered by its own text, under the shared id.
+* rows that repeat a ``doc_id``: each is answered by its own text, under the shared id; ``keep_one`` keeps one of
+  those that repeat the text as well.
 * an empty table gives an empty result; further columns are ignored.
 """
 
@@ -33,9 +37,11 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import components
-from .staging import stage
+from .staging import drop_stage, stage
 
-BLOCK = 512
+BLOCK, SALTS = 512, 16
+#: rows of a broadcast list of hot keys: at most 16 bytes each
+FEW = 1_000_000
 U64 = np.uint64
 
 
@@ -72,26 +78,151 @@ def _signatures(shingle: int, bands: int, rows: int):
             n = np.zeros(rb.num_rows, np.int64)
             fp = np.zeros((rb.num_rows, 2), U64)
             keys = np.zeros((rb.num_rows, bands), U64)
+            sig = [b""] * rb.num_rows
             for r, s in _sets(rb, shingle):
                 n[r] = len(s)
                 fp[r] = s.sum(dtype=U64), tk.mix(s + U64(0x5851F42D4C957F2D)).sum(dtype=U64)
-                keys[r] = tk.mix((minima(s, a, b).reshape(bands, rows) * coef).sum(axis=1, dtype=U64) + salt)
+                m = minima(s, a, b)
+                keys[r] = tk.mix((m.reshape(bands, rows) * coef).sum(axis=1, dtype=U64) + salt)
+                sig[r] = (m & U64(255)).astype(np.uint8).tobytes()
             key_list = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
             f = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), key_list], ["doc_id", "n_shingles", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), key_list, pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys", "sig"])
 
     return run
 
 
-def _full_sets(shingle: int, hashes: int):
+def _full_sets(shingle: int):
     def run(batches):
-        a, b = universal(hashes)
         for rb in batches:
             ids = rb.column(0).to_pylist()
-            out = [(ids[r], s.tobytes(), (minima(s, a, b) & U64(255)).astype(np.uint8).tobytes()) for r, s in _sets(rb, shingle)]
+            out = [(ids[r], s.tobytes()) for r, s in _sets(rb, shingle)]
             for i in range(0, len(out), 1000):
                 c = list(zip(*out[i : i + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], ["cls", "items", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["cls", "items"])
+
+    return run
+
+
+class Alike:
+    """Signatures of ``hashes`` bytes that may belong to sets at ``percent`` or more.
+
+    The floor is five and a half standard deviations under the threshold; 1 in 256 bytes agrees by chance.
+    """
+
+    def __init__(self, percent: int, hashes: int):
+        s = percent / 100
+        self.percent, self.floor = percent, int(hashes * s - 5.5 * (hashes * s * (1 - s)) ** 0.5)
+
+    def __call__(self, sigs: np.ndarray, n: np.ndarray, sig: np.ndarray, k: int) -> np.ndarray:
+        near = 100 * np.minimum(n, k) >= self.percent * np.maximum(n, k)
+        if near.any():
+            near[near] = (sigs[near] == sig).sum(axis=1) >= self.floor
+        return near
+
+
+def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _pairs(rows: list[tuple], names=("a", "b")) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], list(names))
+
+
+def _stars(link):
+    """Rows (lead, lot, asks, cls, ...) sorted so that the leader's own come first; (lead, cls) of the followers that ``link`` finds."""
+
+    def run(batches):
+        key, own, out = None, [], []
+        for rb in batches:
+            lead, lot, asks, cls = (rb.column(i).to_pylist() for i in range(4))
+            rest = rb.columns[4:]
+            for r in range(rb.num_rows):
+                if (lead[r], lot[r]) != key:
+                    key, own = (lead[r], lot[r]), []
+                x = [c[r] for c in rest]
+                if not asks[r]:
+                    own.append(x)
+                elif any(link(y, x) for y in own):
+                    out.append((lead[r], cls[r]))
+            if len(out) > 1000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return run
+
+
+def _by_signature(alike: Alike):
+    def link(a, b):
+        n = np.array([a[0].as_py()])
+        return bool(alike(np.frombuffer(a[1].as_buffer(), np.uint8)[None, :], n, np.frombuffer(b[1].as_buffer(), np.uint8), b[0].as_py())[0])
+
+    return link
+
+
+def _by_set(percent: int):
+    return lambda a, b: _linked(percent, np.frombuffer(a[0].as_buffer(), U64), np.frombuffer(b[0].as_buffer(), U64))
+
+
+def _groups(rb, state):
+    """(new group?, row) for rows that lead with (key, b)."""
+    k, b = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+    for r in range(rb.num_rows):
+        new = (k[r], b[r]) != state[0]
+        state[0] = (k[r], b[r])
+        yield new, r
+
+
+def _suspects(alike: Alike):
+    """Rows (key, b, asks, cls, comp, n, sig), those of a block first; (key, cls) of all that may be linked with another component."""
+
+    def run(batches):
+        state, out = [None], set()
+        held: list[tuple] = []
+        block = None
+
+        def close():
+            sigs, n, comp = np.stack([h[3] for h in held]), np.array([h[2] for h in held]), np.array([h[1] for h in held])
+            return [h[0] for h in held], sigs, n, comp
+
+        def look(key, x, comp, n, sig):
+            ids, sigs, ns, comps = block
+            for y in np.flatnonzero(alike(sigs, ns, sig, n) & (comps != comp)):
+                out.add((key, ids[y]))
+                out.add((key, x))
+
+        def within(key):
+            for h in held:
+                look(key, *h)
+
+        for rb in batches:
+            asks, x, comp, n = (rb.column(i).to_pylist() for i in (2, 3, 4, 5))
+            key = state[0]
+            for new, r in _groups(rb, state):
+                if new:
+                    if held and block is None:
+                        block = close()
+                        within(key[0])
+                    held, block = [], None
+                    key = state[0]
+                row = (x[r], comp[r], n[r], np.frombuffer(rb.column(6)[r].as_buffer(), np.uint8))
+                if not asks[r]:
+                    held.append(row)
+                elif held:
+                    if block is None:
+                        block = close()
+                        within(key[0])
+                    look(key[0], *row)
+            if len(out) > 1000:
+                yield _pairs(sorted(out), ("key", "cls"))
+                out = set()
+        if held and block is None:
+            block = close()
+            within(state[0][0])
+        yield _pairs(sorted(out), ("key", "cls"))
 
     return run
 
@@ -99,42 +230,37 @@ def _full_sets(shingle: int, hashes: int):
 class _Block:
     """Members of one block, indexed by shingle."""
 
-    def __init__(self, percent: int, floor: int):
-        self.percent, self.floor = percent, floor
+    def __init__(self, percent: int):
+        self.percent = percent
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
-        self.sigs: list[np.ndarray] = []
-        self.index = None
+        self.comps: list[int] = []
+        self.closed = False
 
-    def put(self, x, items, sig):
+    def put(self, x, comp, items):
         self.ids.append(x)
+        self.comps.append(comp)
         self.sets.append(items)
-        self.sigs.append(sig)
 
     def close(self):
-        """Index the block and yield the edges that span its own components."""
+        """Index the block and yield the edges that join its own components."""
         self.n = np.array([len(s) for s in self.sets])
-        self.sig = np.stack(self.sigs)
         every = np.concatenate(self.sets)
         own = np.repeat(np.arange(len(self.sets)), self.n)
         order = np.argsort(every, kind="stable")
         self.items, self.at = np.unique(every[order], return_index=True)
         self.at = np.append(self.at, len(every))
         self.own = own[order]
-        self.root = np.arange(len(self.ids))
-        self.index = True
+        self.root, self.closed = np.array(self.comps), True
         for i in range(1, len(self.ids)):
-            yield from self.match(self.ids[i], self.sets[i], self.sig[i], i)
+            yield from self.match(self.ids[i], self.comps[i], self.sets[i], i)
 
-    def match(self, x, items, sig, below: int | None = None):
-        """An edge from ``x`` to each component of the block that it is linked with."""
+    def match(self, x, comp, items, below: int | None = None):
+        """An edge from ``x`` to each component of the block, but its own, that it is linked with."""
         m = len(self.ids) if below is None else below
-        like = (self.sig[:m] == sig).sum(axis=1) >= self.floor
         n, k = self.n[:m], len(items)
-        like &= (100 * np.minimum(n, k) >= self.percent * np.maximum(n, k))
-        if below is not None:
-            like &= self.root[:m] != self.root[below]
-        j = np.flatnonzero(like)
+        near = (100 * np.minimum(n, k) >= self.percent * np.maximum(n, k)) & (self.root[:m] != (comp if below is None else self.root[below]))
+        j = np.flatnonzero(near)
         if not len(j):
             return
         if len(j) <= 4:
@@ -158,75 +284,109 @@ class _Block:
                 self.root[self.root == self.root[below]] = r
 
 
-def _confirm(percent: int, hashes: int):
-    # five and a half standard deviations below the threshold, and 1 in 256 agreements by chance
-    s = percent / 100
-    floor = int(hashes * s - 5.5 * (hashes * s * (1 - s)) ** 0.5)
+def _confirm(percent: int):
+    """Rows (key, b, asks, cls, comp, items), those of a block first; the edges between components."""
 
     def run(batches):
-        key, block, out = None, None, []
-
-        def flush():
-            nonlocal out
-            c = list(zip(*out, strict=True)) or [(), ()]
-            out = []
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], ["a", "b"])
-
+        state, block, out = [None], None, []
         for rb in batches:
-            g, b, asks, x = (rb.column(i).to_pylist() for i in range(4))
-            for r in range(rb.num_rows):
-                if (g[r], b[r]) != key:
-                    if block is not None and block.ids and not block.index:
+            asks, x, comp = (rb.column(i).to_pylist() for i in (2, 3, 4))
+            for new, r in _groups(rb, state):
+                if new:
+                    if block is not None and block.ids and not block.closed:
                         out += block.close()
-                    key, block = (g[r], b[r]), _Block(percent, floor)
-                items = np.frombuffer(rb.column(4)[r].as_buffer(), U64)
-                sig = np.frombuffer(rb.column(5)[r].as_buffer(), np.uint8)
+                    block = _Block(percent)
+                items = np.frombuffer(rb.column(5)[r].as_buffer(), U64)
                 if not asks[r]:
-                    block.put(x[r], items, sig)
+                    block.put(x[r], comp[r], items)
                 elif block.ids:
-                    if not block.index:
+                    if not block.closed:
                         out += block.close()
-                    out += block.match(x[r], items, sig)
+                    out += block.match(x[r], comp[r], items)
             if len(out) > 1000:
-                yield flush()
-        if block is not None and block.ids and not block.index:
+                yield _pairs(out)
+                out = []
+        if block is not None and block.ids and not block.closed:
             out += block.close()
-        yield flush()
+        yield _pairs(out)
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A hint to broadcast where the rows are counted and few."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _meet(stars: DataFrame, data: DataFrame, link, parts: int) -> DataFrame:
+    """The (a, b) of ``stars`` (lead, cls) whose ``data`` (cls, ...) ``link`` joins; hot leaders are shared out in lots."""
+    hot = stars.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("lead", F.ceil(F.col("m") / BLOCK).alias("lots"))
+    mine = stars.join(_few(hot), "lead", "left").select("lead", F.pmod(F.xxhash64("cls"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"), F.lit(True).alias("asks"), "cls")
+    leads = mine.select("lead", "lot").distinct().select("lead", "lot", F.lit(False).alias("asks"), F.col("lead").alias("cls"))
+    rows = mine.unionByName(leads).join(data, "cls").select("lead", "lot", "asks", "cls", *[c for c in data.columns if c != "cls"])
+    dealt = rows.repartition(parts, "lead", "lot").sortWithinPartitions("lead", "lot", "asks")
+    return dealt.mapInArrow(_stars(link), "a long, b long").distinct()
+
+
+def _visits(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, b, asks, cls, comp): in each bucket with several components, besides its leader, the blocks of members outside the largest and who visits them."""
+    e = entries.filter("cls <> lead and n > 2").join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    mixed = e.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("lo <> hi")
+    # buckets of the same members are one
+    mixed = mixed.groupBy("m", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    e = stage(e.join(mixed, "key", "left_semi"), "mixed")
+    top = e.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
+    top = top.select("key", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("lots"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    x = e.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(top, ["key", "salt"])
+    x = x.withColumn("own", F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("cls", "key"), F.col("lots")).cast("int")))
+    held = x.filter("own is not null").select("key", F.col("own").alias("b"), F.lit(False).alias("asks"), "cls", "comp")
+    # a held member visits the blocks after its own, as the earlier ones visit it
+    goes = F.filter(F.sequence(F.lit(0), F.col("lots") - 1), lambda b: F.col("own").isNull() | (b > F.col("own")))
+    return held.unionByName(x.select("key", F.explode(goes).alias("b"), F.lit(True).alias("asks"), "cls", "comp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` of their shingle sets.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = Alike(percent, bands * rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stage(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signatures")
+    base = stage(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "signatures")
     real = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), F.max("n_shingles").alias("_n"))
-    reps = real.join(classes.select("f1", "f2", F.col("cls").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
-    keyed = stage(reps.dropDuplicates(["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("cls"), F.explode("keys").alias("key")), "bands")
-    leaders = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key", "lead")
-    groups = stage(keyed.join(leaders, "key").select("lead", "cls").distinct(), "groups")
-    # leaders that stand in another leader's group hand their group over to it: fewer groups, same pairs
-    up = groups.filter("lead < cls").groupBy("cls").agg(F.min("lead").alias("to")).withColumnRenamed("cls", "lead")
-    groups = stage(groups.join(up, "lead", "left").select(F.coalesce("to", "lead").alias("g"), "cls").distinct(), "groups2")
-    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(size, "g").select("g", "cls", "blocks", F.pmod(F.xxhash64("cls", "g"), F.col("blocks")).cast("int").alias("b"))
-    # block b visits the half of the blocks that follows it in the round, so each block has as many visitors
-    visits = placed.select("g", "cls", "blocks", "b", F.explode(F.sequence(F.lit(0), (F.col("blocks") / 2).cast("int"))).alias("d"))
-    asked = stage(visits.select("g", F.pmod(F.col("b") + F.col("d"), "blocks").alias("b"), (F.col("d") > 0).alias("asks"), "cls"), "placed")
-    used = asked.select(F.col("cls").alias("doc_id")).distinct()
-    hashes = bands * rows
-    # one plan at every size: the texts of all documents meet the ids by a shuffle
-    sets = stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(shingle, hashes), "cls long, items binary, sig binary"), "sets")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.join(sets, "cls").select("g", "b", "asks", "cls", "items", "sig").repartition(parts, "g", "b").sortWithinPartitions("g", "b", "asks", "cls")
-    edges = stage(dealt.mapInArrow(_confirm(percent, hashes), "a long, b long").distinct(), "edges")
-    comp = components(edges, "a", "b")
+    classes = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"))
+    reps = real.join(classes.select("f1", "f2", F.col("cls").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["f1", "f2", "doc_id"])
+    reps = stage(reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sig", "keys"), "classes")
+    keyed = reps.select("cls", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = stage(keyed.join(leaders, "key").select("key", "lead", "n", "cls"), "buckets")
+    signs = reps.select("cls", "n", "sig")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        # one plan at every size: the texts of all documents meet the ids by a shuffle
+        used = ids.select(F.col("cls").alias("doc_id")).distinct()
+        return stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(shingle), "cls long, items binary"), "sets")
+
+    stars = stage(entries.filter("lead < cls").select("lead", "cls").distinct(), "stars")
+    likely = stage(_meet(stars, signs, _by_signature(alike), parts).select(F.col("a").alias("lead"), F.col("b").alias("cls")), "likely")
+    full = sets(likely.select("cls").unionByName(likely.select(F.col("lead").alias("cls"))))
+    edges = stage(_meet(likely, full, _by_set(percent), parts), "edges")
+    drop_stage(stars, likely, full)
+    comp = stage(components(edges, "a", "b"), "components")
+    visits = stage(_visits(entries, comp), "visits")
+    if visits.limit(1).count():
+        order = ["key", "b", "asks", "cls"]
+        seen = visits.join(signs, "cls").select(*order, "comp", "n", "sig").repartition(parts, "key", "b").sortWithinPartitions(*order)
+        some = stage(seen.mapInArrow(_suspects(alike), "key long, cls long").distinct(), "suspects")
+        full = sets(some.select("cls"))
+        dealt = visits.join(some, ["key", "cls"], "left_semi").join(full, "cls").select(*order, "comp", "items").repartition(parts, "key", "b").sortWithinPartitions(*order)
+        more = stage(dealt.mapInArrow(_confirm(percent), "a long, b long").distinct(), "edges")
+        if more.limit(1).count():
+            comp = stage(components(edges.unionByName(more), "a", "b"), "components")
+        drop_stage(some, full, more)
+    drop_stage(entries, edges, visits, reps)
     known = classes.join(comp, classes["cls"] == comp["node"], "left").select("f1", "f2", F.coalesce("component", "cls").alias("comp"))
-    known = known.withColumn("some", F.lit(True))
     out = base.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
     c = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     c = F.when(F.col("doc_id").isNotNull(), c)
@@ -236,4 +396,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
     gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__d"], "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__d"], "left_anti")
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 and __d is not null").select("__d")
+    if not again.limit(1).count():
+        return left
+    again = stage(again, "repeated")
+    once = left.join(again, left["doc_id"].cast("long") == again["__d"], "left_anti")
+    return once.unionByName(left.join(again, left["doc_id"].cast("long") == again["__d"], "left_semi").dropDuplicates(["doc_id", "text"]))

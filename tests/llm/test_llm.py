@@ -1,4 +1,4 @@
-"""Every operator against brute force, and its defined results for odd rows."""
+"""The operators against brute force, exact round trips or held-out labels, and their defined results for odd rows."""
 
 import collections
 import hashlib
@@ -59,8 +59,10 @@ def shingle_set(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_brute_force(spark, k):
+@pytest.mark.parametrize("k,options", [(2, {}), (5, {}), (2, {"bands": 240, "rows": 1})])
+def test_near_duplicates_brute_force(spark, k, options, monkeypatch):
+    if options:  # buckets of unrelated documents, in small blocks
+        monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
     rows = corpus() + [(i, t) for i, t, *_ in ODD] + [(950 + i, "same words in all of these copies of a text") for i in range(30)]
     sets = {i: shingle_set(t, k) for i, t in rows if i is not None}
     up = {i: i for i in sets}
@@ -76,7 +78,7 @@ def test_near_duplicates_brute_force(spark, k):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
-    got = minhash_dedup.near_duplicates(make(spark, rows).withColumn("cls", F.lit(1)).withColumn("key", F.lit(2)), shingle=k).collect()
+    got = minhash_dedup.near_duplicates(make(spark, rows).withColumn("cls", F.lit(1)).withColumn("key", F.lit(2)), shingle=k, **options).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
@@ -97,6 +99,10 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     got = minhash_dedup.near_duplicates(make(spark, rows)).collect()
     assert {r["component_id"] for r in got} == {0}
     assert minhash_dedup.keep_one(make(spark, rows)).count() == 1
+    again = make(spark, [(0, rows[0][1]), (0, rows[0][1]), (0, "other text under the id"), (5, "alone " * 7), (5, "alone " * 7), (None, "x"), (None, "x"), (6, None), (7, "")])
+    left = minhash_dedup.keep_one(again)
+    assert left.columns == again.columns and collections.Counter(x["doc_id"] for x in left.collect()) == {0: 2, 5: 1, None: 2, 6: 1, 7: 1}
+    assert minhash_dedup.keep_one(again.limit(0)).count() == 0 and minhash_dedup.near_duplicates(again.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -166,6 +172,118 @@ def test_random_indexing_is_a_plain_sum(spark):
     assert np.array_equal(a, b)
 
 
+def test_random_indexing_and_pooling_brute_force(spark):
+    rows = [(i, t) for i, t in corpus(25)] + [(40, "Mixed CASE words, 12 signs!! and and and"), (41, None), (42, "")]
+    kinds = r"[a-z\x80-\U0010ffff]+|[A-Z]+|[0-9]+|[^\sa-zA-Z0-9\x80-\U0010ffff]+"
+    places, signs = quality.index_vectors()
+    said = {i: re.findall(kinds, t or "") for i, t in rows}
+    bucket = {}
+    for _, w in quality._buckets(pa.array([" ".join(x) for x in said.values()])):
+        bucket |= dict(zip([x for v in said.values() for x in v], w.tolist(), strict=True))
+    m = np.zeros((quality.BUCKETS, quality.DIM))
+    for w in said.values():
+        for i, x in enumerate(w):
+            for j in range(max(0, i - quality.WINDOW), min(len(w), i + quality.WINDOW + 1)):
+                if i != j:
+                    for p, s in zip(places[bucket[w[j]]], signs[bucket[w[j]]], strict=True):
+                        m[bucket[x], p] += s
+    unit = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    assert np.array_equal(quality.word_vectors(make(spark, rows)), unit)
+    pooled = quality._pooled(pa.array([t for _, t in rows]), unit)
+    for got, w in zip(pooled, said.values(), strict=True):
+        v = np.array([unit[bucket[x]] for x in w]).reshape(len(w), quality.DIM)
+        want = np.concatenate([v.mean(axis=0), v.std(axis=0)]) if len(w) else np.zeros(2 * quality.DIM)
+        echo = sum(x in w[max(0, i - 3) : i] and bool(re.match(r"[a-z\x80-\U0010ffff]", x)) for i, x in enumerate(w))
+        assert np.allclose(got, [*want, math.log1p(len(w)), echo / max(1, len(w))], atol=2e-3), w
+
+
+def test_network_gradient_and_temperature():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 5))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * x[:, 0]))).astype(float)
+    net = quality.Network(x[:2000], y[:2000])
+    p = net(x[2000:])
+    # two layers by hand
+    z = (x[2000:] - net.mean) / net.std
+    by_hand = [1 / (1 + math.exp(-sum(net.p[2][k] * math.tanh(sum(z[i, j] * net.p[0][j, k] for j in range(5)) + net.p[1][k]) for k in range(32)) / net.t - net.p[3][0] / net.t)) for i in range(5)]
+    assert np.allclose(p[:5], by_hand)
+    # calibrated: among rows of like score, the share of ones is the score
+    for lo in (0.0, 0.25, 0.5, 0.75):
+        own = (p >= lo) & (p < lo + 0.25)
+        assert abs(p[own].mean() - y[2000:][own].mean()) < 0.12
+
+
+def test_quality_of_odd_rows(spark):
+    r = random.Random(21)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) + ("" if i % 2 else "##") for _ in range(30))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 0)], "doc_id long, quality int").withColumn("text", F.lit("clash")).withColumn("y", F.lit(1))
+    odd = rows + [(7, rows[7][1]), (7, "other words under one id"), (None, rows[9][1]), (500, "word " * 700_000)]
+    d = make(spark, odd).withColumn("y", F.lit(2)).withColumn("vec", F.lit(3)).withColumn("quality", F.lit(0))
+    got = quality.score(d, labels).collect()
+    by = collections.defaultdict(set)
+    for x in got:
+        by[x["doc_id"]].add(round(x["score"], 12))
+    assert len(got) == len(odd) and len(by[7]) == 2 and by[None] == by[9]
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and collections.Counter(x["doc_id"] for x in kept.collect()) == collections.Counter(x["doc_id"] for x in got if x["score"] >= 0.7)
+
+
+def every_reading(span, model):
+    """(cost, reading) of every path of a span's lattice."""
+    text, out = span.lower(), []
+
+    def go(i, k, cost, said):
+        if i == len(text):
+            out.append((cost + (model.cost[k[0], k[1], 0] if k[1] else 0), said))
+            return
+        c, t = text[i], toxicity
+        arcs = [(0.0, c)]
+        if c in t.STANDS:
+            arcs = [(t.COST_SIGN, x) for x in t.STANDS[c]] + [(t.COST_KEPT, c)]
+        elif c in t.SEPARATORS:
+            arcs = [(t.COST_SEPARATOR, ""), (t.COST_SPACE, " ")]
+        elif (i and text[i - 1] == c) or (i > 1 and text[i - 2] == c and text[i - 1] in t.SEPARATORS):
+            arcs.append((t.COST_REPEAT, ""))
+        for w, x in arcs:
+            if x.isalpha():
+                a, b, n = *k, cost + w
+                for s in x.encode():
+                    n += model.cost[a, b, t.SYMBOL[s]]
+                    a, b = b, t.SYMBOL[s]
+                go(i + 1, (a, b), n, said + x)
+            elif x:
+                go(i + 1, (0, 0), cost + w + (model.cost[k[0], k[1], 0] if k[1] else 0), said + x)
+            else:
+                go(i + 1, k, cost + w, said)
+
+    go(0, (0, 0), 0.0, "")
+    return out
+
+
+def test_viterbi_against_enumeration(spark):
+    model = toxicity.char_model(make(spark, [(i, "the idiot walks past a green house and the stone moron idiot ßé") for i in range(50)]))
+    r = random.Random(12)
+    for _ in range(150):
+        span = "".join(r.choice("idot10@s..-- mruéß") for _ in range(r.randint(1, 8))).strip()
+        if not span:
+            continue
+        paths = every_reading(span, model)
+        best, got = min(paths)[0], toxicity.decode(span, model)
+        assert any(said == got and abs(cost - best) < 1e-3 for cost, said in paths), (span, got, min(paths))
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, f"the {'idiot' if i % 2 else 'house'} is green {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int").withColumn("text", F.lit("clash")).withColumn("y", F.lit(1))
+    odd = rows + [(1, rows[1][1]), (1, "green house"), (None, "an idiot"), (500, "the house is green " * 60_000 + "1d10t"), (501, "x" * 300_000), (502, None), (503, "")]
+    d = make(spark, odd).withColumn("y", F.lit(2)).withColumn("gram", F.lit(3)).withColumn("toxic", F.lit(0))
+    got = toxicity.score(d, labels).collect()
+    by = collections.defaultdict(set)
+    for x in got:
+        by[x["doc_id"]].add(x["predicted"])
+    assert len(got) == len(odd) and by[1] == {0, 1} and by[None] == {1} and by[500] == {1} and by[501] == {0} and by[502] == by[503]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     clean = lambda: [r.choice(["the", "house", "is", "green", "and", "tall", "river", "stone", "walks"]) for _ in range(30)]
@@ -359,6 +477,68 @@ def test_license_scan_takes_every_rule_whole(spark):
         assert not label.endswith("-or-later") or label in got[100 + i], (text[i], label, got[100 + i])
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-3-clause": "Neither the name of the University of Some Town nor the names of its contributors may be used to endorse or promote products derived from this software without permission",
+    "zlib": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one",
+    "epl-2.0": "made available under the terms of the Eclipse Public License v. 2.0 which is available at",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "gpl-2-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "cc-by-sa-4.0": "This work is licensed under CC BY-SA 4.0.",
+}
+
+
+def test_license_scan_of_standard_notices(spark):
+    got = {x["doc_id"]: x for x in license_scan.scan(make(spark, list(enumerate(NOTICES.values())))).collect()}
+    for i, label in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, (label, got[i]["labels"])
+
+
+def resolved(text):
+    """Labels of a text by a plain loop over rules, windows and detections."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(ASCII))
+    before, after = license_scan.reach()
+    found = []
+    for i, x in enumerate(w):
+        for order, second, regex, label, prio in license_scan.keywords().get(x, ()):
+            lo = max(0, i - before)
+            window = " ".join([*w[lo:i], license_scan.MARK + x, *w[i + 1 : i + 1 + after]])
+            m = re.search(regex.replace("\\b", r"\b"), window, re.ASCII) if second in window else None
+            if m:
+                start = i - m[0].split(license_scan.MARK)[0].count(" ")
+                found.append((start, -(start + m[0].count(" ")), prio, order, label))
+    out, tops = set(), {1: -1, 2: -1, 3: -1}
+    for _, back, prio, _, label in sorted(found):
+        if max(tops[p] for p in range(1, prio + 1)) < -back:
+            out.add(label)
+        tops[prio] = max(tops[prio], -back)
+    for p, label in license_scan.BASE.items():
+        if f" {p} " in f" {' '.join(w)} ":
+            out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_scan_brute_force(spark):
+    r = random.Random(17)
+    pieces = [*NOTICES.values(), "Released under the MIT License", "GPLv3+", "under the mit license", "cc by nc 4.0", "All rights reserved", "Copyright (c) 2019 someone", "see the LICENSE file", "SPDX-License-Identifier: BSD-3-Clause", "BSD 3-clause license", "plain words stand here"]
+    rows = []
+    for i in range(150):
+        t = " ".join(r.choice(pieces) for _ in range(r.randint(1, 5))).split(" ")
+        for _ in range(r.randint(0, 3)):
+            del t[r.randrange(len(t))]
+        rows.append((i, " ".join(t)))
+    rows += [(500, rows[0][1]), (500, rows[0][1]), (None, rows[1][1])]
+    d = make(spark, rows).withColumn("words", F.lit(1)).withColumn("at", F.lit("x")).withColumn("labels", F.lit("y"))
+    got = collections.Counter((x["doc_id"], x["labels"]) for x in license_scan.scan(d).collect())
+    assert got == collections.Counter((i, resolved(t)) for i, t in rows)
+
+
 def fill(sizes, weights, total, cap=2):
     caps = {k: cap * v for k, v in sizes.items()}
     done, left, out = set(), float(total), {}
@@ -445,7 +625,49 @@ def test_pii(spark):
     assert x.replace(" ", "") == y and pii.luhn(y) and y != "4111111111111111"
     assert re.search(r'token = "[0-9a-f]{40}"', got[4]["text"]) and "04dbebab" not in got[4]["text"]
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+)", got[5]["text"])
-    assert m[1] in pii.FEMALE and m[2] == m[3] and m[2] != "Keller"
+    assert m[1] in pii.POOLS["given-f"] and m[2] == m[3] and m[2] != "Keller"
+
+
+def test_pii_kinds(spark):
+    """Every planted entity goes from every document, keeps its shape, and is one in all its forms; what only looks like one stays."""
+    forms = {
+        "phone": ["+1 (417) 555-7713", "(417) 555-7713", "417-555-7713"], "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], "ip6": ["2001:db8:0:0:0:ff00:42:8329", "2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329"],
+        "secret": ["password = swordfish", 'token: "opensesame"', "secret: OpenSesaMe", "api_key=abcdefgh"], "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"], "ssn": ["078-05-1120"],
+        "names": ["Госпожа Анна Иванова", "г-н Пётр Сидоров", "Κύριος Νίκος Παπαδάκης", "my name is Walter Whitman", "Herr Müller-Lüdenscheid"],
+    }
+    plain = ["the 1234567812345678 stays", "at 12:30:45 or 10:20", "std::vector<int> a::b", "password: required", "a token is a word", "DE00 3704 0044 0532 0130 00", "version 1.2.3", "Miss the train", "9807915762804490"]
+    rows = [(i, f"begin {t} end") for i, t in enumerate([t for v in forms.values() for t in v])] + [(100 + i, t) for i, t in enumerate(plain)]
+    extra = make(spark, rows + [(0, rows[0][1]), (None, rows[1][1])]).withColumn("kinds", F.lit("x")).withColumn("own", F.lit(1)).withColumn("rid", F.lit(2))
+    out = pii.pseudonymise(extra).collect()
+    assert len(out) == len(rows) + 2
+    got = {x["doc_id"]: x for x in out}
+    for i, t in enumerate(plain):
+        assert got[100 + i]["text"] == t and got[100 + i]["n_entities"] == 0, got[100 + i]
+    k, new = 0, {}
+    for kind, ts in forms.items():
+        for t in ts:
+            x = got[k]["text"]
+            new.setdefault(kind, []).append(x.removeprefix("begin ").removesuffix(" end"))
+            own = [t[a:b] for a, b, _, _ in pii.find(t)]
+            assert own and got[k]["n_entities"] == len(own) and not any(o in x for o in own), (t, x)
+            if kind not in ("names", "ip6"):
+                assert len(x) == len(f"begin {t} end")
+            k += 1
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new["phone"]}) == 1 and new["phone"][0].startswith("+1 (")
+    assert len({x.replace(" ", "") for x in new["iban"]}) == 1 and all(pii.find(x)[0][2] == "iban" for x in new["iban"])
+    assert len({pii._six(x) for x in new["ip6"]}) == 1 and "::" in new["ip6"][1] and len(new["ip6"][2]) == 39
+    assert all(pii.luhn(re.sub(r"\D", "", x)) for x in new["card"]) and new["card"][0].replace(" ", "") == new["card"][1].replace("-", "")
+    a, b = new["names"][0].split()[1:]
+    assert a.lower() in {x.lower() for x in pii.POOLS["given-f:cyrillic"]} and b.lower() in {x.lower() for x in pii.POOLS["family-f:cyrillic"]}
+    assert pii.pseudonymise(extra.limit(0)).count() == 0
+
+
+def test_pii_shapes_grow_where_they_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "POOLS", {**pii.POOLS, "family": ("Abel", "Adler")})
+    names = sorted({"".join(c) for c in __import__("itertools").product("abc", repeat=3)}) + ["abel", "adler"]
+    s = pii.settle(spark.createDataFrame([("family", n) for n in names], "kind string, norm string"), b"k").collect()
+    done = {r["norm"]: r["surrogate"] for r in s}
+    assert set(done) == set(names) and len(set(done.values())) == len(names) and not set(done.values()) & set(names)
 
 
 def test_pii_takes_long_entities_whole(spark):
@@ -485,7 +707,7 @@ def test_pii_surrogates_are_distinct(spark, monkeypatch):
     a = {r["doc_id"]: r["text"] for r in pii.pseudonymise(make(spark, rows)).collect()}
     monkeypatch.setattr(pii, "FEW", 1)
     b = {r["doc_id"]: r["text"] for r in pii.pseudonymise(make(spark, rows)).collect()}
-    assert a == b and len(set(a.values())) == 300
+    assert a == b and len(set(a.values())) == 300 and any("-" in x for x in s)
 
 
 def test_nearest_neighbours(spark):
