@@ -9,7 +9,7 @@
    signatures agree fetch their full sets and are confirmed.  Their components join most copies of a group at once.
 4. Across: buckets that still hold several components are searched for links between them, for ids and signatures
    first again.  The members outside a bucket's largest component are held in blocks of about ``BLOCK``; all members
-   stream past them.  Pairs within a component need no look: they change nothing.
+   stream past them, in lots of about ``BLOCK``.  Pairs within a component need no look: they change nothing.
 5. Alternating large-star and small-star joins find the components of the confirmed edges.
 
 A leader with more than ``BLOCK`` followers is copied to several tasks that share them.  So every pair that shares a
@@ -167,102 +167,66 @@ def _by_set(percent: int):
     return lambda a, b: _linked(percent, np.frombuffer(a[0].as_buffer(), U64), np.frombuffer(b[0].as_buffer(), U64))
 
 
-def _groups(rb, state):
-    """(new group?, row) for rows that lead with (key, b)."""
-    k, b = rb.column(0).to_pylist(), rb.column(1).to_pylist()
-    for r in range(rb.num_rows):
-        new = (k[r], b[r]) != state[0]
-        state[0] = (k[r], b[r])
-        yield new, r
+def _held(batches, row, index, look):
+    """Rows that lead with (key, b, v, asks), those of a block first: ``look`` of ``index(held rows)`` and each row that asks."""
+    place, held, block, out = None, [], None, []
+    for rb in batches:
+        k, b, v, asks = (rb.column(i).to_pylist() for i in range(4))
+        for r, x in enumerate(row(rb)):
+            if (k[r], b[r], v[r]) != place:
+                place, held, block = (k[r], b[r], v[r]), [], None
+            if not asks[r]:
+                held.append(x)
+            elif held:
+                if block is None:
+                    block = index(held)
+                out += look(k[r], block, *x)
+        if len(out) > 1000:
+            yield out
+            out = []
+    yield out
 
 
 def _suspects(alike: Alike):
-    """Rows (key, b, asks, cls, comp, n, sig), those of a block first; (key, cls) of all that may be linked with another component."""
+    """(key, cls) of all whose signature (cls, comp, n, sig) may be linked with that of another component."""
 
-    def run(batches):
-        state, out = [None], set()
-        held: list[tuple] = []
-        block = None
-
-        def close():
-            sigs, n, comp = np.stack([h[3] for h in held]), np.array([h[2] for h in held]), np.array([h[1] for h in held])
-            return [h[0] for h in held], sigs, n, comp
+    def row(rb):
+        x, comp, n = (rb.column(i).to_pylist() for i in (4, 5, 6))
+        return ((x[r], comp[r], n[r], np.frombuffer(rb.column(7)[r].as_buffer(), np.uint8)) for r in range(rb.num_rows))
 
-        def look(key, x, comp, n, sig):
-            ids, sigs, ns, comps = block
-            for y in np.flatnonzero(alike(sigs, ns, sig, n) & (comps != comp)):
-                out.add((key, ids[y]))
-                out.add((key, x))
+    def index(held):
+        return [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.stack([h[3] for h in held])
 
-        def within(key):
-            for h in held:
-                look(key, *h)
+    def look(key, block, x, comp, n, sig):
+        ids, comps, ns, sigs = block
+        near = np.flatnonzero(alike(sigs, ns, sig, n) & (comps != comp))
+        return [(key, ids[y]) for y in near] + [(key, x)] * bool(len(near))
 
-        for rb in batches:
-            asks, x, comp, n = (rb.column(i).to_pylist() for i in (2, 3, 4, 5))
-            key = state[0]
-            for new, r in _groups(rb, state):
-                if new:
-                    if held and block is None:
-                        block = close()
-                        within(key[0])
-                    held, block = [], None
-                    key = state[0]
-                row = (x[r], comp[r], n[r], np.frombuffer(rb.column(6)[r].as_buffer(), np.uint8))
-                if not asks[r]:
-                    held.append(row)
-                elif held:
-                    if block is None:
-                        block = close()
-                        within(key[0])
-                    look(key[0], *row)
-            if len(out) > 1000:
-                yield _pairs(sorted(out), ("key", "cls"))
-                out = set()
-        if held and block is None:
-            block = close()
-            within(state[0][0])
-        yield _pairs(sorted(out), ("key", "cls"))
+    def run(batches):
+        for out in _held(batches, row, index, look):
+            yield _pairs(sorted(set(out)), ("key", "cls"))
 
     return run
 
 
 class _Block:
-    """Members of one block, indexed by shingle."""
+    """Members (cls, comp, set) of one block, indexed by shingle."""
 
-    def __init__(self, percent: int):
+    def __init__(self, held: list[tuple], percent: int):
         self.percent = percent
-        self.ids: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.comps: list[int] = []
-        self.closed = False
-
-    def put(self, x, comp, items):
-        self.ids.append(x)
-        self.comps.append(comp)
-        self.sets.append(items)
-
-    def close(self):
-        """Index the block and yield the edges that join its own components."""
-        self.n = np.array([len(s) for s in self.sets])
-        every = np.concatenate(self.sets)
-        own = np.repeat(np.arange(len(self.sets)), self.n)
+        self.ids, comps, self.sets = zip(*held, strict=True)
+        self.comps, self.n = np.array(comps), np.array([len(s) for s in self.sets])
+        every, own = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.n)
         order = np.argsort(every, kind="stable")
-        self.items, self.at = np.unique(every[order], return_index=True)
-        self.at = np.append(self.at, len(every))
-        self.own = own[order]
-        self.root, self.closed = np.array(self.comps), True
-        for i in range(1, len(self.ids)):
-            yield from self.match(self.ids[i], self.comps[i], self.sets[i], i)
-
-    def match(self, x, comp, items, below: int | None = None):
+        self.items, at = np.unique(every[order], return_index=True)
+        self.at, self.own = np.append(at, len(every)), own[order]
+
+    def match(self, x, comp, items):
         """An edge from ``x`` to each component of the block, but its own, that it is linked with."""
-        m = len(self.ids) if below is None else below
-        n, k = self.n[:m], len(items)
-        near = (100 * np.minimum(n, k) >= self.percent * np.maximum(n, k)) & (self.root[:m] != (comp if below is None else self.root[below]))
-        j = np.flatnonzero(near)
+        n, k = self.n, len(items)
+        j = np.flatnonzero((100 * np.minimum(n, k) >= self.percent * np.maximum(n, k)) & (self.comps != comp))
         if not len(j):
-            return
+            return []
         if len(j) <= 4:
             both = np.array([len(np.intersect1d(items, self.sets[y], assume_unique=True)) for y in j])
         else:
@@ -273,42 +237,20 @@ class _Block:
             idx = np.repeat(s - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(int(c.sum())) if len(p) else np.zeros(0, np.int64)
             both = np.bincount(self.own[idx], minlength=len(self.ids))[j]
         j = j[100 * both >= self.percent * (n[j] + k - both)]
-        seen = set()
-        for y in j:
-            r = int(self.root[y])
-            if r in seen or self.ids[y] == x:
-                continue
-            seen.add(r)
-            yield x, self.ids[y]
-            if below is not None:
-                self.root[self.root == self.root[below]] = r
+        _, first = np.unique(self.comps[j], return_index=True)
+        return [(x, self.ids[y]) for y in j[first]]
 
 
 def _confirm(percent: int):
-    """Rows (key, b, asks, cls, comp, items), those of a block first; the edges between components."""
+    """The edges between components, from rows that end with (cls, comp, set)."""
+
+    def row(rb):
+        x, comp = rb.column(4).to_pylist(), rb.column(5).to_pylist()
+        return ((x[r], comp[r], np.frombuffer(rb.column(6)[r].as_buffer(), U64)) for r in range(rb.num_rows))
 
     def run(batches):
-        state, block, out = [None], None, []
-        for rb in batches:
-            asks, x, comp = (rb.column(i).to_pylist() for i in (2, 3, 4))
-            for new, r in _groups(rb, state):
-                if new:
-                    if block is not None and block.ids and not block.closed:
-                        out += block.close()
-                    block = _Block(percent)
-                items = np.frombuffer(rb.column(5)[r].as_buffer(), U64)
-                if not asks[r]:
-                    block.put(x[r], comp[r], items)
-                elif block.ids:
-                    if not block.closed:
-                        out += block.close()
-                    out += block.match(x[r], comp[r], items)
-            if len(out) > 1000:
-                yield _pairs(out)
-                out = []
-        if block is not None and block.ids and not block.closed:
-            out += block.close()
-        yield _pairs(out)
+        for out in _held(batches, row, lambda held: _Block(held, percent), lambda _, block, *x: block.match(*x)):
+            yield _pairs(out)
 
     return run
 
@@ -329,20 +271,21 @@ def _meet(stars: DataFrame, data: DataFrame, link, parts: int) -> DataFrame:
 
 
 def _visits(entries: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, b, asks, cls, comp): in each bucket with several components, besides its leader, the blocks of members outside the largest and who visits them."""
+    """(key, b, v, asks, cls, comp): in each bucket with several components, besides its leader, the blocks of members outside the largest and, in lots, who visits them."""
     e = entries.filter("cls <> lead and n > 2").join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = e.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("lo <> hi")
     # buckets of the same members are one
     mixed = mixed.groupBy("m", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
     e = stage(e.join(mixed, "key", "left_semi"), "mixed")
     top = e.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
-    top = top.select("key", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("lots"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lots = lambda n: F.ceil(n / BLOCK).cast("int")
+    top = top.select("key", F.col("top.comp").alias("main"), lots(F.col("m") - F.col("top.c")).alias("blocks"), lots(F.col("m")).alias("lots"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     x = e.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(top, ["key", "salt"])
-    x = x.withColumn("own", F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("cls", "key"), F.col("lots")).cast("int")))
-    held = x.filter("own is not null").select("key", F.col("own").alias("b"), F.lit(False).alias("asks"), "cls", "comp")
-    # a held member visits the blocks after its own, as the earlier ones visit it
-    goes = F.filter(F.sequence(F.lit(0), F.col("lots") - 1), lambda b: F.col("own").isNull() | (b > F.col("own")))
-    return held.unionByName(x.select("key", F.explode(goes).alias("b"), F.lit(True).alias("asks"), "cls", "comp"))
+    x = x.withColumn("own", F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int")))
+    held = x.filter("own is not null").select("key", F.col("own").alias("b"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("v"), F.lit(False).alias("asks"), "cls", "comp")
+    # a held member visits its own block and those after it, as the members of earlier ones visit it
+    goes = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("own").isNull() | (b >= F.col("own")))
+    return held.unionByName(x.select("key", F.explode(goes).alias("b"), F.pmod(F.xxhash64("key", "cls"), F.col("lots")).cast("int").alias("v"), F.lit(True).alias("asks"), "cls", "comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -376,11 +319,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     comp = stage(components(edges, "a", "b"), "components")
     visits = stage(_visits(entries, comp), "visits")
     if visits.limit(1).count():
-        order = ["key", "b", "asks", "cls"]
-        seen = visits.join(signs, "cls").select(*order, "comp", "n", "sig").repartition(parts, "key", "b").sortWithinPartitions(*order)
+        order = ["key", "b", "v", "asks", "cls"]
+        seen = visits.join(signs, "cls").select(*order, "comp", "n", "sig").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
         some = stage(seen.mapInArrow(_suspects(alike), "key long, cls long").distinct(), "suspects")
         full = sets(some.select("cls"))
-        dealt = visits.join(some, ["key", "cls"], "left_semi").join(full, "cls").select(*order, "comp", "items").repartition(parts, "key", "b").sortWithinPartitions(*order)
+        dealt = visits.join(some, ["key", "cls"], "left_semi").join(full, "cls").select(*order, "comp", "items").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
         more = stage(dealt.mapInArrow(_confirm(percent), "a long, b long").distinct(), "edges")
         if more.limit(1).count():
             comp = stage(components(edges.unionByName(more), "a", "b"), "components")
