@@ -1,13 +1,13 @@
 """The genotype grid that queries derive from sales tables.
 
-A supplier is a sample, its region the stratum; ``l_partkey % 200`` is a marker.  A line item is a read of the
+A supplier is a sample, its region the stratum; ``l_partkey % 200`` is a marker; all ordered pairs of bases occur as alleles.  A line item is a read of the
 alternate allele if its quantity is at most ``marker % 26``, else of the reference allele.  The grid is
 suppliers by markers; a cell without reads is a missing genotype.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.genotypes import gt_bin_from_depth
@@ -29,10 +29,14 @@ def markers(spark: SparkSession) -> DataFrame:
     return spark.range(N_MARKERS).select(F.col("id").cast("int").alias("m")).select("m", *marker_columns())
 
 
+def base(i) -> Column:
+    return F.substring(F.lit("ACGT"), (i + 1).cast("int"), F.lit(1))
+
+
 def marker_columns() -> list:
     text = lambda c: c.cast("string")
     chrom, locus, pos = text(F.col("m") % 5), text(F.floor(F.col("m") / 3)), text(F.col("m") * 100)
-    return [F.concat_ws("__", chrom, locus, pos).alias("MARKERS"), chrom.alias("CHROM"), locus.alias("LOCUS"), pos.alias("POS"), (F.col("m") % 90).cast("int").alias("COL"), F.lit("A").alias("REF"), F.lit("C").alias("ALT")]
+    return [F.concat_ws("__", chrom, locus, pos).alias("MARKERS"), chrom.alias("CHROM"), locus.alias("LOCUS"), pos.alias("POS"), (F.col("m") % 90).cast("int").alias("COL"), base(F.col("m") % 4).alias("REF"), base((F.col("m") + 1 + F.floor(F.col("m") / 4) % 3) % 4).alias("ALT")]
 
 
 def tidy(spark: SparkSession, sf_dir: str, stratum: str = "n_regionkey") -> DataFrame:
@@ -51,7 +55,7 @@ def tidy(spark: SparkSession, sf_dir: str, stratum: str = "n_regionkey") -> Data
 BASE_SQL = """WITH samples AS (
   SELECT s_suppkey::VARCHAR AS INDIVIDUALS, n_regionkey::VARCHAR AS STRATA, n_nationkey::VARCHAR AS NATION FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ), mk AS (
-  SELECT m, (m % 5)::VARCHAR || '__' || (m // 3)::VARCHAR || '__' || (m * 100)::VARCHAR AS MARKERS, (m % 5)::VARCHAR AS CHROM, (m // 3)::VARCHAR AS LOCUS, (m * 100)::VARCHAR AS POS, (m % 90)::INT AS COL, 'A' AS REF, 'C' AS ALT
+  SELECT m, (m % 5)::VARCHAR || '__' || (m // 3)::VARCHAR || '__' || (m * 100)::VARCHAR AS MARKERS, (m % 5)::VARCHAR AS CHROM, (m // 3)::VARCHAR AS LOCUS, (m * 100)::VARCHAR AS POS, (m % 90)::INT AS COL, substr('ACGT', m % 4 + 1, 1) AS REF, substr('ACGT', (m + 1 + (m // 4) % 3) % 4 + 1, 1) AS ALT
   FROM (SELECT unnest(range(200))::INT AS m)
 ), reads AS (
   SELECT l_suppkey::VARCHAR AS INDIVIDUALS, l_partkey % 200 AS m, count(*) FILTER (WHERE l_quantity > (l_partkey % 200) % 26) AS rd, count(*) FILTER (WHERE l_quantity <= (l_partkey % 200) % 26) AS ad FROM lineitem GROUP BY ALL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,7 +153,7 @@ def closure_sql(edges: str, a: str, b: str) -> str:
 
 simple("ld_pruning", lambda g: pairs.ld_pruning(pairs.linkage(g), stats.marker_stats(g), 0.05), MSTATS + _LD + ", e AS (SELECT * FROM ld WHERE LD > 0.05)" + closure_sql("e", "MARKERS_A", "MARKERS_B") + ' SELECT node AS MARKERS, grp AS "GROUP", row_number() OVER (PARTITION BY grp ORDER BY MISSING_PROP, MARKERS) = 1 AS KEEP FROM grp JOIN ms ON MARKERS = node')
 simple("remove_duplicates", lambda g: pairs.remove_duplicates(pairs.distance(g), stats.individual_stats(g), 0.72), ISTATS + _PAIRS + ", s AS (SELECT ID1, ID2, sum(2 * abs(x - y))::DOUBLE AS DISTANCE FROM pr GROUP BY ID1, ID2), e AS (SELECT * FROM (SELECT *, DISTANCE / nullif(max(DISTANCE) OVER (), 0) AS r FROM s) WHERE r < 0.72)" + closure_sql("e", "ID1", "ID2") + ' SELECT INDIVIDUALS, grp AS "GROUP", row_number() OVER (PARTITION BY grp ORDER BY MISSING_PROP, INDIVIDUALS) = 1 AND NOT (min(STRATA) OVER (PARTITION BY grp) <> max(STRATA) OVER (PARTITION BY grp)) AS KEEP FROM grp JOIN ist ON INDIVIDUALS = node')
-simple("detect_duplicate_genomes", lambda g: pairs.distance(g).groupBy("POP_COMP").agg(F.count(F.lit(1)).alias("N"), F.min("DISTANCE_RELATIVE").alias("LOWEST")), _PAIRS + f", s AS (SELECT ID1, ID2, {_POP}, sum(2 * abs(x - y))::DOUBLE AS DISTANCE FROM pr GROUP BY ID1, ID2, S1, S2), r AS (SELECT *, DISTANCE / nullif(max(DISTANCE) OVER (), 0) AS r FROM s) SELECT POP_COMP, count(*) AS N, min(r) AS LOWEST FROM r GROUP BY POP_COMP")
+simple("detect_duplicate_genomes", lambda g: pairs.distance(g).filter("DISTANCE_RELATIVE < 0.75"), _PAIRS + f", s AS (SELECT ID1, ID2, S1 AS ID1_POP, S2 AS ID2_POP, {_POP}, sum(2 * abs(x - y))::DOUBLE AS DISTANCE FROM pr GROUP BY ID1, ID2, S1, S2), r AS (SELECT *, DISTANCE / nullif(max(DISTANCE) OVER (), 0) AS DISTANCE_RELATIVE FROM s) SELECT * FROM r WHERE DISTANCE_RELATIVE < 0.75")
 
 # ---- Hardy-Weinberg ---------------------------------------------------------------------------------------------
 _HWE = counts("MARKERS", "STRATA") + """, big AS (SELECT STRATA FROM samples GROUP BY STRATA HAVING count(*) >= 10), tr AS (SELECT MARKERS, STRATA, N0 AS AA, N1 AS AB, N2 AS BB FROM c JOIN big USING (STRATA) WHERE N > 0),
@@ -180,10 +181,10 @@ simple("filter_snp_number", lambda g: filters.snp_number(stats.marker_stats(g).w
 for _r, _o in (("mac", "MAC_GLOBAL DESC, POS::BIGINT, MARKERS"), ("first", "POS::BIGINT, MARKERS"), ("last", "POS::BIGINT DESC, MARKERS")):
     simple(f"filter_ld__short_{_r}", lambda g, r=_r: filters.short_ld(stats.marker_stats(g).withColumn("CHROM", F.lit("1")), r), MSTATS + f" SELECT MARKERS FROM (SELECT *, row_number() OVER (PARTITION BY LOCUS ORDER BY {_o}) AS i FROM ms) WHERE i > 1")
 simple("filter_ld__short_middle", lambda g: filters.short_ld(stats.marker_stats(g).withColumn("CHROM", F.lit("1")), "middle"), MSTATS + " SELECT MARKERS FROM (SELECT *, row_number() OVER (PARTITION BY LOCUS ORDER BY POS::BIGINT, MARKERS) AS i, count(*) OVER (PARTITION BY LOCUS) AS n FROM ms) WHERE i <> (n + 1) // 2")
-simple("filter_monomorphic", lambda g: g.join(stats.monomorphic(g), "MARKERS", "left_anti").groupBy("MARKERS").agg(F.count("GT_BIN").alias("N")), " SELECT MARKERS, count(GT_BIN) AS N FROM g GROUP BY MARKERS HAVING count(DISTINCT GT_BIN) <> 1")
+simple("filter_monomorphic", lambda g: g.join(stats.monomorphic(g), "MARKERS", "left_anti").select("MARKERS", "INDIVIDUALS", "GT_BIN"), " SELECT MARKERS, INDIVIDUALS, GT_BIN FROM g WHERE MARKERS IN (SELECT MARKERS FROM g GROUP BY MARKERS HAVING count(DISTINCT GT_BIN) <> 1)")
 simple("filter_monomorphic__gt", stats.monomorphic_alleles, counts("MARKERS") + " SELECT MARKERS FROM c WHERE N > 0 AND N1 = 0 AND (N0 = 0 OR N2 = 0)")
 query("filter_common_markers", f", gn AS (SELECT g.* REPLACE (NATION AS STRATA) FROM g JOIN samples USING (INDIVIDUALS)), cc AS (SELECT MARKERS, STRATA, count(GT_BIN) AS N FROM gn GROUP BY ALL) SELECT MARKERS FROM cc GROUP BY MARKERS HAVING min(N) > 0")(lambda g, spark, d: (lambda x: filters.common_markers(x).select("MARKERS").distinct())(adapter.tidy(spark, d, "n_nationkey")))
-simple("filter_whitelist", lambda g: filters.whitelist(g, g.filter("CHROM in ('0', '3')").select("MARKERS")).groupBy("CHROM").agg(F.count(F.lit(1)).alias("N")), " SELECT CHROM, count(*) AS N FROM g WHERE CHROM IN ('0', '3') GROUP BY CHROM")
+simple("filter_whitelist", lambda g: filters.whitelist(g, g.filter("CHROM in ('0', '3')").select("MARKERS")).select("MARKERS", "INDIVIDUALS", "GT_BIN"), " SELECT MARKERS, INDIVIDUALS, GT_BIN FROM g WHERE CHROM IN ('0', '3')")
 simple("generate_whitelist", lambda g: g.select("MARKERS").distinct().join(hwe.blacklist(hwe.hwe(g), n_strata=1, level=1), "MARKERS", "left_anti"), _HWE + ", bl AS (" + _BH.format(l=1, n=1) + ") SELECT MARKERS FROM mk WHERE MARKERS NOT IN (SELECT MARKERS FROM bl)")
 simple("filter_individuals", lambda g: filters.individuals(stats.individual_stats(g), missing=0.06, heterozygosity=(0.38, 0.48), total=(560, 640)), ISTATS + " SELECT INDIVIDUALS, CASE WHEN MISSING_PROP > 0.06 THEN 'missing' WHEN HETEROZYGOSITY < 0.38 OR HETEROZYGOSITY > 0.48 THEN 'heterozygosity' ELSE 'coverage total' END AS FILTER FROM ist WHERE MISSING_PROP > 0.06 OR HETEROZYGOSITY < 0.38 OR HETEROZYGOSITY > 0.48 OR COVERAGE_TOTAL < 560 OR COVERAGE_TOTAL > 640")
 simple("filter_individuals__outliers", lambda g: filters.individuals(stats.individual_stats(g), heterozygosity="outliers"), ISTATS + f" SELECT INDIVIDUALS, 'heterozygosity' AS FILTER FROM ist, {bounds_sql('HETEROZYGOSITY', 'ist')} b WHERE CASE WHEN low = lo THEN HETEROZYGOSITY < low ELSE HETEROZYGOSITY <= low END OR CASE WHEN high = hi THEN HETEROZYGOSITY > high ELSE HETEROZYGOSITY >= high END")
@@ -192,7 +193,7 @@ simple("filter_fis", lambda g: filters.fis(_FT(g), -0.6, 0.6, 0.6, 3), _summary(
 simple("filter_het", lambda g: filters.het_markers(g.withColumn("CHROM", F.lit("1")), 0.7, 0.4, 1), counts("LOCUS", "MARKERS", "STRATA") + ", h AS (SELECT *, N1 / N AS h FROM c WHERE N > 0), o AS (SELECT MARKERS, max(h) OVER w > 0.7 OR max(h) OVER w - min(h) OVER w > 0.4 AS x FROM h WINDOW w AS (PARTITION BY LOCUS, STRATA)) SELECT MARKERS, count(*) FILTER (WHERE x) AS OUTLIERS FROM o GROUP BY MARKERS HAVING count(*) FILTER (WHERE x) > 1")
 _ER = " SELECT MARKERS, INDIVIDUALS FROM g WHERE GT_BIN = 1 AND READ_DEPTH = 4 AND (coalesce(ALLELE_REF_DEPTH, 0) < 2 OR coalesce(ALLELE_ALT_DEPTH, 0) < 2) AND abs((coalesce(ALLELE_ALT_DEPTH, 0) - coalesce(ALLELE_REF_DEPTH, 0)) / (coalesce(ALLELE_ALT_DEPTH, 0) + coalesce(ALLELE_REF_DEPTH, 0))) > 0.3"
 simple("erase_genotypes", lambda g: filters.erase_genotypes(g, 4, 2, 0.3), _ER)
-simple("filter_blacklist_genotypes", lambda g: filters.blank(g, filters.erase_genotypes(g, 4, 2, 0.3)).groupBy("MARKERS").agg(F.count("GT_BIN").alias("N")), f", er AS ({_ER}) SELECT g.MARKERS, count(CASE WHEN er.MARKERS IS NULL THEN GT_BIN END) AS N FROM g LEFT JOIN er ON er.MARKERS = g.MARKERS AND er.INDIVIDUALS = g.INDIVIDUALS GROUP BY g.MARKERS")
+simple("filter_blacklist_genotypes", lambda g: filters.blank(g, filters.erase_genotypes(g, 4, 2, 0.3)).select("MARKERS", "INDIVIDUALS", "GT_BIN"), f", er AS ({_ER}) SELECT g.MARKERS, g.INDIVIDUALS, CASE WHEN er.MARKERS IS NULL THEN GT_BIN END AS GT_BIN FROM g LEFT JOIN er ON er.MARKERS = g.MARKERS AND er.INDIVIDUALS = g.INDIVIDUALS")
 simple("filter_vcf_filter_column", lambda g: filters.vcf_filter_column(g.select("MARKERS", F.when(F.col("COL") < 9, "LowQual").otherwise("PASS").alias("FILTER")).distinct()), " SELECT MARKERS FROM mk WHERE COL < 9")
 _strand = lambda g: stats.marker_stats(g).withColumn("POS", (F.col("POS").cast("int") / 200).cast("int").cast("string"))
 simple("filter_duplicated_markers_strands", lambda g: filters.duplicated_strands(_strand(g).withColumn("CHROM", F.lit("1"))), MSTATS + ", d AS (SELECT MARKERS, row_number() OVER (PARTITION BY POS::INT // 200 ORDER BY MISSING_PROP, MARKERS) AS i FROM ms) SELECT MARKERS FROM d WHERE i > 1")
@@ -205,9 +206,10 @@ query("filter_dart_reproducibility", " SELECT p_partkey::BIGINT AS MARKERS FROM
 
 # ---- detectors --------------------------------------------------------------------------------------------------
 simple("detect_all_missing", lambda g: detect.all_missing(g.withColumn("GT_BIN", F.when(F.col("COL") >= 5, F.col("GT_BIN")))), " SELECT MARKERS FROM g GROUP BY MARKERS HAVING count(CASE WHEN COL >= 5 THEN GT_BIN END) = 0")
-simple("detect_biallelic_markers", detect.biallelic, " SELECT true AS BIALLELIC")
 _multi = lambda g: recode.gt_recoding(g).withColumn("GT_VCF_NUC", F.when((F.col("COL") % 9 == 0) & (F.col("GT_BIN") == 2), "G/G").otherwise(F.col("GT_VCF_NUC")))
-simple("detect_biallelic_problems", lambda g: detect.biallelic_problems(_multi(g)), ", al AS (SELECT MARKERS, 'A' AS a FROM g WHERE GT_BIN < 2 UNION SELECT MARKERS, 'C' FROM g WHERE GT_BIN = 1 OR GT_BIN = 2 AND COL % 9 <> 0 UNION SELECT MARKERS, 'G' FROM g WHERE GT_BIN = 2 AND COL % 9 = 0) SELECT MARKERS, count(*) AS N_ALLELES FROM al GROUP BY MARKERS HAVING count(*) > 2")
+_AL3 = ", al AS (SELECT MARKERS, REF AS a FROM g WHERE GT_BIN < 2 UNION SELECT MARKERS, ALT FROM g WHERE GT_BIN = 1 OR GT_BIN = 2 AND COL % 9 <> 0 UNION SELECT MARKERS, 'G' FROM g WHERE GT_BIN = 2 AND COL % 9 = 0), an AS (SELECT MARKERS, count(*) AS N_ALLELES FROM al GROUP BY MARKERS)"
+simple("detect_biallelic_problems", lambda g: detect.biallelic_problems(_multi(g)), _AL3 + " SELECT * FROM an WHERE N_ALLELES > 2")
+query("detect_biallelic_markers", _AL3 + " SELECT CHROM, max(N_ALLELES) <= 2 AS BIALLELIC FROM an JOIN mk USING (MARKERS) GROUP BY CHROM")(lambda g, spark, d: functools.reduce(DataFrame.unionByName, [detect.biallelic(_multi(g).filter(F.col("CHROM") == str(k))).select(F.lit(str(k)).alias("CHROM"), "BIALLELIC") for k in range(5)]))
 _AP = MINOR + ", ap AS (SELECT MARKERS, ALT_COUNT, AD AS ALT_DEPTH FROM ma JOIN mc USING (MARKERS) WHERE ALT_COUNT <= 10)"
 simple("detect_allele_problems", lambda g: detect.allele_problems(g, 10), _AP + " SELECT * FROM ap")
 simple("detect_allele_problems__table", lambda g: detect.allele_problem_table(g, 40), MINOR + ", ap AS (SELECT MARKERS FROM ma WHERE ALT_COUNT <= 40), x AS (SELECT ALLELE_ALT_DEPTH AS d FROM g JOIN ap USING (MARKERS) WHERE ALLELE_ALT_DEPTH IS NOT NULL) SELECT t::INT AS ALT_DEPTH, (SELECT count(*) FROM x WHERE d <= t) AS N FROM (SELECT unnest(range(1, 11)) AS t)")
@@ -217,7 +219,7 @@ simple("detect_mixed_genomes__strata", lambda g: detect.mixed_genomes(g, by_stra
 simple("plot_het_outliers", detect.het_long, _SG + "SELECT MARKERS, STRATA, 'HOM_REF' AS GENOTYPES, N0 / N AS OBSERVED, p * p AS EXPECTED FROM v WHERE STRATA <> 'OVERALL' AND N > 0 UNION ALL SELECT MARKERS, STRATA, 'HET', N1 / N, 2 * p * (1 - p) FROM v WHERE STRATA <> 'OVERALL' AND N > 0 UNION ALL SELECT MARKERS, STRATA, 'HOM_ALT', N2 / N, (1 - p) * (1 - p) FROM v WHERE STRATA <> 'OVERALL' AND N > 0")
 simple("detect_het_outliers", lambda g: stats.summarise_genotypes(g).filter("STRATA = 'OVERALL' and abs(Z_HET) > 2").select("MARKERS", "N", "HET", "Z_HET"), _SG + f", z AS (SELECT MARKERS, STRATA, N, N1 AS HET, {_z('N1', '2 * p * q')} AS Z_HET FROM v) SELECT MARKERS, N, HET, Z_HET FROM z WHERE STRATA = 'OVERALL' AND abs(Z_HET) > 2")
 simple("detect_paralogs", detect.paralogs, ", h AS (SELECT MARKERS, count(*) FILTER (WHERE GT_BIN = 1) / count(*) AS HET_PROP, sum(CASE WHEN GT_BIN = 1 THEN ALLELE_REF_DEPTH END)::BIGINT AS R, sum(CASE WHEN GT_BIN = 1 THEN ALLELE_ALT_DEPTH END)::BIGINT AS A FROM g GROUP BY MARKERS) SELECT MARKERS, HET_PROP, R / nullif(R + A, 0) AS RATIO, round(-((R + A) / 2 - R) / sqrt((R + A) / 4), 6) AS Z_SCORE FROM h")
-simple("detect_ibm", lambda g: detect.missingness(g, 20).groupBy("INDIVIDUALS").agg(F.sum("GENOTYPED").alias("GENOTYPED"), F.count(F.lit(1)).alias("N")), counts("MARKERS") + ", top AS (SELECT MARKERS FROM c ORDER BY N DESC, MARKERS LIMIT 20) SELECT INDIVIDUALS, count(GT_BIN) AS GENOTYPED, count(*) AS N FROM g JOIN top USING (MARKERS) GROUP BY INDIVIDUALS")
+simple("detect_ibm", lambda g: detect.missingness(g, 200).select("INDIVIDUALS", "MARKERS", "GENOTYPED"), " SELECT INDIVIDUALS, MARKERS, (GT_BIN IS NOT NULL)::INT AS GENOTYPED FROM g")
 simple("detect_ref_genome", lambda g: detect.reference_genome(g.select("MARKERS", "CHROM").distinct()), " SELECT coalesce(max(regexp_matches(lower(CHROM), 'chr|scaffold|contig|^nc_|^nw_|^lg')::INT), 0) = 1 OR count(DISTINCT CHROM) > 1 AS REF_GENOME FROM mk")
 for _by, _r, _a in (("count", "REF_COUNT", "ALT_COUNT"), ("depth", "RD", "AD")):
     simple(f"detect_calibration_problem__{_by}", lambda g, b=_by: detect.calibration_problem(g, b), MINOR + f" SELECT MARKERS FROM {'ma' if _by == 'count' else 'mc'} WHERE {_r} < {_a}")
@@ -227,10 +229,11 @@ simple("detect_microsatellites", lambda g: detect.microsatellites(g.select("MARK
 # ---- recoding, reshaping, names -------------------------------------------------------------------------------
 _VCF = "CASE GT_BIN WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END"
 _NUC = "CASE GT_BIN WHEN 0 THEN REF || '/' || REF WHEN 1 THEN REF || '/' || ALT WHEN 2 THEN ALT || '/' || ALT ELSE './.' END"
-_SIX = "CASE GT_BIN WHEN 0 THEN '001001' WHEN 1 THEN '001002' WHEN 2 THEN '002002' ELSE '000000' END"
+_RC, _AC = "strpos('ACGT', REF)::VARCHAR", "strpos('ACGT', ALT)::VARCHAR"
+_SIX = f"CASE GT_BIN WHEN 0 THEN '00' || {_RC} || '00' || {_RC} WHEN 1 THEN '00' || {_RC} || '00' || {_AC} WHEN 2 THEN '00' || {_AC} || '00' || {_AC} ELSE '000000' END"
 simple("gt_recoding", lambda g: recode.gt_recoding(g).select("MARKERS", "INDIVIDUALS", "GT_BIN", "GT_VCF", "GT_VCF_NUC", "GT"), f" SELECT MARKERS, INDIVIDUALS, GT_BIN, {_VCF} AS GT_VCF, {_NUC} AS GT_VCF_NUC, {_SIX} AS GT FROM g")
 simple("gt_recoding__from_vcf", lambda g: recode.gt_recoding(recode.gt_recoding(g).select("MARKERS", "INDIVIDUALS", "REF", "ALT", "GT_VCF")).select("MARKERS", "INDIVIDUALS", "GT_BIN", "GT"), f" SELECT MARKERS, INDIVIDUALS, GT_BIN, {_SIX} AS GT FROM g")
-simple("gt_recoding__from_gt", lambda g: recode.gt_recoding(recode.gt_recoding(g).select("MARKERS", "INDIVIDUALS", "GT")).groupBy("MARKERS", "REF").agg(F.sum("GT_BIN").alias("ALT_COPIES"), F.count("GT_BIN").alias("N")), counts("MARKERS") + " SELECT MARKERS, CASE WHEN 2 * N0 + N1 >= 2 * N2 + N1 THEN 'A' ELSE 'C' END AS REF, least(2 * N0 + N1, 2 * N2 + N1) AS ALT_COPIES, N FROM c WHERE N > 0")
+simple("gt_recoding__from_gt", lambda g: recode.gt_recoding(recode.gt_recoding(g).select("MARKERS", "INDIVIDUALS", "GT")).groupBy("MARKERS", "REF").agg(F.sum("GT_BIN").alias("ALT_COPIES"), F.count("GT_BIN").alias("N")), counts("MARKERS") + " SELECT MARKERS, CASE WHEN N0 > N2 OR N0 = N2 AND REF < ALT THEN REF ELSE ALT END AS REF, least(2 * N0 + N1, 2 * N2 + N1) AS ALT_COPIES, N FROM c JOIN mk USING (MARKERS) WHERE N > 0")
 simple("generate_gt_vcf_nuc", lambda g: g.select("MARKERS", "INDIVIDUALS", F.nullif(gt.nuc_from_bin(F.col("GT_BIN"), F.col("REF"), F.col("ALT")), F.lit("./.")).alias("GT_VCF_NUC")), f" SELECT MARKERS, INDIVIDUALS, nullif({_NUC}, './.') AS GT_VCF_NUC FROM g")
 _CAL = MINOR + ", cg AS (SELECT g.MARKERS, INDIVIDUALS, CASE WHEN ALT_COUNT > REF_COUNT THEN 2 - GT_BIN ELSE GT_BIN END AS GT_BIN, CASE WHEN ALT_COUNT > REF_COUNT THEN ALT ELSE REF END AS REF, CASE WHEN ALT_COUNT > REF_COUNT THEN REF ELSE ALT END AS ALT, CASE WHEN ALT_COUNT > REF_COUNT THEN ALLELE_ALT_DEPTH ELSE ALLELE_REF_DEPTH END AS ALLELE_REF_DEPTH FROM g JOIN ma USING (MARKERS))"
 simple("calibrate_alleles", lambda g: recode.calibrate_alleles(g).select("MARKERS", "INDIVIDUALS", "GT_BIN", "REF", "ALT", "ALLELE_REF_DEPTH"), _CAL + " SELECT * FROM cg")
@@ -239,11 +242,11 @@ simple("separate_markers", lambda g: recode.separate_markers(g), " SELECT MARKER
 simple("generate_markers_metadata", lambda g: recode.generate_markers_metadata(g), " SELECT MARKERS, dense_rank() OVER (ORDER BY MARKERS)::INT AS VARIANT_ID, 'CHROM_1' AS CHROM, (dense_rank() OVER (ORDER BY MARKERS))::VARCHAR AS LOCUS, MARKERS AS POS, 'A' AS REF, 'C' AS ALT FROM mk")
 _full_hap = lambda g: _HAP(g).filter(F.length("HAPLOTYPES") == 3).select(F.col("LOCUS").alias("MARKERS"), "INDIVIDUALS", "HAPLOTYPES")
 simple("haplotype_reconstruction", lambda g: recode.haplotype_reconstruction(_full_hap(g)), _HAP_SQL + ", f AS (SELECT LOCUS AS MARKERS, INDIVIDUALS, HAPLOTYPES FROM h WHERE length(HAPLOTYPES) = 3), ch AS (SELECT *, unnest([1, 2, 3]) AS p FROM f), cx AS (SELECT *, HAPLOTYPES[p] AS b FROM ch), vr AS (SELECT MARKERS, p FROM cx GROUP BY ALL HAVING count(DISTINCT b) > 1) SELECT MARKERS, INDIVIDUALS, HAPLOTYPES, string_agg(b, '' ORDER BY p) AS HAPLOTYPES_NEW FROM cx JOIN vr USING (MARKERS, p) GROUP BY ALL")
-_wide_markers = ["0__0__0", "1__0__100", "2__0__200"]
-_wide = lambda g: recode.rad_wide(recode.gt_recoding(g).filter(F.col("MARKERS").isin(_wide_markers)), ["STRATA", "INDIVIDUALS"], "MARKERS", "GT", _wide_markers)
+_wide_markers = [f"{m % 5}__{m // 3}__{m * 100}" for m in range(adapter.N_MARKERS)]
+_wide = lambda g: recode.rad_wide(recode.gt_recoding(g), ["STRATA", "INDIVIDUALS"], "MARKERS", "GT", _wide_markers)
 simple("rad_wide", _wide, " SELECT STRATA, INDIVIDUALS, " + ", ".join(f"max(CASE WHEN MARKERS = '{m}' THEN {_SIX} END) AS \"{m}\"" for m in _wide_markers) + " FROM g GROUP BY STRATA, INDIVIDUALS")
-simple("rad_long", lambda g: recode.rad_long(_wide(g), ["STRATA", "INDIVIDUALS"]), f" SELECT STRATA, INDIVIDUALS, MARKERS, {_SIX} AS GT FROM g WHERE MARKERS IN ('0__0__0', '1__0__100', '2__0__200')")
-simple("tidy_wide", lambda g: recode.tidy_wide(_wide(g).withColumnRenamed("STRATA", "POP_ID")), f" SELECT STRATA, INDIVIDUALS, MARKERS, {_SIX} AS GT FROM g WHERE MARKERS IN ('0__0__0', '1__0__100', '2__0__200')")
+simple("rad_long", lambda g: recode.rad_long(_wide(g), ["STRATA", "INDIVIDUALS"]), f" SELECT STRATA, INDIVIDUALS, MARKERS, {_SIX} AS GT FROM g")
+simple("tidy_wide", lambda g: recode.tidy_wide(_wide(g).withColumnRenamed("STRATA", "POP_ID")), f" SELECT STRATA, INDIVIDUALS, MARKERS, {_SIX} AS GT FROM g")
 simple("tidy2wide", lambda g: recode.full_grid(g.filter("GT_BIN is not null")), " SELECT INDIVIDUALS, MARKERS, GT_BIN FROM g")
 simple("strip_rad", lambda g: recode.strip_rad(g)[0].select("ID_SEQ", "STRATA_SEQ", "M_SEQ", "GT_BIN"), ", s AS (SELECT INDIVIDUALS, row_number() OVER (ORDER BY INDIVIDUALS)::INT AS ID_SEQ, dense_rank() OVER (ORDER BY STRATA)::INT AS STRATA_SEQ FROM samples), m AS (SELECT MARKERS, row_number() OVER (ORDER BY MARKERS)::INT AS M_SEQ FROM mk) SELECT ID_SEQ, STRATA_SEQ, M_SEQ, GT_BIN FROM g JOIN s USING (INDIVIDUALS) JOIN m USING (MARKERS)")
 simple("join_rad", lambda g: recode.join_rad(*recode.strip_rad(g)).select("MARKERS", "INDIVIDUALS", "STRATA", "GT_BIN"), " SELECT MARKERS, INDIVIDUALS, STRATA, GT_BIN FROM g")
@@ -255,7 +258,8 @@ query("clean_markers_names", " SELECT p_partkey AS K, translate(p_name || '/' ||
 query("clean_ind_names", " SELECT c_custkey AS K, regexp_replace(translate(c_name || ' a_b:c, d', '_:', '--'), '[\\s,]', '', 'g') AS X FROM customer")(lambda g, spark, d: adapter.table(spark, d, "customer").select(F.col("c_custkey").alias("K"), names.clean_ind_names(F.concat("c_name", F.lit(" a_b:c, d"))).alias("X")))
 query("clean_pop_names", " SELECT n_nationkey AS K, regexp_replace(n_name || ' x', '\\s', '_', 'g') AS X FROM nation")(lambda g, spark, d: adapter.table(spark, d, "nation").select(F.col("n_nationkey").alias("K"), names.clean_pop_names(F.concat("n_name", F.lit(" x"))).alias("X")))
 simple("switch_genotypes", lambda g: g.select("MARKERS", "INDIVIDUALS", gt.swapped(F.col("GT_BIN")).alias("GT_BIN")), " SELECT MARKERS, INDIVIDUALS, 2 - GT_BIN AS GT_BIN FROM g")
-simple("subsampling_data", lambda g: recode.subsample(g.select("INDIVIDUALS", "STRATA").distinct(), n=5))
+simple("subsampling_data", lambda g: recode.subsample(g.select("INDIVIDUALS", "STRATA").distinct(), n=5), " SELECT INDIVIDUALS, STRATA FROM samples QUALIFY row_number() OVER (PARTITION BY STRATA ORDER BY md5(INDIVIDUALS || ':1'), INDIVIDUALS) <= 5")
+simple("subsampling_data__fraction", lambda g: recode.subsample(g.select("INDIVIDUALS", "STRATA").distinct(), fraction=0.3, seed=7), " SELECT INDIVIDUALS, STRATA FROM samples QUALIFY row_number() OVER (PARTITION BY STRATA ORDER BY md5(INDIVIDUALS || ':7'), INDIVIDUALS) <= ceil(count(*) OVER (PARTITION BY STRATA) * 0.3)")
 query("parse_gds_metadata", ", o AS (SELECT o_orderkey AS K, o_orderkey % 4 AS a, o_orderkey % 3 AS b, o_orderkey % 2 AS c FROM orders) SELECT K, nullif(a, 0) AS ALLELE_REF_DEPTH, nullif(b + c, 0) AS ALLELE_ALT_DEPTH FROM o")(lambda g, spark, d: recode.parse_depths(adapter.table(spark, d, "orders").select(F.col("o_orderkey").alias("K"), F.array(F.col("o_orderkey") % 4, F.col("o_orderkey") % 3, F.col("o_orderkey") % 2).alias("AD"))).drop("AD"))
 QUERIES["ad_ref_alt_from_gds"], ORACLES["ad_ref_alt_from_gds"] = QUERIES["parse_gds_metadata"], ORACLES["parse_gds_metadata"]
 
@@ -266,7 +270,7 @@ simple("extract_markers_metadata", lambda g: metadata.extract(_tagged(g), whitel
 simple("extract_individuals_metadata", lambda g: metadata.extract(tag(Dataset.from_tidy(g).individuals, g.filter("STRATA = '0'").select("INDIVIDUALS"), "INDIVIDUALS", "filter.strata"), blacklist=True), " SELECT INDIVIDUALS, STRATA, 'filter.strata' AS FILTERS FROM samples WHERE STRATA = '0'")
 simple("extract_genotypes_metadata", lambda g: metadata.live_genotypes(g, _tagged(g), Dataset.from_tidy(g).individuals).groupBy("MARKERS").agg(F.sum("READ_DEPTH").alias("READ_DEPTH")), _TAG + " SELECT MARKERS, sum(READ_DEPTH)::BIGINT AS READ_DEPTH FROM g WHERE MARKERS IN (SELECT MARKERS FROM tm WHERE FILTERS = 'whitelist') GROUP BY MARKERS")
 simple("list_filters", lambda g: metadata.list_filters(_tagged(g)), _TAG + " SELECT FILTERS, count(*) AS N FROM tm WHERE FILTERS <> 'whitelist' GROUP BY FILTERS")
-simple("reset_filters", lambda g: metadata.reset_filters(_tagged(g), ["filter.monomorphic"]).groupBy("FILTERS").agg(F.count(F.lit(1)).alias("N")), " SELECT 'whitelist' AS FILTERS, count(*) AS N FROM mk")
+simple("reset_filters", lambda g: metadata.reset_filters(tag(_tagged(g), g.filter("COL < 9").select("MARKERS"), "MARKERS", "filter.position"), ["filter.monomorphic"]).select("MARKERS", "FILTERS"), _TAG + " SELECT MARKERS, CASE WHEN COL < 9 AND FILTERS = 'whitelist' THEN 'filter.position' ELSE 'whitelist' END AS FILTERS FROM tm JOIN mk USING (MARKERS)")
 simple("summary_gds", lambda g: g.agg(F.count_distinct("INDIVIDUALS").alias("N_IND"), F.count_distinct("MARKERS").alias("N_MARKERS")), " SELECT count(DISTINCT INDIVIDUALS) AS N_IND, count(DISTINCT MARKERS) AS N_MARKERS FROM g")
 simple("update_bl_markers", lambda g: metadata.update_blacklist(metadata.update_blacklist(None, stats.monomorphic(g), "monomorphic"), filters.genotyping(stats.marker_stats(g), 0.06), "genotyping"), MSTATS + _TAG + " SELECT MARKERS, 'monomorphic' AS FILTER FROM mono UNION ALL SELECT MARKERS, 'genotyping' FROM ms WHERE MISSING_PROP > 0.06")
 simple("update_bl_individuals", lambda g: metadata.update_blacklist(None, detect.mixed_genomes(g, 0.39, 0.46), "mixed", "INDIVIDUALS"), _MX + " SELECT INDIVIDUALS, 'mixed' AS FILTER FROM h WHERE HET_PROP < 0.39 OR HET_PROP > 0.46")
@@ -300,64 +304,134 @@ simple("import_dart_geno__2rows", lambda g: dart.two_rows(_two(g)), " SELECT MAR
 simple("import_dart_geno__counts", lambda g: dart.two_rows(_two(g), counts=True), " SELECT MARKERS AS VARIANT_ID, INDIVIDUALS AS TARGET_ID, coalesce(ALLELE_REF_DEPTH, 0) AS REF_COUNT, coalesce(ALLELE_ALT_DEPTH, 0) AS ALT_COUNT FROM g")
 query("switch_allele_count", " SELECT l_orderkey AS K, (l_linenumber % 3)::INT AS CODE, CASE WHEN l_linenumber % 3 IN (0, 2) THEN 1 ELSE 0 END AS REF_COUNT, CASE WHEN l_linenumber % 3 IN (1, 2) THEN 1 ELSE 0 END AS ALT_COUNT FROM lineitem")(lambda g, spark, d: adapter.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("K"), (F.col("l_linenumber") % 3).alias("CODE")).withColumn("REF_COUNT", dart.switch_allele_count(F.col("CODE"))).withColumn("ALT_COUNT", dart.switch_allele_count(F.col("CODE"), ref=False)))
 simple("dart_calibration", lambda g: dart.calibrate(_counts(g), detect.calibration_problem(g, "depth")), MINOR + " SELECT g.MARKERS, INDIVIDUALS, coalesce(CASE WHEN RD < AD THEN ALLELE_ALT_DEPTH ELSE ALLELE_REF_DEPTH END, 0) AS REF_COUNT, coalesce(CASE WHEN RD < AD THEN ALLELE_REF_DEPTH ELSE ALLELE_ALT_DEPTH END, 0) AS ALT_COUNT FROM g JOIN mc USING (MARKERS)")
-_meta = lambda g: g.select(F.concat("LOCUS", F.lit("|F|0-"), "COL", F.lit(":A>C")).alias("ALLELE_ID"), F.concat("COL", F.lit(":A>C")).alias("SNP"), F.col("COL").alias("SNP_POSITION")).distinct()
-simple("clean_normalize_dart_metadata", lambda g: dart.markers_metadata(_meta(g)).select("MARKERS", "LOCUS", "POS", "REF", "ALT"), " SELECT DISTINCT 'CHROM_1__' || LOCUS || '__' || COL AS MARKERS, LOCUS, COL::VARCHAR AS POS, 'A' AS REF, 'C' AS ALT FROM mk")
-simple("tidy_dart_metadata", lambda g: dart.tidy_metadata(_meta(g).select(F.col("ALLELE_ID").alias("LOCUS"), "SNP", F.col("SNP_POSITION").alias("POS"), F.lit(1).alias("CALL_RATE"))), " SELECT DISTINCT 'CHROM_1__' || LOCUS || '__' || COL AS MARKERS, 'CHROM_1' AS CHROM, LOCUS, COL::VARCHAR AS POS, 'A' AS REF, 'C' AS ALT FROM mk")
+_meta = lambda g: g.select(F.concat("LOCUS", F.lit("|F|0-"), "COL", F.lit(":"), "REF", F.lit(">"), "ALT").alias("ALLELE_ID"), F.concat("COL", F.lit(":"), "REF", F.lit(">"), "ALT").alias("SNP"), F.col("COL").alias("SNP_POSITION")).distinct()
+simple("clean_normalize_dart_metadata", lambda g: dart.markers_metadata(_meta(g)).select("MARKERS", "LOCUS", "POS", "REF", "ALT"), " SELECT DISTINCT 'CHROM_1__' || LOCUS || '__' || COL AS MARKERS, LOCUS, COL::VARCHAR AS POS, REF, ALT FROM mk")
+simple("tidy_dart_metadata", lambda g: dart.tidy_metadata(_meta(g).select(F.col("ALLELE_ID").alias("LOCUS"), "SNP", F.col("SNP_POSITION").alias("POS"), F.lit(1).alias("CALL_RATE"))), " SELECT DISTINCT 'CHROM_1__' || LOCUS || '__' || COL AS MARKERS, 'CHROM_1' AS CHROM, LOCUS, COL::VARCHAR AS POS, REF, ALT FROM mk")
 simple("extract_dart_markers_metadata", lambda g: dart.too_many_rows(g.filter("GT_BIN = 2").select("MARKERS")), " SELECT MARKERS, count(*) AS N FROM g WHERE GT_BIN = 2 GROUP BY MARKERS HAVING count(*) > 2")
 _half = lambda g, k: g.filter(F.col("INDIVIDUALS").cast("int") % 2 == k).select("MARKERS", "INDIVIDUALS", "GT_BIN", "REF", F.when((F.col("COL") % 8 == 0) & F.lit(k == 1), "G").otherwise(F.col("ALT")).alias("ALT"), (F.lit(0.9) - 0.1 * k).alias("REP_AVG"))
-simple("merge_dart", lambda g: dart.merge(_half(g, 0), _half(g, 1)).groupBy("MARKERS", "REP_AVG").agg(F.count("GT_BIN").alias("N")), ", k AS (SELECT MARKERS, INDIVIDUALS, GT_BIN, CASE WHEN INDIVIDUALS::INT % 2 = 1 THEN 0.8 ELSE 0.9 END::DOUBLE AS r FROM g WHERE COL % 8 <> 0) SELECT MARKERS, round(avg(r), 6) AS REP_AVG, count(GT_BIN) AS N FROM k GROUP BY MARKERS")
+simple("merge_dart", lambda g: dart.merge(_half(g, 0), _half(g, 1)), ", k AS (SELECT MARKERS, INDIVIDUALS, GT_BIN, REF, CASE WHEN INDIVIDUALS::INT % 2 = 1 AND COL % 8 = 0 THEN 'G' ELSE ALT END AS ALT, CASE WHEN INDIVIDUALS::INT % 2 = 1 THEN 0.8 ELSE 0.9 END::DOUBLE AS r FROM g WHERE NOT (COL % 8 = 0 AND REF <> 'G' AND ALT <> 'G')) SELECT MARKERS, INDIVIDUALS, GT_BIN, REF, ALT, round(avg(r) OVER (PARTITION BY MARKERS), 6) AS REP_AVG FROM k")
 simple("tidy_gtypes", lambda g: writers.gtypes(g), f" SELECT MARKERS, INDIVIDUALS, STRATA, substr({_SIX}, 1, 3) AS A1, substr({_SIX}, 4, 3) AS A2 FROM g")
 
 # ---- sinks ------------------------------------------------------------------------------------------------------
 
 
-def _pair(one: str, two: str, miss: str, sep: str) -> str:
-    return f"CASE GT_BIN WHEN 0 THEN '{one}{sep}{one}' WHEN 1 THEN '{one}{sep}{two}' WHEN 2 THEN '{two}{sep}{two}' ELSE '{miss}{sep}{miss}' END"
+def _lines(*parts: str, start: str = "") -> str:
+    """Parts are (section, from, line, block, order, key); the rows are those of a document."""
+    return start + " " + " UNION ALL ".join(f"SELECT {sec} AS SEC, {block} AS BLOCK, ({order})::BIGINT AS ORD, {key} AS KEY, {line} AS LINE FROM {rel}" for sec, rel, line, block, order, key in parts)
 
 
-def _by_sample(cell: str, sep: str, line: str) -> str:
-    return f", pn AS (SELECT STRATA, row_number() OVER (ORDER BY STRATA)::VARCHAR AS POP FROM (SELECT DISTINCT STRATA FROM samples)), b AS (SELECT STRATA, INDIVIDUALS, string_agg({cell}, chr({ord(sep)}) ORDER BY MARKERS) AS BODY FROM g GROUP BY ALL) SELECT STRATA, INDIVIDUALS, {line} AS LINE FROM b JOIN pn USING (STRATA)"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _says(sec: int, *lines: str) -> tuple:
+    return sec, f"(SELECT unnest([{', '.join(_quoted(x) for x in lines)}]) AS x, unnest(range({len(lines)})) AS i)", "x", "''", "i", "''"
+
+
+def _line(sec: int, rel: str, line: str, block: str = "''", order: str = "0", key: str = "''") -> tuple:
+    return sec, rel, line, block, order, key
 
 
 _TAB = "chr(9)"
-_join = lambda *x: f" || {_TAB} || ".join(x)
-for _n, _cell, _sep, _line in (
-    ("genepop", _SIX, " ", "INDIVIDUALS || ' , ' || BODY"),
-    ("genepopedit", _SIX, "\t", _join("INDIVIDUALS", "STRATA", "(row_number() OVER (PARTITION BY STRATA ORDER BY INDIVIDUALS))::VARCHAR", "BODY")),
-    ("hierfstat", "CASE GT_BIN WHEN 0 THEN '11' WHEN 1 THEN '12' WHEN 2 THEN '22' ELSE '00' END", "\t", _join("POP", "BODY")),
-    ("structure", _pair("1", "2", "-9", "\t"), "\t", _join("INDIVIDUALS", "POP", "BODY")),
-    ("faststructure", _pair("1", "2", "-9", "\t"), "\t", _join("INDIVIDUALS", "POP", "'1'", "'1'", "'1'", "'1'", "BODY")),
-    ("gsi_sim", _pair("1", "2", "0", " "), " ", "INDIVIDUALS || ' ' || BODY"),
-    ("maverick", _pair("1", "2", "-9", "\t"), "\t", _join("INDIVIDUALS", "POP", "'2'", "BODY")),
-    ("related", _pair("1", "2", "0", "\t"), "\t", _join("INDIVIDUALS", "BODY")),
-    ("rubias", _pair("1", "2", "NA", "\t"), "\t", _join("'reference'", "STRATA", "STRATA", "INDIVIDUALS", "BODY")),
-    ("colony", _pair("1", "2", "0", " "), " ", "INDIVIDUALS || ' ' || BODY"),
-):
-    simple(f"write_{_n}", writers.LINE_WRITERS[_n], _by_sample(_cell, _sep, _line))
-simple("write_arlequin", writers.arlequin, ", b AS (SELECT STRATA, INDIVIDUALS, string_agg(CASE WHEN GT_BIN = 2 THEN '2' WHEN GT_BIN < 2 THEN '1' ELSE '-9' END, chr(9) ORDER BY MARKERS) AS b1, string_agg(CASE WHEN GT_BIN > 0 THEN '2' WHEN GT_BIN = 0 THEN '1' ELSE '-9' END, chr(9) ORDER BY MARKERS) AS b2 FROM g GROUP BY ALL) SELECT STRATA, INDIVIDUALS, INDIVIDUALS || chr(9) || '1' || chr(9) || b1 || chr(10) || chr(9) || chr(9) || b2 AS LINE FROM b")
-simple("write_vcf", writers.vcf, f", b AS (SELECT CHROM, POS, MARKERS, REF, ALT, count(GT_BIN) AS NS, string_agg({_VCF}, chr(9) ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL) SELECT MARKERS, {_join('CHROM', 'POS', 'MARKERS', 'REF', 'ALT', chr(39) + '.' + chr(39), chr(39) + 'PASS' + chr(39), chr(39) + 'NS=' + chr(39) + ' || NS', chr(39) + 'GT' + chr(39), 'BODY')} AS LINE FROM b")
+_tab = lambda *x: f" || {_TAB} || ".join(x)
+_NAMES = "(SELECT string_agg(MARKERS, {sep} ORDER BY MARKERS) AS n FROM mk)"
+_IDS = f"(SELECT string_agg(INDIVIDUALS, {_TAB} ORDER BY INDIVIDUALS) AS n FROM samples)"
+_POPS = "(SELECT DISTINCT STRATA FROM samples)"
+_PN = f", pn AS (SELECT STRATA, row_number() OVER (ORDER BY STRATA)::VARCHAR AS POP FROM {_POPS})"
+
+
+def _pair(miss: str, sep: str, one: str = _RC, two: str = _AC) -> str:
+    c = f"|| chr({ord(sep)}) ||"
+    return f"CASE GT_BIN WHEN 0 THEN {one} {c} {one} WHEN 1 THEN {one} {c} {two} WHEN 2 THEN {two} {c} {two} ELSE '{miss}' {c} '{miss}' END"
+
+
+def _bodies(cell: str, sep: str, name: str = "b") -> str:
+    return f", {name} AS (SELECT STRATA, INDIVIDUALS, string_agg({cell}, chr({ord(sep)}) ORDER BY MARKERS) AS BODY FROM g GROUP BY ALL)"
+
+
+def _samples(sec: int, line: str, rel: str = "b JOIN pn USING (STRATA)", order: str = "1", key: str = "INDIVIDUALS") -> tuple:
+    return _line(sec, rel, line, "STRATA", order, key)
+
+
+def _marker_bodies(cell: str, sep: str) -> str:
+    return f", b AS (SELECT CHROM, POS, MARKERS, REF, ALT, count(GT_BIN) AS NS, string_agg({cell}, chr({ord(sep)}) ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL)"
+
+
+_PLACE = {"block": "CHROM", "order": "POS::BIGINT", "key": "MARKERS"}
+_TWICE = lambda a, b: f"(SELECT string_agg(MARKERS || '{a}' || {_TAB} || MARKERS || '{b}', {_TAB} ORDER BY MARKERS) AS n FROM mk)"
+_ONE = lambda what, by="samples": f"(SELECT count(DISTINCT {what})::VARCHAR AS n FROM {by})"
+_six = lambda k: f"'00' || {(_RC, _AC)[k]}"
+_COPY = [f"CASE WHEN GT_BIN > {1 - k} THEN {{alt}} WHEN GT_BIN <= {1 - k} THEN {{ref}} ELSE '{{miss}}' END" for k in (0, 1)]
+_SIXES = lambda miss: [c.format(ref=_six(0), alt=_six(1), miss=miss) for c in _COPY]
+
+
+def _sink(name: str, sql: str, f=None) -> None:
+    simple(f"write_{name}", f or writers.DOCUMENTS[name], _PN + sql)
+
+
+_sink("genepop", _bodies(_SIX, " ") + _lines(_says(0, writers.TITLE), _line(1, _NAMES.format(sep="', '"), "n"), _line(2, _POPS, "'pop'", "STRATA"), _samples(2, "INDIVIDUALS || ', ' || BODY")))
+_sink("genepopedit", _bodies(_SIX, "\t") + _lines(_line(0, _NAMES.format(sep=_TAB), _tab("'SampleID'", "'Population'", "'SampleNum'", "n")), _samples(1, _tab("INDIVIDUALS", "STRATA", "INDIVIDUALS", "BODY"))))
+_sink("hierfstat", _bodies(f"CASE GT_BIN WHEN 0 THEN {_RC} || {_RC} WHEN 1 THEN {_RC} || {_AC} WHEN 2 THEN {_AC} || {_AC} ELSE '00' END", "\t") + _lines(
+    _line(0, f"(SELECT count(DISTINCT STRATA) || ' ' || count(DISTINCT MARKERS) || ' ' || max(greatest(CASE WHEN GT_BIN < 2 THEN strpos('ACGT', REF) END, CASE WHEN GT_BIN > 0 THEN strpos('ACGT', ALT) END)) || ' 1' AS n FROM g)", "n"), _line(1, "mk", "MARKERS", key="MARKERS"), _samples(2, _tab("POP", "BODY"))))
+_sink("structure", _bodies(_pair("-9", "\t"), "\t") + _lines(_line(0, _NAMES.format(sep=_TAB), "n"), _samples(1, _tab("INDIVIDUALS", "POP", "BODY"))))
+_sink("faststructure", _bodies(_pair("-9", "\t", "'1'", "'2'"), "\t") + _lines(_samples(0, _tab("INDIVIDUALS", "POP", "'1'", "'1'", "'1'", "'1'", "BODY"))))
+_SIZES = "(SELECT STRATA, count(*) AS n FROM samples GROUP BY STRATA)"
+_sink("arlequin", _bodies(_SIXES("-9")[0], "\t", "b1") + _bodies(_SIXES("-9")[1], "\t", "b2") + _lines(
+    _says(0, "[Profile]", f'Title = "{writers.TITLE}"'), _line(1, _ONE("STRATA"), "'NbSamples = ' || n"), _says(2, "GenotypicData = 1", "LocusSeparator = WHITESPACE", "GameticPhase = 0", "MissingData = '?'", "DataType = STANDARD", "[Data]", "[[Samples]]"),
+    _line(3, _POPS, "'SampleName = \"' || STRATA || '\"'", "STRATA", "0"), _line(3, _SIZES, "'SampleSize = ' || n", "STRATA", "1"), _line(3, _POPS, "'SampleData = {'", "STRATA", "2"),
+    _samples(3, _tab("INDIVIDUALS", "BODY"), "b1", "3", "INDIVIDUALS || ' 1'"), _samples(3, f"{_TAB} || BODY", "b2", "3", "INDIVIDUALS || ' 2'"), _line(3, _POPS, "'}'", "STRATA", "4"),
+    _says(4, "[[Structure]]", 'StructureName = "One cluster"', "NbGroups = 1", "Group = {"), _line(5, _POPS, "'\"' || STRATA || '\"'", "STRATA"), _says(6, "}")))
+_sink("bayescan", counts("STRATA", "MARKERS") + ", mn AS (SELECT MARKERS, row_number() OVER (ORDER BY MARKERS)::INT AS MARKER FROM mk)" + _lines(
+    _line(0, _ONE("MARKERS", "mk"), "'[loci]=' || n"), _says(1, ""), _line(2, _ONE("STRATA"), "'[populations]=' || n"), _says(3, ""), _line(4, "pn", "'[pop]=' || POP", "lpad(POP, 6, '0')"),
+    _line(4, "c JOIN pn USING (STRATA) JOIN mn USING (MARKERS) WHERE N > 0", "MARKER || ' ' || 2 * N || ' 2 ' || (2 * N0 + N1) || ' ' || (2 * N2 + N1)", "lpad(POP, 6, '0')", "MARKER"), _line(4, "pn", "''", "lpad(POP, 6, '0')", str(2**40))))
+_sink("gsi_sim", _bodies(" || ' ' || ".join(_SIXES("000")), " ") + _lines(_line(0, "(SELECT count(DISTINCT INDIVIDUALS) || ' ' || count(DISTINCT MARKERS) AS n FROM g)", "n"), _line(1, "mk", "MARKERS", key="MARKERS"), _line(2, _POPS, "'pop ' || STRATA", "STRATA"), _samples(2, "INDIVIDUALS || ' ' || BODY")))
+_sink("maverick", _bodies(_pair("-9", "\t"), "\t") + _lines(_says(0, f"# {writers.TITLE}"), _line(1, _TWICE("_A1", "_A2"), _tab("'INDIVIDUALS'", "'POP_ID'", "n")), _samples(2, _tab("INDIVIDUALS", "POP", "BODY"))))
+simple("write_maverick__parameters", lambda g: writers.maverick_parameters(g).filter("LINE like 'K%'"), " SELECT 0 AS SEC, '' AS BLOCK, unnest([9, 10])::BIGINT AS ORD, '' AS KEY, unnest(['Kmin' || chr(9) || '1', 'Kmax' || chr(9) || (SELECT count(DISTINCT STRATA) + 2 FROM samples)]) AS LINE")
+_sink("related", _bodies(_pair("0", " "), " ") + _lines(_line(0, "b", "INDIVIDUALS || ' ' || BODY", key="INDIVIDUALS")))
+_sink("rubias", _bodies(_pair("NA", "\t"), "\t") + _lines(_line(0, _TWICE("_A1", "_A2"), _tab("'sample_type'", "'repunit'", "'collection'", "'indiv'", "n")), _samples(1, _tab("CASE STRATA WHEN '1' THEN 'mixture' ELSE 'reference' END", "CASE STRATA WHEN '1' THEN 'NA' ELSE STRATA END", "STRATA", "INDIVIDUALS", "BODY"))), lambda g: writers.rubias(g, ("1",)))
+_COL = lambda v: f"(SELECT string_agg('{v}', ' ' ORDER BY MARKERS) AS n FROM mk)"
+_sink("colony", _bodies(_pair("0", " "), " ") + _lines(
+    _line(0, "(SELECT unnest(['dataset', 'output']) AS x, unnest([0, 1]) AS i)", "chr(39) || 'offspring' || chr(39) || chr(9) || '! ' || x", order="i"),
+    _line(1, _ONE("INDIVIDUALS"), f"n || {_TAB} || '! offspring'"), _line(1, _ONE("MARKERS", "mk"), f"n || {_TAB} || '! loci'", order="1"),
+    *[_line(2, "(SELECT 1)", f"'{v}' || {_TAB} || '! {w}'", order=str(i)) for i, (v, w) in enumerate((("1234", "seed"), ("0", "update allele frequencies"), ("2", "2 dioecious, 1 monoecious"), ("0", "inbreeding"), ("0", "0 diploid, 1 haplodiploid"), ("0 0", "0 polygamy, 1 monogamy, of males and females"), ("0", "clone inference"), ("1", "scale full sibships"), ("0 0 0", "prior of the sibship size"), ("0", "known allele frequencies")))],
+    *[_line(5, "(SELECT 1)", f"'{v}' || {_TAB} || '! {w}'", order=str(i)) for i, (v, w) in enumerate((("1", "runs"), ("2", "length of a run"), ("0", "monitor by iterates"), ("10000", "monitor interval"), ("0", "no windows"), ("1", "0 pairwise, 1 full likelihood, 2 both"), ("3", "precision of the full likelihood")))],
+    _line(6, _NAMES.format(sep="' '"), f"n || {_TAB} || '! markers'"), *[_line(6, _COL(v), f"n || {_TAB} || '! {w}'", order=str(i)) for i, (v, w) in enumerate((("0", "0 codominant, 1 dominant"), ("0", "allelic dropout"), ("0.02", "other errors")), 1)], _says(7, ""), _samples(8, "INDIVIDUALS || ' ' || BODY"),
+    *[_line(9, "(SELECT 1)", f"'{v}' || {_TAB} || '! {w}'" if w else "''", order=str(i)) for i, (v, w) in enumerate((("", ""), ("0 0", "probability that fathers and mothers are candidates"), ("0 0", "candidate males and females"), ("0 0", "known fathers"), ("0 0", "known mothers"), *[("0", x) for x in ("known paternal sibships", "known maternal sibships", "offspring with excluded fathers", "offspring with excluded mothers", "excluded paternal sibships", "excluded maternal sibships")]))]))
+_VCF_HEAD = "\\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+
+
+def _vcf_sql(cell: str, fields: tuple[str, ...] = ()) -> str:
+    form = ":".join(["GT", *fields])
+    return _marker_bodies(cell, "\t") + _lines(*[_line(0, "(SELECT 1)", _quoted(x), order=str(i)) for i, x in enumerate(writers.vcf_header(fields))], _line(1, _IDS, _tab(*[f"'{x}'" for x in _VCF_HEAD.split("\\t")], "n")),
+                                               _line(2, "b", _tab("CHROM", "POS", "MARKERS", "REF", "ALT", "'.'", "'PASS'", "'NS=' || NS", f"'{form}'", "BODY"), **_PLACE))
+
+
+simple("write_vcf", writers.vcf, _vcf_sql(_VCF))
 _TP = "CASE GT_BIN WHEN 0 THEN REF || ' ' || REF WHEN 1 THEN REF || ' ' || ALT WHEN 2 THEN ALT || ' ' || ALT ELSE '0 0' END"
-simple("write_plink__tped", writers.tped, f", b AS (SELECT CHROM, POS, MARKERS, string_agg({_TP}, ' ' ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL) SELECT MARKERS, CHROM || ' ' || MARKERS || ' 0 ' || POS || ' ' || BODY AS LINE FROM b")
-simple("write_plink__tfam", writers.tfam, " SELECT INDIVIDUALS, STRATA || ' ' || INDIVIDUALS || ' 0 0 0 -9' AS LINE FROM samples")
-simple("write_bayescan", writers.bayescan, counts("STRATA", "MARKERS") + ", pn AS (SELECT STRATA, row_number() OVER (ORDER BY STRATA)::INT AS POP FROM (SELECT DISTINCT STRATA FROM samples)), mn AS (SELECT MARKERS, row_number() OVER (ORDER BY MARKERS)::INT AS MARKER FROM mk) SELECT POP, MARKER, MARKER || ' ' || 2 * N || ' 2 ' || (2 * N0 + N1) || ' ' || (2 * N2 + N1) AS LINE FROM c JOIN pn USING (STRATA) JOIN mn USING (MARKERS) WHERE N > 0")
+simple("write_plink__tped", writers.tped, _marker_bodies(_TP, " ") + _lines(_line(0, "b", "CHROM || ' ' || MARKERS || ' 0 ' || POS || ' ' || BODY", **_PLACE)))
+simple("write_plink__tfam", writers.tfam, _lines(_line(0, "samples", "STRATA || ' ' || INDIVIDUALS || ' 0 0 0 -9'", key="INDIVIDUALS")))
 simple("write_betadiv", writers.betadiv, counts("STRATA", "MARKERS") + " SELECT STRATA, MARKERS, (2 * N2 + N1) / (2 * N) AS FREQ FROM c WHERE N > 0")
 simple("write_hzar", writers.hzar, counts("STRATA", "MARKERS") + " SELECT STRATA, MARKERS, (2 * N0 + N1) / (2 * N) AS FREQ_REF, N FROM c WHERE N > 0")
 QUERIES["generate_hzar"], ORACLES["generate_hzar"] = QUERIES["write_hzar"], ORACLES["write_hzar"]
-simple("write_dadi", writers.dadi, counts("MARKERS", "STRATA") + f" SELECT MARKERS, {_join(chr(39) + '---' + chr(39), chr(39) + '---' + chr(39), chr(39) + 'A' + chr(39), 'string_agg((2 * N0 + N1)::VARCHAR, chr(9) ORDER BY STRATA)', chr(39) + 'C' + chr(39), 'string_agg((2 * N2 + N1)::VARCHAR, chr(9) ORDER BY STRATA)', 'MARKERS')} AS LINE FROM c GROUP BY MARKERS")
-simple("write_fineradstructure", writers.fineradstructure, " SELECT CHROM, LOCUS, INDIVIDUALS, string_agg(CASE WHEN GT_BIN = 2 THEN ALT WHEN GT_BIN < 2 THEN REF ELSE 'N' END, '' ORDER BY POS::BIGINT) || '/' || string_agg(CASE WHEN GT_BIN > 0 THEN ALT WHEN GT_BIN = 0 THEN REF ELSE 'N' END, '' ORDER BY POS::BIGINT) AS HAPLOTYPES FROM g GROUP BY ALL")
+_SIDE = lambda n: f"string_agg(({n})::VARCHAR, {_TAB} ORDER BY STRATA)"
+simple("write_dadi", writers.dadi, counts("MARKERS", "REF", "ALT", "STRATA") + f", d AS (SELECT MARKERS, REF, ALT, {_SIDE('2 * N0 + N1')} AS a, {_SIDE('2 * N2 + N1')} AS b FROM c GROUP BY ALL), ps AS (SELECT string_agg(STRATA, {_TAB} ORDER BY STRATA) AS n FROM {_POPS})" + _lines(_says(0, f"# {writers.TITLE}"), _line(1, "ps", _tab("'IN_GROUP'", "'OUT_GROUP'", "'Allele1'", "n", "'Allele2'", "n", "'MARKERS'")), _line(2, "d", _tab("'---'", "'---'", "REF", "a", "ALT", "b", "MARKERS"), key="MARKERS")))
+_BASES = [c.format(ref="REF", alt="ALT", miss="N") for c in _COPY]
+_HAPS = f", ph AS (SELECT CHROM, LOCUS, INDIVIDUALS, STRATA, string_agg({_BASES[0]}, '' ORDER BY POS::BIGINT) || '/' || string_agg({_BASES[1]}, '' ORDER BY POS::BIGINT) AS HAPLOTYPES FROM g GROUP BY ALL), dc AS (SELECT INDIVIDUALS, 'P' || STRATA || row_number() OVER (ORDER BY INDIVIDUALS) AS ID FROM samples)"
+simple("write_fineradstructure", writers.fineradstructure, _HAPS + f", fl AS (SELECT CHROM, LOCUS, string_agg(HAPLOTYPES, {_TAB} ORDER BY ID) AS BODY FROM ph JOIN dc USING (INDIVIDUALS) GROUP BY ALL)" + _lines(_line(0, f"(SELECT string_agg(ID, {_TAB} ORDER BY ID) AS n FROM dc)", "n"), _line(1, "fl", "BODY", block="CHROM", key="LOCUS")))
 _HM = "CASE GT_BIN WHEN 0 THEN REF || REF WHEN 1 THEN REF || ALT WHEN 2 THEN ALT || ALT ELSE 'NA' END"
-simple("write_hapmap", writers.hapmap, f", b AS (SELECT MARKERS, CHROM, POS, REF, ALT, string_agg({_HM}, chr(9) ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL) SELECT MARKERS, {_join('MARKERS', 'REF || chr(47) || ALT', 'CHROM', 'POS', chr(39) + '+' + chr(39), *[chr(39) + 'NA' + chr(39)] * 6, 'BODY')} AS LINE FROM b")
+_HM_HEAD = ("rs#", "alleles", "chrom", "pos", "strand", "assembly#", "center", "protLSID", "assayLSID", "panelLSID", "QCcode")
+simple("write_hapmap", writers.hapmap, _marker_bodies(_HM, "\t") + _lines(_line(0, _IDS, _tab(*[f"'{x}'" for x in _HM_HEAD], "n")), _line(1, "b", _tab("MARKERS", "REF || '/' || ALT", "CHROM", "POS", "'+'", *["'NA'"] * 6, "BODY"), key="MARKERS")))
 simple("write_ldna", writers.ldna, _LD + " SELECT * FROM ld WHERE LD IS NOT NULL")
-simple("write_pcadapt", writers.pcadapt, " SELECT MARKERS, string_agg(coalesce(GT_BIN, 9)::VARCHAR, ' ' ORDER BY INDIVIDUALS) AS LINE FROM g GROUP BY MARKERS")
-simple("write_stockr", writers.stockr, " SELECT MARKERS, MARKERS || chr(9) || string_agg(coalesce(GT_BIN::VARCHAR, 'NA'), chr(9) ORDER BY INDIVIDUALS) AS LINE FROM g GROUP BY MARKERS")
+simple("write_pcadapt", writers.pcadapt, _marker_bodies("coalesce(GT_BIN, 9)::VARCHAR", " ") + _lines(_line(0, "b", "BODY", key="MARKERS")))
+simple("write_stockr", writers.stockr, _marker_bodies("coalesce(GT_BIN::VARCHAR, 'NA')", "\t") + _lines(_line(0, _IDS, _tab("'MARKERS'", "n")), _line(1, f"(SELECT string_agg(STRATA, {_TAB} ORDER BY INDIVIDUALS) AS n FROM samples)", _tab("'STRATA'", "n")), _line(2, "b", _tab("MARKERS", "BODY"), key="MARKERS")))
 simple("write_genlight", lambda g: writers.genlight(g).select("INDIVIDUALS", "STRATA", F.array_join(F.transform("DOSAGES", lambda x: F.coalesce(x.cast("string"), F.lit("NA"))), " ").alias("DOSAGES")), " SELECT INDIVIDUALS, STRATA, string_agg(coalesce(GT_BIN::VARCHAR, 'NA'), ' ' ORDER BY MARKERS) AS DOSAGES FROM g GROUP BY ALL")
 QUERIES["write_genind"], ORACLES["write_genind"] = QUERIES["allele_count"], ORACLES["allele_count"]
 QUERIES["write_gtypes"], ORACLES["write_gtypes"] = QUERIES["tidy_gtypes"], ORACLES["tidy_gtypes"]
 simple("write_colony__markers", writers.colony_markers, counts("MARKERS") + f" SELECT MARKERS, round({P}, 2) AS FREQ_1, round(1 - {P}, 2) AS FREQ_2 FROM c WHERE N > 0")
-simple("write_fasta", lambda g: writers.fasta(g.select("MARKERS", F.concat("REF", "ALT").alias("SEQUENCE")).distinct()), " SELECT MARKERS, '>' || MARKERS || chr(10) || 'AC' AS LINE FROM mk")
+simple("write_fasta", lambda g: writers.fasta(g.select("MARKERS", F.concat("REF", "ALT").alias("SEQUENCE")).distinct()), " SELECT MARKERS, '>' || MARKERS || chr(10) || REF || ALT AS LINE FROM mk")
 
 _VS = "CASE GT_BIN WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END || ':' || STRATA"
-simple("vcf_strata", lambda g: writers.vcf_strata(g, ["STRATA"]), f", b AS (SELECT CHROM, POS, MARKERS, REF, ALT, count(GT_BIN) AS NS, string_agg({_VS}, chr(9) ORDER BY INDIVIDUALS) AS BODY FROM g GROUP BY ALL) SELECT MARKERS, {_join('CHROM', 'POS', 'MARKERS', 'REF', 'ALT', chr(39) + '.' + chr(39), chr(39) + 'PASS' + chr(39), chr(39) + 'NS=' + chr(39) + ' || NS', chr(39) + 'GT:STRATA' + chr(39), 'BODY')} AS LINE FROM b")
+simple("vcf_strata", lambda g: writers.vcf_strata(g, ["STRATA"]), _vcf_sql(_VS, ("STRATA",)))
 
 # ---- iterating operators and the tables behind plots ----------------------------------------------------------
 simple("estimate_m", lambda g: models.estimate_m(g, reps=100))
