@@ -43,6 +43,13 @@ def bin_from_nuc(gt: Column, ref: Column, alt: Column) -> Column:
     return F.when(~known & ((a == ref) | (a == alt)) & ((b == ref) | (b == alt)), n)
 
 
+def nuc_from_call(call: Column, alleles: Column) -> Column:
+    """The bases of a call such as ``0/2`` (or ``0|2``, kept phased) out of the array of a site's alleles; ``./.`` where one is missing."""
+    sep = F.when(F.contains(call, F.lit("|")), "|").otherwise("/")
+    side = lambda k: F.get(alleles, F.split_part(F.translate(call, "|", "/"), F.lit("/"), F.lit(k)).try_cast("int"))
+    return F.coalesce(F.concat(side(1), sep, side(2)), F.lit(MISSING_VCF))
+
+
 def code(allele: Column) -> Column:
     """The three-digit code of a nucleotide; 000 for others."""
     out = F.lit("000")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as gt
@@ -45,10 +45,10 @@ def with_majority_reference(g: DataFrame) -> DataFrame:
 
 def calibrate_alleles(g: DataFrame) -> DataFrame:
     """REF is the more frequent allele: markers whose alternate is more frequent are swapped, depths too."""
-    flag = stats.minor_alleles(g).select("MARKERS", (F.col("ALT_COUNT") > F.col("REF_COUNT")).alias("__swap"))
+    flag = stats.genotype_counts(g, "MARKERS").select("MARKERS", (F.col("N2") > F.col("N0")).alias("__swap"))
     j = g.join(flag, "MARKERS", "left")
-    turned = {"GT_BIN": gt.swapped(F.col("GT_BIN")), "REF": F.col("ALT"), "ALT": F.col("REF"), "ALLELE_REF_DEPTH": F.col("ALLELE_ALT_DEPTH"), "ALLELE_ALT_DEPTH": F.col("ALLELE_REF_DEPTH")}
-    return j.select(*[F.when(F.col("__swap"), turned[c]).otherwise(F.col(c)).alias(c) if c in turned and c in g.columns else F.col(c) for c in g.columns])
+    turned: dict[str, Column] = {"GT_BIN": gt.swapped(F.col("GT_BIN")), "REF": F.col("ALT"), "ALT": F.col("REF"), "ALLELE_REF_DEPTH": F.col("ALLELE_ALT_DEPTH"), "ALLELE_ALT_DEPTH": F.col("ALLELE_REF_DEPTH"), "REF_COUNT": F.col("ALT_COUNT"), "ALT_COUNT": F.col("REF_COUNT")}
+    return j.select(*[F.when(F.col("__swap"), turned[c]).otherwise(F.col(c)).alias(c) if c in turned else F.col(c) for c in g.columns])
 
 
 def separate_gt(g: DataFrame, column: str = "GT_VCF_NUC", long: bool = True) -> DataFrame:
@@ -149,7 +149,96 @@ def parse_depths(v: DataFrame) -> DataFrame:
 def subsample(strata: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 1) -> DataFrame:
     """``n`` samples, or a fraction, of each stratum in a seeded hash order."""
     w = Window.partitionBy("STRATA")
-    i = F.row_number().over(w.orderBy(F.xxhash64("INDIVIDUALS", F.lit(seed)), "INDIVIDUALS"))
+    i = F.row_number().over(w.orderBy(F.md5(F.concat("INDIVIDUALS", F.lit(f":{seed}"))), "INDIVIDUALS"))
     s = strata.withColumn("__i", i).withColumn("__n", F.count(F.lit(1)).over(w))
     keep = F.col("__i") <= n if n is not None else F.col("__i") <= F.ceil(F.col("__n") * fraction)
     return s.filter(keep).drop("__i", "__n")
+
+
+def allele_depths(x: DataFrame) -> DataFrame:
+    """ALLELE_REF_DEPTH and ALLELE_ALT_DEPTH from AD, else from the depths of the alleles' letters, else missing.
+
+    A homozygote with a read depth and no allele depth has the read depth as its own allele's.
+    """
+    none = F.lit(None).cast("long")
+    if "AD" in x.columns:
+        x = parse_depths(x).drop("AD")
+    elif "C_DEPTH" in x.columns:
+        letter = lambda a: F.coalesce(*[F.when(F.col(a) == n, F.nullif(F.col(f"{n}_DEPTH"), F.lit(0).cast("long"))) for n in "CATG"])
+        x = x.withColumn("ALLELE_REF_DEPTH", letter("REF")).withColumn("ALLELE_ALT_DEPTH", letter("ALT"))
+    else:
+        return x.withColumn("ALLELE_REF_DEPTH", none).withColumn("ALLELE_ALT_DEPTH", none)
+    bare = F.col("ALLELE_REF_DEPTH").isNull() & F.col("ALLELE_ALT_DEPTH").isNull()
+    own = lambda dose, c: F.when(bare & (F.col("GT_BIN") == dose), F.col("READ_DEPTH")).otherwise(F.col(c)).alias(c)
+    return x.select(*[c for c in x.columns if c not in ("ALLELE_REF_DEPTH", "ALLELE_ALT_DEPTH")], own(0, "ALLELE_REF_DEPTH"), own(2, "ALLELE_ALT_DEPTH"))
+
+
+def split_haplotypes(g: DataFrame) -> DataFrame:
+    """Markers whose alleles are words of one length as a marker for each place that varies; others stay.
+
+    ``g`` has MARKERS, POS, REF, ALT (comma between alleles), INDIVIDUALS and GT_VCF_NUC; the new markers end in ``_1``,
+    ``_2`` .. (the place in the word), POS moves with it, and GT_BIN is there where two bases are.
+    """
+    alleles = F.concat(F.array("REF"), F.split("ALT", ","))
+    words = (F.length("REF") > 1) & F.forall(alleles, lambda a: F.length(a) == F.length("REF"))
+    x = g.withColumn("__alleles", alleles).filter(words).withColumn("__p", F.explode(F.sequence(F.lit(1), F.length("REF"))))
+    at = lambda a: F.substring(a, F.col("__p"), F.lit(1))
+    x = x.withColumn("__b", F.array_distinct(F.transform("__alleles", at))).filter(F.size("__b") > 1)
+    sep = F.when(F.contains("GT_VCF_NUC", F.lit("|")), "|").otherwise("/")
+    called = F.translate("GT_VCF_NUC", "|", "/")
+    two = F.when(F.col("GT_VCF_NUC") == gt.MISSING_VCF, gt.MISSING_VCF).otherwise(F.concat(at(F.split_part(called, F.lit("/"), F.lit(1))), sep, at(F.split_part(called, F.lit("/"), F.lit(2)))))
+    ref, alt = F.get("__b", F.lit(0)), F.array_join(F.slice("__b", 2, F.size("__b") - 1), ",")
+    new = {"MARKERS": F.concat_ws("_", "MARKERS", F.col("__p").cast("string")), "POS": (F.col("POS").cast("long") + F.col("__p") - 1).cast("string"), "REF": ref, "ALT": alt, "GT_VCF_NUC": two}
+    x = x.select(*[new[c].alias(c) if c in new else F.col(c) for c in g.columns])
+    if "GT_BIN" in g.columns:
+        dose = F.when(F.length("ALT") == 1, gt.bin_from_nuc(F.translate("GT_VCF_NUC", "|", "/"), F.col("REF"), F.col("ALT")))
+        x = x.withColumn("GT_BIN", dose)
+    return g.filter(~words).unionByName(x)
+
+
+def tidy_genind(w: DataFrame, sep: str = ".") -> DataFrame:
+    """A table of allele counts (INDIVIDUALS, STRATA, a column ``marker.allele`` for each allele) as a long table.
+
+    Where no marker has more than two alleles, the rarer allele (ties: the smaller name) is the alternate and its count
+    GT_BIN; else GT has two codes: the allele twice for a count of 2, ``000000`` for missing.  Names of alleles that are
+    not numbers are numbered by name over the whole table.
+    """
+    x = w.unpivot(["INDIVIDUALS", "STRATA"], None, "c", "COUNT")
+    cut = F.regexp_extract("c", r"^([^.]+)\.(.*)$", 1) if sep == "." else F.split_part("c", F.lit(sep), F.lit(1))
+    name = F.regexp_extract("c", r"^([^.]+)\.(.*)$", 2) if sep == "." else F.split_part("c", F.lit(sep), F.lit(2))
+    x = x.select("INDIVIDUALS", "STRATA", cut.alias("MARKERS"), F.regexp_replace(name, "^A[12]__", "").alias("ALLELES"), F.col("COUNT").cast("int").alias("COUNT"))
+    seen = x.groupBy("MARKERS", "ALLELES").agg(F.coalesce(F.sum("COUNT"), F.lit(0)).alias("n"))
+    most = seen.groupBy("MARKERS").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    if most <= 2:
+        order = F.array_sort(F.collect_list(F.struct("n", "ALLELES")))
+        two = seen.groupBy("MARKERS").agg(order.alias("o")).select("MARKERS", F.get("o", F.lit(0))["ALLELES"].alias("ALT"), F.get("o", F.lit(1))["ALLELES"].alias("REF"))
+        return x.join(two, "MARKERS").filter("ALLELES = ALT").select("MARKERS", "INDIVIDUALS", "STRATA", "REF", "ALT", F.col("COUNT").alias("GT_BIN"))
+    names = seen.select("ALLELES").distinct()  # as many as a table has alleles by name
+    plain = names.filter(~F.col("ALLELES").rlike("[0-9]")).limit(1).count() > 0
+    code = names.withColumn("code", F.lpad((F.dense_rank().over(Window.orderBy("ALLELES")) if plain else F.col("ALLELES")).cast("string"), 3, "0"))
+    x = x.join(F.broadcast(code), "ALLELES").filter("COUNT is null or COUNT > 0")
+    own = F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col("code"), F.col("COUNT")))))
+    miss = F.max(F.col("COUNT").isNull())
+    y = x.groupBy("MARKERS", "INDIVIDUALS", "STRATA").agg(own.alias("a"), miss.alias("m"))
+    return y.select("MARKERS", "INDIVIDUALS", "STRATA", F.when(F.col("m") | (F.size("a") != 2), gt.MISSING_GT).otherwise(F.concat(F.get("a", F.lit(0)), F.get("a", F.lit(1)))).alias("GT"))
+
+
+def tidy_genlight(w: DataFrame, alleles: DataFrame | None = None) -> DataFrame:
+    """A table of dosages (INDIVIDUALS, STRATA, a column for each marker) as a long one; ``alleles`` has (MARKERS, REF, ALT), else A and C stand in."""
+    x = w.unpivot(["INDIVIDUALS", "STRATA"], None, "MARKERS", "GT_BIN").withColumn("GT_BIN", F.col("GT_BIN").cast("int"))
+    return x.join(alleles, "MARKERS", "left") if alleles is not None else x.withColumn("REF", F.lit("A")).withColumn("ALT", F.lit("C"))
+
+
+def detect_gt(df: DataFrame, keep_one: bool = True, favourite: str = "GT_BIN") -> list[str]:
+    """The genotype encodings that a table has; with ``keep_one`` the favourite, or the first there is."""
+    have = [c for c in df.columns if c in ("GT", "GT_BIN", "GT_VCF", "GT_VCF_NUC")]
+    return have if not keep_one or len(have) < 2 else [favourite if favourite in have else have[0]]
+
+
+def check_coverage(g: DataFrame, source: str = "") -> list[str]:
+    """The depth columns that hold a value; none for presence data (DArT in one or two rows)."""
+    have = [c for c in ("READ_DEPTH", "ALLELE_REF_DEPTH", "ALLELE_ALT_DEPTH", "C_DEPTH", "A_DEPTH", "T_DEPTH", "G_DEPTH") if c in g.columns]
+    if source in ("1row", "2rows") or not have:
+        return []
+    row = g.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in have]).first()
+    return [c for c in have if row[c]]

@@ -30,8 +30,17 @@ def markers_fis(g: DataFrame) -> DataFrame:
     return genotype_counts(g, "MARKERS").select("MARKERS", F.col("N0").alias("REF"), F.col("N1").alias("HET"), F.col("N2").alias("ALT"), "N", *fis_columns())
 
 
+#: columns that a source may lack; statistics read them as missing
+OPTIONAL = {"COL": "int", "READ_DEPTH": "long", "ALLELE_REF_DEPTH": "long", "ALLELE_ALT_DEPTH": "long"}
+
+
+def with_optional(g: DataFrame) -> DataFrame:
+    return g.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in g.columns})
+
+
 def marker_stats(g: DataFrame) -> DataFrame:
     """All marker statistics in one pass over the genotypes, plus the SNP number of the marker's locus."""
+    g = with_optional(g)
     depth = [F.sum("READ_DEPTH").alias("COVERAGE_TOTAL"), F.avg("READ_DEPTH").alias("COVERAGE_MEAN"), F.sum("ALLELE_REF_DEPTH").alias("REF_DEPTH_TOTAL"), F.sum("ALLELE_ALT_DEPTH").alias("ALT_DEPTH_TOTAL")]
     m = g.groupBy("MARKERS", "CHROM", "LOCUS", "POS", "COL").agg(*_counts(), *depth)
     ref, alt = 2 * F.col("N0") + F.col("N1"), 2 * F.col("N2") + F.col("N1")
@@ -46,6 +55,7 @@ def marker_stats(g: DataFrame) -> DataFrame:
 
 def individual_stats(g: DataFrame) -> DataFrame:
     """MISSING_PROP, HETEROZYGOSITY (0 where nothing is genotyped) and coverage of each sample."""
+    g = with_optional(g)
     depth = [F.sum("READ_DEPTH").alias("COVERAGE_TOTAL"), F.avg("READ_DEPTH").alias("COVERAGE_MEAN"), *five("READ_DEPTH", "COVERAGE_")]
     s = g.groupBy("INDIVIDUALS", "STRATA").agg(*_counts(), *depth)
     return s.select("INDIVIDUALS", "STRATA", ((F.col("TOTAL") - F.col("N")) / F.col("TOTAL")).alias("MISSING_PROP"), F.coalesce(F.try_divide("N1", "N"), F.lit(0.0)).alias("HETEROZYGOSITY"),
@@ -148,7 +158,7 @@ def maf(g: DataFrame) -> DataFrame:
 
 def minor_alleles(g: DataFrame) -> DataFrame:
     """MAC, MAF by count, MAD and MAF by depth, of each marker; multi-pass calibration is not needed for biallelic data."""
-    c = g.groupBy("MARKERS").agg(*_counts(), F.coalesce(F.sum("ALLELE_REF_DEPTH"), F.lit(0)).alias("RD"), F.coalesce(F.sum("ALLELE_ALT_DEPTH"), F.lit(0)).alias("AD"))
+    c = with_optional(g).groupBy("MARKERS").agg(*_counts(), F.coalesce(F.sum("ALLELE_REF_DEPTH"), F.lit(0)).alias("RD"), F.coalesce(F.sum("ALLELE_ALT_DEPTH"), F.lit(0)).alias("AD"))
     ref, alt = 2 * F.col("N0") + F.col("N1"), 2 * F.col("N2") + F.col("N1")
     low = F.least("RD", "AD")
     return c.select("MARKERS", ref.alias("REF_COUNT"), alt.alias("ALT_COUNT"), F.least(ref, alt).alias("MAC_GLOBAL_CORR"), F.try_divide(F.least(ref, alt), ref + alt).alias("MAF_GLOBAL_COUNT_CORR"),
