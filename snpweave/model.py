@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WHITELIST = "whitelist"
-MARKER_COLUMNS = ("MARKERS", "CHROM", "LOCUS", "POS", "COL", "REF", "ALT")
+MARKER_COLUMNS = ("MARKERS", "CHROM", "LOCUS", "POS", "COL", "REF", "ALT", "FILTER", "REP_AVG")
 SAMPLE_COLUMNS = ("INDIVIDUALS", "STRATA")
 CALL_COLUMNS = ("GT_BIN", "READ_DEPTH", "ALLELE_REF_DEPTH", "ALLELE_ALT_DEPTH")
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..model import WHITELIST, Dataset
 from ..operators import detect, filters, hwe, pairs, stats
 
@@ -36,31 +37,55 @@ class Step:
     on: str = "MARKERS"
 
 
-def steps(monomorphic=True, common=True, missing=None, heterozygosity=None, ma=None, ma_stat="mac", coverage=None, genotyping=None, position=None, snp_number=None, short_ld=None, mixed=None, hwe_level=None) -> list[Step]:
-    """The cascade's steps in their order; an argument left out leaves its step out."""
+def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibility=None, monomorphic=True, common=True, whitelist=None, blacklist_id=None, missing=None, heterozygosity=None, coverage_total=None, ma=None, ma_stat="mac", coverage=None, genotyping=None, position=None, snp_number=None, short_ld=None, long_ld=None,
+          mixed=None, duplicates=None, hwe_level=None) -> list[Step]:
+    """The cascade's steps in their order; an argument left out leaves its step out.
+
+    ``whitelist`` and ``blacklist_id`` are tables (MARKERS; INDIVIDUALS); ``strands`` is the rule for markers at one place,
+    ``long_ld`` the largest linkage between markers of a chromosome that both stay, ``duplicates`` the relative distance
+    under which two samples are one genome.
+    """
     out = []
+    add = lambda *x: out.append(Step(*x))
+    sites = lambda g, *extra: g.select("MARKERS", *extra).distinct()
+    if strands is not None:
+        add("filter.duplicated.markers.strands", "rule", str(strands), lambda g: filters.duplicated_strands(stats.marker_stats(g), strands))
+    if vcf_filter:
+        add("filter.vcf.filter.column", "PASS", "TRUE", lambda g: filters.vcf_filter_column(sites(g, "FILTER")))
+    if haplotype_format:
+        add("filter.haplotype.format", "filter.haplotype.format", "TRUE", lambda g: filters.haplotype_format(sites(g, "REF", "ALT")))
+    if reproducibility is not None:
+        add("filter.reproducibility", "REP_AVG", str(reproducibility), lambda g: filters.beyond(sites(g, "REP_AVG"), "REP_AVG", low=reproducibility).select("MARKERS"))
     if monomorphic:
-        out.append(Step("filter.monomorphic", "filter.monomorphic", "TRUE", stats.monomorphic))
+        add("filter.monomorphic", "filter.monomorphic", "TRUE", stats.monomorphic)
     if common:
-        out.append(Step("filter.common.markers", "filter.common.markers", "TRUE", stats.not_common_markers))
-    if missing is not None or heterozygosity is not None:
-        out.append(Step("filter.individuals", "missing, heterozygosity", f"{missing}, {heterozygosity}", lambda g: filters.individuals(stats.individual_stats(g), missing, heterozygosity), "INDIVIDUALS"))
+        add("filter.common.markers", "filter.common.markers", "TRUE", stats.not_common_markers)
+    if whitelist is not None:
+        add("filter.whitelist", "whitelist.markers", "table", lambda g: sites(g).join(whitelist.select("MARKERS").distinct(), "MARKERS", "left_anti"))
+    if blacklist_id is not None:
+        add("filter.blacklist.id", "blacklist.id", "table", lambda g: blacklist_id, "INDIVIDUALS")
+    if missing is not None or heterozygosity is not None or coverage_total is not None:
+        add("filter.individuals", "missing, heterozygosity, coverage", f"{missing}, {heterozygosity}, {coverage_total}", lambda g: filters.individuals(stats.individual_stats(g), missing, heterozygosity, coverage_total), "INDIVIDUALS")
     if ma is not None:
-        out.append(Step("filter.ma", ma_stat, str(ma), lambda g: filters.minor_allele(stats.minor_alleles(g), ma_stat, ma)))
+        add("filter.ma", ma_stat, str(ma), lambda g: filters.minor_allele(stats.minor_alleles(g), ma_stat, ma))
     if coverage is not None:
-        out.append(Step("filter.coverage", "mean", str(coverage), lambda g: filters.coverage(stats.marker_stats(g), *coverage)))
+        add("filter.coverage", "mean", str(coverage), lambda g: filters.coverage(stats.marker_stats(g), *coverage))
     if genotyping is not None:
-        out.append(Step("filter.genotyping", "missing", str(genotyping), lambda g: filters.genotyping(stats.marker_stats(g), genotyping)))
+        add("filter.genotyping", "missing", str(genotyping), lambda g: filters.genotyping(stats.marker_stats(g), genotyping))
     if position is not None:
-        out.append(Step("filter.snp.position.read", "rule", str(position), lambda g: filters.snp_position(stats.marker_stats(g), position)))
+        add("filter.snp.position.read", "rule", str(position), lambda g: filters.snp_position(stats.marker_stats(g), position))
     if snp_number is not None:
-        out.append(Step("filter.snp.number", "snp per locus", str(snp_number), lambda g: filters.snp_number(stats.marker_stats(g), snp_number)))
+        add("filter.snp.number", "snp per locus", str(snp_number), lambda g: filters.snp_number(stats.marker_stats(g), snp_number))
     if short_ld is not None:
-        out.append(Step("filter.short.ld", "rule", str(short_ld), lambda g: filters.short_ld(stats.marker_stats(g), short_ld)))
+        add("filter.short.ld", "rule", str(short_ld), lambda g: filters.short_ld(stats.marker_stats(g), short_ld))
+    if long_ld is not None:
+        add("filter.long.ld", "threshold", str(long_ld), lambda g: pairs.ld_pruning(pairs.linkage(g, least=long_ld), stats.marker_stats(g), long_ld).filter("not KEEP").select("MARKERS"))
     if mixed is not None:
-        out.append(Step("detect.mixed.genomes", "heterozygosity", str(mixed), lambda g: detect.mixed_genomes(g, *mixed), "INDIVIDUALS"))
+        add("detect.mixed.genomes", "heterozygosity", str(mixed), lambda g: detect.mixed_genomes(g, *mixed), "INDIVIDUALS")
+    if duplicates is not None:
+        add("detect.duplicate.genomes", "distance", str(duplicates), lambda g: pairs.remove_duplicates(pairs.distance(g), stats.individual_stats(g), duplicates).filter("not KEEP").select("INDIVIDUALS"), "INDIVIDUALS")
     if hwe_level is not None:
-        out.append(Step("filter.hwe", "midp level", str(hwe_level), lambda g: hwe.blacklist(hwe.hwe(g), level=hwe_level)))
+        add("filter.hwe", "midp level", str(hwe_level), lambda g: hwe.blacklist(hwe.hwe(g), level=hwe_level))
     return out
 
 
@@ -79,6 +104,24 @@ def run(ds: Dataset, todo: list[Step]) -> Dataset:
     return ds
 
 
+def import_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, **options) -> Dataset:
+    """A VCF as a dataset after the import cascade: samples without a stratum are tagged, then the steps of ``options``.
+
+    By default: FILTER column, SNPs only, monomorphic and common markers; ``READ_OPTIONS`` has the names.
+    """
+    from ..sources import readers
+
+    opt = READ_OPTIONS.resolve(options)
+    g = readers.read_vcf(spark, path).drop("STRATA")
+    known = strata if strata is not None else g.select("INDIVIDUALS").distinct().withColumn("STRATA", F.lit("pop"))
+    known = known.select(names.clean_ind_names(F.col("INDIVIDUALS")).alias("INDIVIDUALS"), "STRATA").distinct()
+    ds = Dataset.from_tidy(g.join(known, "INDIVIDUALS", "left"), source=readers.vcf_header(spark, path)["source"])
+    ds = ds.blacklist_individuals(ds.individuals.filter("STRATA is null").select("INDIVIDUALS"), "filter.strata")
+    todo = steps(strands=opt["filter_strands"], vcf_filter=opt["vcf_filter"], haplotype_format=opt["haplotype_format"], monomorphic=opt["filter_monomorphic"], common=opt["filter_common_markers"], whitelist=opt["whitelist_markers"], blacklist_id=opt["blacklist_id"], missing=opt["missing"], heterozygosity=opt["heterozygosity"],
+                 **{k: opt[k] for k in ("ma", "coverage", "genotyping", "position", "snp_number", "short_ld", "long_ld")})
+    return run(ds, todo)
+
+
 def ledger(spark: SparkSession, ds: Dataset) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in ds.ledger], LEDGER)
 
@@ -98,7 +141,7 @@ class Options:
         return {**self.defaults, **given}
 
 
-READ_OPTIONS = Options({"filter_strands": "keep.both", "filter_monomorphic": True, "filter_common_markers": True, "whitelist_markers": None, "blacklist_id": None, "ma": None, "coverage": None, "genotyping": None, "position": None, "snp_number": None, "short_ld": None}, {"maf_thresholds", "imputation_method"})
+READ_OPTIONS = Options({"filter_strands": None, "vcf_filter": True, "haplotype_format": True, "filter_monomorphic": True, "filter_common_markers": True, "whitelist_markers": None, "blacklist_id": None, "missing": None, "heterozygosity": None, "ma": None, "coverage": None, "genotyping": None, "position": None, "snp_number": None, "short_ld": None, "long_ld": None}, {"maf_thresholds", "imputation_method"})
 
 
 def choose_markers_subsample(n_markers: int, n_ind: int, max_gb: float = 10, bytes_per_cell: int = 4, n_matrices: int = 1, small: int = 200_000, cap: float = 0.3, margin: float = 0.9) -> float:
