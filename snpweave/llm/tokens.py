@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
