@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stage(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "signatures")
     real = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"))
+    classes = stage(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("m")), "fingerprints")
     reps = real.join(classes.select("f1", "f2", F.col("cls").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["f1", "f2", "doc_id"])
     reps = stage(reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sig", "keys"), "classes")
     keyed = reps.select("cls", F.explode("keys").alias("key"))
@@ -329,8 +329,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             comp = stage(components(edges.unionByName(more), "a", "b"), "components")
         drop_stage(some, full, more)
     drop_stage(entries, edges, visits, reps)
-    known = classes.join(comp, classes["cls"] == comp["node"], "left").select("f1", "f2", F.coalesce("component", "cls").alias("comp"))
-    out = base.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
+    known = stage(classes.join(comp, classes["cls"] == comp["node"], "left").select("f1", "f2", "m", F.coalesce("component", "cls").alias("comp")), "known")
+    drop_stage(classes, comp)
+    # classes of many copies find them without a shuffle of the copies to one task; there are at most documents / BLOCK
+    hot, cold = _few(known.filter(F.col("m") > BLOCK).drop("m")), known.filter(F.col("m") <= BLOCK).drop("m")
+    rows = base.select("doc_id", "n_shingles", "f1", "f2")
+    out = rows.join(hot, ["f1", "f2"]).unionByName(rows.join(hot, ["f1", "f2"], "left_anti").join(cold, ["f1", "f2"], "left"))
     c = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     c = F.when(F.col("doc_id").isNotNull(), c)
     return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
