@@ -435,8 +435,9 @@ simple("vcf_strata", lambda g: writers.vcf_strata(g, ["STRATA"]), _vcf_sql(_VS,
 
 # ---- iterating operators and the tables behind plots ----------------------------------------------------------
 simple("estimate_m", lambda g: models.estimate_m(g, reps=100))
-simple("simulate_genos_from_posterior", lambda g: models.simulate_genotypes(g, 0.1).select("MARKERS", "INDIVIDUALS", "GT_BIN"))
-simple("detect_inversions", lambda g: models.outlier_windows(models.local_pca(g, 20), 0.5))
+simple("simulate_genos_from_posterior", lambda g: models.simulate_genotypes(g, 0.1).select("MARKERS", "INDIVIDUALS", "GT_BIN"), counts("MARKERS") + f""", pm AS (SELECT MARKERS, {P} AS p FROM c WHERE N > 0), x AS (SELECT g.MARKERS, INDIVIDUALS, GT_BIN, p * (1 - p) * 0.1::DOUBLE AS het, CASE WHEN GT_BIN = 0 THEN p * p ELSE (1 - p) * (1 - p) END AS hom, ('0x' || substr(md5(g.MARKERS || '|' || INDIVIDUALS || '|1'), 1, 8))::UBIGINT::DOUBLE / 4294967296 AS u FROM g LEFT JOIN pm ON pm.MARKERS = g.MARKERS)
+SELECT MARKERS, INDIVIDUALS, CASE WHEN GT_BIN IN (0, 2) AND u < het / nullif(het + hom, 0) THEN 1 ELSE GT_BIN END AS GT_BIN FROM x""")
+simple("detect_inversions", lambda g: models.inversions(g, 10, quantile=0.8))
 simple("ld_missing", models.ld_by_chromosome, _LD + ", v AS (SELECT split_part(MARKERS_A, '__', 1) AS CHROM, LD FROM ld WHERE LD IS NOT NULL), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS THRESHOLD) SELECT CHROM, THRESHOLD, count(*) FILTER (WHERE LD > THRESHOLD) AS LINKED_PAIRS, count(*) AS PAIRS FROM v CROSS JOIN t GROUP BY ALL")
 simple("summarize_sex__residuals", lambda g: models.quantile_residuals(detect.summarize_sex(_sexed(g)), "DEPTH_MEAN", "HET_MEAN").select("MARKERS", F.round("QR_RESIDUALS", 4).alias("QR_RESIDUALS")))
 simple("plot_histogram", lambda g: models.histogram(stats.individual_stats(g), "COVERAGE_TOTAL", 10), ISTATS + ", l AS (SELECT min(COVERAGE_TOTAL)::DOUBLE AS lo, max(COVERAGE_TOTAL)::DOUBLE AS hi FROM ist) SELECT coalesce(least(floor((COVERAGE_TOTAL - lo) / nullif(hi - lo, 0) * 10), 9), 0)::INT AS BIN, count(*) AS N FROM ist, l GROUP BY 1")

@@ -80,12 +80,12 @@ def estimate_m(g: DataFrame, reps: int = 200, start: float = 0.1, a0: float = 0.
 
 
 def simulate_genotypes(g: DataFrame, m: float, seed: int = 1) -> DataFrame:
-    """Homozygotes become heterozygotes with their posterior probability of a miscall, by a seeded hash of the cell."""
+    """Homozygotes become heterozygotes with their posterior probability of a miscall, by a seeded hash (MD5) of the cell."""
     c = stats.genotype_counts(g, "MARKERS").filter("N > 0").select("MARKERS", ((2 * F.col("N0") + F.col("N1")) / (2 * F.col("N"))).alias("p"))
     j = g.join(c, "MARKERS", "left")
     het = F.col("p") * (1 - F.col("p")) * m
     hom = F.when(F.col("GT_BIN") == 0, F.col("p") * F.col("p")).otherwise((1 - F.col("p")) * (1 - F.col("p")))
-    u = F.pmod(F.xxhash64("MARKERS", "INDIVIDUALS", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "MARKERS", "INDIVIDUALS", F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     gt = F.when(F.col("GT_BIN").isin(0, 2) & (u < F.try_divide(het, het + hom)), 1).otherwise(F.col("GT_BIN"))
     return j.select(*[gt.alias(x) if x == "GT_BIN" else F.col(x) for x in g.columns])
 
@@ -125,44 +125,173 @@ def quantile_residuals(s: DataFrame, x: str, y: str, tau: float = 0.3, rounds: i
     return s.withColumn("QR_RESIDUALS", F.col(y) - F.lit(a - b * mean) - F.lit(b) * F.col(x))
 
 
-def local_pca(g: DataFrame, size: int = 100, k: int = 2, clusters: int = 3) -> DataFrame:
-    """Windows of ``size`` SNPs: the share of variance of ``k`` axes, and the sizes of ``clusters`` of samples on the first.
+def _windows(g: DataFrame, size: int) -> DataFrame:
+    """(MARKERS, WINDOW): full windows of ``size`` neighbouring SNPs of a chromosome."""
+    own = Window.partitionBy("CHROM")
+    place = F.row_number().over(own.orderBy(F.col("POS").cast("long"), "MARKERS")) - 1
+    m = g.select("MARKERS", "CHROM", "POS").distinct().withColumn("WINDOW", F.floor(place / size).cast("long")).withColumn("n", F.count(F.lit(1)).over(own))
+    return m.filter((F.col("WINDOW") + 1) * size <= F.col("n")).select("MARKERS", "WINDOW")
 
-    A window is a bounded group: its SNPs by all samples.
+
+def _table(pdf: pd.DataFrame, ids: list[str]) -> np.ndarray:
+    """Samples (in the order of ``ids``) by SNPs."""
+    return pdf.pivot_table(index="INDIVIDUALS", columns="MARKERS", values="GT_BIN", aggfunc="first", dropna=False).reindex(ids).to_numpy(float)
+
+
+def local_pca(g: DataFrame, size: int = 100, k: int = 2) -> DataFrame:
+    """(CHROM, WINDOW, START, END, N_SNP, VALUES, AXES) of full windows: the ``k`` largest eigenvalues of the samples' covariance, divided by the sum of their sizes, and the eigenvectors.
+
+    A window is a bounded group: its SNPs by all samples.  Missing genotypes stand at their SNP's mean.
     """
-    place = F.row_number().over(Window.partitionBy("CHROM").orderBy(F.col("POS").cast("long"), "MARKERS"))
-    w = g.select("MARKERS", "CHROM", "POS").distinct().withColumn("WINDOW", F.floor((place - 1) / size).cast("long")).select("MARKERS", "WINDOW")
+    ids = [r[0] for r in g.select("INDIVIDUALS").distinct().orderBy("INDIVIDUALS").collect()]
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="INDIVIDUALS", columns="MARKERS", values="GT_BIN", aggfunc="first").sort_index()
-        x = m.to_numpy(float)
-        mean = np.nanmean(x, axis=0, keepdims=True) if x.size else np.zeros((1, 0))
-        x = np.where(np.isnan(x), mean, x) - mean
-        u, s, _ = np.linalg.svd(x, full_matrices=False) if x.size else (np.zeros((0, 0)), np.zeros(0), None)
-        total = float((s**2).sum())
-        share = float((s[:k] ** 2).sum()) / total if total else 0.0
-        axis = np.sort(u[:, 0] * s[0]) if len(s) else np.zeros(0)
-        cut = np.quantile(axis, np.linspace(0, 1, clusters + 1)[1:-1]) if len(axis) else []
-        centre = np.array([axis[0], *cut, axis[-1]])[:clusters] if len(axis) else np.zeros(0)
-        for _ in range(50):
-            if not len(axis):
-                break
-            own = np.abs(axis[:, None] - centre[None]).argmin(axis=1)
-            new = np.array([axis[own == c].mean() if (own == c).any() else centre[c] for c in range(len(centre))])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        sizes = sorted(np.bincount(own, minlength=clusters).tolist(), reverse=True) if len(axis) else []
-        return pd.DataFrame({"CHROM": [key[0]], "WINDOW": [int(key[1])], "N_SNP": [m.shape[1]], "EXPLAINED": [round(share, 6)], "CLUSTERS": [",".join(map(str, sizes))]})
-
-    own = g.join(w, "MARKERS").select("CHROM", "WINDOW", "MARKERS", "INDIVIDUALS", F.col("GT_BIN").cast("double"))
-    return own.groupBy("CHROM", "WINDOW").applyInPandas(solve, "CHROM string, WINDOW long, N_SNP long, EXPLAINED double, CLUSTERS string")
+        x = _table(pdf, ids)
+        with np.errstate(all="ignore"):
+            mean = np.where(np.isnan(x).all(axis=0), 0.0, np.nansum(x, axis=0) / np.maximum(1, (~np.isnan(x)).sum(axis=0)))
+        x = np.where(np.isnan(x), 0.0, x - mean)
+        x = x - x.mean(axis=1, keepdims=True)
+        v, s, _ = np.linalg.svd(x, full_matrices=False)
+        lam, v = s[:k] ** 2 / max(1, x.shape[1] - 1), v[:, :k]
+        total = np.abs(lam).sum()
+        return pd.DataFrame({"CHROM": [key[0]], "WINDOW": [int(key[1])], "START": [int(pdf["POS"].min())], "END": [int(pdf["POS"].max())], "N_SNP": [x.shape[1]], "VALUES": [(lam / total if total else lam).tolist()], "AXES": [np.ascontiguousarray(v.T).tobytes()]})
+
+    own = g.join(_windows(g, size), "MARKERS").select("CHROM", "WINDOW", "MARKERS", F.col("POS").cast("long").alias("POS"), "INDIVIDUALS", F.col("GT_BIN").cast("double").alias("GT_BIN"))
+    return own.groupBy("CHROM", "WINDOW").applyInPandas(solve, "CHROM string, WINDOW long, START long, END long, N_SNP long, VALUES array<double>, AXES binary")
+
+
+def window_scaling(w: DataFrame, k: int = 2, rounds: int = 300, parts: int = 32, extra: int = 8) -> DataFrame:
+    """Classical scaling of windows by the distance of their low-rank covariances: ``w`` with LS_PC1 .. and LS_DIST.
+
+    The distance of two windows is the Frobenius norm of the difference of their matrices (values times axes), so the scaled
+    coordinates are the principal components of these matrices, found by subspace iteration with ``extra`` more directions:
+    each round is a pass over the windows whose tasks send ``k + extra`` matrices of samples by samples, from ``parts`` tasks
+    at most.  No matrix of windows by windows exists.
+    """
+    w = pairs.checkpointed(w.coalesce(parts))
+    first = w.first()
+    if first is None:
+        return w.select("*", *[F.lit(None).cast("double").alias(f"LS_PC{j + 1}") for j in range(k)], F.lit(None).cast("double").alias("LS_DIST"))
+    rank = len(first["VALUES"])
+    n = len(first["AXES"]) // 8 // rank
+
+    def matrix(values, axes):
+        v = np.frombuffer(axes).reshape(-1, n)
+        return (v.T * np.asarray(values)) @ v
+
+    def add_up(sums):
+        """The sum over windows of ``sums(matrix)``, a stack of matrices."""
+
+        def run(batches):
+            total = None
+            for pdf in batches:
+                for values, axes in zip(pdf["VALUES"], pdf["AXES"], strict=True):
+                    x = sums(matrix(values, axes))
+                    total = x if total is None else total + x
+            if total is not None:
+                yield pd.DataFrame({"s": [total.tobytes()]})
+
+        out = 0.0
+        for r in w.select("VALUES", "AXES").mapInPandas(run, "s binary").toLocalIterator():
+            out = out + np.frombuffer(r[0]).reshape(-1, n, n)
+        return out
+
+    mean = add_up(lambda m: m[None])[0] / w.count()
+    m = min(k + extra, n * n)
+    scores = lambda basis, x: np.einsum("jab,ab->j", basis, x - mean)
+    q, before = np.random.default_rng(1).normal(size=(m, n * n)), np.zeros(k)
+    for _ in range(rounds):
+        basis = np.linalg.qr(q.T)[0].T.reshape(-1, n, n)
+        q = add_up(lambda x, basis=basis: scores(basis, x)[:, None, None] * (x - mean)[None]).reshape(len(basis), n * n)
+        # on the subspace the sum of squares is this small matrix, whose axes are the principal ones
+        values, turn = np.linalg.eigh(basis.reshape(-1, n * n) @ q.T)
+        now = values[::-1][:k]
+        if np.allclose(now, before, rtol=1e-8, atol=1e-15):
+            break
+        before = now
+    else:
+        raise RuntimeError(f"window scaling has not settled in {rounds} rounds")
+    basis = np.einsum("ij,jab->iab", turn.T[::-1][:k], basis)
+
+    def project(batches):
+        for pdf in batches:
+            c = np.array([np.einsum("jab,ab->j", basis, matrix(v, a) - mean) for v, a in zip(pdf["VALUES"], pdf["AXES"], strict=True)]).reshape(-1, k)
+            yield pdf.assign(**{f"LS_PC{j + 1}": c[:, j] for j in range(k)}, LS_DIST=np.sqrt((c * c).sum(axis=1)))
+
+    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in w.schema.fields] + [f"LS_PC{j + 1} double" for j in range(k)] + ["LS_DIST double"])
+    return w.mapInPandas(project, fields)
 
 
 def outlier_windows(w: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """Windows whose explained share is over the quantile."""
-    q = w.agg(F.percentile("EXPLAINED", F.lit(quantile)).alias("q"))
-    return w.crossJoin(F.broadcast(q)).filter("EXPLAINED >= q").drop("q")
+    """Windows whose scaled distance from the middle is at the quantile or beyond."""
+    q = w.agg(F.percentile("LS_DIST", F.lit(quantile)).alias("q"))
+    return w.crossJoin(F.broadcast(q)).filter("LS_DIST >= q").drop("q")
+
+
+def kmeans_line(x: np.ndarray, k: int) -> np.ndarray:
+    """The clusters (0 .. by their means) of values on a line with the least sum of squares, by dynamic programming over the sorted values."""
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    n = len(v)
+    k = min(k, n)
+    s, s2 = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
+    cost = np.full((k + 1, n + 1), np.inf)
+    cost[0, 0] = 0.0
+    cut = np.zeros((k + 1, n + 1), int)
+    for c in range(1, k + 1):
+        for j in range(c, n + 1):
+            i = np.arange(c - 1, j)
+            t = cost[c - 1, i] + (s2[j] - s2[i]) - (s[j] - s[i]) ** 2 / (j - i)
+            best = int(t.argmin())
+            cost[c, j], cut[c, j] = t[best], i[best]
+    out, j = np.zeros(n, int), n
+    for c in range(k, 0, -1):
+        i = cut[c, j]
+        out[order[i:j]] = c - 1
+        j = i
+    return out
+
+
+def window_clusters(g: DataFrame, windows: DataFrame, size: int = 100, clusters: int = 3) -> DataFrame:
+    """Of each wanted window (CHROM, WINDOW): clusters of samples on the first axis with their sizes and heterozygosity, and the mean and median r2 of its SNPs.
+
+    Axes are those of scaled SNPs (ones that do not vary are left out); clusters are numbered along the axis, whose sign makes
+    the first sample's coordinate not positive.
+    """
+    ids = [r[0] for r in g.select("INDIVIDUALS").distinct().orderBy("INDIVIDUALS").collect()]
+    out = "CHROM string, WINDOW long, CLUSTER int, N_IND long, MEAN_HET double, LD_MEAN double, LD_MEDIAN double"
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _table(pdf, ids)
+        with np.errstate(all="ignore"):
+            have = ~np.isnan(x)
+            n = have.sum(axis=0)
+            mean = np.nansum(x, axis=0) / np.maximum(1, n)
+            z = np.where(have, x - mean, 0.0)
+            sd = np.sqrt((z * z).sum(axis=0) / np.maximum(1, n - 1))
+            u, s, _ = np.linalg.svd(z[:, sd > 0] / sd[sd > 0], full_matrices=False)
+            axis = u[:, 0] * s[0] if len(s) else np.zeros(len(ids))
+            axis = -axis if axis[0] > 0 else axis
+            own = kmeans_line(np.round(axis, 12), clusters)
+            het = (x == 1).sum(axis=1) / np.where(have.sum(axis=1) > 0, have.sum(axis=1), np.nan)
+            h, v = have.astype(float), np.where(have, x, 0.0)
+            c, sx, sxy, sxx = h.T @ h, v.T @ h, v.T @ v, (v * v).T @ h
+            r2 = (c * sxy - sx * sx.T) ** 2 / ((c * sxx - sx * sx) * (c * sxx - sx * sx).T)
+        pairs_ = r2[np.triu_indices(len(r2), 1)]
+        pairs_ = pairs_[np.isfinite(pairs_)]
+        ld = (round(float(pairs_.mean()), 6), round(float(np.median(pairs_)), 6)) if len(pairs_) else (None, None)
+        rows = [(key[0], int(key[1]), int(i), int((own == i).sum()), round(float(np.nanmean(het[own == i])), 6) if np.isfinite(het[own == i]).any() else None, *ld) for i in range(own.max() + 1)]
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in out.split(", ")])
+
+    live = g.join(_windows(g, size), "MARKERS").join(windows.select("CHROM", "WINDOW").distinct(), ["CHROM", "WINDOW"], "left_semi")
+    return live.select("CHROM", "WINDOW", "MARKERS", "INDIVIDUALS", F.col("GT_BIN").cast("double").alias("GT_BIN")).groupBy("CHROM", "WINDOW").applyInPandas(solve, out)
+
+
+def inversions(g: DataFrame, size: int = 100, k: int = 2, quantile: float = 0.99, clusters: int = 3) -> DataFrame:
+    """Candidate windows: those far out in the scaled space of local PCAs, a row for each cluster of samples."""
+    w = pairs.checkpointed(window_scaling(local_pca(g, size, k), k).select("CHROM", "WINDOW", "START", "END", "N_SNP", F.round("LS_DIST", 9).alias("LS_DIST")))
+    far = pairs.checkpointed(outlier_windows(w, quantile))
+    return far.join(window_clusters(g, far, size, clusters), ["CHROM", "WINDOW"])
 
 
 def ld_by_chromosome(g: DataFrame, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
