@@ -1,12 +1,13 @@
 """Closed forms and invariants of the genotype operators, and every query against its SQL on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from snpweave import catalog
 from snpweave.functions import names
 from snpweave.model import Dataset
-from snpweave.operators import filters, hwe, pairs, recode, stats
+from snpweave.operators import filters, hwe, models, pairs, recode, stats
 from snpweave.plans import cascade
 from snpweave.streaming import counts
 
@@ -189,3 +190,102 @@ def test_run_control(tmp_path):
     assert p.endswith("01_step") and run.folder_prefix(str(tmp_path)) == 2
     assert run.file_name("x", "tsv", "/d", date=False) == "/d/x.tsv" and run.cores(9, 5) % 2 == 0
     assert cascade.choose_markers_subsample(1000, 10) == 1.0 and cascade.choose_markers_subsample(3_000_000, 9000) < 0.3
+
+
+def test_inversions_against_dense_scaling(spark):
+    """Windows by windows in numpy: distances, classical scaling, outliers, clusters, r2."""
+    rng = np.random.default_rng(3)
+    n, size, k = 24, 12, 2
+    x = rng.binomial(2, rng.uniform(0.1, 0.9, 12 * size), (n, 12 * size)).astype(float)
+    kind = rng.integers(0, 3, n)
+    turned = np.arange(size) % 2  # either allele may be the reference
+    x[:, 4 * size : 5 * size] = np.where(turned, 2 - kind[:, None], kind[:, None])  # an inversion: three kinds of samples
+    x[rng.random(x.shape) < 0.05] = np.nan
+    rows = [(f"m{j:03d}", str(j // (6 * size)), str(10 * j), f"i{i:02d}", "p", None if np.isnan(x[i, j]) else int(x[i, j])) for i in range(n) for j in range(x.shape[1])]
+    g = spark.createDataFrame(rows + [("z", "0", "99999", "i00", "p", 1)], "MARKERS string, CHROM string, POS string, INDIVIDUALS string, STRATA string, GT_BIN int")
+    mats = []
+    for w in range(12):
+        y = x[:, w * size : (w + 1) * size]
+        y = np.where(np.isnan(y), 0, y - np.nanmean(y, axis=0))
+        c = np.cov(y - y.mean(axis=1, keepdims=True))
+        val, vec = np.linalg.eigh(c)
+        val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
+        mats.append((vec * (val / np.abs(val).sum())) @ vec.T)
+    d2 = np.array([[((a - b) ** 2).sum() for b in mats] for a in mats])
+    centre = np.eye(12) - 1 / 12
+    val, vec = np.linalg.eigh(-centre @ d2 @ centre / 2)
+    want = np.sqrt((vec[:, ::-1][:, :k] ** 2 * val[::-1][:k]).sum(axis=1))
+    got = {int(r["CHROM"]) * 6 + r["WINDOW"]: r["LS_DIST"] for r in models.window_scaling(models.local_pca(g, size, k), k).collect()}
+    assert sorted(got) == list(range(12))
+    assert np.allclose([got[w] for w in range(12)], want, rtol=1e-3, atol=1e-6), (got, want)
+    found = models.inversions(g, size, k, 0.95).collect()
+    assert {(r["CHROM"], r["WINDOW"]) for r in found} == {("0", 4)}
+    sizes = np.bincount(kind)
+    assert sorted(r["N_IND"] for r in found) == sorted(sizes.tolist()) and found[0]["LD_MEAN"] > 0.8
+    het = {r["N_IND"]: r["MEAN_HET"] for r in found}
+    assert het[sizes[1]] > 0.99 or sizes[1] in (sizes[0], sizes[2])
+
+
+def test_kmeans_on_a_line():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x = rng.normal(size=8)
+        own = models.kmeans_line(x, 3)
+        cost = lambda lab: sum(((x[lab == c] - x[lab == c].mean()) ** 2).sum() for c in set(lab))
+        assert np.isclose(cost(own), min(cost(np.array(lab)) for lab in itertools.product(range(3), repeat=8)))
+
+
+def test_chain_against_grid(spark):
+    """The chain's mean of m against the posterior on a grid of m and allele frequencies."""
+    rng = np.random.default_rng(7)
+    m, rows = 0.25, []
+    for j in range(60):
+        p = rng.uniform(0.2, 0.8)
+        het = rng.random(80) < 2 * p * (1 - p)
+        hom = np.where(rng.random(80) < p * p / (p * p + (1 - p) ** 2), 0, 2)
+        x = np.where(het, np.where(rng.random(80) < m, rng.choice([0, 2], 80), 1), hom)
+        rows += [(f"m{j}", f"i{i}", int(v)) for i, v in enumerate(x)]
+    g = spark.createDataFrame(rows, "MARKERS string, INDIVIDUALS string, GT_BIN int")
+    c = stats.genotype_counts(g, "MARKERS").select("N0", "N1", "N2").toPandas().to_numpy(float)
+    ms, ps = np.linspace(0.005, 0.995, 100), np.linspace(0.005, 0.995, 100)
+    h = 2 * ps * (1 - ps)
+    post = np.zeros(len(ms))
+    for a, t in enumerate(ms):
+        f = np.log(np.stack([ps**2 + h * t / 2, h * (1 - t), (1 - ps) ** 2 + h * t / 2]))
+        each = c @ f - 0.5 * np.log(ps * (1 - ps))
+        top = each.max(axis=1)
+        post[a] = (top + np.log(np.exp(each - top[:, None]).sum(axis=1))).sum()
+    w = np.exp(post - post.max())
+    want = (w * ms).sum() / w.sum()
+    chain = [r["M"] for r in models.estimate_m(g, reps=3000, seed=4).orderBy("ITERATION").collect()][500:]
+    assert abs(np.mean(chain) - want) < 0.02, (np.mean(chain), want)
+
+
+def test_linkage_by_slices_and_window(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-1, 3, (30, 40))
+    rows = [(f"m{j:02d}", str(j % 2), str(j * 10), f"i{i}", "p", None if x[i, j] < 0 else int(x[i, j])) for i in range(30) for j in range(40)]
+    g = spark.createDataFrame(rows, "MARKERS string, CHROM string, POS string, INDIVIDUALS string, STRATA string, GT_BIN int")
+    want = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = (x[:, a] >= 0) & (x[:, b] >= 0)
+            if a % 2 == b % 2 and both.sum() > 1 and x[both, a].std() and x[both, b].std():
+                want[f"m{a:02d}", f"m{b:02d}"] = np.corrcoef(x[both, a], x[both, b])[0, 1] ** 2
+    for block, size in ((256, 8192), (5, 7)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        monkeypatch.setattr(pairs, "SLICE", size)
+        got = {(r[0], r[1]): r[2] for r in pairs.linkage(g).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+        near = {(r[0], r[1]) for r in pairs.linkage(g, window=60).collect()}
+        assert near == {k for k in want if 10 * (int(k[1][1:]) - int(k[0][1:])) <= 60}
+        high = {(r[0], r[1]) for r in pairs.linkage(g, least=0.1).collect()}
+        assert high == {k for k in got if got[k] >= 0.1}
+        counts_ = {(r["ID1"], r["ID2"]): (r["COMMON"], r["IDENTICAL"], r["ABSDIFF"]) for r in pairs.pair_counts(g).collect()}
+        for (p, q), v in counts_.items():
+            i, j = int(p[1:]), int(q[1:])
+            both = (x[i] >= 0) & (x[j] >= 0)
+            assert v == (both.sum(), (x[i][both] == x[j][both]).sum(), np.abs(x[i][both] - x[j][both]).sum())
+        assert len(counts_) == 30 * 29 // 2
