@@ -213,7 +213,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, min_words: int, share: float,
     short = [r[0] for r in items.select((F.length("words") / 8).cast("int").alias("n")).filter(F.col("n") < limit).distinct().orderBy("n").collect()]  # fewer than ``limit``
     table = spark.sparkContext.broadcast(_bit_table(seeds, n))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    near = stage(text.mapInArrow(_hits(table, short), "doc_id long, rid long, words binary, seeds array<long>, ats array<int>").dropDuplicates(["doc_id", "rid"]), "seed-hits")
+    near = stage(text.mapInArrow(tk.lean(_hits(table, short)), "doc_id long, rid long, words binary, seeds array<long>, ats array<int>").dropDuplicates(["doc_id", "rid"]), "seed-hits")
     hits = near.select("doc_id", "rid", F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("ats").alias("p"))).alias("x")).select("doc_id", "rid", F.col("x.s").alias("seed"), F.col("x.p").alias("p"))
     # seeds that many documents hold are dealt to SALTS tasks each; there are as many as hits over HOT at most
     hot = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seed", F.lit(SALTS).alias("salts"))

@@ -233,10 +233,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     """(doc_id, rid, pos) of every line to drop; ``rid`` is ``xxhash64(text)``, ``pos`` counts lines from 0."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("rid"))
-    rows = stage(own.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc_id long, rid long, pos int"), "lines")
+    rows = stage(own.mapInArrow(tk.lean(_line_rows(min_chars)), "h1 long, h2 long, doc_id long, rid long, pos int"), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    found = stage(dealt.mapInArrow(_stream(min_docs), _OUT), "line-runs")
+    found = stage(dealt.mapInArrow(tk.lean(_stream(min_docs)), _OUT), "line-runs")
     # at most two summary rows a partition: small enough to send to every task
     totals = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("all_docs"), F.max("doc_id").alias("top"))
     late = found.filter("kind = 1").join(F.broadcast(totals), ["h1", "h2"]).filter((F.col("all_docs") >= min_docs) & (F.col("doc_id") < F.col("top")))
@@ -261,7 +261,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     Documents that are absent keep everything; lines beyond the bitmap are kept.
     """
     d = dropped_lines(docs, min_chars, min_docs)
-    return d.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, rid long, drops binary")
+    return d.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("pos")).mapInArrow(tk.lean(_bitmaps), "doc_id long, rid long, drops binary")
 
 
 def kept_text(text: str | None, drops: bytes | None) -> tuple[str, int, int]:
@@ -300,9 +300,9 @@ def line_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 of the kept lines joined by newlines."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     j = with_bitmaps(own, keep_bitmaps(own, min_chars, min_docs))
-    return j.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return j.mapInArrow(tk.lean(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with dropped lines removed from ``text`` (a null text stays null), the other columns as they were."""
-    return with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).mapInArrow(_cut_text, docs.schema)
+    return with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).mapInArrow(tk.lean(_cut_text), docs.schema)

@@ -95,15 +95,22 @@ def _signatures(shingle: int, bands: int, rows: int):
 def _full_sets(shingle: int):
     def run(batches):
         for rb in batches:
-            ids = rb.column(0).to_pylist()
-            out = [(ids[r], s.tobytes()) for r, s in _sets(rb, shingle)]
-            for i in range(0, len(out), 1000):
-                c = list(zip(*out[i : i + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["cls", "items"])
+            ids, out = rb.column(0).to_pylist(), []
+            for r, s in _sets(rb, shingle):
+                out.append((ids[r], s.tobytes()))
+                if len(out) >= 500:
+                    yield _sets_batch(out)
+                    out = []
+            yield _sets_batch(out)
 
     return run
 
 
+def _sets_batch(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["cls", "items"])
+
+
 class Alike:
     """Signatures of ``hashes`` bytes that may belong to sets at ``percent`` or more.
 
@@ -267,7 +274,7 @@ def _meet(stars: DataFrame, data: DataFrame, link, parts: int) -> DataFrame:
     leads = mine.select("lead", "lot").distinct().select("lead", "lot", F.lit(False).alias("asks"), F.col("lead").alias("cls"))
     rows = mine.unionByName(leads).join(data, "cls").select("lead", "lot", "asks", "cls", *[c for c in data.columns if c != "cls"])
     dealt = rows.repartition(parts, "lead", "lot").sortWithinPartitions("lead", "lot", "asks")
-    return dealt.mapInArrow(_stars(link), "a long, b long").distinct()
+    return dealt.mapInArrow(tk.lean(_stars(link)), "a long, b long").distinct()
 
 
 def _visits(entries: DataFrame, comp: DataFrame) -> DataFrame:
@@ -296,7 +303,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alike = Alike(percent, bands * rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stage(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "signatures")
+    base = stage(own.mapInArrow(tk.lean(_signatures(shingle, bands, rows)), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "signatures")
     real = base.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("m")), "fingerprints")
     reps = real.join(classes.select("f1", "f2", F.col("cls").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["f1", "f2", "doc_id"])
@@ -309,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     def sets(ids: DataFrame) -> DataFrame:
         # one plan at every size: the texts of all documents meet the ids by a shuffle
         used = ids.select(F.col("cls").alias("doc_id")).distinct()
-        return stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(shingle), "cls long, items binary"), "sets")
+        return stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(tk.lean(_full_sets(shingle)), "cls long, items binary"), "sets")
 
     stars = stage(entries.filter("lead < cls").select("lead", "cls").distinct(), "stars")
     likely = stage(_meet(stars, signs, _by_signature(alike), parts).select(F.col("a").alias("lead"), F.col("b").alias("cls")), "likely")
@@ -321,10 +328,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if visits.limit(1).count():
         order = ["key", "b", "v", "asks", "cls"]
         seen = visits.join(signs, "cls").select(*order, "comp", "n", "sig").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
-        some = stage(seen.mapInArrow(_suspects(alike), "key long, cls long").distinct(), "suspects")
+        some = stage(seen.mapInArrow(tk.lean(_suspects(alike)), "key long, cls long").distinct(), "suspects")
         full = sets(some.select("cls"))
         dealt = visits.join(some, ["key", "cls"], "left_semi").join(full, "cls").select(*order, "comp", "items").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
-        more = stage(dealt.mapInArrow(_confirm(percent), "a long, b long").distinct(), "edges")
+        more = stage(dealt.mapInArrow(tk.lean(_confirm(percent)), "a long, b long").distinct(), "edges")
         if more.limit(1).count():
             comp = stage(components(edges.unionByName(more), "a", "b"), "components")
         drop_stage(some, full, more)

@@ -93,8 +93,8 @@ def _add_up(batches):
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of the buckets, from all documents; a matrix of fixed size."""
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "bucket int, vec binary")
-    rows = parts.repartition("bucket").mapInArrow(_add_up, "bucket int, vec binary").collect()
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tk.lean(_contexts), "bucket int, vec binary")
+    rows = parts.repartition("bucket").mapInArrow(tk.lean(_add_up), "bucket int, vec binary").collect()
     m = np.zeros((BUCKETS, DIM))
     for r in rows:
         m[r["bucket"]] = np.frombuffer(r["vec"], np.int64)
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", parts: in
     held = spark.sparkContext.broadcast(vectors)
     some = labelled(labels, column, parts, out, max_train)  # bounded by max_train
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = own.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(_features(held), "doc_id long, y double, x binary").collect()
+    rows = own.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(tk.lean(_features(held)), "doc_id long, y double, x binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), FEATURES)
     return vectors, Network(x, np.array([r[1] for r in rows]))
@@ -231,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options)
 
     parts, out = options.get("parts", 4), options.get("out", 2)
     held = F.coalesce(fold(F.col("doc_id"), parts) == out, F.lit(False))
-    return own.mapInArrow(slim, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return own.mapInArrow(tk.lean(slim), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **opti
             good = pa.compute.greater_equal(rb.column(rb.num_columns - 1), threshold)
             yield pa.RecordBatch.from_arrays(list(rb.columns[:-1]), rb.schema.names[:-1]).filter(good)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tk.lean(keep), docs.schema)

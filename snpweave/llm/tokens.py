@@ -7,7 +7,8 @@ class; its 64-bit hash is a polynomial over substituted bytes, taken from prefix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +65,24 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory it no longer needs back to the system after each result: workers are kept for later tasks."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        if (f := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            f(0)
+
+    def own(batches):
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+        trim()
+
+    return own
+
+
 def fold_latin(d: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with the capitals of Latin-1 (two bytes, the first 0xC3) as small letters."""
     m = np.zeros(len(d), bool)
