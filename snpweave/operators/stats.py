@@ -38,11 +38,30 @@ def with_optional(g: DataFrame) -> DataFrame:
     return g.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in g.columns})
 
 
+_DEPTHS = {"COVERAGE_TOTAL": "READ_DEPTH", "REF_DEPTH_TOTAL": "ALLELE_REF_DEPTH", "ALT_DEPTH_TOTAL": "ALLELE_ALT_DEPTH"}
+
+
 def marker_stats(g: DataFrame) -> DataFrame:
     """All marker statistics in one pass over the genotypes, plus the SNP number of the marker's locus."""
-    g = with_optional(g)
-    depth = [F.sum("READ_DEPTH").alias("COVERAGE_TOTAL"), F.avg("READ_DEPTH").alias("COVERAGE_MEAN"), F.sum("ALLELE_REF_DEPTH").alias("REF_DEPTH_TOTAL"), F.sum("ALLELE_ALT_DEPTH").alias("ALT_DEPTH_TOTAL")]
-    m = g.groupBy("MARKERS", "CHROM", "LOCUS", "POS", "COL").agg(*_counts(), *depth)
+    depth = [F.sum(c).alias(n) for n, c in _DEPTHS.items()]
+    return marker_columns(with_optional(g).groupBy("MARKERS", "CHROM", "LOCUS", "POS", "COL").agg(*_counts(), *depth, F.avg("READ_DEPTH").alias("COVERAGE_MEAN")))
+
+
+def marker_sums(g: DataFrame) -> DataFrame:
+    """What every filter of markers asks, by marker, from one pass: counts, depths, the smallest number genotyped in a stratum.
+
+    A marker's row does not depend on other markers, so it holds as long as no sample goes.
+    """
+    own = [F.lit(None).cast("string").alias(c) if c not in g.columns else F.col(c) for c in ("CHROM", "LOCUS", "POS")]
+    more = [F.first(c).alias(c) for c in ("REF", "ALT", "FILTER", "REP_AVG") if c in g.columns]
+    c = with_optional(g).groupBy("MARKERS", *own, "COL", "STRATA").agg(*_counts(), *[F.sum(x).alias(n) for n, x in _DEPTHS.items()], F.count("READ_DEPTH").alias("COVERED"), *more)
+    total = [F.sum(x).alias(x) for x in ("N0", "N1", "N2", "N", "TOTAL", *_DEPTHS, "COVERED")]
+    m = c.groupBy("MARKERS", "CHROM", "LOCUS", "POS", "COL").agg(*total, F.min("N").alias("LEAST"), *[F.first(x).alias(x) for x in ("REF", "ALT", "FILTER", "REP_AVG") if x in g.columns])
+    return m.withColumn("COVERAGE_MEAN", F.try_divide("COVERAGE_TOTAL", "COVERED"))
+
+
+def marker_columns(m: DataFrame) -> DataFrame:
+    """Statistics from the sums of markers."""
     ref, alt = 2 * F.col("N0") + F.col("N1"), 2 * F.col("N2") + F.col("N1")
     top, total = F.greatest(ref, alt), 2 * F.col("N")
     return m.select(
@@ -158,11 +177,16 @@ def maf(g: DataFrame) -> DataFrame:
 
 def minor_alleles(g: DataFrame) -> DataFrame:
     """MAC, MAF by count, MAD and MAF by depth, of each marker; multi-pass calibration is not needed for biallelic data."""
-    c = with_optional(g).groupBy("MARKERS").agg(*_counts(), F.coalesce(F.sum("ALLELE_REF_DEPTH"), F.lit(0)).alias("RD"), F.coalesce(F.sum("ALLELE_ALT_DEPTH"), F.lit(0)).alias("AD"))
+    return minor_columns(with_optional(g).groupBy("MARKERS").agg(*_counts(), F.sum("ALLELE_REF_DEPTH").alias("REF_DEPTH_TOTAL"), F.sum("ALLELE_ALT_DEPTH").alias("ALT_DEPTH_TOTAL")))
+
+
+def minor_columns(m: DataFrame) -> DataFrame:
+    """Minor allele statistics from the sums of markers."""
     ref, alt = 2 * F.col("N0") + F.col("N1"), 2 * F.col("N2") + F.col("N1")
-    low = F.least("RD", "AD")
-    return c.select("MARKERS", ref.alias("REF_COUNT"), alt.alias("ALT_COUNT"), F.least(ref, alt).alias("MAC_GLOBAL_CORR"), F.try_divide(F.least(ref, alt), ref + alt).alias("MAF_GLOBAL_COUNT_CORR"),
-                    low.alias("MAD_GLOBAL_CORR"), F.try_divide(low, F.col("RD") + F.col("AD")).alias("MAF_GLOBAL_DEPTH_CORR"), (ref == 0).alias("REF_ABSENT"))
+    rd, ad = (F.coalesce(F.col(c), F.lit(0)) for c in ("REF_DEPTH_TOTAL", "ALT_DEPTH_TOTAL"))
+    low = F.least(rd, ad)
+    return m.select("MARKERS", ref.alias("REF_COUNT"), alt.alias("ALT_COUNT"), F.least(ref, alt).alias("MAC_GLOBAL_CORR"), F.try_divide(F.least(ref, alt), ref + alt).alias("MAF_GLOBAL_COUNT_CORR"),
+                    low.alias("MAD_GLOBAL_CORR"), F.try_divide(low, rd + ad).alias("MAF_GLOBAL_DEPTH_CORR"), (ref == 0).alias("REF_ABSENT"))
 
 
 def maf_by_rank(g: DataFrame, ranks: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """The filter cascade with its before and after ledger.
 
-A step takes a ``Dataset`` and returns one with more rows tagged.  Thresholds are arguments; nothing is mutated.  The
-statistics of a step are one aggregate over the live genotypes.
+A step takes a ``Dataset`` and returns one with more rows tagged.  Thresholds are arguments; nothing is mutated.  Filters of
+markers read one table of sums by marker (``stats.marker_sums``), which is made by one pass over the live genotypes and holds
+until samples go; filters of samples and of pairs read the live genotypes.
 """
 
 from __future__ import annotations
@@ -20,9 +21,14 @@ LEDGER = "FILTERS string, PARAMETERS string, VALUES string, BEFORE string, AFTER
 UNITS = "individual / strata / chrom / locus / SNP"
 
 
-def numbers(ds: Dataset) -> tuple[int, ...]:
-    """Live samples, strata, chromosomes, loci and markers, from the dimensions alone."""
-    s = ds.individuals.filter(F.col("FILTERS") == WHITELIST).agg(F.count_distinct("INDIVIDUALS"), F.count_distinct("STRATA")).first()
+def numbers(ds: Dataset, known: tuple[int, ...] | None = None, changed: str = "") -> tuple[int, ...]:
+    """Live samples, strata, chromosomes, loci and markers, from the dimensions alone; of ``known`` numbers only those of the ``changed`` dimension are counted again."""
+    if known is None or changed != "MARKERS":
+        s = tuple(ds.individuals.filter(F.col("FILTERS") == WHITELIST).agg(F.count_distinct("INDIVIDUALS"), F.count_distinct("STRATA")).first())
+    else:
+        s = known[:2]
+    if known is not None and changed == "INDIVIDUALS":
+        return (*s, *known[2:])
     have = ds.markers.columns
     m = ds.markers.filter(F.col("FILTERS") == WHITELIST).agg(*[F.count_distinct(c) if c in have else F.lit(0) for c in ("CHROM", "LOCUS", "MARKERS")]).first()
     return (*s, *m)
@@ -35,6 +41,7 @@ class Step:
     value: str
     bad: Callable[[DataFrame], DataFrame]
     on: str = "MARKERS"
+    sums: bool = False
 
 
 def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibility=None, monomorphic=True, common=True, whitelist=None, blacklist_id=None, missing=None, heterozygosity=None, coverage_total=None, ma=None, ma_stat="mac", coverage=None, genotyping=None, position=None, snp_number=None, short_ld=None, long_ld=None,
@@ -47,37 +54,37 @@ def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibilit
     """
     out = []
     add = lambda *x: out.append(Step(*x))
-    sites = lambda g, *extra: g.select("MARKERS", *extra).distinct()
+    by_sums = lambda name, parameter, value, f: add(name, parameter, str(value), f, "MARKERS", True)
     if strands is not None:
-        add("filter.duplicated.markers.strands", "rule", str(strands), lambda g: filters.duplicated_strands(stats.marker_stats(g), strands))
+        by_sums("filter.duplicated.markers.strands", "rule", strands, lambda m: filters.duplicated_strands(stats.marker_columns(m), strands))
     if vcf_filter:
-        add("filter.vcf.filter.column", "PASS", "TRUE", lambda g: filters.vcf_filter_column(sites(g, "FILTER")))
+        by_sums("filter.vcf.filter.column", "PASS", "TRUE", filters.vcf_filter_column)
     if haplotype_format:
-        add("filter.haplotype.format", "filter.haplotype.format", "TRUE", lambda g: filters.haplotype_format(sites(g, "REF", "ALT")))
+        by_sums("filter.haplotype.format", "filter.haplotype.format", "TRUE", filters.haplotype_format)
     if reproducibility is not None:
-        add("filter.reproducibility", "REP_AVG", str(reproducibility), lambda g: filters.beyond(sites(g, "REP_AVG"), "REP_AVG", low=reproducibility).select("MARKERS"))
+        by_sums("filter.reproducibility", "REP_AVG", reproducibility, lambda m: filters.beyond(m, "REP_AVG", low=reproducibility))
     if monomorphic:
-        add("filter.monomorphic", "filter.monomorphic", "TRUE", stats.monomorphic)
+        by_sums("filter.monomorphic", "filter.monomorphic", "TRUE", lambda m: m.filter("int(N0 > 0) + int(N1 > 0) + int(N2 > 0) = 1"))
     if common:
-        add("filter.common.markers", "filter.common.markers", "TRUE", stats.not_common_markers)
+        by_sums("filter.common.markers", "filter.common.markers", "TRUE", lambda m: m.filter("LEAST = 0"))
     if whitelist is not None:
-        add("filter.whitelist", "whitelist.markers", "table", lambda g: sites(g).join(whitelist.select("MARKERS").distinct(), "MARKERS", "left_anti"))
+        by_sums("filter.whitelist", "whitelist.markers", "table", lambda m: m.join(whitelist.select("MARKERS").distinct(), "MARKERS", "left_anti"))
     if blacklist_id is not None:
         add("filter.blacklist.id", "blacklist.id", "table", lambda g: blacklist_id, "INDIVIDUALS")
     if missing is not None or heterozygosity is not None or coverage_total is not None:
         add("filter.individuals", "missing, heterozygosity, coverage", f"{missing}, {heterozygosity}, {coverage_total}", lambda g: filters.individuals(stats.individual_stats(g), missing, heterozygosity, coverage_total), "INDIVIDUALS")
     if ma is not None:
-        add("filter.ma", ma_stat, str(ma), lambda g: filters.minor_allele(stats.minor_alleles(g), ma_stat, ma))
+        by_sums("filter.ma", ma_stat, ma, lambda m: filters.minor_allele(stats.minor_columns(m), ma_stat, ma))
     if coverage is not None:
-        add("filter.coverage", "mean", str(coverage), lambda g: filters.coverage(stats.marker_stats(g), *coverage))
+        by_sums("filter.coverage", "mean", coverage, lambda m: filters.coverage(stats.marker_columns(m), *coverage))
     if genotyping is not None:
-        add("filter.genotyping", "missing", str(genotyping), lambda g: filters.genotyping(stats.marker_stats(g), genotyping))
+        by_sums("filter.genotyping", "missing", genotyping, lambda m: filters.genotyping(stats.marker_columns(m), genotyping))
     if position is not None:
-        add("filter.snp.position.read", "rule", str(position), lambda g: filters.snp_position(stats.marker_stats(g), position))
+        by_sums("filter.snp.position.read", "rule", position, lambda m: filters.snp_position(stats.marker_columns(m), position))
     if snp_number is not None:
-        add("filter.snp.number", "snp per locus", str(snp_number), lambda g: filters.snp_number(stats.marker_stats(g), snp_number))
+        by_sums("filter.snp.number", "snp per locus", snp_number, lambda m: filters.snp_number(stats.marker_columns(m), snp_number))
     if short_ld is not None:
-        add("filter.short.ld", "rule", str(short_ld), lambda g: filters.short_ld(stats.marker_stats(g), short_ld))
+        by_sums("filter.short.ld", "rule", short_ld, lambda m: filters.short_ld(stats.marker_columns(m), short_ld))
     if long_ld is not None:
         add("filter.long.ld", "threshold", str(long_ld), lambda g: pairs.ld_pruning(pairs.linkage(g, least=long_ld), stats.marker_stats(g), long_ld).filter("not KEEP").select("MARKERS"))
     if mixed is not None:
@@ -91,13 +98,21 @@ def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibilit
 
 def run(ds: Dataset, todo: list[Step]) -> Dataset:
     """Apply the steps; each adds a ledger row."""
-    before = numbers(ds)
+    before, sums = numbers(ds), None
     show = lambda n: " / ".join(map(str, n))
     for s in todo:
-        bad = s.bad(ds.live()).select(s.on).distinct()
-        bad = pairs.checkpointed(bad)  # the tag is read again by every later step
-        ds = ds.blacklist_markers(bad, s.name) if s.on == "MARKERS" else ds.blacklist_individuals(bad, s.name)
-        after = numbers(ds)
+        if s.sums:
+            sums = pairs.checkpointed(stats.marker_sums(ds.live())) if sums is None else sums
+            bad = s.bad(sums)
+        else:
+            bad = s.bad(ds.live())
+        bad = pairs.checkpointed(bad.select(s.on).distinct())  # the tag is read again by every later step
+        if s.on == "MARKERS":
+            ds = ds.blacklist_markers(bad, s.name)
+            sums = sums.join(bad, "MARKERS", "left_anti") if sums is not None else None
+        else:
+            ds, sums = ds.blacklist_individuals(bad, s.name), None
+        after = numbers(ds, before, s.on)
         row = {"FILTERS": s.name, "PARAMETERS": s.parameter, "VALUES": s.value, "BEFORE": show(before), "AFTER": show(after), "BLACKLIST": show([a - b for a, b in zip(before, after, strict=True)]), "UNITS": UNITS, "COMMENTS": ""}
         ds = replace(ds, ledger=(*ds.ledger, row))
         before = after
