@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_markers_names
 from ..model import WHITELIST
+from .order import numbered, tile
 
 
 def extract(dim: DataFrame, whitelist: bool = False, blacklist: bool = False) -> DataFrame:
@@ -67,9 +68,9 @@ def suffixed(m: DataFrame, again: DataFrame) -> DataFrame:
 
 
 def clean_vcf_markers(m: DataFrame, source: str = "unknown", reference: bool = True) -> DataFrame:
-    """A marker table with names, ``_n`` on repeats, and M_SEQ in the order of VARIANT_ID (an order over marker rows)."""
+    """A marker table with names, ``_n`` on repeats, and M_SEQ in the order of VARIANT_ID."""
     m = name_vcf_markers(m, source, reference)
-    return suffixed(m, repeats(m)).withColumn("M_SEQ", F.row_number().over(Window.orderBy("VARIANT_ID")))
+    return numbered(suffixed(m, repeats(m)), "M_SEQ", "VARIANT_ID")
 
 
 def classify_selection(b: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ def classify_selection(b: DataFrame) -> DataFrame:
     kind = F.when((F.col("ALPHA") >= 0) & (F.col("Q_VALUE") <= 0.05), "diversifying").when((F.col("ALPHA") >= 0) & (F.col("Q_VALUE") > 0.05), "neutral").otherwise("balancing")
     po = F.col("LOG10_PO")
     grp = F.when(po < 0.5, "no evidence").when(po < 1, "substantial").when(po < 1.5, "strong").when(po < 2, "very strong").otherwise("decisive")
-    return b.withColumn("SELECTION", kind).withColumn("PO_GROUP", grp).withColumn("FST_GROUP", F.ntile(5).over(Window.orderBy("FST", "BAYESCAN_MARKERS")))
+    b = numbered(b.withColumn("SELECTION", kind).withColumn("PO_GROUP", grp), "__i", "FST", "BAYESCAN_MARKERS")
+    return b.withColumn("FST_GROUP", tile(F.col("__i"), b.count(), 5)).drop("__i")
 
 
 def stable_selection(runs: DataFrame) -> DataFrame:

@@ -8,13 +8,12 @@ of each pair never exists.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import checkpointed
 
 BLOCK = 256
 #: markers in a block of ``pair_counts``; samples in a slice of ``linkage``
@@ -199,16 +198,6 @@ def closure(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(cur, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("grp"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="snpweave-"))
-    return df.checkpoint()
-
-
 def ld_pruning(ld: DataFrame, stats: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Linked groups (LD over the threshold); the best genotyped marker of each stays, ties to the smaller name.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as gt
 from . import stats
+from .order import numbered
 
 
 def gt_recoding(g: DataFrame, gt_bin: bool = True, gt_vcf: bool = True, gt_vcf_nuc: bool = True, six: bool = True) -> DataFrame:
@@ -72,9 +73,8 @@ def separate_markers(g: DataFrame, sep: str = "__") -> DataFrame:
 
 
 def generate_markers_metadata(g: DataFrame) -> DataFrame:
-    """VARIANT_ID by sorted name and placeholders for what is absent; the order is over distinct markers."""
-    i = F.dense_rank().over(Window.orderBy("MARKERS"))
-    m = g.select("MARKERS").distinct().withColumn("VARIANT_ID", i)
+    """VARIANT_ID by sorted name and placeholders for what is absent."""
+    m = numbered(g.select("MARKERS").distinct(), "VARIANT_ID", "MARKERS")
     return m.select("MARKERS", "VARIANT_ID", F.lit("CHROM_1").alias("CHROM"), F.col("VARIANT_ID").cast("string").alias("LOCUS"), F.col("MARKERS").alias("POS"), F.lit("A").alias("REF"), F.lit("C").alias("ALT"))
 
 
@@ -116,7 +116,7 @@ def strip_rad(g: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = g.select("INDIVIDUALS", "STRATA").distinct()
     s = s.withColumn("ID_SEQ", F.row_number().over(Window.orderBy("INDIVIDUALS"))).withColumn("STRATA_SEQ", F.dense_rank().over(Window.orderBy("STRATA")))
     cols = [c for c in ("MARKERS", "CHROM", "LOCUS", "POS", "COL", "REF", "ALT") if c in g.columns]
-    m = g.select(*cols).distinct().withColumn("M_SEQ", F.row_number().over(Window.orderBy("MARKERS")))
+    m = numbered(g.select(*cols).distinct(), "M_SEQ", "MARKERS")
     rest = [c for c in g.columns if c not in cols and c not in ("INDIVIDUALS", "STRATA")]
     fact = g.join(s.select("INDIVIDUALS", "ID_SEQ", "STRATA_SEQ"), "INDIVIDUALS").join(m.select("MARKERS", "M_SEQ"), "MARKERS").select("ID_SEQ", "STRATA_SEQ", "M_SEQ", *rest)
     return fact, s, m

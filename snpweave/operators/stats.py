@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered, tile
 def _counts() -> list[Column]:
     return [F.count_if(F.col("GT_BIN") == 0).alias("N0"), F.count_if(F.col("GT_BIN") == 1).alias("N1"), F.count_if(F.col("GT_BIN") == 2).alias("N2"), F.count(F.col("GT_BIN")).alias("N"), F.count(F.lit(1)).alias("TOTAL")]
 
@@ -191,8 +192,8 @@ def minor_columns(m: DataFrame) -> DataFrame:
 
 def maf_by_rank(g: DataFrame, ranks: int) -> DataFrame:
     """Mean local and global MAF of ``ranks`` groups of marker x stratum rows ordered by global MAF."""
-    # a global order over one row per marker and stratum; those rows are the aggregate, not the genotypes
-    m = maf(g).withColumn("RANK", F.ntile(ranks).over(Window.orderBy("MAF_GLOBAL", "MARKERS", "STRATA")))
+    m = numbered(maf(g), "__i", "MAF_GLOBAL", "MARKERS", "STRATA")
+    m = m.withColumn("RANK", tile(F.col("__i"), m.count(), ranks))
     return m.groupBy("RANK").agg(F.round(F.avg("MAF_LOCAL"), 6).alias("MAF_LOCAL"), F.round(F.avg("MAF_GLOBAL"), 6).alias("MAF_GLOBAL"), F.count(F.lit(1)).alias("N"))
 
 

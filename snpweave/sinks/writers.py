@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as gt
 from ..operators import pairs, recode, stats
+from ..operators.order import numbered
 
 DOC = "SEC int, BLOCK string, ORD long, KEY string, LINE string"
 TITLE = "genotypes written by snpweave"
@@ -171,19 +172,10 @@ def arlequin(g: DataFrame) -> DataFrame:
     )
 
 
-def numbered(g: DataFrame) -> DataFrame:
-    """Markers numbered by name: a range sort, then the counts of the partitions before; no task holds all of them."""
-    m = g.select("MARKERS").distinct().orderBy("MARKERS").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    m = pairs.checkpointed(m)
-    own = Window.partitionBy("__p").orderBy("__i")
-    before = m.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).withColumn("__b", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return m.withColumn("__r", F.row_number().over(own)).join(F.broadcast(before.select("__p", "__b")), "__p").select("MARKERS", (F.col("__r") + F.col("__b")).cast("int").alias("MARKER"))
-
-
 def bayescan(g: DataFrame) -> DataFrame:
     """Numbers of loci and populations, then by population the copies, 2, and both counts of each marker."""
     c = stats.genotype_counts(g, "STRATA", "MARKERS").filter("N > 0")
-    j = c.join(numbered(g), "MARKERS").join(pop_number(g), "STRATA")
+    j = c.join(numbered(g.select("MARKERS").distinct(), "MARKER", "MARKERS"), "MARKERS").join(pop_number(g), "STRATA")
     n = [2 * F.col("N"), F.lit(2), 2 * F.col("N0") + F.col("N1"), 2 * F.col("N2") + F.col("N1")]
     total = lambda by, name: part(g.agg(F.count_distinct(by).cast("string").alias("n")), 0 if by == "MARKERS" else 2, F.concat(F.lit(f"[{name}]="), "n"))
     pop = F.lpad(F.col("POP").cast("string"), 6, "0")

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snpweave import catalog
 from snpweave.functions import names
@@ -289,3 +290,18 @@ def test_linkage_by_slices_and_window(spark, monkeypatch):
             both = (x[i] >= 0) & (x[j] >= 0)
             assert v == (both.sum(), (x[i][both] == x[j][both]).sum(), np.abs(x[i][both] - x[j][both]).sum())
         assert len(counts_) == 30 * 29 // 2
+
+
+def test_numbers_and_tiles(spark):
+    import random
+
+    from snpweave.operators import order
+
+    n = 1003
+    x = spark.createDataFrame(random.Random(2).sample([(f"k{i:05d}",) for i in range(n)], n), "k string").repartition(7)
+    got = order.numbered(x, "i", "k").collect()
+    assert {r["k"]: r["i"] for r in got} == {f"k{i:05d}": i + 1 for i in range(n)}
+    for size, tiles in ((10, 3), (3, 5), (12, 4)):
+        rows = duckdb.sql(f"SELECT i, ntile({tiles}) OVER (ORDER BY i) AS t FROM range(1, {size + 1}) r(i)").fetchall()
+        got = spark.range(1, size + 1).select("id", order.tile(F.col("id"), size, tiles)).collect()
+        assert sorted(map(tuple, got)) == sorted(rows)
