@@ -759,3 +759,48 @@ def test_line_dedup_reads_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 256)
     assert take() == whole
     assert collections.Counter(map(tuple, line_dedup.line_digest(make(spark, rows)).collect())) == want
+
+
+def test_nearest_neighbours_recall(spark):
+    """Recall against all pairs, with a beam of under 5% of the table and vectors without structure."""
+    rng = np.random.default_rng(19)
+    v = rng.normal(size=(11_000, 32)).astype(np.float32)
+    e = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for x in ann.nearest(e, lambda i: i % 500 == 0, beam=500).collect():
+        got[x["query_id"]].add(x["vec_id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 11_000, 500):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 22 and hits >= 0.9 * 5 * 22, hits
+
+
+def test_nearest_neighbours_of_hubs_and_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    middle = rng.normal(size=8)
+    v = np.concatenate([middle[None], middle + 0.3 * rng.normal(size=(250, 8)), np.repeat(rng.normal(size=(1, 8)), 30, axis=0), -middle + 0.1 * rng.normal(size=(20, 8))])
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(50, v[0].tolist()), (50, v[50].tolist()), (60, v[60].tolist())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("raw", F.lit(1)).withColumn("q", F.lit("x"))
+    read = lambda: sorted(tuple(r) for r in ann.nearest(e, lambda i: i % 50 == 0).collect())
+    whole = read()
+    assert len({r[0] for r in whole}) == 7 and all(len({r[2] for r in whole if r[0] == q}) == 5 for q in range(0, 301, 50) if q != 50) and sum(r[0] == 50 for r in whole) == 10 and not any(r[0] == r[2] for r in whole)
+    assert next(r for r in whole if r[0] == 0)[2] == 50
+    monkeypatch.setattr(ann, "HUB", 7)
+    assert read() == whole
+    monkeypatch.setattr(ann, "FEW", 1)
+    assert read() == whole
+
+
+def test_token_counts_of_odd_rows(spark):
+    rows = [(1, "one two. three"), (1, "one two. three"), (2, "x" * 200_000), (3, "word " * 200_000), (None, "a b"), (4, None), (5, ""), (6, "\n\n\n")]
+    d = make(spark, rows).withColumn("n_tokens", F.lit("x")).withColumn("crossing", F.lit(1))
+    got = token_counts.section_tokens(d, rule="most", sections=token_counts.sentences).collect()
+    assert len(got) == len(rows) and all(sum(x["section_tokens"]) + x["outside"] == x["n_tokens"] for x in got)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x["doc_id"]].append(x["n_tokens"])
+    assert by[1][0] == by[1][1] > 0 and by[3] == [200_001] or by[3][0] >= 200_000
+    assert by[4] == by[5] == [0] and token_counts.section_tokens(d.limit(0)).count() == 0
