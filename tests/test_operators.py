@@ -160,7 +160,7 @@ def test_models(spark):
     x = np.linspace(0, 1, 200)
     assert np.allclose(models.quantile_fit(x, 1 + 2 * x, 0.3), (1, 2), atol=1e-6)
     w = models.local_pca(g, 20).collect()
-    assert len(w) == 10 and all(r["N_SNP"] == 20 and 0 <= r["EXPLAINED"] <= 1 for r in w)
+    assert len(w) == 10 and all(r["N_SNP"] == 20 and abs(sum(r["VALUES"]) - 1) < 1e-9 and len(r["AXES"]) == 2 * 8 * 10 for r in w)
 
 
 def test_models_use_all_rows(spark, monkeypatch):
