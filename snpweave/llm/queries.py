@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann
 from . import decontaminate as dc
+from . import divergence as dv
 from . import license_scan as ls
 from . import line_dedup as ld
 from . import minhash_dedup as md
@@ -138,6 +139,46 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language stand apart, and the terms that mark each."""
+    return dv.divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+OP13_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), found AS (
+  SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(w) AS term FROM base) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS whole FROM found GROUP BY ALL HAVING count(*) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM base
+), counts AS (
+  SELECT f.lang, f.source, f.term, sum(f.n) AS n FROM found f SEMI JOIN kept k USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL
+), langs AS (
+  SELECT lang, sum(whole)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), dense AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0)::HUGEINT + 2)) // (s.total + 2 * l.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.whole::HUGEINT + 2)) // (l.total + 2 * l.v))::BIGINT AS q
+  FROM sizes s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM dense WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
