@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import alignment as al
 from . import ann
 from . import decontaminate as dc
 from . import divergence as dv
@@ -139,6 +140,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and best links of two public tokenizers in every document."""
+    return al.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language stand apart, and the terms that mark each."""
     return dv.divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
