@@ -1,7 +1,8 @@
 """Genotype files as long tables, parsed by Spark from text lines.
 
-Files are read through Spark, so a path may be a folder, in any store Spark reads, or compressed (``.gz``).  Only headers
-(the lines before the data, or one line) and lists of samples come to the driver.
+Files are read through Spark, so a path may be a folder, in any store Spark reads, or compressed (``.gz``).  A VCF compressed in
+blocks is read by ranges (``bgzf``), and with an index (``index_vcf``) by regions.  Only headers (the lines before the data, or
+one line) and lists of samples come to the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as gt
 from ..functions import names
 from ..operators import dart, metadata, recode
+from . import bgzf
 
 #: fixed values: what a VCF header says about its caller
 CALLERS = {"stacks": "stacks", "freebayes": "freebayes", "bcftools": "bcftools", "gatk": "gatk", "haplotypecaller": "gatk", "deepvariant": "deepvariant", "dragen": "dragen", "glnexus": "glnexus", "vcftools": "vcftools", "samtools": "samtools", "ipyrad": "ipyrad"}
@@ -21,7 +23,10 @@ CALLERS = {"stacks": "stacks", "freebayes": "freebayes", "bcftools": "bcftools",
 FORMATS = {"stacks": ("GT", "DP", "AD", "GL", "GQ"), "freebayes": ("GT", "DP", "AD", "GQ", "GL"), "freebayes_dirty": ("GT", "DP"), "bcftools": ("GT", "AD", "DP", "PL", "GQ"), "gatk": ("GT", "AD", "DP", "GQ", "PL"),
            "deepvariant": ("GT", "DP", "GQ", "AD"), "samtools": ("GT", "DP", "GQ"), "glnexus": ("GT", "DP", "GQ", "AD"), "dragen": ("GT", "DP", "GQ", "AD")}
 #: what other files are read for, where they declare it
-ANY_FORMAT = ("GT", "DP", "AD", "GL", "GQ", "HQ", "CATG", "GOF", "NR", "NV")
+ANY_FORMAT = ("GT", "DP", "AD", "GL", "PL", "GP", "GQ", "HQ", "CATG", "GOF", "NR", "NV")
+#: fixed values: genotype fields whose Number headers state wrongly, and how many values they have: one for each alternate
+#: allele (A), allele (R) or genotype (G), or so many
+REPAIRED = {"AD": "R", "AO": "A", "QA": "A", "GL": "G", "CATG": "4", "RO": "1", "QR": "1", "MIN_DP": "1", "PL": "G", "DPR": "R"}
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -74,9 +79,29 @@ def detect_dart_format(lines: list[str]) -> tuple[str, int]:
     return ("counts" if any(int(c) > 1 for c in last) else "2rows"), stars
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (``value``) of text files; those in compressed blocks by ranges of bytes."""
+    blocked = bgzf.lines(spark, path)
+    return spark.read.text(path) if blocked is None else blocked
+
+
+def vcf_formats(lines: list[str]) -> dict[str, dict[str, str]]:
+    """Number and Type of the genotype fields that header lines declare, repaired, and what was declared.
+
+    Fields of ``REPAIRED`` have the number that the format defines; a GT of integers is one of strings.
+    """
+    out = {}
+    for x in lines:
+        if x.startswith("##FORMAT=<") and "ID=" in x:
+            said = dict(p.split("=", 1) for p in x[10:].split(",Description")[0].rstrip(">").split(",") if "=" in p)
+            name, number, kind = said["ID"], said.get("Number", "."), said.get("Type", "String")
+            out[name] = {"Number": REPAIRED.get(name, number), "Type": "String" if name == "GT" else kind, "declared_number": number, "declared_type": kind}
+    return out
+
+
 def vcf_header(spark: SparkSession, path: str) -> dict:
-    """Caller, reference, samples, declared and wanted genotype fields: from the header lines alone."""
-    text, n = spark.read.text(path), 1000
+    """Caller, reference, samples, declared and wanted genotype fields, repaired: from the header lines alone."""
+    text, n = text_lines(spark, path), 1000
     lines = [r[0] for r in text.take(n)]
     while len(lines) == n and lines[-1].startswith("#"):  # the first split holds the header of one file
         n *= 10
@@ -92,13 +117,13 @@ def vcf_header(spark: SparkSession, path: str) -> dict:
     ref = next((x.split("=", 1)[1] for x in lines if x.startswith("##reference=")), None)
     declared = [x.split("ID=", 1)[1].split(",", 1)[0].rstrip(">") for x in lines if x.startswith("##FORMAT") and "ID=" in x]
     wanted = [x for x in FORMATS.get(caller, ANY_FORMAT) if x in declared] if declared else [x for x in ANY_FORMAT if x in ("GT", "DP", "AD")]
-    return {"source": caller, "samples": cols[9:], "reference": ref, "contigs": sum(x.startswith("##contig") for x in lines), "formats": [x for x in lines if x.startswith("##FORMAT")], "declared": declared, "wanted": wanted}
+    return {"source": caller, "samples": cols[9:], "reference": ref, "contigs": sum(x.startswith("##contig") for x in lines), "formats": [x for x in lines if x.startswith("##FORMAT")], "declared": declared, "wanted": wanted, "fields": vcf_formats(lines)}
 
 
 def vcf_info(spark: SparkSession, path: str) -> dict:
     """Caller, numbers of samples and variants, and the samples."""
     head = vcf_header(spark, path)
-    n = spark.read.text(path).filter("value not like '#%' and value <> ''").count()
+    n = text_lines(spark, path).filter("value not like '#%' and value <> ''").count()
     return {"source": head["source"], "n_samples": len(head["samples"]), "n_variants": n, "samples": head["samples"]}
 
 
@@ -107,11 +132,44 @@ def extract_ref_genome(spark: SparkSession, path: str) -> str | None:
     return vcf_header(spark, path)["reference"] if detect_genomic_format(path) == "vcf" else None
 
 
-def read_vcf_raw(spark: SparkSession, path: str) -> DataFrame:
+def index_vcf(spark: SparkSession, path: str, index: str | None = None) -> str:
+    """Index a block-compressed VCF by chromosome and place; beside it (``<path>.regions``) where no other place is given."""
+    index = index or f"{path.rstrip('/')}.regions"
+    bgzf.write_index(spark, path, index)
+    return index
+
+
+def detect_indexing(spark: SparkSession, path: str, index: str | None = None) -> bool:
+    return bgzf.has_index(spark, index or f"{path.rstrip('/')}.regions")
+
+
+def _region(region: str) -> tuple[str, int | None, int | None]:
+    """``2``, ``2:1000`` (from there on) or ``2:1000-2000`` (both ends included)."""
+    chrom, _, places = region.rpartition(":") if ":" in region else (region, "", "")
+    first, _, last = places.replace(",", "").partition("-")
+    return chrom, int(first) if first else None, int(last) if last else None
+
+
+def vcf_lines(spark: SparkSession, path: str, region: str | None = None, index: str | None = None) -> DataFrame:
+    """The site lines of a VCF (``value``), of a region only if one is given; with an index no other blocks are read."""
+    if region is None:
+        return text_lines(spark, path).filter("value not like '#%' and value <> ''")
+    chrom, first, last = _region(region)
+    if detect_indexing(spark, path, index):
+        return bgzf.region_lines(spark, path, index or f"{path.rstrip('/')}.regions", chrom=chrom, first=first, last=last).select("value")
+    f = F.split("value", "\t", 3)
+    place = F.get(f, F.lit(1)).try_cast("long")
+    keep = F.get(f, F.lit(0)) == chrom
+    keep = keep & (place >= first) if first is not None else keep
+    keep = keep & (place <= last) if last is not None else keep
+    return text_lines(spark, path).filter("value not like '#%' and value <> ''").filter(keep)
+
+
+def read_vcf_raw(spark: SparkSession, path: str, region: str | None = None, index: str | None = None) -> DataFrame:
     """Site columns, FORMAT, and the rest of the line with the samples' fields, which is split only where it is used."""
     f = F.split("value", "\t", 10)
     at = lambda i: F.get(f, F.lit(i))
-    v = spark.read.text(path).filter("value not like '#%' and value <> ''")
+    v = vcf_lines(spark, path, region, index)
     info = F.str_to_map(at(7), F.lit(";"), F.lit("="))
     return v.select(at(0).alias("CHROM"), at(1).alias("POS"), at(2).alias("LOCUS"), at(3).alias("REF"), at(4).alias("ALT"), at(5).alias("QUAL"), at(6).alias("FILTER"), info.alias("INFO"), at(8).alias("FORMAT"), at(9).alias("calls"))
 
@@ -119,36 +177,53 @@ def read_vcf_raw(spark: SparkSession, path: str) -> DataFrame:
 _INT = lambda c: F.try_to_number(c, F.lit("999999999")).cast("long")
 
 
-def _vcf_fields(wanted: list[str]) -> dict[str, Column]:
-    """Columns of a call's further fields; ``call`` and ``FORMAT`` are the row's."""
+def _vcf_fields(wanted: list[str], fields: dict[str, dict[str, str]], split: bool) -> dict[str, Column]:
+    """Columns of a call's further fields; ``call``, ``FORMAT``, ``__alleles`` and ``__a`` (the row's alternate allele, from 0) are the row's.
+
+    Likelihoods have a value for each genotype j <= k, at k(k+1)/2 + j: a row of alternate allele k has those of 0/0, 0/k and k/k
+    (of a haploid call, with a value for each allele, those of 0 and k).  Of fields with a value for each alternate allele, it has
+    its own; of fields with one for each allele, the reference's and its own.
+    """
     field, keys = F.split("call", ":"), F.split("FORMAT", ":")
     of = lambda k: F.when(F.array_contains(keys, k), F.try_element_at(field, F.array_position(keys, k).cast("int")))
-    part = lambda k, i: F.get(F.split(of(k), ","), F.lit(i))
     real = lambda c: c.try_cast("double")
+    own = (F.col("__a") + 1).cast("int")
     out = {"READ_DEPTH": _INT(of("DP")) if "DP" in wanted else F.lit(None).cast("long")}
     if "AD" in wanted:
-        out["AD"] = F.transform(F.split(of("AD"), ","), _INT)
-    if "GL" in wanted:
-        out |= {n: real(part("GL", i)) for i, n in enumerate(("GL_HOM_REF", "GL_HET", "GL_HOM_ALT"))}
+        depths = F.transform(F.split(of("AD"), ","), _INT)
+        out["AD"] = F.when(depths.isNotNull(), F.array(F.get(depths, F.lit(0)), F.get(depths, own))) if split else depths
+    for name in ("GL", "PL", "GP"):
+        if name in wanted:
+            values = F.split(of(name), ",")
+            haploid = F.size(values) == F.size("__alleles")
+            het = (own * (own + 1) / 2).cast("int")
+            out |= {f"{name}_HOM_REF": real(F.get(values, F.lit(0))), f"{name}_HET": real(F.when(~haploid, F.get(values, het))), f"{name}_HOM_ALT": real(F.get(values, F.when(haploid, own).otherwise(het + own)))}
     if "CATG" in wanted:
-        out |= {f"{n}_DEPTH": _INT(part("CATG", i)) for i, n in enumerate("CATG")}
-    return out | {n: real(of(n)) for n in ("GQ", "GOF", "NR", "NV") if n in wanted} | ({"HQ": of("HQ")} if "HQ" in wanted else {})
+        out |= {f"{n}_DEPTH": _INT(F.get(F.split(of("CATG"), ","), F.lit(i))) for i, n in enumerate("CATG")}
+    for name in ("GQ", "GOF", "NR", "NV"):
+        if name in wanted:
+            values = F.split(of(name), ",")
+            each = (fields.get(name, {}).get("Number") == "A") or (name in ("NR", "NV") and fields.get(name, {}).get("Number") == ".")
+            out[name] = real(F.when(F.size(values) == F.size("__alleles") - 1, F.get(values, own - 1)).otherwise(of(name))) if each else real(of(name))
+    return out | ({"HQ": of("HQ")} if "HQ" in wanted else {})
 
 
-def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, multiallelic: str = "keep") -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, multiallelic: str = "keep", region: str | None = None, index: str | None = None) -> DataFrame:
     """Long genotypes; samples cleaned, strata joined (samples without one go), markers named.
 
     The header says which fields exist and which its caller's files are read for: READ_DEPTH and allele depths (from AD, or
-    from CATG by the alleles' letters; a homozygote without allele depths has its read depth as its allele's), GL_*, GQ, HQ,
-    GOF, NR, NV where they are.  ``GT_VCF_NUC`` holds the called bases of any number of alleles.  Sites with several
+    from CATG by the alleles' letters; a homozygote without allele depths has its read depth as its allele's), GL_*, PL_*, GP_*
+    (HOM_REF, HET, HOM_ALT), GQ, HQ, GOF, NR, NV where they are.  ``region`` (``2:1000-2000``) reads only its sites; with an index
+    (``index_vcf``) only its blocks.  ``GT_VCF_NUC`` holds the called bases of any number of alleles.  Sites with several
     alternate alleles: ``keep`` has one row and no GT_BIN for calls with an allele beyond the first; ``split`` has a row for
-    each alternate allele (markers get ``_1``, ``_2`` ..), whose GT_BIN counts its copies; ``drop`` leaves them out.
+    each alternate allele (markers get ``_1``, ``_2`` ..), whose GT_BIN counts its copies and whose depths and likelihoods are
+    its own; ``drop`` leaves them out.
     """
     if multiallelic not in ("keep", "split", "drop"):
         raise ValueError(f"no such rule: {multiallelic}")
     head = vcf_header(spark, path)
     # increasing in the file's order; no sort and no shuffle of the calls
-    sites = read_vcf_raw(spark, path).withColumn("VARIANT_ID", F.monotonically_increasing_id())
+    sites = read_vcf_raw(spark, path, region, index).withColumn("VARIANT_ID", F.monotonically_increasing_id())
     if multiallelic == "drop":
         sites = sites.filter(~F.contains("ALT", F.lit(",")))
     m = metadata.name_vcf_markers(sites, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
@@ -172,7 +247,7 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, mu
         bin_ = F.when((F.size(one) == 2) & ~F.array_contains(one, "."), F.size(F.filter(one, lambda c: c == number)))
     else:
         bin_ = gt.bin_from_vcf(call)
-    x = x.select(*keys, F.col("__alt").alias("ALT"), F.get(ids, F.col("k")).alias("INDIVIDUALS"), bin_.alias("GT_BIN"), gt.nuc_from_call(call, F.col("__alleles")).alias("GT_VCF_NUC"), *[c.alias(n) for n, c in _vcf_fields(head["wanted"]).items()])
+    x = x.select(*keys, F.col("__alt").alias("ALT"), F.get(ids, F.col("k")).alias("INDIVIDUALS"), bin_.alias("GT_BIN"), gt.nuc_from_call(call, F.col("__alleles")).alias("GT_VCF_NUC"), *[c.alias(n) for n, c in _vcf_fields(head["wanted"], head["fields"], multiallelic == "split").items()])
     x = recode.allele_depths(x)
     if strata is not None:
         return x.join(strata.select(names.clean_ind_names(F.col("INDIVIDUALS")).alias("INDIVIDUALS"), "STRATA"), "INDIVIDUALS")
