@@ -4,7 +4,7 @@ Terms are counted and pairs are summed by DuckDB inside the tasks, by shards of
 shards, merges their sums and ranks.
 
 1. Each task splits its texts into terms and lets DuckDB count them by (shard, language, source, term).  What it sends
-   is columnar: a row for each (shard, language, source), its terms joined by blanks (a term holds none).
+   is columnar: a row for each shard, which lists its sources, and for each its terms joined by blanks (a term holds none).
 2. A shard holds all rows of its terms, so it alone decides which terms a language keeps.  Their counts are staged.
 3. Spark sums N by (language, source) and V by language.
 4. With f(p, q) = floor((p - q)^2 / (p + q)), the sum over all kept terms for sources a and b is taken without the terms
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import drop_stage, stage
@@ -90,25 +90,38 @@ _COUNT = """
 SELECT g, term, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT doc, any_value(g) AS g, term, count(*) AS n FROM found GROUP BY doc, term) GROUP BY g, term
 """
 _PACK = """
-SELECT (hash(lang || ' ' || term) % {shards})::INTEGER AS shard, lang, source, string_agg(term, ' ') AS terms, list(n) AS n, list(docs) AS docs
-FROM (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held JOIN groups USING (g) GROUP BY ALL)
-GROUP BY ALL
+SELECT s.label AS shard, list(lang) AS lang, list(source) AS source, list(terms) AS terms, list(n) AS n, list(docs) AS docs
+FROM (
+  SELECT (hash(lang || ' ' || term) % (SELECT count(*) FROM labels))::BIGINT AS place, lang, source, string_agg(term, ' ') AS terms, list(n) AS n, list(docs) AS docs
+  FROM (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held JOIN groups USING (g) GROUP BY ALL) GROUP BY ALL
+) JOIN labels s USING (place) GROUP BY s.label
 """
-_COUNTED = "shard int, lang string, source string, terms string, n array<long>, docs array<long>"
+_COUNTED = "shard int, lang array<string>, source array<string>, terms array<string>, n array<array<long>>, docs array<array<long>>"
 
 
-def _counts(shards: int):
+def _labels(spark: SparkSession, shards: int) -> list[int]:
+    """Names of the shards that Spark's hash deals to as many partitions, one to each."""
+    found: dict[int, int] = {}
+    tries = 32 * shards
+    while len(found) < shards:
+        got = spark.range(tries).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(shards)).alias("place")).agg(F.min("label").alias("label"))
+        found, tries = {r["place"]: r["label"] for r in got.collect()}, 4 * tries
+    return [found[k] for k in range(shards)]
+
+
+def _counts(labels: list[int]):
     """Partial counts of a task by shard, language and source."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         ids, held, size = {}, [], 0
+        names_of = pa.table({"place": pa.array(range(len(labels)), pa.int64()), "label": pa.array(labels, pa.int32())})
 
         def send():
             nonlocal held, size, ids
             if held:
                 keys = list(ids)
                 groups = pa.table({"g": pa.array(range(len(keys)), pa.int32()), "lang": pa.array([k[0] for k in keys], pa.string()), "source": pa.array([k[1] for k in keys], pa.string())})
-                yield from _query(_PACK.format(shards=shards), groups=groups, held=pa.concat_tables(held)).to_batches(max_chunksize=4096)
+                yield from _query(_PACK, groups=groups, labels=names_of, held=pa.concat_tables(held)).to_batches(max_chunksize=64)
             held, size, ids = [], 0, {}
 
         for rb in batches:
@@ -131,7 +144,8 @@ def _counts(shards: int):
 
 
 _KEPT = """
-WITH one AS (SELECT lang, source, unnest(string_split(terms, ' ')) AS term, unnest(n) AS n, unnest(docs) AS docs FROM t),
+WITH packed AS (SELECT unnest(lang) AS lang, unnest(source) AS source, unnest(terms) AS terms, unnest(n) AS n, unnest(docs) AS docs FROM t),
+one AS (SELECT lang, source, unnest(string_split(terms, ' ')) AS term, unnest(n) AS n, unnest(docs) AS docs FROM packed),
 summed AS (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM one GROUP BY ALL),
 kept AS (SELECT lang, term, sum(n)::BIGINT AS whole FROM summed GROUP BY ALL HAVING sum(docs) >= {least})
 SELECT s.lang, s.source, s.term, s.n, k.whole, row_number() OVER (PARTITION BY s.lang, s.term ORDER BY s.source) = 1 AS first FROM summed s JOIN kept k USING (lang, term)
@@ -195,12 +209,12 @@ def _gap(p: str, q: str):
 def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, shards: int | None = None) -> DataFrame:
     """(lang, source, part, item, value, rank): parts ``pair`` and ``term``.
 
-    ``shards`` (four a shuffle partition by default) sets how much of the counts a task holds.
+    ``shards`` (the number of shuffle partitions by default) sets how much of the counts a task holds.
     """
     spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = _labels(spark, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = own.mapInArrow(lean(_counts(shards)), _COUNTED)
+    counted = own.mapInArrow(lean(_counts(labels)), _COUNTED)
     kept = stage(counted.groupBy("shard").applyInArrow(_kept(min_docs), "shard int, lang string, source string, term string, n long, whole long, first boolean"), "divergence")
 
     # N by group, V and N by language; groups without terms come from the documents

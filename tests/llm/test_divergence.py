@@ -69,8 +69,17 @@ def test_equals_sql(spark, sf):
     assert set(got) == want
 
 
+def test_labels_go_one_to_each_partition(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 12, 211):
+        labels = dv._labels(spark, n)
+        df = spark.createDataFrame([(x,) for x in labels], "label int").repartition(n, "label")
+        assert len(labels) == n and df.select(F.spark_partition_id()).distinct().count() == n
+
+
 def test_small_holdings_are_sent_in_parts(spark, monkeypatch):
-    counts = dv._counts(2)
+    counts = dv._counts([3, 9])
     import pyarrow as pa
 
     rows = [("a b c d e f", "x", "s"), ("a b c", "x", "t"), ("a", "x", "s")] * 5
@@ -80,6 +89,7 @@ def test_small_holdings_are_sent_in_parts(spark, monkeypatch):
     n = Counter()
     for rb in counts([batch]):
         for r in rb.to_pylist():
-            for t, k in zip(r["terms"].split(" "), r["n"], strict=True):
-                n[r["source"], t] += k
+            assert r["shard"] in (3, 9)
+            for source, terms, ks in zip(r["source"], r["terms"], r["n"], strict=True):
+                n.update({(source, t): k for t, k in zip(terms.split(" "), ks, strict=True)})
     assert n == Counter({("s", "a"): 10, ("t", "a"): 5} | {("s", t): 5 for t in "bcdef"} | {("t", t): 5 for t in "bc"})
