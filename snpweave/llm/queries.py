@@ -10,6 +10,7 @@ from . import alignment as al
 from . import ann
 from . import decontaminate as dc
 from . import divergence as dv
+from . import language_id as li
 from . import license_scan as ls
 from . import line_dedup as ld
 from . import minhash_dedup as md
@@ -145,6 +146,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.align_tokenizers(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt from documents whose crc32 modulo 5 is not 0."""
+    return li.identify(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language stand apart, and the terms that mark each."""
     return dv.divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
