@@ -7,7 +7,7 @@
 3. Margins become probabilities by a logistic curve fitted to margins of rows that the machine was not fitted on (a
    quarter of the sample); ``score`` is the family's share times the language's share among its family.
 
-The machines are fitted on at most ``sample`` labelled rows (8,000 by default), the same number for each language, by
+The machines are fitted on at most ``sample`` labelled rows (2,400 by default), the same number for each language, by
 the smallest hashes of doc_id; their columns travel to the driver, at most ``BUCKETS`` values for a row.  Everything
 else covers all rows: each text is read whole, in blocks, and scored in the task that reads it; nothing is shuffled.
 Families are fixed values; a language that is in none is a family of its own.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .tokens import LOWER, fold_latin, lean, text_buffers
 
-BUCKETS, ORDERS, SAMPLE, CHUNK = 1 << 15, (1, 2, 3, 4), 8_000, 1 << 19
+BUCKETS, ORDERS, SAMPLE, CHUNK = 1 << 15, (1, 2, 3, 4), 2_400, 1 << 19
 #: fixed values: codes of ISO 639-1 by family
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fo lb fy yi",
@@ -114,21 +114,37 @@ class Rows:
 
     def take(self, rows: np.ndarray) -> Rows:
         n = np.diff(self.ptr)[rows]
-        at = np.repeat(self.ptr[rows], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return Rows(np.concatenate([[0], np.cumsum(n)]), self.col[at], self.val[at])
+        ptr = np.concatenate([[0], np.cumsum(n)])
+        col, val = np.empty(ptr[-1], self.col.dtype), np.empty(ptr[-1], self.val.dtype)
+        for k, r in enumerate(rows):
+            col[ptr[k] : ptr[k + 1]], val[ptr[k] : ptr[k + 1]] = self.col[self.ptr[r] : self.ptr[r + 1]], self.val[self.ptr[r] : self.ptr[r + 1]]
+        return Rows(ptr, col, val)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        s = np.concatenate([[0.0], np.cumsum(self.val * w[self.col], dtype=np.float64)])
-        return s[self.ptr[1:]] - s[self.ptr[:-1]]
+        out = np.empty(len(self.ptr) - 1)
+        for lo, hi, part in self._parts():
+            s = np.concatenate([[0.0], np.cumsum(self.val[part] * w[self.col[part]], dtype=np.float64)])
+            at = self.ptr[lo : hi + 1] - self.ptr[lo]
+            out[lo:hi] = s[at[1:]] - s[at[:-1]]
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * np.repeat(g, np.diff(self.ptr)), BUCKETS)
+        out = np.zeros(BUCKETS)
+        for lo, hi, part in self._parts():
+            out += np.bincount(self.col[part], self.val[part] * np.repeat(g[lo:hi], np.diff(self.ptr[lo : hi + 1])), BUCKETS)
+        return out
+
+    def _parts(self, rows: int = 200) -> Iterator[tuple[int, int, slice]]:
+        """Some rows at a time: what is derived from all values is never there at once."""
+        for lo in range(0, len(self.ptr) - 1, rows):
+            hi = min(lo + rows, len(self.ptr) - 1)
+            yield lo, hi, slice(int(self.ptr[lo]), int(self.ptr[hi]))
 
 
 def fit_machine(x: Rows, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and intercept of a linear machine for labels of +1 and -1; both sides weigh the same."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    size = float(np.max(np.bincount(np.repeat(np.arange(len(y)), np.diff(x.ptr)), x.val**2, len(y)), initial=0.0)) + 1.0
+    size = max((float((x.val[x.ptr[k] : x.ptr[k + 1]].astype(np.float64) ** 2).sum()) for k in range(len(y))), default=0.0) + 1.0
     step = 1.0 / (2 * size + penalty)
     w, b = np.zeros(BUCKETS), 0.0
     vw, vb, t = w, b, 1.0
@@ -201,8 +217,8 @@ def fit(x: Rows, langs: np.ndarray, spare: np.ndarray) -> Model | None:
     """The machines; ``spare`` marks rows kept for the curves."""
     if not len(langs):
         return None
-    total = np.bincount(x.col, x.val, BUCKETS)
-    scale = 1 / np.sqrt(total / max(total.sum(), 1e-12) + 1e-6)
+    total = x.back(np.ones(len(langs)))
+    scale = (1 / np.sqrt(total / max(total.sum(), 1e-12) + 1e-6)).astype(np.float32)
     x = Rows(x.ptr, x.col, x.val * scale[x.col])
     families = sorted({family(g) for g in langs})
     names = [sorted({str(g) for g in langs if family(g) == f}) for f in families]
@@ -259,10 +275,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     near = own.filter((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id"))).filter(F.col("k") <= each)
     got = first.select("lang", "text", (F.col("k") % 4 == 0).alias("spare")).mapInArrow(lambda b: _features(rb.select(["lang", "text", "spare"]) for rb in b), "lang string, spare boolean, col binary, val binary").toArrow()
-    cols = [np.frombuffer(c, np.uint16).astype(np.int64) for c in got.column("col").to_pylist()]
-    vals = [np.frombuffer(v, np.float32).astype(np.float64) for v in got.column("val").to_pylist()]
-    if not cols:
+    if not got.num_rows:
         return None
+    cols, vals = ([np.frombuffer(v.as_buffer(), kind) for v in got.column(name)] for name, kind in (("col", np.uint16), ("val", np.float32)))
     x = Rows(np.concatenate([[0], np.cumsum([len(c) for c in cols])]), np.concatenate(cols), np.concatenate(vals))
     return fit(x, np.array(got.column("lang").to_pylist(), object), np.array(got.column("spare").to_pylist(), bool))
 
