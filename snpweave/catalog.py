@@ -13,7 +13,7 @@ from .adapter import BASE_SQL
 from .functions import genotypes as gt
 from .functions import names
 from .model import WHITELIST, Dataset, tag
-from .operators import dart, detect, filters, hwe, metadata, models, pairs, recode, stats, strata
+from .operators import dart, detect, filters, hwe, ld, metadata, models, pairs, recode, stats, strata
 from .plans import cascade
 from .sinks import writers
 
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(adapter.tidy(spark, sf_dir), spark, sf_dir)
         if sql is not None:
-            ORACLES[name] = (BASE_SQL.replace("WITH", "WITH RECURSIVE", 1) if " rc(u, v) AS" in sql else BASE_SQL) + ("" if sql.lstrip().startswith(",") else "\n") + sql
+            ORACLES[name] = (BASE_SQL.replace("WITH", "WITH RECURSIVE", 1) if " rc(u, v" in sql or "\nrc(u, v" in sql else BASE_SQL) + ("" if sql.lstrip().startswith(",") else "\n") + sql
         return f
 
     return add
@@ -147,6 +147,30 @@ simple("ld2df", pairs.linkage, _LD + " SELECT * FROM ld WHERE LD IS NOT NULL")
 simple("ld_boxplot", lambda g: stats.tibble_stats(pairs.linkage(g).select((1 - F.col("LD")).alias("v")), "v", "ld"), _LD + ", v AS (SELECT 1 - LD AS v FROM ld WHERE LD IS NOT NULL) " + five("v", "v", "ld"))
 
 
+# tables of genotypes by pair; haplotypes by 500 rounds of expectation-maximisation from independent alleles, as the operator's
+_TABLES = ", tb AS (SELECT a.MARKERS AS MARKERS_A, b.MARKERS AS MARKERS_B, " + ", ".join(f"count(*) FILTER (WHERE a.GT_BIN = {d} AND b.GT_BIN = {e})::DOUBLE AS n{d}{e}" for d in range(3) for e in range(3)) + ", count(*)::DOUBLE AS n FROM g a JOIN g b ON a.CHROM = b.CHROM AND a.INDIVIDUALS = b.INDIVIDUALS AND a.MARKERS < b.MARKERS WHERE a.GT_BIN IS NOT NULL AND b.GT_BIN IS NOT NULL GROUP BY ALL)"
+_ROWS = ", mo AS (SELECT *, n10 + n11 + n12 AS x1, n20 + n21 + n22 AS x2, n01 + n11 + n21 AS y1, n02 + n12 + n22 AS y2 FROM tb), fr AS (SELECT *, (x1 + 2 * x2) / (2 * n) AS a, (y1 + 2 * y2) / (2 * n) AS b FROM mo)"
+_COMPOSITE = _TABLES + _ROWS + ", cm AS (SELECT MARKERS_A, MARKERS_B, (2 * n22 + n21 + n12 + n11 / 2) / n - 2 * a * b AS gap, a * (1 - a) + x2 / n - a * a AS va, b * (1 - b) + y2 / n - b * b AS vb FROM fr), ld AS (SELECT MARKERS_A, MARKERS_B, round(abs(gap) / sqrt(va * vb), 6) AS LD FROM cm WHERE va > 1e-12 AND vb > 1e-12)"
+_CORR = _TABLES + _ROWS + ", cr AS (SELECT MARKERS_A, MARKERS_B, n * (n11 + 2 * (n12 + n21) + 4 * n22) - (x1 + 2 * x2) * (y1 + 2 * y2) AS c, n * (x1 + 4 * x2) - (x1 + 2 * x2) ** 2 AS vx, n * (y1 + 4 * y2) - (y1 + 2 * y2) ** 2 AS vy FROM mo), ld AS (SELECT MARKERS_A, MARKERS_B, round(abs(c) / sqrt(vx * vy), 6) AS LD FROM cr WHERE vx > 0 AND vy > 0)"
+_EM = _TABLES + """, su AS (SELECT MARKERS_A, MARKERS_B, 2 * n AS w, n11 AS m, 2 * n00 + n01 + n10 AS s0, 2 * n02 + n01 + n12 AS s1, 2 * n20 + n10 + n21 AS s2, 2 * n22 + n12 + n21 AS s3 FROM tb),
+fq AS (SELECT *, (s0 + s1 + m) / w AS a, (s0 + s2 + m) / w AS b FROM su), rc(u, v, k, h0, h1, h2, h3) AS (
+  SELECT MARKERS_A, MARKERS_B, 0, a * b, a * (1 - b), (1 - a) * b, (1 - a) * (1 - b) FROM fq
+  UNION ALL SELECT u, v, k + 1, (s0 + m * f) / w, (s1 + m * (1 - f)) / w, (s2 + m * (1 - f)) / w, (s3 + m * f) / w FROM (
+    SELECT rc.*, fq.*, CASE WHEN h0 * h3 + h1 * h2 > 0 THEN h0 * h3 / (h0 * h3 + h1 * h2) ELSE 0.5 END AS f FROM rc JOIN fq ON u = MARKERS_A AND v = MARKERS_B WHERE k < 500)
+), ha AS (SELECT MARKERS_A, MARKERS_B, a, b, h0 - a * b AS d FROM rc JOIN fq ON u = MARKERS_A AND v = MARKERS_B WHERE k = 500),
+both_ AS (SELECT MARKERS_A, MARKERS_B, abs(d) / nullif(sqrt(greatest(a * (1 - a) * b * (1 - b), 0)), 0) AS r, abs(d) / nullif(CASE WHEN d > 0 THEN least(a * (1 - b), (1 - a) * b) ELSE least(a * b, (1 - a) * (1 - b)) END, 0) AS dprime FROM ha)"""
+_METHODS = {"composite": _COMPOSITE, "corr": _CORR, "r": _EM + ", ld AS (SELECT MARKERS_A, MARKERS_B, round(r, 6) AS LD FROM both_)", "dprime": _EM + ", ld AS (SELECT MARKERS_A, MARKERS_B, round(dprime, 6) AS LD FROM both_)"}
+for _m, _s in _METHODS.items():
+    simple(f"ld2df__{_m}", lambda g, m=_m: pairs.linkage(g, method=m), _s + " SELECT * FROM ld WHERE LD IS NOT NULL")
+simple("ld_boxplot__dprime", lambda g: stats.tibble_stats(pairs.linkage(g, method="dprime").select((1 - F.col("LD")).alias("v")), "v", "ld"), _METHODS["dprime"] + ", v AS (SELECT 1 - LD AS v FROM ld WHERE LD IS NOT NULL) " + five("v", "v", "ld"))
+# one marker after the other, along each chromosome: it stays if no earlier one that stays is linked with it
+_WINDOW = """, near AS (SELECT l.* FROM ld l JOIN mk a ON a.MARKERS = MARKERS_A JOIN mk b ON b.MARKERS = MARKERS_B WHERE abs(a.m - b.m) * 100 <= 3000 AND LD > 0.12),
+od AS (SELECT MARKERS, CHROM, row_number() OVER (PARTITION BY CHROM ORDER BY m) AS k FROM mk), nb AS (SELECT MARKERS_A AS x, list(MARKERS_B) AS l FROM (SELECT MARKERS_A, MARKERS_B FROM near UNION ALL SELECT MARKERS_B, MARKERS_A FROM near) GROUP BY 1),
+rc(u, v) AS (SELECT DISTINCT CHROM, {'k': 0, 'kept': []::VARCHAR[]} FROM od UNION ALL SELECT u, {'k': k, 'kept': CASE WHEN list_has_any(v.kept, coalesce(l, [])) THEN v.kept ELSE list_append(v.kept, MARKERS) END} FROM rc JOIN od ON CHROM = u AND k = v.k + 1 LEFT JOIN nb ON x = MARKERS),
+stay AS (SELECT unnest(v.kept) AS MARKERS FROM rc WHERE v.k = (SELECT max(k) FROM od WHERE CHROM = u))
+SELECT MARKERS, MARKERS IN (SELECT MARKERS FROM stay) AS KEEP FROM mk"""
+simple("filter_ld__window", lambda g: ld.sliding_window(g, 0.12, 3000, "corr"), _CORR + _WINDOW)
+
 def closure_sql(edges: str, a: str, b: str) -> str:
     return f", ed AS (SELECT {a} AS u, {b} AS v FROM {edges} UNION SELECT {b}, {a} FROM {edges}), rc(u, v) AS (SELECT u, u FROM ed UNION SELECT rc.u, ed.v FROM rc JOIN ed ON rc.v = ed.u), grp AS (SELECT u AS node, min(v) AS grp FROM rc GROUP BY u)"
 
@@ -438,6 +462,7 @@ simple("estimate_m", lambda g: models.estimate_m(g, reps=100))
 simple("simulate_genos_from_posterior", lambda g: models.simulate_genotypes(g, 0.1).select("MARKERS", "INDIVIDUALS", "GT_BIN"), counts("MARKERS") + f""", pm AS (SELECT MARKERS, {P} AS p FROM c WHERE N > 0), x AS (SELECT g.MARKERS, INDIVIDUALS, GT_BIN, p * (1 - p) * 0.1::DOUBLE AS het, CASE WHEN GT_BIN = 0 THEN p * p ELSE (1 - p) * (1 - p) END AS hom, ('0x' || substr(md5(g.MARKERS || '|' || INDIVIDUALS || '|1'), 1, 8))::UBIGINT::DOUBLE / 4294967296 AS u FROM g LEFT JOIN pm ON pm.MARKERS = g.MARKERS)
 SELECT MARKERS, INDIVIDUALS, CASE WHEN GT_BIN IN (0, 2) AND u < het / nullif(het + hom, 0) THEN 1 ELSE GT_BIN END AS GT_BIN FROM x""")
 simple("detect_inversions", lambda g: models.inversions(g, 10, quantile=0.8))
+simple("ld_missing__corr", lambda g: models.ld_by_chromosome(g, method="corr"), _CORR + ", v AS (SELECT split_part(MARKERS_A, '__', 1) AS CHROM, LD FROM ld WHERE LD IS NOT NULL), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS THRESHOLD) SELECT CHROM, THRESHOLD, count(*) FILTER (WHERE LD > THRESHOLD) AS LINKED_PAIRS, count(*) AS PAIRS FROM v CROSS JOIN t GROUP BY ALL")
 simple("ld_missing", models.ld_by_chromosome, _LD + ", v AS (SELECT split_part(MARKERS_A, '__', 1) AS CHROM, LD FROM ld WHERE LD IS NOT NULL), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS THRESHOLD) SELECT CHROM, THRESHOLD, count(*) FILTER (WHERE LD > THRESHOLD) AS LINKED_PAIRS, count(*) AS PAIRS FROM v CROSS JOIN t GROUP BY ALL")
 simple("summarize_sex__residuals", lambda g: models.quantile_residuals(detect.summarize_sex(_sexed(g)), "DEPTH_MEAN", "HET_MEAN").select("MARKERS", F.round("QR_RESIDUALS", 4).alias("QR_RESIDUALS")))
 simple("plot_histogram", lambda g: models.histogram(stats.individual_stats(g), "COVERAGE_TOTAL", 10), ISTATS + ", l AS (SELECT min(COVERAGE_TOTAL)::DOUBLE AS lo, max(COVERAGE_TOTAL)::DOUBLE AS hi FROM ist) SELECT coalesce(least(floor((COVERAGE_TOTAL - lo) / nullif(hi - lo, 0) * 10), 9), 0)::INT AS BIN, count(*) AS N FROM ist, l GROUP BY 1")

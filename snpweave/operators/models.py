@@ -294,9 +294,9 @@ def inversions(g: DataFrame, size: int = 100, k: int = 2, quantile: float = 0.99
     return far.join(window_clusters(g, far, size, clusters), ["CHROM", "WINDOW"])
 
 
-def ld_by_chromosome(g: DataFrame, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """Of each chromosome and threshold, the pairs linked more strongly."""
-    ld = pairs.linkage(g).withColumn("CHROM", F.split_part("MARKERS_A", F.lit("__"), F.lit(1)))
+def ld_by_chromosome(g: DataFrame, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), method: str = "r2", window: int | None = None) -> DataFrame:
+    """Of each chromosome and threshold, the pairs (within a window, if one is given) linked more strongly."""
+    ld = pairs.linkage(g, method=method, window=window).withColumn("CHROM", F.split_part("MARKERS_A", F.lit("__"), F.lit(1)))
     t = stats.at_thresholds(ld, "LD", list(thresholds), "CHROM")
     return t.select("CHROM", "THRESHOLD", F.col("BLACKLISTED_MARKERS").alias("LINKED_PAIRS"), (F.col("BLACKLISTED_MARKERS") + F.col("WHITELISTED_MARKERS")).alias("PAIRS"))
 

@@ -1,9 +1,8 @@
-"""Pairs of samples and of markers: genome similarity, distances, linkage disequilibrium, pruning.
+"""Pairs of samples: genome similarity, distances; groups of linked markers and of duplicates.
 
-Pairs are inherent here (every pair is the result).  Both kinds come from products of blocks: blocks of samples by blocks
-of markers for pairs of samples, whose counts are added up over the markers; blocks of markers of a chromosome by all
-samples in slices for linked markers.  A task holds two blocks, whatever the size of the data, and a row for each cell
-of each pair never exists.
+Pairs are inherent here (every pair is the result).  They come from products of blocks: blocks of samples by blocks
+of markers, whose counts are added up over the markers.  A task holds two blocks, whatever the size of the data, and a row for
+each cell of each pair never exists.  Linkage of markers is in ``ld``.
 """
 
 from __future__ import annotations
@@ -13,23 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ld import indexed, linkage  # noqa: F401  linkage is this module's too
 from .order import checkpointed
 
-BLOCK = 256
-#: markers in a block of ``pair_counts``; samples in a slice of ``linkage``
-SLICE = 8192
-
-
-def _indexed(df: DataFrame, key: str, size: int, *by: str) -> DataFrame:
-    """Distinct ``key`` (and ``by``) with (block, at): a block for each ``size`` keys of ``by`` in hash order, and the place in it.
-
-    The number of blocks follows the count; places are given within a block, so no task holds all keys.
-    """
-    k = df.select(*by, key).distinct()
-    n = k.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("blocks"))
-    k = k.join(F.broadcast(n), list(by)) if by else k.crossJoin(F.broadcast(n))
-    k = k.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    return k.withColumn("at", F.row_number().over(Window.partitionBy(*by, "block").orderBy(key)) - 1).drop("blocks")
+#: samples in a block, and markers in a block
+BLOCK, SLICE = 256, 8192
 
 
 def _vectors(g: DataFrame, row: str, column: str, extra: list[str], *by: str) -> DataFrame:
@@ -51,7 +38,7 @@ def pair_counts(g: DataFrame) -> DataFrame:
     block of markers is a group of bounded size whose counts are products of small matrices, and the counts of the
     marker blocks are added up.
     """
-    markers = _indexed(g, "MARKERS", SLICE)
+    markers = indexed(g, "MARKERS", SLICE)
     samples = g.select("INDIVIDUALS").distinct().count()
     blocks = max(1, -(-samples // BLOCK))
     called = g.filter("GT_BIN is not null").join(markers.withColumnRenamed("block", "m"), "MARKERS")
@@ -112,66 +99,6 @@ def matrix_to_pairs(m: DataFrame, remove_diagonal: bool = True, remove_lower: bo
     return relative(m.filter("ID1 <> ID2") if remove_diagonal else m)
 
 
-def linkage(g: DataFrame, key: str = "CHROM", least: float = 0.0, window: int | None = None) -> DataFrame:
-    """Squared Pearson correlation of the dosages of two markers of one ``key`` over the samples that have both, rounded to 6.
-
-    Pairs under ``least`` are left out before they leave their task.  With ``window``, markers whose POS is further apart are no
-    pairs, and only blocks of neighbouring places meet: the work then grows with the markers, not with their square.
-    Correlations that are not defined (a marker that does not vary among the shared samples) are left out.
-    """
-    s = g.filter("GT_BIN is not null")
-    if window is None:
-        markers = _indexed(s, "MARKERS", BLOCK, key)
-    else:
-        markers = s.select(key, "MARKERS", F.col("POS").cast("long").alias("__pos")).distinct().withColumn("block", F.floor(F.col("__pos") / window).cast("int"))
-    samples = _indexed(s, "INDIVIDUALS", SLICE).withColumnRenamed("block", "slice")
-    called = s.select(key, "MARKERS", "INDIVIDUALS", "GT_BIN").join(markers.drop("at"), [key, "MARKERS"]).join(samples, "INDIVIDUALS")
-    extra = ["__pos"] if window is not None else []
-    own = _vectors(called, "MARKERS", "INDIVIDUALS", extra, key, "slice", "block")
-    if window is None:
-        count = markers.groupBy(key).agg((F.max("block") + 1).alias("blocks"))
-        own = own.join(F.broadcast(count), key).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    else:  # a block meets itself and the one after it
-        own = own.withColumn("c", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    dealt = own.select(key, "slice", F.least("block", "c").alias("lo"), F.greatest("block", "c").alias("hi"), F.col("block").alias("b"), "MARKERS", "js", "ds", *extra)
-    names = ("n", "sx", "sy", "sxy", "sxx", "syy")
-    sums = ", ".join(f"{n} long" for n in names)
-
-    def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, lo, hi = group
-        x = _dense(pdf)
-        ids, side = pdf["MARKERS"].to_numpy(), pdf["b"].to_numpy()
-        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        have = (x >= 0).astype(np.float32)
-        v = np.where(x > 0, x, 0).astype(np.float32)
-        ha, hb, va, vb = have[a], have[b].T, v[a], v[b].T
-        got = dict(zip(names, (ha @ hb, va @ hb, ha @ vb, va @ vb, (va * va) @ hb, ha @ (vb * vb)), strict=True))
-        pairs = (got["n"] > 0) & ((ids[a][:, None] < ids[b][None, :]) if lo == hi else True)
-        if window is not None:
-            pos = pdf["__pos"].to_numpy()
-            pairs &= np.abs(pos[a][:, None] - pos[b][None, :]) <= window
-        i, j = np.nonzero(pairs)
-        left, right, turn = ids[a[i]], ids[b[j]], ids[a[i]] > ids[b[j]]
-        out = {n: np.rint(c[i, j]).astype(np.int64) for n, c in got.items()}
-        for p, q in (("sx", "sy"), ("sxx", "syy")):
-            out[p], out[q] = np.where(turn, out[q], out[p]), np.where(turn, out[p], out[q])
-        out = pd.DataFrame({"MARKERS_A": np.where(turn, right, left), "MARKERS_B": np.where(turn, left, right)} | out)
-        if least > 0 and one_slice:
-            cov, vx, vy = (out[c].to_numpy(np.float64) for c in ("sxy", "sxx", "syy"))
-            n, sx, sy = (out[c].to_numpy(np.float64) for c in ("n", "sx", "sy"))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r2 = (n * cov - sx * sy) ** 2 / ((n * vx - sx * sx) * (n * vy - sy * sy))
-            out = out[r2 >= least - 1e-6]
-        return out
-
-    one_slice = least > 0 and samples.agg(F.max("slice")).first()[0] in (0, None)
-    t = dealt.groupBy(key, "slice", "lo", "hi").applyInPandas(solve, f"MARKERS_A string, MARKERS_B string, {sums}")
-    t = t.groupBy("MARKERS_A", "MARKERS_B").agg(*[F.sum(c).alias(c) for c in names])
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return t.select("MARKERS_A", "MARKERS_B", F.round(F.try_divide(cov.cast("double") * cov, vx.cast("double") * vy), 6).alias("LD")).filter(F.col("LD") >= least)
-
-
 def _star(e: DataFrame) -> DataFrame:
     """``e`` has rows (u, v): with the smallest of u and its neighbours as m."""
     low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

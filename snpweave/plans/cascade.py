@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..model import WHITELIST, Dataset
-from ..operators import detect, filters, hwe, pairs, stats
+from ..operators import detect, filters, hwe, ld, pairs, stats
 
 LEDGER = "FILTERS string, PARAMETERS string, VALUES string, BEFORE string, AFTER string, BLACKLIST string, UNITS string, COMMENTS string"
 UNITS = "individual / strata / chrom / locus / SNP"
@@ -44,12 +44,20 @@ class Step:
     sums: bool = False
 
 
+def _long_ld(g: DataFrame, threshold: float, method: str, window: int | None) -> DataFrame:
+    """Of each group of linked markers the best genotyped one stays; with a window, markers are pruned along it instead."""
+    if window is not None:
+        return ld.sliding_window(g, threshold, window, method)
+    return pairs.ld_pruning(pairs.linkage(g, least=threshold, method=method), stats.marker_stats(g), threshold)
+
+
 def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibility=None, monomorphic=True, common=True, whitelist=None, blacklist_id=None, missing=None, heterozygosity=None, coverage_total=None, ma=None, ma_stat="mac", coverage=None, genotyping=None, position=None, snp_number=None, short_ld=None, long_ld=None,
-          mixed=None, duplicates=None, hwe_level=None) -> list[Step]:
+          mixed=None, duplicates=None, hwe_level=None, ld_method="r2", ld_window=None) -> list[Step]:
     """The cascade's steps in their order; an argument left out leaves its step out.
 
     ``whitelist`` and ``blacklist_id`` are tables (MARKERS; INDIVIDUALS); ``strands`` is the rule for markers at one place,
-    ``long_ld`` the largest linkage between markers of a chromosome that both stay, ``duplicates`` the relative distance
+    ``long_ld`` the largest linkage (by ``ld_method``; within ``ld_window`` bases, if given) between markers of a chromosome that
+    both stay, ``duplicates`` the relative distance
     under which two samples are one genome.
     """
     out = []
@@ -86,7 +94,7 @@ def steps(strands=None, vcf_filter=False, haplotype_format=False, reproducibilit
     if short_ld is not None:
         by_sums("filter.short.ld", "rule", short_ld, lambda m: filters.short_ld(stats.marker_columns(m), short_ld))
     if long_ld is not None:
-        add("filter.long.ld", "threshold", str(long_ld), lambda g: pairs.ld_pruning(pairs.linkage(g, least=long_ld), stats.marker_stats(g), long_ld).filter("not KEEP").select("MARKERS"))
+        add("filter.long.ld", "threshold", str(long_ld), lambda g: _long_ld(g, long_ld, ld_method, ld_window).filter("not KEEP").select("MARKERS"))
     if mixed is not None:
         add("detect.mixed.genomes", "heterozygosity", str(mixed), lambda g: detect.mixed_genomes(g, *mixed), "INDIVIDUALS")
     if duplicates is not None:
