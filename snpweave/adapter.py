@@ -1,4 +1,4 @@
-"""The genotype grid that queries derive from sales tables.
+"""The genotypes that queries derive from sales tables.
 
 A supplier is a sample, its region the stratum; ``l_partkey % 200`` is a marker; all ordered pairs of bases occur as alleles.  A line item is a read of the
 alternate allele if its quantity is at most ``marker % 26``, else of the reference allele.  The grid is
@@ -65,3 +65,50 @@ BASE_SQL = """WITH samples AS (
     rd + ad AS READ_DEPTH, nullif(rd, 0) AS ALLELE_REF_DEPTH, nullif(ad, 0) AS ALLELE_ALT_DEPTH
   FROM samples s CROSS JOIN mk LEFT JOIN reads r ON r.INDIVIDUALS = s.INDIVIDUALS AND r.m = mk.m
 )"""
+
+
+def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of words with two to four alleles; the markers are the parts, so they grow with the table.
+
+    A supplier is a sample, its region the stratum.  A line item is a read of one allele of its part: of seven order keys four
+    read the first allele, two the second, one another (the second, where there are two).  The two alleles with most reads
+    are the call (ties to the first); a cell without reads has no row.  Alleles are words of five bases that differ at one
+    to five places.
+    """
+    part, n = F.col("l_partkey"), 2 + F.col("l_partkey") % 3
+    k = F.col("l_orderkey") % 7
+    read = F.when(k < 4, 0).when((k < 6) | (n == 2), 1).otherwise(2 + F.floor("l_quantity") % (n - 2)).cast("int")
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("INDIVIDUALS"), part.cast("long").alias("m"), n.cast("int").alias("n"), read.alias("a"))
+    cell = item.groupBy("INDIVIDUALS", "m", "n").agg(*[F.count_if(F.col("a") == i).alias(f"d{i}") for i in range(4)])
+    depth = F.slice(F.array(*[F.col(f"d{i}") for i in range(4)]), F.lit(1), F.col("n"))
+    order = F.array_sort(F.transform(depth, lambda d, i: F.struct((-d).alias("d"), i.alias("i"))))
+    first, second = order[0]["i"], F.when(order[1]["d"] < 0, order[1]["i"]).otherwise(order[0]["i"])
+    called = cell.select("INDIVIDUALS", "m", "n", depth.alias("AD"), F.least(first, second).alias("x"), F.greatest(first, second).alias("y"))
+    words = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(*[F.substring(F.lit("ACGT"), ((F.col("m") + p + F.when((F.col("m") + p) % 3 < i, i).otherwise(0)) % 4 + 1).cast("int"), F.lit(1)) for p in range(5)]))
+    chrom, locus, pos = (F.col("m") % 5).cast("string"), F.col("m").cast("string"), (F.col("m") * 10).cast("string")
+    out = called.withColumn("w", words).select(F.concat_ws("__", chrom, locus, pos).alias("MARKERS"), chrom.alias("CHROM"), locus.alias("LOCUS"), pos.alias("POS"), F.get("w", F.lit(0)).alias("REF"),
+        F.array_join(F.slice("w", F.lit(2), F.col("n") - 1), ",").alias("ALT"), "INDIVIDUALS", F.concat_ws("/", F.get("w", F.col("x")), F.get("w", F.col("y"))).alias("GT_VCF_NUC"), "AD")
+    return out.join(samples(spark, sf_dir), "INDIVIDUALS")
+
+
+#: the same relation in DuckDB SQL: ``samples`` and ``h``
+HAPLOTYPE_SQL = """WITH samples AS (
+  SELECT s_suppkey::VARCHAR AS INDIVIDUALS, n_regionkey::VARCHAR AS STRATA FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), item AS (
+  SELECT l_suppkey::VARCHAR AS INDIVIDUALS, l_partkey::BIGINT AS m, 2 + l_partkey % 3 AS n, CASE WHEN l_orderkey % 7 < 4 THEN 0 WHEN l_orderkey % 7 < 6 OR l_partkey % 3 = 0 THEN 1 ELSE 2 + floor(l_quantity)::BIGINT % (l_partkey % 3) END AS a FROM lineitem
+), depths AS (
+  SELECT INDIVIDUALS, m, n, a, count(*) AS d FROM item GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY INDIVIDUALS, m ORDER BY d DESC, a) AS k, count(*) OVER (PARTITION BY INDIVIDUALS, m) AS seen FROM depths
+), top AS (
+  SELECT INDIVIDUALS, m, n, min(a) FILTER (WHERE k <= 2) AS x, max(a) FILTER (WHERE k <= 2) AS y, list({'a': a, 'd': d}) AS e FROM ranked GROUP BY ALL
+), called AS (
+  SELECT INDIVIDUALS, m, n, x, y, list_transform(range(n), lambda i: coalesce(list_sum([z.d for z in e if z.a = i]), 0)::BIGINT) AS AD FROM top
+), words AS (
+  SELECT m, n, list_transform(range(n), lambda i: list_reduce([substr('ACGT', ((m + p + (CASE WHEN (m + p) % 3 < i THEN i ELSE 0 END)) % 4 + 1)::INT, 1) for p in range(5)], lambda u, v: u || v)) AS w FROM (SELECT DISTINCT m, n FROM item)
+), h AS (
+  SELECT (m % 5)::VARCHAR || '__' || m || '__' || m * 10 AS MARKERS, (m % 5)::VARCHAR AS CHROM, m::VARCHAR AS LOCUS, (m * 10)::VARCHAR AS POS, w[1] AS REF, array_to_string(w[2:], ',') AS ALT, INDIVIDUALS, STRATA, w[x + 1] AS A1, w[y + 1] AS A2, w, AD
+  FROM called JOIN words USING (m, n) JOIN samples USING (INDIVIDUALS)
+), hc AS (
+  SELECT MARKERS, INDIVIDUALS, STRATA, unnest([A1, A2]) AS ALLELES FROM h
+)"""

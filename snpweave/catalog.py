@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapter
-from .adapter import BASE_SQL
+from .adapter import BASE_SQL, HAPLOTYPE_SQL
 from .functions import genotypes as gt
 from .functions import names
 from .model import WHITELIST, Dataset, tag
-from .operators import dart, detect, filters, hwe, ld, metadata, models, pairs, recode, stats, strata
+from .operators import alleles, dart, detect, filters, hwe, ld, metadata, models, pairs, recode, stats, strata
 from .plans import cascade
 from .sinks import writers
 
@@ -33,6 +33,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def words(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """Register ``f(h)``, where h are the calls of markers with two to four alleles; ``sql`` follows their CTEs."""
+    QUERIES[name] = lambda spark, sf_dir: f(adapter.haplotypes(spark, sf_dir))
+    if sql is not None:
+        ORACLES[name] = HAPLOTYPE_SQL + sql
+
+
 def simple(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
     query(name, sql)(lambda g, spark, sf_dir: f(g))
 
@@ -484,3 +491,31 @@ simple("filter_rad", lambda g: _run(g).markers.filter(F.col("FILTERS") == WHITEL
 _KEPT = ("true", "MARKERS IN (FROM m1)", "MARKERS IN (FROM m1) AND MARKERS IN (FROM m2)", "MARKERS IN (FROM m3)", "MARKERS IN (FROM m4)")
 _STEPS = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT count(*) FROM samples) || ' / ' || (SELECT count(DISTINCT STRATA) FROM samples) || ' / ' || count(DISTINCT CHROM) || ' / ' || count(DISTINCT LOCUS) || ' / ' || count(DISTINCT MARKERS) AS x FROM mk WHERE {w}" for i, w in enumerate(_KEPT))
 query("filter_ledger", _CASCADE + f", t AS ({_STEPS}) SELECT ['filter.monomorphic', 'filter.common.markers', 'filter.ma', 'filter.genotyping'][a.i] AS FILTERS, b.x AS BEFORE, a.x AS AFTER FROM t a JOIN t b ON a.i = b.i + 1")(lambda g, spark, d: cascade.ledger(spark, _run(g)).select("FILTERS", "BEFORE", "AFTER"))
+
+# ---- markers with two to four alleles ------------------------------------------------------------------------------
+_PI = ", fq AS (SELECT {k}MARKERS, ALLELES, count(*) / sum(count(*)) OVER (PARTITION BY {k}MARKERS) AS f FROM hc GROUP BY {k}MARKERS, ALLELES), pm AS (SELECT {a}a.MARKERS, coalesce(sum(a.f * b.f * hamming(a.ALLELES, b.ALLELES)) FILTER (WHERE a.ALLELES < b.ALLELES), 0) / 90 AS PI FROM fq a JOIN fq b ON a.MARKERS = b.MARKERS{j} GROUP BY ALL)"
+_PI_ALL, _PI_POP = _PI.format(k="", a="", j=""), _PI.format(k="STRATA, ", a="a.STRATA, ", j=" AND a.STRATA = b.STRATA")
+words("pi_rad__haplotypes", lambda h: alleles.pi_markers(h, 90, "STRATA").withColumn("PI", F.round("PI", 12)), _PI_POP + " SELECT MARKERS, STRATA, round(PI, 12) AS PI FROM pm")
+words("pi_pop__haplotypes", lambda h: alleles.pi_pop(h, 90), _PI_POP + ", one AS (SELECT STRATA, round(avg(PI), 9) AS PI FROM pm GROUP BY STRATA)" + _PI_ALL.replace("fq", "fa").replace("pm", "pa") + " SELECT * FROM one UNION ALL SELECT 'OVERALL', round(avg(PI), 9) FROM pa")
+words("pi__haplotypes", lambda h: alleles.pi_individuals(h, 90), " SELECT INDIVIDUALS, STRATA, round(avg(hamming(A1, A2)) / 90, 9) AS PI FROM h GROUP BY ALL")
+words("compute_maf__haplotypes", alleles.maf, """, al AS (SELECT MARKERS, ALLELES, count(*) AS ALT_GLOBAL FROM hc GROUP BY ALL), lo AS (SELECT MARKERS, STRATA, ALLELES, count(*) AS n FROM hc GROUP BY ALL),
+rk AS (SELECT *, sum(ALT_GLOBAL) OVER (PARTITION BY MARKERS) AS total, row_number() OVER (PARTITION BY MARKERS ORDER BY ALT_GLOBAL DESC, ALLELES) AS top FROM al), rr AS (SELECT *, row_number() OVER (PARTITION BY MARKERS ORDER BY top = 1, ALT_GLOBAL, ALLELES) AS low FROM rk)
+SELECT r.MARKERS, s.STRATA, r.ALLELES AS HAPLOTYPES, coalesce(n, 0)::BIGINT AS ALT_LOCAL, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY r.MARKERS, s.STRATA) AS MAF_LOCAL, ALT_GLOBAL, ALT_GLOBAL / total AS MAF_GLOBAL,
+  CASE WHEN top = 1 THEN 'REF' WHEN low = 1 THEN 'MAF' ELSE 'ALT' END AS REF FROM rr r JOIN (SELECT DISTINCT MARKERS, STRATA FROM hc) s USING (MARKERS) LEFT JOIN lo ON lo.MARKERS = r.MARKERS AND lo.STRATA = s.STRATA AND lo.ALLELES = r.ALLELES""")
+_DICT = """, cn AS (SELECT MARKERS, ALLELES, count(*) AS n FROM hc GROUP BY ALL), dp AS (SELECT MARKERS, pos, sum(d)::BIGINT AS d FROM (SELECT MARKERS, unnest(AD) AS d, generate_subscripts(AD, 1) AS pos FROM h) GROUP BY ALL),
+di AS (SELECT MARKERS, list(w ORDER BY pos) AS al, list(coalesce(n, 0) ORDER BY pos) AS cnt, list(d ORDER BY pos) AS dep FROM (SELECT DISTINCT MARKERS, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM h) x LEFT JOIN cn ON cn.MARKERS = x.MARKERS AND cn.ALLELES = x.w LEFT JOIN dp ON dp.MARKERS = x.MARKERS AND dp.pos = x.pos GROUP BY MARKERS),
+mm AS (SELECT MARKERS, len(al)::INT AS ALT_N, array_to_string(cnt[2:], ',') AS ALT_COUNTS, list_sum(cnt[2:])::BIGINT AS alt, cnt[1] AS ref, list_sum(dep[2:])::BIGINT AS ad, dep[1] AS rd FROM di)
+"""
+_DICT = _DICT.replace("x LEFT JOIN cn", "AS x LEFT JOIN cn").replace("SELECT MARKERS, list(w ORDER BY pos)", "SELECT x.MARKERS, list(w ORDER BY x.pos)").replace("coalesce(n, 0) ORDER BY pos", "coalesce(n, 0) ORDER BY x.pos").replace("list(d ORDER BY pos)", "list(coalesce(d, 0) ORDER BY x.pos)").replace("GROUP BY MARKERS),", "GROUP BY x.MARKERS),")
+_FLAGGED = "MARKERS, ALT_N, ALT_COUNTS, alt AS MAC_GLOBAL, alt / (alt + ref) AS MAF_GLOBAL, CASE {m}WHEN ref = 0 THEN 'monomorphic' ELSE 'whitelist' END AS FILTERS"
+_CORRECTED = ", alt >= ref AS INVERSION_COUNT, least(alt, ref) AS MAC_GLOBAL_CORR, least(alt, ref) / (alt + ref) AS MAF_GLOBAL_COUNT_CORR"
+_flat = lambda d: d.withColumn("ALT_COUNTS", F.array_join(F.transform("ALT_COUNTS", lambda x: x.cast("string")), ","))
+words("minor_allele_stats__haplotypes_count", lambda h: _flat(alleles.minor_alleles(h)), _DICT + "SELECT " + _FLAGGED.format(m="") + _CORRECTED + " FROM mm")
+words("minor_allele_stats__haplotypes_depth", lambda h: _flat(alleles.minor_alleles(h, "depth")), _DICT + "SELECT " + _FLAGGED.format(m="") + _CORRECTED + ", ad >= rd AS INVERSION_DEPTH, ad AS MAD_GLOBAL, least(ad, rd) AS MAD_GLOBAL_CORR, least(ad, rd) / (ad + rd) AS MAF_GLOBAL_DEPTH_CORR FROM mm")
+words("minor_allele_stats__haplotypes_ancestral", lambda h: _flat(alleles.minor_alleles(h, "ancestral", biallelic=True)), _DICT + "SELECT " + _FLAGGED.format(m="WHEN ALT_N > 2 THEN 'multi-allelic' ") + " FROM mm")
+_ROLES = ", ro AS (SELECT MARKERS, al, list_position({v}, list_max({v})) AS k FROM di) SELECT MARKERS, al[k] AS REF, array_to_string(list_filter(al, lambda x: x <> al[k]), ',') AS ALT, k > 1 AS INVERSION FROM ro"
+words("calibrate_alleles__haplotypes_count", alleles.roles, _DICT + _ROLES.format(v="cnt"))
+words("calibrate_alleles__haplotypes_depth", lambda h: alleles.roles(h, "depth"), _DICT + _ROLES.format(v="dep"))
+words("summarise_genotypes__haplotypes", alleles.heterozygosity, ", e AS (SELECT MARKERS, STRATA, count(*) AS N_ALLELES, round(1 - sum(n * n) / sum(n) ** 2, 9) AS HET_EXP FROM (SELECT MARKERS, STRATA, ALLELES, count(*) AS n FROM hc GROUP BY ALL) GROUP BY ALL) SELECT MARKERS, STRATA, count(*) AS N, N_ALLELES, round(avg((A1 <> A2)::INT), 9) AS HET_OBS, HET_EXP FROM h JOIN e USING (MARKERS, STRATA) GROUP BY ALL")
+_hap = lambda h: alleles.copies(h, "STRATA")
+words("private_alleles__haplotypes", lambda h: stats.private_alleles(_hap(h)), " SELECT min(STRATA) AS STRATA, MARKERS, ALLELES FROM hc GROUP BY MARKERS, ALLELES HAVING count(DISTINCT STRATA) = 1")
