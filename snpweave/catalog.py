@@ -13,7 +13,7 @@ from .adapter import BASE_SQL, HAPLOTYPE_SQL
 from .functions import genotypes as gt
 from .functions import names
 from .model import WHITELIST, Dataset, tag
-from .operators import alleles, dart, detect, filters, hwe, ld, metadata, models, pairs, recode, stats, strata
+from .operators import alleles, dart, detect, filters, het, hwe, ld, metadata, models, pairs, recode, stats, strata
 from .plans import cascade
 from .sinks import writers
 
@@ -519,3 +519,32 @@ words("calibrate_alleles__haplotypes_depth", lambda h: alleles.roles(h, "depth")
 words("summarise_genotypes__haplotypes", alleles.heterozygosity, ", e AS (SELECT MARKERS, STRATA, count(*) AS N_ALLELES, round(1 - sum(n * n) / sum(n) ** 2, 9) AS HET_EXP FROM (SELECT MARKERS, STRATA, ALLELES, count(*) AS n FROM hc GROUP BY ALL) GROUP BY ALL) SELECT MARKERS, STRATA, count(*) AS N, N_ALLELES, round(avg((A1 <> A2)::INT), 9) AS HET_OBS, HET_EXP FROM h JOIN e USING (MARKERS, STRATA) GROUP BY ALL")
 _hap = lambda h: alleles.copies(h, "STRATA")
 words("private_alleles__haplotypes", lambda h: stats.private_alleles(_hap(h)), " SELECT min(STRATA) AS STRATA, MARKERS, ALLELES FROM hc GROUP BY MARKERS, ALLELES HAVING count(DISTINCT STRATA) = 1")
+
+# ---- simple sequence repeats of reads --------------------------------------------------------------------------------
+_reads = lambda h: h.select("MARKERS", "LOCUS", "REF", "ALT").distinct().select("MARKERS", F.expr("concat(REF, repeat(substring(REF, 1, 1 + cast(LOCUS AS int) % 6), cast(LOCUS AS int) % 11), substring(ALT, 1, 5), repeat('CA', cast(LOCUS AS int) % 7))").alias("SEQUENCE"))
+_SSR = """, sq AS (SELECT DISTINCT MARKERS, REF || repeat(substr(REF, 1, 1 + LOCUS::INT % 6), LOCUS::INT % 11) || substr(ALT, 1, 5) || repeat('CA', LOCUS::INT % 7) AS SEQUENCE FROM h),
+sp AS (SELECT MARKERS, SEQUENCE, p, unnest(range(1, len(SEQUENCE) - p + 1)) AS i FROM sq CROSS JOIN (SELECT unnest(range(2, 7)) AS p)), eq AS (SELECT *, i - row_number() OVER (PARTITION BY MARKERS, p ORDER BY i) AS k FROM sp WHERE SEQUENCE[i] = SEQUENCE[i + p]),
+ru AS (SELECT MARKERS, SEQUENCE, p, min(i) AS s, count(*) + p AS l FROM eq GROUP BY MARKERS, SEQUENCE, p, k HAVING count(*) >= 4 * p), mo AS (SELECT *, substr(SEQUENCE, s, p) AS m FROM ru),
+pr AS (SELECT * FROM mo WHERE NOT list_bool_or([repeat(substr(m, 1, d), p // d) = m for d in range(1, p) if p % d = 0])),
+ss AS (SELECT MARKERS, len(SEQUENCE)::INT AS SEQUENCE_LENGTH, s::INT AS START, (s + l // p * p - 1)::INT AS END_, l::INT AS LENGTH, (l // p)::INT AS REPETITIONS, m AS MOTIF,
+  list_min(list_concat([substr(m, i + 1) || substr(m, 1, i) for i in range(p)], [substr(reverse(translate(m, 'ACGT', 'TGCA')), i + 1) || substr(reverse(translate(m, 'ACGT', 'TGCA')), 1, i) for i in range(p)])) AS CANONICAL FROM pr)"""
+words("detect_microsatellites__runs", lambda h: detect.tandem_repeats(_reads(h)), _SSR + ' SELECT * RENAME (END_ AS "END") FROM ss')
+words("detect_microsatellites__lists", lambda h: detect.microsatellite_lists(_reads(h)), _SSR + ", n AS (SELECT MARKERS, count(*) AS c, max(REPETITIONS) AS r FROM ss GROUP BY MARKERS) SELECT q.MARKERS, coalesce(c, 0)::BIGINT AS N_RUNS, r AS REPETITIONS_MAX, CASE WHEN c IS NULL THEN 'whitelist' ELSE 'blacklist' END AS LIST FROM sq q LEFT JOIN n USING (MARKERS)")
+
+# ---- heterozygosity of loci and markers ------------------------------------------------------------------------------
+# loci of the grid lie over several chromosomes; here all are on one, so that a locus has three SNPs
+_one = lambda g: g.withColumn("CHROM", F.lit("1"))
+_HET = """, bo AS (SELECT {k}, MARKERS, unnest([STRATA, 'OVERALL']) AS STRATA, INDIVIDUALS, GT_BIN FROM (SELECT * REPLACE ('1' AS CHROM) FROM g)), ho AS (SELECT {k}, MARKERS AS MM, STRATA, avg((GT_BIN = 1)::INT) AS h FROM bo GROUP BY ALL HAVING count(GT_BIN) > 0),
+hs AS (SELECT {k}, STRATA, avg(h) AS a, min(h) AS lo, max(h) AS hi FROM ho GROUP BY ALL), mi AS (SELECT {k}, STRATA, avg((n = 0)::INT) AS m FROM (SELECT {k}, STRATA, INDIVIDUALS, count(GT_BIN) AS n FROM bo GROUP BY ALL) GROUP BY ALL),
+hm AS (SELECT {k}, STRATA, round(a, 9) AS HET_MEAN, round(lo, 9) AS HET_MIN, round(hi, 9) AS HET_MAX, round(hi - lo, 9) AS HET_DIF, round(m, 9) AS MISSING_PROP FROM hs JOIN mi USING ({k}, STRATA))"""
+_HET_LOCUS, _HET_MARKER = _HET.format(k="CHROM, LOCUS"), _HET.format(k="MARKERS").replace("SELECT MARKERS, MARKERS, unnest", "SELECT MARKERS, unnest")
+_TH = """, hh AS (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8, 0.9, NULL])::DOUBLE AS HET_THRESHOLD), dd AS (SELECT unnest({d})::DOUBLE AS DIF_THRESHOLD),
+sc AS (SELECT {k}, HET_THRESHOLD, DIF_THRESHOLD, CASE WHEN STRATA = 'OVERALL' THEN STRATA ELSE 'STRATA' END AS SCOPE, CASE WHEN STRATA = 'OVERALL' THEN 1 ELSE 5 END AS most, count(*) FILTER (WHERE {v} <= coalesce(HET_THRESHOLD, 2) AND HET_DIF <= coalesce(DIF_THRESHOLD, 2)) AS w FROM hm CROSS JOIN hh CROSS JOIN dd WHERE HET_THRESHOLD IS NOT NULL OR DIF_THRESHOLD IS NOT NULL GROUP BY ALL)
+SELECT SCOPE, HET_THRESHOLD, DIF_THRESHOLD, o AS OUTLIERS, count(*) FILTER (WHERE most - w <= o) AS WHITELIST, count(*) FILTER (WHERE most - w > o) AS BLACKLIST FROM sc JOIN (SELECT unnest(range(6))::INT AS o) ON o <= most WHERE SCOPE = 'STRATA' OR o = 0 GROUP BY ALL"""
+simple("filter_het__summary_haplotype", lambda g: het.summary(_one(g)), _HET_LOCUS + " SELECT * FROM hm")
+simple("filter_het__summary_snp", lambda g: het.summary(g, "SNP"), _HET_MARKER + " SELECT * FROM hm")
+simple("filter_het__thresholds_haplotype", lambda g: het.threshold_table(het.summary(_one(g)), 5), _HET_LOCUS + _TH.format(k="CHROM, LOCUS", v="HET_MAX", d="[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, NULL]"))
+simple("filter_het__thresholds_snp", lambda g: het.threshold_table(het.summary(g, "SNP"), 5), _HET_MARKER + _TH.format(k="MARKERS", v="HET_MEAN", d="[NULL]"))
+simple("filter_het__blacklist_haplotype", lambda g: het.blacklist(_one(g), "haplotype", "pop", 0.8, 0.6, 1), _HET_LOCUS + ", bd AS (SELECT CHROM, LOCUS, count(*) FILTER (WHERE HET_MAX > 0.8 OR HET_DIF > 0.6) AS OUTLIERS FROM hm WHERE STRATA <> 'OVERALL' GROUP BY ALL) SELECT MARKERS, OUTLIERS FROM mk JOIN bd USING (LOCUS) WHERE OUTLIERS > 1")
+simple("filter_het__blacklist_overall", lambda g: het.blacklist(g, "SNP", "overall", 0.5), _HET_MARKER + " SELECT MARKERS, 1::BIGINT AS OUTLIERS FROM hm WHERE STRATA = 'OVERALL' AND HET_MEAN > 0.5")
+simple("filter_het__individuals", het.individual_summary, ISTATS + ", bo AS (SELECT unnest([STRATA, 'OVERALL']) AS STRATA, HETEROZYGOSITY AS h FROM ist) SELECT STRATA, round(avg(h), 6) AS HET_MEAN, round(quantile_cont(h, 0.5), 6) AS HET_MEDIAN, round(stddev_samp(h), 6) AS HET_SD, round(min(h), 6) AS HET_MIN, round(max(h), 6) AS HET_MAX FROM bo GROUP BY STRATA")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
@@ -103,6 +105,50 @@ def microsatellites(sequences: DataFrame, unit: int = 6, repeats: int = 4) -> Da
     return sequences.select("MARKERS", F.upper("SEQUENCE").rlike(rf"([ACGT]{{2,{unit}}}?)\1{{{repeats - 1},}}").alias("SSR"))
 
 
+def _runs(unit: int, repeats: int):
+    """Maximal stretches of SEQUENCE that repeat after ``unit`` bases at least ``repeats`` times: an array of (START, LENGTH)."""
+    base = F.split(F.upper("SEQUENCE"), "")
+    same = F.zip_with(base, F.slice(base, unit + 1, F.greatest(F.size(base) - unit, F.lit(0))), lambda x, y: F.when((x == y) & x.isin("A", "C", "G", "T"), "1").otherwise("0"))
+    kind = "struct<at:int,found:array<struct<START:int,LENGTH:int>>>"
+    # stretches of matches stand between mismatches; only long ones are kept
+    step = lambda a, r: F.struct(
+        (a["at"] + F.length(r) + 1).alias("at"),
+        F.when(F.length(r) >= unit * (repeats - 1), F.array_append(a["found"], F.struct((a["at"] + 1).alias("START"), (F.length(r) + unit).alias("LENGTH")))).otherwise(a["found"]).alias("found"),
+    ).cast(kind)
+    return F.aggregate(F.split(F.array_join(same, ""), "0"), F.expr("named_struct('at', 0, 'found', array())").cast(kind), step, lambda a: a["found"])
+
+
+def canonical_motif(motif: Column, unit: int) -> Column:
+    """The smallest of a motif's rotations and those of its reverse complement."""
+    turns = lambda m: [F.concat(F.substring(m, i + 1, unit - i), F.substring(m, 1, i)) for i in range(unit)]
+    return F.array_min(F.array(*turns(motif), *turns(F.reverse(F.translate(motif, "ACGT", "TGCA")))))
+
+
+def tandem_repeats(sequences: DataFrame, units: tuple[int, int] = (2, 6), repeats: int = 5) -> DataFrame:
+    """Simple sequence repeats: a row for each maximal run of a motif of ``units`` bases that stands ``repeats`` times or more.
+
+    START and END (from 1) hold whole copies, LENGTH also the part of a copy at the end.  A motif is no repeat of a shorter one.
+    CANONICAL is equal for motifs that are the same one read from another base or on the other strand.  Letters other than A, C, G and T
+    end a run; a null SEQUENCE has none.
+    """
+    out = []
+    for unit in range(units[0], units[1] + 1):
+        x = sequences.select("MARKERS", "SEQUENCE", F.explode(_runs(unit, repeats)).alias("r")).select("MARKERS", F.length("SEQUENCE").alias("SEQUENCE_LENGTH"), "r.*", F.upper(F.expr(f"substring(SEQUENCE, r.START, {unit})")).alias("MOTIF"))
+        for d in range(1, unit):
+            if unit % d == 0:
+                x = x.filter(F.repeat(F.substring("MOTIF", 1, d), F.lit(unit // d)) != F.col("MOTIF"))
+        n = F.floor(F.col("LENGTH") / unit).cast("int")
+        out.append(x.select("MARKERS", "SEQUENCE_LENGTH", "START", (F.col("START") + n * unit - 1).alias("END"), "LENGTH", n.alias("REPETITIONS"), "MOTIF", canonical_motif(F.col("MOTIF"), unit).alias("CANONICAL")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def microsatellite_lists(sequences: DataFrame, units: tuple[int, int] = (2, 6), repeats: int = 5) -> DataFrame:
+    """Each marker with its number of repeats' runs and the most copies in one; LIST is ``blacklist`` where it has any."""
+    t = tandem_repeats(sequences, units, repeats).groupBy("MARKERS").agg(F.count(F.lit(1)).alias("N_RUNS"), F.max("REPETITIONS").alias("REPETITIONS_MAX"))
+    x = sequences.select("MARKERS").distinct().join(t, "MARKERS", "left")
+    return x.select("MARKERS", F.coalesce("N_RUNS", F.lit(0)).cast("long").alias("N_RUNS"), "REPETITIONS_MAX", F.when(F.col("N_RUNS").isNotNull(), "blacklist").otherwise("whitelist").alias("LIST"))
+
+
 def calibration_problem(g: DataFrame, by: str = "count") -> DataFrame:
     """Markers whose reference allele is rarer than the alternate, by genotype counts or depth."""
     m = stats.minor_alleles(g).select("MARKERS", "REF_COUNT", "ALT_COUNT")
