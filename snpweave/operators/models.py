@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairs, stats
+from .order import checkpointed, numbered
 
 MAX_COUNTS = 100_000
 
@@ -127,9 +128,9 @@ def quantile_residuals(s: DataFrame, x: str, y: str, tau: float = 0.3, rounds: i
 
 def _windows(g: DataFrame, size: int) -> DataFrame:
     """(MARKERS, WINDOW): full windows of ``size`` neighbouring SNPs of a chromosome."""
-    own = Window.partitionBy("CHROM")
-    place = F.row_number().over(own.orderBy(F.col("POS").cast("long"), "MARKERS")) - 1
-    m = g.select("MARKERS", "CHROM", "POS").distinct().withColumn("WINDOW", F.floor(place / size).cast("long")).withColumn("n", F.count(F.lit(1)).over(own))
+    m = numbered(g.select("MARKERS", "CHROM", F.col("POS").cast("long").alias("__pos")).distinct(), "__n", "CHROM", "__pos", "MARKERS")
+    c = m.groupBy("CHROM").agg(F.min("__n").alias("first"), F.count(F.lit(1)).alias("n"))
+    m = m.join(c, "CHROM").withColumn("WINDOW", F.floor((F.col("__n") - F.col("first")) / size).cast("long"))
     return m.filter((F.col("WINDOW") + 1) * size <= F.col("n")).select("MARKERS", "WINDOW")
 
 
@@ -138,88 +139,138 @@ def _table(pdf: pd.DataFrame, ids: list[str]) -> np.ndarray:
     return pdf.pivot_table(index="INDIVIDUALS", columns="MARKERS", values="GT_BIN", aggfunc="first", dropna=False).reindex(ids).to_numpy(float)
 
 
+def top_axes(times, n: int, k: int, most: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of a symmetric matrix, given by its product with vectors, and their vectors as rows.
+
+    Rayleigh-Ritz over a block Krylov space that grows until the residuals are small (or the space is everything); the largest are
+    meant, not those of largest size.
+    """
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(n, min(n, k + 4))))[0]
+    basis, image = q, times(q)
+    while True:
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+        left = image @ turn - (basis @ turn) * values
+        if np.linalg.norm(left, axis=0).max(initial=0.0) <= 1e-10 * max(np.abs(values).max(initial=0.0), 1e-300) or basis.shape[1] >= min(n, most):
+            return values, np.ascontiguousarray((basis @ turn).T)
+        more = image[:, -q.shape[1] :].copy()
+        for _ in range(2):
+            more -= basis @ (basis.T @ more)
+        more, r = np.linalg.qr(more)
+        sound = np.abs(np.diag(r)) > 1e-12 * max(1.0, np.abs(r).max(initial=0.0))
+        more = more[:, sound][:, : n - basis.shape[1]]
+        if not more.shape[1]:
+            return values, np.ascontiguousarray((basis @ turn).T)
+        basis, image, q = np.hstack([basis, more]), np.hstack([image, times(more)]), more
+
+
+def pair_covariance(x: np.ndarray, rows: int = 512) -> np.ndarray:
+    """Covariance of samples (rows of ``x``), each pair over the SNPs that both have; 0 where that is not defined."""
+    with np.errstate(all="ignore"):
+        have = ~np.isnan(x)
+        h = have.astype(float)
+        z = np.where(have, x - np.where(have.any(axis=0), np.nansum(x, axis=0) / np.maximum(1, have.sum(axis=0)), 0.0), 0.0)
+        out = np.empty((len(x), len(x)))
+        for i in range(0, len(x), rows):
+            a, b = h[i : i + rows], z[i : i + rows]
+            n = a @ h.T
+            c = (b @ z.T - (b @ h.T) * (a @ z.T) / n) / (n - 1)
+            out[i : i + rows] = np.where(n > 1.5, c, 0.0)
+    return out
+
+
+def window_axes(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of the samples' covariance over a window's SNPs, and the axes as rows.
+
+    SNPs are centred.  Without missing genotypes the covariance is never formed; with some, it is taken pair by pair of samples.
+    """
+    if np.isnan(x).any():
+        c = pair_covariance(x)
+        return top_axes(lambda q: c @ q, len(x), k)
+    y = x - x.mean(axis=0)
+    y = y - y.mean(axis=1, keepdims=True)
+    v, s, _ = np.linalg.svd(y, full_matrices=False)
+    return s[:k] ** 2 / max(1, x.shape[1] - 1), np.ascontiguousarray(v[:, :k].T)
+
+
 def local_pca(g: DataFrame, size: int = 100, k: int = 2) -> DataFrame:
-    """(CHROM, WINDOW, START, END, N_SNP, VALUES, AXES) of full windows: the ``k`` largest eigenvalues of the samples' covariance, divided by the sum of their sizes, and the eigenvectors.
+    """(CHROM, WINDOW, START, END, N_SNP, VALUES, AXES) of full windows: the ``k`` largest eigenvalues of the samples' pairwise-complete covariance, divided by the sum of their sizes, and the eigenvectors.
 
-    A window is a bounded group: its SNPs by all samples.  Missing genotypes stand at their SNP's mean.
+    A window is a bounded group: its SNPs by all samples, and the covariance of all pairs of samples where genotypes are missing.
     """
     ids = [r[0] for r in g.select("INDIVIDUALS").distinct().orderBy("INDIVIDUALS").collect()]
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = _table(pdf, ids)
-        with np.errstate(all="ignore"):
-            mean = np.where(np.isnan(x).all(axis=0), 0.0, np.nansum(x, axis=0) / np.maximum(1, (~np.isnan(x)).sum(axis=0)))
-        x = np.where(np.isnan(x), 0.0, x - mean)
-        x = x - x.mean(axis=1, keepdims=True)
-        v, s, _ = np.linalg.svd(x, full_matrices=False)
-        lam, v = s[:k] ** 2 / max(1, x.shape[1] - 1), v[:, :k]
+        lam, v = window_axes(x, k)
         total = np.abs(lam).sum()
-        return pd.DataFrame({"CHROM": [key[0]], "WINDOW": [int(key[1])], "START": [int(pdf["POS"].min())], "END": [int(pdf["POS"].max())], "N_SNP": [x.shape[1]], "VALUES": [(lam / total if total else lam).tolist()], "AXES": [np.ascontiguousarray(v.T).tobytes()]})
+        return pd.DataFrame({"CHROM": [key[0]], "WINDOW": [int(key[1])], "START": [int(pdf["POS"].min())], "END": [int(pdf["POS"].max())], "N_SNP": [x.shape[1]], "VALUES": [(lam / total if total else lam).tolist()], "AXES": [v.tobytes()]})
 
     own = g.join(_windows(g, size), "MARKERS").select("CHROM", "WINDOW", "MARKERS", F.col("POS").cast("long").alias("POS"), "INDIVIDUALS", F.col("GT_BIN").cast("double").alias("GT_BIN"))
     return own.groupBy("CHROM", "WINDOW").applyInPandas(solve, "CHROM string, WINDOW long, START long, END long, N_SNP long, VALUES array<double>, AXES binary")
 
 
-def window_scaling(w: DataFrame, k: int = 2, rounds: int = 300, parts: int = 32, extra: int = 8) -> DataFrame:
+def axes_products(values: np.ndarray, axes: np.ndarray, others: np.ndarray, other_axes: np.ndarray) -> np.ndarray:
+    """Inner products of a window's low-rank covariance with others': from the squared products of their axes alone.
+
+    ``axes`` is (r, n), ``other_axes`` (m, r, n): no matrix of samples by samples is formed.
+    """
+    m, r, n = other_axes.shape
+    p = (axes @ other_axes.reshape(m * r, n).T).reshape(len(axes), m, r) ** 2
+    return np.einsum("a,amb,mb->m", values, p, others)
+
+
+def window_scaling(w: DataFrame, k: int = 2, landmarks: int = 500, most: int = 64 << 20) -> DataFrame:
     """Classical scaling of windows by the distance of their low-rank covariances: ``w`` with LS_PC1 .. and LS_DIST.
 
-    The distance of two windows is the Frobenius norm of the difference of their matrices (values times axes), so the scaled
-    coordinates are the principal components of these matrices, found by subspace iteration with ``extra`` more directions:
-    each round is a pass over the windows whose tasks send ``k + extra`` matrices of samples by samples, from ``parts`` tasks
-    at most.  No matrix of windows by windows exists.
+    The distance of two windows is the Frobenius norm of the difference of their matrices (values times axes), which follows from
+    products of their axes.  Landmark windows (``landmarks``, fewer where their axes would take over ``most`` bytes, but 4 k at least) are
+    scaled against each other on the driver; each window is then placed by its distances from the landmarks, in the task that has it,
+    and the places are turned to their principal axes.  With as many landmarks as windows, or where the landmarks span the space, this
+    is classical scaling itself; nothing of samples by samples, or of windows by windows, exists.  Landmarks are chosen by hash.
+    The sign of an axis makes the first landmark's coordinate positive.
     """
-    w = pairs.checkpointed(w.coalesce(parts))
+    w = checkpointed(w)
+    named = [f"LS_PC{j + 1}" for j in range(k)]
     first = w.first()
     if first is None:
-        return w.select("*", *[F.lit(None).cast("double").alias(f"LS_PC{j + 1}") for j in range(k)], F.lit(None).cast("double").alias("LS_DIST"))
+        return w.select("*", *[F.lit(None).cast("double").alias(c) for c in [*named, "LS_DIST"]])
     rank = len(first["VALUES"])
     n = len(first["AXES"]) // 8 // rank
-
-    def matrix(values, axes):
-        v = np.frombuffer(axes).reshape(-1, n)
-        return (v.T * np.asarray(values)) @ v
-
-    def add_up(sums):
-        """The sum over windows of ``sums(matrix)``, a stack of matrices."""
-
-        def run(batches):
-            total = None
-            for pdf in batches:
-                for values, axes in zip(pdf["VALUES"], pdf["AXES"], strict=True):
-                    x = sums(matrix(values, axes))
-                    total = x if total is None else total + x
-            if total is not None:
-                yield pd.DataFrame({"s": [total.tobytes()]})
-
-        out = 0.0
-        for r in w.select("VALUES", "AXES").mapInPandas(run, "s binary").toLocalIterator():
-            out = out + np.frombuffer(r[0]).reshape(-1, n, n)
-        return out
-
-    mean = add_up(lambda m: m[None])[0] / w.count()
-    m = min(k + extra, n * n)
-    scores = lambda basis, x: np.einsum("jab,ab->j", basis, x - mean)
-    q, before = np.random.default_rng(1).normal(size=(m, n * n)), np.zeros(k)
-    for _ in range(rounds):
-        basis = np.linalg.qr(q.T)[0].T.reshape(-1, n, n)
-        q = add_up(lambda x, basis=basis: scores(basis, x)[:, None, None] * (x - mean)[None]).reshape(len(basis), n * n)
-        # on the subspace the sum of squares is this small matrix, whose axes are the principal ones
-        values, turn = np.linalg.eigh(basis.reshape(-1, n * n) @ q.T)
-        now = values[::-1][:k]
-        if np.allclose(now, before, rtol=1e-8, atol=1e-15):
-            break
-        before = now
-    else:
-        raise RuntimeError(f"window scaling has not settled in {rounds} rounds")
-    basis = np.einsum("ij,jab->iab", turn.T[::-1][:k], basis)
-
-    def project(batches):
+    chosen = w.orderBy(F.xxhash64("CHROM", "WINDOW"), "CHROM", "WINDOW").limit(max(4 * k, min(landmarks, most // (8 * rank * n)))).select("VALUES", "AXES").collect()
+    values, axes = np.array([r[0] for r in chosen]), np.array([np.frombuffer(r[1]).reshape(rank, n) for r in chosen])
+    inner = np.array([axes_products(v, a, values, axes) for v, a in zip(values, axes, strict=True)])
+    size = np.diag(inner).copy()
+    d2 = size[:, None] + size[None, :] - 2 * inner
+    centred = d2 - d2.mean(axis=0) - d2.mean(axis=1)[:, None] + d2.mean()
+    lam, u = np.linalg.eigh(-centred / 2)
+    lam, u = lam[::-1][:k], u[:, ::-1][:, :k]
+    turn = np.where(lam > 1e-12 * max(lam.max(initial=0.0), 1e-300), u / np.sqrt(np.maximum(lam, 1e-300)), 0.0)
+    turn = np.hstack([turn, np.zeros((len(turn), k - turn.shape[1]))])
+    middle = d2.mean(axis=0)
+    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in w.schema.fields] + [f"{c} double" for c in named])
+    shared = w.sparkSession.sparkContext.broadcast((values, axes, size, turn, middle))
+
+    def place(batches):
+        values, axes, size, turn, middle = shared.value
         for pdf in batches:
-            c = np.array([np.einsum("jab,ab->j", basis, matrix(v, a) - mean) for v, a in zip(pdf["VALUES"], pdf["AXES"], strict=True)]).reshape(-1, k)
-            yield pdf.assign(**{f"LS_PC{j + 1}": c[:, j] for j in range(k)}, LS_DIST=np.sqrt((c * c).sum(axis=1)))
-
-    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in w.schema.fields] + [f"LS_PC{j + 1} double" for j in range(k)] + ["LS_DIST double"])
-    return w.mapInPandas(project, fields)
+            at = np.zeros((len(pdf), turn.shape[1]))
+            for i, (v, a) in enumerate(zip(pdf["VALUES"], pdf["AXES"], strict=True)):
+                v, a = np.asarray(v), np.frombuffer(a).reshape(len(v), -1)
+                own = float(axes_products(v, a, v[None], a[None])[0])
+                at[i] = -0.5 * (own + size - 2 * axes_products(v, a, values, axes) - middle) @ turn
+            yield pdf.assign(**{c: at[:, j] for j, c in enumerate(named)})
+
+    x = checkpointed(w.mapInPandas(place, fields))
+    sums = x.agg(F.count(F.lit(1)), *[F.avg(c) for c in named], *[F.avg(F.col(a) * F.col(b)) for a in named for b in named]).first()
+    mean = np.array(sums[1 : 1 + k])
+    spread = np.array(sums[1 + k :]).reshape(k, k) - np.outer(mean, mean)
+    rotation = np.linalg.eigh((spread + spread.T) / 2)[1][:, ::-1]
+    start = (-0.5 * (d2[0] - middle) @ turn - mean) @ rotation
+    rotation = rotation * np.where(start < 0, -1.0, 1.0)
+    turned = [sum((F.col(c) - float(mean[i])) * float(rotation[i, j]) for i, c in enumerate(named)) for j in range(k)]
+    out = x.select(*[c for c in x.columns if c not in named], *[t.alias(f"__{c}") for t, c in zip(turned, named, strict=True)])
+    return out.select(*[c for c in x.columns if c not in named], *[F.col(f"__{c}").alias(c) for c in named], F.sqrt(sum(F.col(f"__{c}") * F.col(f"__{c}") for c in named)).alias("LS_DIST"))
 
 
 def outlier_windows(w: DataFrame, quantile: float = 0.99) -> DataFrame:
