@@ -143,6 +143,7 @@ def from_arrays(a: DataFrame) -> DataFrame:
 def parse_depths(v: DataFrame) -> DataFrame:
     """AD (array) as reference depth (first) and alternate depth (sum of the rest); zero is missing."""
     rest = F.aggregate(F.slice("AD", 2, F.greatest(F.size("AD") - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    rest = F.when(F.size("AD") <= 2, F.coalesce(F.get("AD", F.lit(1)), F.lit(0)).cast("long")).otherwise(rest)  # nearly all calls
     return v.withColumn("ALLELE_REF_DEPTH", F.nullif(F.get("AD", F.lit(0)).cast("long"), F.lit(0).cast("long"))).withColumn("ALLELE_ALT_DEPTH", F.nullif(rest, F.lit(0).cast("long")))
 
 

@@ -179,6 +179,20 @@ def to_lines(text: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(len(end), pa.py_buffer(offsets), pa.py_buffer(kept))
 
 
+def first_fields(text: bytes, n: int) -> bytes:
+    """The text with the first ``n`` tab-separated fields of each line."""
+    if not text:
+        return b""
+    data = np.frombuffer(text, np.uint8)
+    end = np.flatnonzero(data == 10)
+    if not len(end) or end[-1] != len(data) - 1:
+        end = np.append(end, len(data))
+    start = np.concatenate([[0], end[:-1] + 1])
+    tab = np.append(np.flatnonzero(data == 9), len(data))
+    cut = np.minimum(tab[np.minimum(np.searchsorted(tab, start) + n - 1, len(tab) - 1)], end)
+    return b"".join([text[a:b] + b"\n" for a, b in zip(start.tolist(), cut.tolist(), strict=True)])
+
+
 def sites(lines: pa.Array) -> tuple[list[str], list[int], list[int]]:
     """CHROM, POS and the last place that REF covers, of VCF lines."""
     chrom, pos, end = [], [], []
@@ -207,6 +221,7 @@ class BlockReader(DataSourceReader):
         self.split = int(options.get("split", SPLIT))
         self.chunks = [c.split("\t") for c in options["chunks"].split("\n") if c] if "chunks" in options else None
         self.placed = options.get("placed") == "true"
+        self.fields = int(options.get("fields", 0))
         self.chrom: set[str] | None = None
         self.least, self.most, self.read_bytes = None, None, 0
 
@@ -251,7 +266,7 @@ class BlockReader(DataSourceReader):
         if not partition.path:
             return
         for text in text_of(partition.path, partition.lo, partition.hi, partition.sure, counter=self._count):
-            lines = to_lines(text)
+            lines = to_lines(first_fields(text, self.fields) if self.fields else text)
             if not self.placed:
                 yield pa.RecordBatch.from_arrays([lines], ["value"])
                 continue
@@ -298,10 +313,34 @@ def blocked_files(spark: SparkSession, path: str) -> list[str] | None:
     return found if found and all(is_blocked(f) for f in found) else None
 
 
-def lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame | None:
-    """The lines of block-compressed text (``value``), a task for each ``split`` bytes; None if it is of another kind."""
+def head(path: str) -> list[str]:
+    """The lines at the beginning of a file that begin with ``#``."""
+    out: list[str] = []
+    for text in text_of(path, 0, 1 << 62, True, most=MEMBER):
+        for x in to_lines(text).to_pylist():
+            if not x.startswith("#"):
+                return out
+            out.append(x)
+    return out
+
+
+def _sized(spark: SparkSession, found: list[str], split: int | None) -> int:
+    """Bytes of a partition: ``SPLIT``, or less (64 KB at least) where that would leave cores without work."""
+    if split:
+        return split
+    total = 0
+    for p in found:
+        f, size = _file(p)
+        f.close()
+        total += size
+    return int(min(SPLIT, max(1 << 16, total // (2 * spark.sparkContext.defaultParallelism))))
+
+
+def lines(spark: SparkSession, path: str, split: int | None = None, fields: int | None = None) -> DataFrame | None:
+    """The lines of block-compressed text (``value``; the first ``fields`` fields, if given), a task for each ``split`` bytes; None if it is of another kind."""
     found = blocked_files(spark, path)
-    return _source(spark).option("paths", "\n".join(found)).option("split", split).load() if found else None
+    split = _sized(spark, found, split) if found else None
+    return _source(spark).option("paths", "\n".join(found)).option("split", split).option("fields", fields or 0).load() if found else None
 
 
 def _chunks(size: int):

@@ -79,9 +79,9 @@ def detect_dart_format(lines: list[str]) -> tuple[str, int]:
     return ("counts" if any(int(c) > 1 for c in last) else "2rows"), stars
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines (``value``) of text files; those in compressed blocks by ranges of bytes."""
-    blocked = bgzf.lines(spark, path)
+def text_lines(spark: SparkSession, path: str, fields: int | None = None) -> DataFrame:
+    """The lines (``value``) of text files; those in compressed blocks by ranges of bytes, and of these the first ``fields`` fields only, if given."""
+    blocked = bgzf.lines(spark, path, fields=fields)
     return spark.read.text(path) if blocked is None else blocked
 
 
@@ -101,14 +101,18 @@ def vcf_formats(lines: list[str]) -> dict[str, dict[str, str]]:
 
 def vcf_header(spark: SparkSession, path: str) -> dict:
     """Caller, reference, samples, declared and wanted genotype fields, repaired: from the header lines alone."""
-    text, n = text_lines(spark, path), 1000
-    lines = [r[0] for r in text.take(n)]
-    while len(lines) == n and lines[-1].startswith("#"):  # the first split holds the header of one file
-        n *= 10
+    blocked = bgzf.blocked_files(spark, path)
+    if blocked:  # header lines alone, off the first blocks
+        lines = bgzf.head(blocked[0])
+    else:
+        text, n = spark.read.text(path), 1000
         lines = [r[0] for r in text.take(n)]
-    lines = [x for x in lines if x.startswith("#")]
+        while len(lines) == n and lines[-1].startswith("#"):  # the first split holds the header of one file
+            n *= 10
+            lines = [r[0] for r in text.take(n)]
+        lines = [x for x in lines if x.startswith("#")]
     if not any(x.startswith("#CHROM") for x in lines):  # parts in a folder come in any order
-        lines = [r[0] for r in text.filter("value like '#%'").collect()]
+        lines = [r[0] for r in text_lines(spark, path).filter("value like '#%'").collect()]
     low = "\n".join(lines).lower()
     caller = next((v for k, v in CALLERS.items() if f"source={k}" in low or f"##source=\"{k}" in low), next((v for k, v in CALLERS.items() if k in low), "unknown"))
     if caller == "freebayes" and "dirty" in next((x for x in lines if x.lower().startswith("##source")), "").lower():
@@ -150,10 +154,10 @@ def _region(region: str) -> tuple[str, int | None, int | None]:
     return chrom, int(first) if first else None, int(last) if last else None
 
 
-def vcf_lines(spark: SparkSession, path: str, region: str | None = None, index: str | None = None) -> DataFrame:
+def vcf_lines(spark: SparkSession, path: str, region: str | None = None, index: str | None = None, fields: int | None = None) -> DataFrame:
     """The site lines of a VCF (``value``), of a region only if one is given; with an index no other blocks are read."""
     if region is None:
-        return text_lines(spark, path).filter("value not like '#%' and value <> ''")
+        return text_lines(spark, path, fields).filter("value not like '#%' and value <> ''")
     chrom, first, last = _region(region)
     if detect_indexing(spark, path, index):
         return bgzf.region_lines(spark, path, index or f"{path.rstrip('/')}.regions", chrom=chrom, first=first, last=last).select("value")
@@ -165,47 +169,59 @@ def vcf_lines(spark: SparkSession, path: str, region: str | None = None, index:
     return text_lines(spark, path).filter("value not like '#%' and value <> ''").filter(keep)
 
 
-def read_vcf_raw(spark: SparkSession, path: str, region: str | None = None, index: str | None = None) -> DataFrame:
-    """Site columns, FORMAT, and the rest of the line with the samples' fields, which is split only where it is used."""
+def read_vcf_raw(spark: SparkSession, path: str, region: str | None = None, index: str | None = None, sites: bool = False) -> DataFrame:
+    """Site columns, FORMAT, and the rest of the line with the samples' fields, which is split only where it is used (``sites``: and not wanted)."""
     f = F.split("value", "\t", 10)
     at = lambda i: F.get(f, F.lit(i))
-    v = vcf_lines(spark, path, region, index)
+    v = vcf_lines(spark, path, region, index, 9 if sites else None)
     info = F.str_to_map(at(7), F.lit(";"), F.lit("="))
     return v.select(at(0).alias("CHROM"), at(1).alias("POS"), at(2).alias("LOCUS"), at(3).alias("REF"), at(4).alias("ALT"), at(5).alias("QUAL"), at(6).alias("FILTER"), info.alias("INFO"), at(8).alias("FORMAT"), at(9).alias("calls"))
 
 
-_INT = lambda c: F.try_to_number(c, F.lit("999999999")).cast("long")
+_INT = lambda c: c.try_cast("long")
+_LISTS = ("AD", "GL", "PL", "GP", "CATG")
+
+
+def _positions(wanted: list[str]) -> list[Column]:
+    """Where a site's FORMAT has each wanted field (from 0, null where it has not): found once for a site, not for a call."""
+    keys = F.split("FORMAT", ":")
+    return [F.nullif(F.array_position(keys, k).cast("int"), F.lit(0)).alias(f"__at_{k}") for k in wanted]
+
+
+def _values(wanted: list[str]) -> list[Column]:
+    """The wanted fields of a call: text, or arrays of text for those with several values."""
+    of = {k: F.get("__field", F.col(f"__at_{k}") - 1) for k in wanted if k != "GT"}
+    return [(F.split(c, ",") if k in _LISTS else c).alias(f"__{k}") for k, c in of.items()]
 
 
 def _vcf_fields(wanted: list[str], fields: dict[str, dict[str, str]], split: bool) -> dict[str, Column]:
-    """Columns of a call's further fields; ``call``, ``FORMAT``, ``__alleles`` and ``__a`` (the row's alternate allele, from 0) are the row's.
+    """Columns of a call's further fields; ``__AD`` and so on, ``__alleles`` and ``__a`` (the row's alternate allele, from 0) are the row's.
 
     Likelihoods have a value for each genotype j <= k, at k(k+1)/2 + j: a row of alternate allele k has those of 0/0, 0/k and k/k
     (of a haploid call, with a value for each allele, those of 0 and k).  Of fields with a value for each alternate allele, it has
     its own; of fields with one for each allele, the reference's and its own.
     """
-    field, keys = F.split("call", ":"), F.split("FORMAT", ":")
-    of = lambda k: F.when(F.array_contains(keys, k), F.try_element_at(field, F.array_position(keys, k).cast("int")))
     real = lambda c: c.try_cast("double")
     own = (F.col("__a") + 1).cast("int")
-    out = {"READ_DEPTH": _INT(of("DP")) if "DP" in wanted else F.lit(None).cast("long")}
+    out = {"READ_DEPTH": _INT(F.col("__DP")) if "DP" in wanted else F.lit(None).cast("long")}
     if "AD" in wanted:
-        depths = F.transform(F.split(of("AD"), ","), _INT)
+        depths = F.col("__AD").try_cast("array<bigint>")
         out["AD"] = F.when(depths.isNotNull(), F.array(F.get(depths, F.lit(0)), F.get(depths, own))) if split else depths
     for name in ("GL", "PL", "GP"):
         if name in wanted:
-            values = F.split(of(name), ",")
+            values = F.col(f"__{name}")
             haploid = F.size(values) == F.size("__alleles")
             het = (own * (own + 1) / 2).cast("int")
             out |= {f"{name}_HOM_REF": real(F.get(values, F.lit(0))), f"{name}_HET": real(F.when(~haploid, F.get(values, het))), f"{name}_HOM_ALT": real(F.get(values, F.when(haploid, own).otherwise(het + own)))}
     if "CATG" in wanted:
-        out |= {f"{n}_DEPTH": _INT(F.get(F.split(of("CATG"), ","), F.lit(i))) for i, n in enumerate("CATG")}
+        out |= {f"{n}_DEPTH": _INT(F.get("__CATG", F.lit(i))) for i, n in enumerate("CATG")}
     for name in ("GQ", "GOF", "NR", "NV"):
         if name in wanted:
-            values = F.split(of(name), ",")
+            whole = F.col(f"__{name}")
+            values = F.split(whole, ",")
             each = (fields.get(name, {}).get("Number") == "A") or (name in ("NR", "NV") and fields.get(name, {}).get("Number") == ".")
-            out[name] = real(F.when(F.size(values) == F.size("__alleles") - 1, F.get(values, own - 1)).otherwise(of(name))) if each else real(of(name))
-    return out | ({"HQ": of("HQ")} if "HQ" in wanted else {})
+            out[name] = real(F.when(F.size(values) == F.size("__alleles") - 1, F.get(values, own - 1)).otherwise(whole)) if each else real(whole)
+    return out | ({"HQ": F.col("__HQ")} if "HQ" in wanted else {})
 
 
 def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, multiallelic: str = "keep", region: str | None = None, index: str | None = None) -> DataFrame:
@@ -222,12 +238,15 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, mu
     if multiallelic not in ("keep", "split", "drop"):
         raise ValueError(f"no such rule: {multiallelic}")
     head = vcf_header(spark, path)
-    # increasing in the file's order; no sort and no shuffle of the calls
-    sites = read_vcf_raw(spark, path, region, index).withColumn("VARIANT_ID", F.monotonically_increasing_id())
-    if multiallelic == "drop":
-        sites = sites.filter(~F.contains("ALT", F.lit(",")))
-    m = metadata.name_vcf_markers(sites, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
-    again = metadata.repeats(m)
+
+    def named(sites: bool) -> DataFrame:
+        # increasing in the file's order; no sort and no shuffle of the calls
+        x = read_vcf_raw(spark, path, region, index, sites).withColumn("VARIANT_ID", F.monotonically_increasing_id())
+        if multiallelic == "drop":
+            x = x.filter(~F.contains("ALT", F.lit(",")))
+        return metadata.name_vcf_markers(x, head["source"], reference=head["reference"] is not None or head["contigs"] > 0 or head["source"] == "unknown")
+
+    m, again = named(False), metadata.repeats(named(True))
     if again.limit(1).count():  # rare: only then do the calls meet a join
         m = metadata.suffixed(m, again)
     alleles = F.split("ALT", ",")
@@ -238,16 +257,23 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, mu
         m = m.withColumn("__a", F.lit(0)).withColumn("__alt", F.col("ALT"))
     keys = ["MARKERS", "CHROM", "LOCUS", "POS", "REF", "FILTER"]
     ids = F.array(*[F.lit(names.clean_ind(s)) for s in head["samples"]])
-    x = m.select(*keys, "__alt", "__a", F.concat(F.array("REF"), alleles).alias("__alleles"), "FORMAT", F.posexplode(F.split("calls", "\t")).alias("k", "call"))
+    wanted = [k for k in head["wanted"] if k != "GT"]
+    word = lambda a, b: F.concat(F.col(a), F.lit("/"), F.col(b))
+    m = m.withColumn("__alt1", F.get(alleles, F.lit(0)))
+    common = [word("REF", "REF").alias("__00"), word("REF", "__alt1").alias("__01"), word("__alt1", "__alt1").alias("__11")]  # the usual calls, written once for a site
+    x = m.select(*keys, "__alt", "__a", *common, F.concat(F.array("REF"), alleles).alias("__alleles"), *_positions(wanted), F.posexplode(F.split("calls", "\t")).alias("k", "call"))
     only = bool(head["declared"]) and set(head["declared"]) <= {"GT"}
-    call = F.col("call") if only else F.substring_index("call", ":", 1)
+    if not only:
+        x = x.withColumn("__field", F.split("call", ":"))
+        x = x.select(*[c for c in x.columns if not c.startswith("__at_") and c != "__field"], F.get("__field", F.lit(0)).alias("__gt"), *_values(wanted))
+    call = F.col("call") if only else F.col("__gt")
     if multiallelic == "split":
         one = F.split(F.translate(call, "|", "/"), "/")
         number = (F.col("__a") + 1).cast("string")
         bin_ = F.when((F.size(one) == 2) & ~F.array_contains(one, "."), F.size(F.filter(one, lambda c: c == number)))
     else:
         bin_ = gt.bin_from_vcf(call)
-    x = x.select(*keys, F.col("__alt").alias("ALT"), F.get(ids, F.col("k")).alias("INDIVIDUALS"), bin_.alias("GT_BIN"), gt.nuc_from_call(call, F.col("__alleles")).alias("GT_VCF_NUC"), *[c.alias(n) for n, c in _vcf_fields(head["wanted"], head["fields"], multiallelic == "split").items()])
+    x = x.select(*keys, F.col("__alt").alias("ALT"), F.get(ids, F.col("k")).alias("INDIVIDUALS"), bin_.alias("GT_BIN"), F.when(call == "0/0", F.col("__00")).when(call == "./.", gt.MISSING_VCF).when(call == "0/1", F.col("__01")).when(call == "1/1", F.col("__11")).otherwise(gt.nuc_from_call(call, F.col("__alleles"))).alias("GT_VCF_NUC"), *[c.alias(n) for n, c in _vcf_fields(wanted, head["fields"], multiallelic == "split").items()])
     x = recode.allele_depths(x)
     if strata is not None:
         return x.join(strata.select(names.clean_ind_names(F.col("INDIVIDUALS")).alias("INDIVIDUALS"), "STRATA"), "INDIVIDUALS")

@@ -155,3 +155,10 @@ def test_likelihoods_of_several_alleles(spark, tmp_path):
     assert got["20", "C", "s1"] == (1, 30.0, 0.0, 40.0, None, None) and got["20", "C", "s2"][1:4] == (9.0, 8.0, None) and got["20", "C", "s3"][1:4] == (None, None, None)
     kept = {tuple(r)[:3]: tuple(r)[3:] for r in readers.read_vcf(spark, path).select(*cols).collect()}
     assert kept["10", "C,G,T", "s1"][1:] == (0.0, 1.0, 2.0, 1, 54) and kept["20", "C", "s1"] == got["20", "C", "s1"]
+
+
+def test_first_fields():
+    for text in (b"a\tb\tc\nd\n\n\te\tf", b"", b"x", b"a\tb\n"):
+        for n in (1, 2, 3):
+            want = [b"\t".join(x.split(b"\t")[:n]) for x in text.split(b"\n")]
+            assert bgzf.first_fields(text, n).split(b"\n")[:-1] == (want if text and not text.endswith(b"\n") else want[:-1])
