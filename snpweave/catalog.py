@@ -16,6 +16,7 @@ from .model import WHITELIST, Dataset, tag
 from .operators import alleles, dart, detect, filters, het, hwe, ld, metadata, models, pairs, recode, stats, strata
 from .plans import cascade
 from .sinks import writers
+from .sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,12 +123,15 @@ simple("pi__individuals", lambda g: stats.pi_individuals(g, 100), counts("INDIVI
 simple("pi_rad", lambda g: stats.pi_markers(g, 100, "STRATA"), counts("MARKERS", "STRATA") + f" SELECT MARKERS, STRATA, {P} * (1 - {P}) / 100 AS PI FROM c WHERE N > 0")
 simple("pi_pop", lambda g: stats.pi_pop(g, 100), counts("MARKERS", "STRATA") + counts("MARKERS", name="cm") + f" SELECT STRATA, round(avg({P} * (1 - {P}) / 100), 9) AS PI FROM c WHERE N > 0 GROUP BY STRATA UNION ALL SELECT 'OVERALL', round(avg({P} * (1 - {P}) / 100), 9) FROM cm WHERE N > 0")
 _AL = ", al AS (SELECT DISTINCT MARKERS, STRATA, REF AS ALLELES FROM g WHERE GT_BIN < 2 UNION SELECT DISTINCT MARKERS, STRATA, ALT FROM g WHERE GT_BIN > 0), pv AS (SELECT min(STRATA) AS STRATA, MARKERS, ALLELES FROM al GROUP BY MARKERS, ALLELES HAVING count(*) = 1)"
-simple("private_alleles", lambda g: stats.private_alleles(stats.alleles(g)), _AL + " SELECT * FROM pv")
-simple("private_alleles__summary", lambda g: stats.private_summary(stats.alleles(g)), _AL + " SELECT STRATA, count(*) AS PRIVATE_ALLELES FROM pv GROUP BY STRATA UNION ALL SELECT 'OVERALL', count(*) FROM pv")
+# genotypes of few reads are missing here, so that strata lack alleles and markers
+_deep = lambda g, n: g.withColumn("GT_BIN", F.when(F.col("READ_DEPTH") >= n, F.col("GT_BIN")))
+_DEEP = ", dg AS (SELECT * REPLACE (CASE WHEN READ_DEPTH >= {n} THEN GT_BIN END AS GT_BIN) FROM g)"
+simple("private_alleles", lambda g: stats.private_alleles(stats.alleles(_deep(g, 7))), _DEEP.format(n=7) + _AL.replace("FROM g ", "FROM dg ") + " SELECT * FROM pv")
+simple("private_alleles__summary", lambda g: stats.private_summary(stats.alleles(_deep(g, 7))), _DEEP.format(n=7) + _AL.replace("FROM g ", "FROM dg ") + " SELECT STRATA, count(*) AS PRIVATE_ALLELES FROM pv GROUP BY STRATA UNION ALL SELECT 'OVERALL', count(*) FROM pv")
 _HAP = lambda g: g.filter("GT_BIN is not null").groupBy("LOCUS", "INDIVIDUALS", "STRATA").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("MARKERS", F.when(F.col("GT_BIN") == 2, F.col("ALT")).otherwise(F.col("REF")).alias("b")))), lambda x: x["b"]), "").alias("HAPLOTYPES"))
 _HAP_SQL = ", h AS (SELECT LOCUS, INDIVIDUALS, STRATA, string_agg(CASE WHEN GT_BIN = 2 THEN ALT ELSE REF END, '' ORDER BY MARKERS) AS HAPLOTYPES FROM g WHERE GT_BIN IS NOT NULL GROUP BY ALL)"
 simple("private_haplotypes", lambda g: stats.private_alleles(_HAP(g).select(F.col("LOCUS").alias("MARKERS"), "STRATA", F.col("HAPLOTYPES").alias("ALLELES"))), _HAP_SQL + ", d AS (SELECT DISTINCT LOCUS AS MARKERS, STRATA, HAPLOTYPES AS ALLELES FROM h) SELECT min(STRATA) AS STRATA, MARKERS, ALLELES FROM d GROUP BY MARKERS, ALLELES HAVING count(*) = 1")
-simple("not_common_markers", stats.not_common_markers, counts("MARKERS", "STRATA") + " SELECT DISTINCT MARKERS FROM c WHERE N = 0")
+simple("not_common_markers", lambda g: stats.not_common_markers(_deep(g, 5)), _DEEP.format(n=5) + counts("MARKERS", "STRATA").replace("FROM g ", "FROM dg ") + " SELECT DISTINCT MARKERS FROM c WHERE N = 0")
 simple("count_monomorphic", lambda g: stats.monomorphic(g).agg(F.count(F.lit(1)).alias("N")), " SELECT count(*) AS N FROM (SELECT MARKERS FROM g GROUP BY 1 HAVING count(DISTINCT GT_BIN) = 1)")
 query("generate_geno_freq_boundaries", " SELECT i / 200 AS P, greatest(0.0, 2 * (i / 200) - 1) AS HOM_REF_MIN, i / 200 AS HOM_REF_MAX, 0.0::DOUBLE AS HET_MIN, 2 * least(i / 200, 1 - i / 200) AS HET_MAX FROM (SELECT unnest(range(201)) AS i)")(lambda g, spark, d: detect.genotype_boundaries(spark))
 simple("data_info", stats.data_info, " SELECT count(DISTINCT STRATA) AS N_POP, count(DISTINCT INDIVIDUALS) AS N_IND, count(DISTINCT MARKERS) AS N_SNP, count(DISTINCT LOCUS) AS N_LOCUS, count(DISTINCT CHROM) AS N_CHROM FROM g")
@@ -196,7 +200,8 @@ hw AS (SELECT MARKERS, STRATA, AA, AB, BB, (AA = 0)::INT + (AB = 0)::INT + (BB =
 simple("hwe_analysis", hwe.hwe, _HWE + " SELECT * FROM hw")
 _BH = " SELECT MARKERS, count(*) FILTER (WHERE SIGNIFICANCE <> 'hwe' AND length(SIGNIFICANCE) >= {l}) AS N_HWD FROM hw GROUP BY MARKERS HAVING count(*) FILTER (WHERE SIGNIFICANCE <> 'hwe' AND length(SIGNIFICANCE) >= {l}) = {n}"
 simple("blacklist_hw", lambda g: hwe.blacklist(hwe.hwe(g), n_strata=1, level=1), _HWE + _BH.format(l=1, n=1))
-simple("filter_hwe", lambda g: hwe.blacklist(hwe.hwe(g), level=1), _HWE + _BH.format(l=1, n="(SELECT count(DISTINCT STRATA) FROM hw)"))
+# two strata of many samples: some markers are out of equilibrium in both
+simple("filter_hwe", lambda g: hwe.blacklist(hwe.hwe(_sexed(g)), level=1), ", fm AS (SELECT * REPLACE (CASE WHEN INDIVIDUALS::INT % 2 = 0 THEN 'F' ELSE 'M' END AS STRATA) FROM g), sm AS (SELECT DISTINCT INDIVIDUALS, STRATA FROM fm)" + _HWE.replace("FROM g ", "FROM fm ").replace("FROM samples ", "FROM sm ") + _BH.format(l=1, n="(SELECT count(DISTINCT STRATA) FROM hw)"))
 
 # ---- filters ----------------------------------------------------------------------------------------------------
 simple("filter_genotyping", lambda g: filters.genotyping(stats.marker_stats(g), 0.06), MSTATS + " SELECT MARKERS FROM ms WHERE MISSING_PROP > 0.06")
@@ -205,7 +210,9 @@ for _s, _c, _t in (("mac", "MAC_GLOBAL_CORR", 60), ("maf", "MAF_GLOBAL_COUNT_COR
     simple(f"filter_ma__{_s}", lambda g, s=_s, t=_t: filters.minor_allele(stats.minor_alleles(g), s, t), MINOR + f" SELECT MARKERS FROM ma WHERE {_c} < {_t}")
 simple("filter_coverage", lambda g: filters.coverage(stats.marker_stats(g), 2.9, 3.4), MSTATS + " SELECT MARKERS FROM ms WHERE COVERAGE_MEAN < 2.9 OR COVERAGE_MEAN > 3.4")
 simple("filter_coverage__outliers", lambda g: filters.coverage(stats.marker_stats(g), "outliers", "outliers"), MSTATS + f" SELECT MARKERS FROM ms, {bounds_sql('COVERAGE_MEAN', 'ms')} b WHERE COVERAGE_MEAN < floor(low * 1000) / 1000 OR COVERAGE_MEAN > floor(high * 1000) / 1000")
-for _r, _w in (("outliers", "COL <= high"), ("q75", "COL <= q3"), ("iqr", "COL >= q1 AND COL <= q3")):
+# places that thin out along the read, so that some are far out
+simple("filter_snp_position_read__outliers", lambda g: filters.snp_position(stats.marker_stats(g.withColumn("COL", F.expr("cast(cast(COL AS bigint) * COL * COL * COL div 81000 AS int)"))), "outliers"), ", g4 AS (SELECT * REPLACE ((COL::BIGINT * COL * COL * COL // 81000)::INT AS COL) FROM g)" + MSTATS.replace("FROM g ", "FROM g4 ") + f" SELECT MARKERS FROM ms, {bounds_sql('COL', 'ms')} b WHERE COL > high")
+for _r, _w in (("q75", "COL <= q3"), ("iqr", "COL >= q1 AND COL <= q3")):
     simple(f"filter_snp_position_read__{_r}", lambda g, r=_r: filters.snp_position(stats.marker_stats(g), r), MSTATS + f" SELECT MARKERS FROM ms, {bounds_sql('COL', 'ms')} b WHERE NOT ({_w})")
 simple("filter_snp_position_read__range", lambda g: filters.snp_position(stats.marker_stats(g), (10, 80)), MSTATS + " SELECT MARKERS FROM ms WHERE COL < 10 OR COL > 80")
 simple("filter_snp_number", lambda g: filters.snp_number(stats.marker_stats(g).withColumn("CHROM", F.lit("1")), 2), MSTATS + " SELECT MARKERS FROM (SELECT *, count(*) OVER (PARTITION BY LOCUS) AS n FROM ms) WHERE n > 2")
@@ -250,7 +257,7 @@ simple("detect_mixed_genomes__strata", lambda g: detect.mixed_genomes(g, by_stra
 simple("plot_het_outliers", detect.het_long, _SG + "SELECT MARKERS, STRATA, 'HOM_REF' AS GENOTYPES, N0 / N AS OBSERVED, p * p AS EXPECTED FROM v WHERE STRATA <> 'OVERALL' AND N > 0 UNION ALL SELECT MARKERS, STRATA, 'HET', N1 / N, 2 * p * (1 - p) FROM v WHERE STRATA <> 'OVERALL' AND N > 0 UNION ALL SELECT MARKERS, STRATA, 'HOM_ALT', N2 / N, (1 - p) * (1 - p) FROM v WHERE STRATA <> 'OVERALL' AND N > 0")
 simple("detect_het_outliers", lambda g: stats.summarise_genotypes(g).filter("STRATA = 'OVERALL' and abs(Z_HET) > 2").select("MARKERS", "N", "HET", "Z_HET"), _SG + f", z AS (SELECT MARKERS, STRATA, N, N1 AS HET, {_z('N1', '2 * p * q')} AS Z_HET FROM v) SELECT MARKERS, N, HET, Z_HET FROM z WHERE STRATA = 'OVERALL' AND abs(Z_HET) > 2")
 simple("detect_paralogs", detect.paralogs, ", h AS (SELECT MARKERS, count(*) FILTER (WHERE GT_BIN = 1) / count(*) AS HET_PROP, sum(CASE WHEN GT_BIN = 1 THEN ALLELE_REF_DEPTH END)::BIGINT AS R, sum(CASE WHEN GT_BIN = 1 THEN ALLELE_ALT_DEPTH END)::BIGINT AS A FROM g GROUP BY MARKERS) SELECT MARKERS, HET_PROP, R / nullif(R + A, 0) AS RATIO, round(-((R + A) / 2 - R) / sqrt((R + A) / 4), 6) AS Z_SCORE FROM h")
-simple("detect_ibm", lambda g: detect.missingness(g, 200).select("INDIVIDUALS", "MARKERS", "GENOTYPED"), " SELECT INDIVIDUALS, MARKERS, (GT_BIN IS NOT NULL)::INT AS GENOTYPED FROM g")
+simple("detect_ibm", lambda g: detect.missingness(g).select("INDIVIDUALS", "MARKERS", "GENOTYPED"), " SELECT INDIVIDUALS, MARKERS, (GT_BIN IS NOT NULL)::INT AS GENOTYPED FROM g")
 simple("detect_ref_genome", lambda g: detect.reference_genome(g.select("MARKERS", "CHROM").distinct()), " SELECT coalesce(max(regexp_matches(lower(CHROM), 'chr|scaffold|contig|^nc_|^nw_|^lg')::INT), 0) = 1 OR count(DISTINCT CHROM) > 1 AS REF_GENOME FROM mk")
 for _by, _r, _a in (("count", "REF_COUNT", "ALT_COUNT"), ("depth", "RD", "AD")):
     simple(f"detect_calibration_problem__{_by}", lambda g, b=_by: detect.calibration_problem(g, b), MINOR + f" SELECT MARKERS FROM {'ma' if _by == 'count' else 'mc'} WHERE {_r} < {_a}")
@@ -417,7 +424,8 @@ _sink("bayescan", counts("STRATA", "MARKERS") + ", mn AS (SELECT MARKERS, row_nu
     _line(4, "c JOIN pn USING (STRATA) JOIN mn USING (MARKERS) WHERE N > 0", "MARKER || ' ' || 2 * N || ' 2 ' || (2 * N0 + N1) || ' ' || (2 * N2 + N1)", "lpad(POP, 6, '0')", "MARKER"), _line(4, "pn", "''", "lpad(POP, 6, '0')", str(2**40))))
 _sink("gsi_sim", _bodies(" || ' ' || ".join(_SIXES("000")), " ") + _lines(_line(0, "(SELECT count(DISTINCT INDIVIDUALS) || ' ' || count(DISTINCT MARKERS) AS n FROM g)", "n"), _line(1, "mk", "MARKERS", key="MARKERS"), _line(2, _POPS, "'pop ' || STRATA", "STRATA"), _samples(2, "INDIVIDUALS || ' ' || BODY")))
 _sink("maverick", _bodies(_pair("-9", "\t"), "\t") + _lines(_says(0, f"# {writers.TITLE}"), _line(1, _TWICE("_A1", "_A2"), _tab("'INDIVIDUALS'", "'POP_ID'", "n")), _samples(2, _tab("INDIVIDUALS", "POP", "BODY"))))
-simple("write_maverick__parameters", lambda g: writers.maverick_parameters(g).filter("LINE like 'K%'"), " SELECT 0 AS SEC, '' AS BLOCK, unnest([9, 10])::BIGINT AS ORD, '' AS KEY, unnest(['Kmin' || chr(9) || '1', 'Kmax' || chr(9) || (SELECT count(DISTINCT STRATA) + 2 FROM samples)]) AS LINE")
+_MAVERICK_LINES = [x for title, keys in writers._MAVERICK.items() for x in (f"#### {title}", *(f"{k}\t{v}" for k, v in keys.items()), "")]
+simple("write_maverick__parameters", writers.maverick_parameters, f" SELECT 0 AS SEC, '' AS BLOCK, i::BIGINT AS ORD, '' AS KEY, CASE WHEN x LIKE 'Kmax%' THEN x || (SELECT count(DISTINCT STRATA) + 2 FROM samples) ELSE x END AS LINE FROM (SELECT unnest([{', '.join(_quoted(x) for x in _MAVERICK_LINES)}]) AS x, unnest(range({len(_MAVERICK_LINES)})) AS i)")
 _sink("related", _bodies(_pair("0", " "), " ") + _lines(_line(0, "b", "INDIVIDUALS || ' ' || BODY", key="INDIVIDUALS")))
 _sink("rubias", _bodies(_pair("NA", "\t"), "\t") + _lines(_line(0, _TWICE("_A1", "_A2"), _tab("'sample_type'", "'repunit'", "'collection'", "'indiv'", "n")), _samples(1, _tab("CASE STRATA WHEN '1' THEN 'mixture' ELSE 'reference' END", "CASE STRATA WHEN '1' THEN 'NA' ELSE STRATA END", "STRATA", "INDIVIDUALS", "BODY"))), lambda g: writers.rubias(g, ("1",)))
 _COL = lambda v: f"(SELECT string_agg('{v}', ' ' ORDER BY MARKERS) AS n FROM mk)"
@@ -440,6 +448,10 @@ def _vcf_sql(cell: str, fields: tuple[str, ...] = ()) -> str:
 simple("write_vcf", writers.vcf, _vcf_sql(_VCF))
 _TP = "CASE GT_BIN WHEN 0 THEN REF || ' ' || REF WHEN 1 THEN REF || ' ' || ALT WHEN 2 THEN ALT || ' ' || ALT ELSE '0 0' END"
 simple("write_plink__tped", writers.tped, _marker_bodies(_TP, " ") + _lines(_line(0, "b", "CHROM || ' ' || MARKERS || ' 0 ' || POS || ' ' || BODY", **_PLACE)))
+_CODES = {f"{a}{b}": f"lpad((strpos('ACGT', {x}))::VARCHAR, 3, '0') || lpad((strpos('ACGT', {y}))::VARCHAR, 3, '0')" for a, b, x, y in (("0", "0", "REF", "REF"), ("0", "1", "REF", "ALT"), ("1", "1", "ALT", "ALT"))}
+query("tidy_plink", f" SELECT CHROM || '__' || MARKERS || '__' || POS AS MARKERS, CHROM, MARKERS AS LOCUS, POS, INDIVIDUALS, STRATA, CASE GT_BIN WHEN 0 THEN {_CODES['00']} WHEN 1 THEN {_CODES['01']} WHEN 2 THEN {_CODES['11']} ELSE '000000' END AS GT FROM g WHERE MARKERS IN (SELECT MARKERS FROM g WHERE GT_BIN IS NOT NULL)")(
+    lambda g, spark, d: readers.tidy_tped(writers.tped(g).select(F.col("LINE").alias("value")), [r[0] for r in writers.tfam(g).orderBy("KEY").select("LINE").collect()])
+)
 simple("write_plink__tfam", writers.tfam, _lines(_line(0, "samples", "STRATA || ' ' || INDIVIDUALS || ' 0 0 0 -9'", key="INDIVIDUALS")))
 simple("write_betadiv", writers.betadiv, counts("STRATA", "MARKERS") + " SELECT STRATA, MARKERS, (2 * N2 + N1) / (2 * N) AS FREQ FROM c WHERE N > 0")
 simple("write_hzar", writers.hzar, counts("STRATA", "MARKERS") + " SELECT STRATA, MARKERS, (2 * N0 + N1) / (2 * N) AS FREQ_REF, N FROM c WHERE N > 0")

@@ -86,8 +86,10 @@ def paralogs(g: DataFrame) -> DataFrame:
     return h.select("MARKERS", "HET_PROP", F.try_divide("R", t).alias("RATIO"), F.round(-(t / 2 - F.col("R")) / F.sqrt(t / 4), 6).alias("Z_SCORE"))
 
 
-def missingness(g: DataFrame, marker_max: int = 50000) -> DataFrame:
-    """Presence matrix of the best genotyped markers, long."""
+def missingness(g: DataFrame, marker_max: int | None = None) -> DataFrame:
+    """Presence matrix, long, of all markers or, if asked for, of the ``marker_max`` best genotyped ones."""
+    if marker_max is None:
+        return g.select("INDIVIDUALS", "STRATA", "MARKERS", F.col("GT_BIN").isNotNull().cast("int").alias("GENOTYPED"))
     top = stats.genotype_counts(g, "MARKERS").orderBy(F.desc("N"), "MARKERS").limit(marker_max).select("MARKERS")
     return g.join(top, "MARKERS", "left_semi").select("INDIVIDUALS", "STRATA", "MARKERS", F.col("GT_BIN").isNotNull().cast("int").alias("GENOTYPED"))
 

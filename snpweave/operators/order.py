@@ -8,14 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_leaving: set[str] = set()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, which cuts its lineage."""
+    """``df`` written to the shared checkpoint folder, which cuts its lineage; the folder goes when the application ends."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="snpweave-"))
+    own = sc.getCheckpointDir()
+    if own not in _leaving:  # a folder of this application alone
+        _leaving.add(own)
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.checkpoint()
 
 

@@ -282,10 +282,15 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, mu
 
 def read_tped(spark: SparkSession, path: str) -> DataFrame:
     """Long six-digit genotypes of a tped with its tfam; loci that nobody has are dropped."""
-    fam = [r[0].split() for r in spark.read.text(path[:-5] + ".tfam").filter("value <> ''").collect()]
+    return tidy_tped(spark.read.text(path), [r[0] for r in spark.read.text(path[:-5] + ".tfam").filter("value <> ''").collect()])
+
+
+def tidy_tped(lines: DataFrame, samples: list[str]) -> DataFrame:
+    """The same from lines (``value``) and the lines of the samples' file, which are in the order of the calls."""
+    fam = [x.split() for x in samples]
     ids = F.array(*[F.struct(F.lit(r[1]).alias("i"), F.lit(r[0]).alias("s")) for r in fam])
     f = F.split(F.trim("value"), r"\s+")
-    t = spark.read.text(path).filter("value <> ''").select(F.get(f, F.lit(0)).alias("CHROM"), F.get(f, F.lit(1)).alias("LOCUS"), F.get(f, F.lit(3)).alias("POS"), F.slice(f, 5, F.lit(2 * len(fam))).alias("a"))
+    t = lines.filter("value <> ''").select(F.get(f, F.lit(0)).alias("CHROM"), F.get(f, F.lit(1)).alias("LOCUS"), F.get(f, F.lit(3)).alias("POS"), F.slice(f, 5, F.lit(2 * len(fam))).alias("a"))
     t = t.select("CHROM", "LOCUS", "POS", "a", F.posexplode(ids).alias("k", "who"))
     c = lambda d: gt.code(F.get("a", 2 * F.col("k") + d))
     x = t.select(F.concat_ws("__", *[names.clean_markers_names(F.col(k)) for k in ("CHROM", "LOCUS", "POS")]).alias("MARKERS"), "CHROM", "LOCUS", "POS", names.clean_ind_names(F.col("who.i")).alias("INDIVIDUALS"), F.col("who.s").alias("STRATA"), F.concat(c(0), c(1)).alias("GT"))
