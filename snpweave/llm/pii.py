@@ -5,7 +5,12 @@ numbers, secrets, and names after a form of address or "my name is" in Latin, Cy
 (BLAKE2 under ``key``) of an entity's normal form chooses its surrogate: digits for digits, letters for letters of the
 same script and case, valid check digits where the original has them, a given name of the same gender and script.  The
 normal form carries coreference: a phone number in two formats, with its country code +1 or without, an address of the
-sixth version in full or short, or a name in two documents, gets one surrogate.
+sixth version in full or short, or a name in two documents, gets one surrogate.  A name's gender is the one its forms of
+address have over the whole corpus (none, where they differ), so "Mrs. Anna" and "my name is Anna" are one.
+
+A name is one to four words (with inner capitals, hyphens, apostrophes, particles and initials between) after a form of
+address, with or without an academic one; the last is the family's.  Where it stands again in its document without one, it goes too.
+Phone numbers have a grammar of their own and are looked for where no address, date, card or account number stands.
 
 Distinctness is checked over the whole corpus: distinct entities are aggregated (combined on the map side),
 surrogates that two entities share, or that are an entity themselves, are found by an aggregate and a join, and all but
@@ -19,7 +24,7 @@ Defined results
 * null ``doc_id``: treated like others.  Repeated rows get the same surrogates.
 * overlapping finds: the earlier, then the longer, then the order in which ``find`` looks for kinds.
 * a number of 13 to 19 digits is a card only with a valid check digit, an account only with valid check digits.
-* a value after ``password=`` and the like is a secret if it holds a digit, is quoted, follows ``=``, or mixes cases.
+* a value after ``password=`` and the like, also with words before or after it (``DB_PASSWORD``, ``secret_key``), is a secret if it holds a digit, is quoted, follows ``=``, or mixes cases.
 * an empty table gives an empty result; further columns are ignored.
 """
 
@@ -68,29 +73,45 @@ TITLES_GREEK = {"κύριος": "m", "Κύριος": "m", "κύριο": "m", "κ
 _SAID = ("[Mm]y name is", "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m'appelle", "[Mm]on nom est", "[Mm]e llamo", "[Mm]i nombre es")
 
 
+#: academic forms of address; they tell no gender
+_LEARNED = ("Dr", "Prof", "Professor", "Doctor")
+
+
 def _any(titles) -> str:
     return "|".join(sorted(titles, key=len, reverse=True))
 
 
-def _named(lead: str, first: str, rest: str):
-    one = f"[{first}][{rest}'\\-]+"
-    return re.compile(rf"(?<!\w)({lead})\.? ({one}(?:-[{first}][{rest}]+)*)(?: ({one}(?:-[{first}][{rest}]+)*))?")
+def _named(lead: str, first: str, letters: str, mark: str = r"\.?"):
+    """A form of address and up to four words of a name; initials, particles and academic titles may stand between."""
+    word = rf"[{first}](?:[{letters}]|['’\-](?=[{letters}]))*(?![{letters}])"
+    between = r"(?:[A-Z]\. |(?:van|von|de|der|den|di|da|du|del|la|le|zu|bin|ter) )*"
+    return re.compile(rf"(?<!\w)(?P<lead>{lead}){mark} (?:(?:{'|'.join(_LEARNED)})\.? )*{between}(?P<name>{word}(?: {between}{word}){{0,3}})"), re.compile(rf"(?<![{letters}]){word}(?!\.)")
 
 
-_LATIN, _KYR, _HEL = ("A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"), ("А-ЯЁ", "а-яё"), ("Α-ΫΆΈ-Ώ", "ΐά-ώ")
-_NAMES = ((_named(_any(TITLES), *_LATIN), TITLES, ""), (_named(_any(TITLES_CYRILLIC), *_KYR), TITLES_CYRILLIC, ":cyrillic"), (_named(_any(TITLES_GREEK), *_HEL), TITLES_GREEK, ":greek"))
-_SAYS = _named("|".join(_SAID), *_LATIN)
+_LATIN, _KYR, _HEL = ("A-ZÀ-ÖØ-Þ", "A-Za-zÀ-ÖØ-öø-ÿ"), ("А-ЯЁ", "А-Яа-яЁё"), ("Α-ΫΆΈ-Ώ", "Α-Ωά-ώΆΈ-Ώϊϋΐΰ")
+_LOUD = {t.upper(): g for t, g in TITLES.items() if t in ("Mr", "Mrs", "Ms")} | {"DR": "", "PROF": ""}
+TITLES |= dict.fromkeys(_LEARNED, "")
+_NAMES = ((*_named(_any(TITLES), *_LATIN), TITLES, ""), (*_named(_any(_LOUD), *_LATIN, r"\."), _LOUD, ""), (*_named(_any(TITLES_CYRILLIC), *_KYR), TITLES_CYRILLIC, ":cyrillic"), (*_named(_any(TITLES_GREEK), *_HEL), TITLES_GREEK, ":greek"))
+_SAYS = _named("|".join(_SAID), *_LATIN, "")
 _SECRET_WORDS = r"token|secret|password|passwd|passphrase|api[_\-]?key|access[_\-]?key|private[_\-]?key"
-_GATE = "@|[0-9]|" + "|".join(rf"{t}\.? [A-ZÀ-Þ]" for t in TITLES) + "|" + "|".join((*TITLES_CYRILLIC, *TITLES_GREEK, *_SAID)) + f"|(?i:{_SECRET_WORDS})[\"']?\\s*[=:]|::|[0-9a-fA-F]:[0-9a-fA-F]"
+_KEY = rf"(?i:{_SECRET_WORDS})(?:[_\-][A-Za-z0-9]+)*[\"']?\s*"
+_GATE = "@|[0-9]|" + "|".join(rf"{t}\.? (?:[a-z]{{1,4}} ){{0,3}}[A-ZÀ-Þ]" for t in TITLES) + "|" + "|".join(rf"{t}\. [A-ZÀ-Þ]" for t in _LOUD) + "|" + "|".join((*TITLES_CYRILLIC, *TITLES_GREEK, *_SAID)) + f"|{_KEY}[=:]|(?i:bearer)\\s+\\S|::|[0-9a-fA-F]:[0-9a-fA-F]"
 _RIGHT = re.compile(r"[\w\-]+(?:\.[\w\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
-_DIGITS = re.compile(r"\+?\(?\d[\d ().\-]{5,24}\d")
-_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
+#: a number of the ten-digit plan with its country code; an international one; one with its area in brackets; three groups
+_PHONE = re.compile(
+    r"\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d{1,12}){1,6}(?!\d)"
+    r"|(?<![\d.])(?:1[ .\-])?\(\d{3}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|\(\d{2,5}\)(?:[ .\-]?\d{2,8}){1,4}(?!\d)|(?<![\w.+(])(?:1[ .\-])?\d{3}[ .\-]\d{3,4}[ .\-]\d{4}(?!\d)"
+)
+_DATE = re.compile(r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)")
+_CARD = re.compile(r"(?<!\d)(?<!\d[\-.])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
-_SECRET = re.compile(rf"(?i)\b(?:{_SECRET_WORDS})\b[\"']?\s*([=:])\s*([\"']?)([^\s\"',;]{{6,}})")
+_SECRET = re.compile(rf"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])){_KEY}([=:])\s*([\"']?)([^\s\"',;]{{6,}})")
+#: fixed values: how tokens of well-known kinds begin
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|sk-[A-Za-z0-9\-_]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[\w\-]{8,}(?:\.[\w\-]+)+)|(?i:(?<!\w)bearer\s+)([A-Za-z0-9\-._~+/]{16,}=*)")
 
 
 def luhn(digits: str) -> bool:
@@ -120,6 +141,14 @@ def _is_secret(sign: str, quote: str, value: str) -> bool:
     return value.isalpha() and value != value.lower() and value != value.upper() and value[1:] != value[1:].lower()
 
 
+_CAPITAL = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*")
+
+
+def base(kind: str) -> str:
+    """``name`` and the script for names, given or the family's; other kinds as they are."""
+    return re.sub(r"^(?:given|family)(?:-[fm])?", "name", kind)
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order and without overlaps."""
     out = []
@@ -135,6 +164,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in _SECRET.finditer(text):
         if _is_secret(m[1], m[2], m[3]):
             out.append((m.start(3), m.end(3), "secret", m[3]))
+    for m in _TOKEN.finditer(text):
+        if not m[1] or any(c.isdigit() for c in m[1]):
+            out.append((m.start(m.lastindex or 0), m.end(m.lastindex or 0), "secret", m[m.lastindex or 0]))
     if ":" in text:
         for m in _IP6.finditer(text):
             if (norm := _six(m[0])) is not None:
@@ -158,19 +190,32 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             norm = re.sub(r"\D", "", m[0])
             if luhn(norm) and not text[max(0, m.start() - 1) : m.start()].isalpha():
                 out.append((m.start(), m.end(), "card", norm))
-        for m in _DIGITS.finditer(text):
+        bare, at = [], 0  # phone numbers stand where nothing else does
+        for x, y in sorted([(o[0], o[1]) for o in out] + [m.span() for m in _DATE.finditer(text)]):
+            if y > at:
+                bare += [text[at : max(at, x)], "\0" * (y - max(at, x))]
+                at = y
+        for m in _PHONE.finditer("".join([*bare, text[at:]])):
             digits = re.sub(r"\D", "", m[0])
-            if not free(m) or text[max(0, m.start() - 1) : m.start()].isalpha():
-                continue
-            if 8 <= len(digits) <= 15 and ("(" in m[0] or m[0].startswith("+") or re.fullmatch(r"\d{3}[ .\-]\d{3,4}[ .\-]\d{4}", m[0])):
+            if 8 <= len(digits) <= 15 and free(m) and not text[max(0, m.start() - 1) : m.start()].isalpha():
                 # the country code of ten-digit plans is no part of the number's identity
                 out.append((m.start(), m.end(), "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits))
-    for pattern, titles, script in _NAMES:
+    said: dict[str, tuple[str, str]] = {}
+    for pattern, word, titles, script in ((*_NAMES[0], ), *_NAMES[1:], (*_SAYS, None, "")):
         for m in pattern.finditer(text):
-            g = titles[m[1]]
-            out += [(m.start(w), m.end(w), (f"given-{g}" if w == 2 and m[3] else f"family-{g}" if script else "family") + script, m[w].lower()) for w in ([2, 3] if m[3] else [2])]
-    for m in _SAYS.finditer(text):
-        out += [(m.start(w), m.end(w), "given" if w == 2 else "family", m[w].lower()) for w in ([2, 3] if m[3] else [2])]
+            g = titles[m["lead"]] if titles else ""
+            parts = list(word.finditer(text, m.start("name"), m.end("name")))
+            for k, w in enumerate(parts):
+                x = re.sub(r"['’]s$", "", w[0])
+                family = k == len(parts) - 1 and (len(parts) > 1 or titles is not None)
+                kind = f"family-{g or 'm'}{script}" if family and script else "family" if family else f"given{f'-{g}' if g else ''}{script}" if f"given{f'-{g}' if g else ''}{script}" in POOLS else f"given-f{script}"
+                out.append((w.start(), w.start() + len(x), kind, x.lower()))
+                if len(x) > 2:
+                    said.setdefault(x, (kind, x.lower()))
+    for m in _CAPITAL.finditer(text) if said else ():
+        x = re.sub(r"['’]s$", "", m[0])
+        if x in said:
+            out.append((m.start(), m.start() + len(x), *said[x]))
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], -1
     for x in out:
@@ -220,7 +265,7 @@ class Keyed:
 
     def surrogate(self, kind: str, norm: str, attempt: int = 0) -> str:
         """In the normal form's own shape."""
-        s, more = self._stream(kind, norm, attempt), max(0, attempt - 1)
+        s, more = self._stream(base(kind), norm, attempt), max(0, attempt - 1)
         digits = lambda n: "".join(str(next(s) % 10) for _ in range(n))
         late = max(0, attempt - 11)
         if kind == "ip":
@@ -234,8 +279,8 @@ class Keyed:
         if kind == "secret":
             hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm)
             if hexa:
-                base = "0123456789ABCDEF" if norm.upper() == norm else "0123456789abcdef"
-                return "".join(base[next(s) % 16] for _ in range(len(norm) + more))
+                signs = "0123456789ABCDEF" if norm.upper() == norm else "0123456789abcdef"
+                return "".join(signs[next(s) % 16] for _ in range(len(norm) + more))
             return "".join(self._like(c, next(s)) for c in norm) + self._more(norm, more, s)
         if kind == "iban":
             body = norm[:2] + "".join(self._like(c, next(s)) for c in norm[4:]) + digits(late)
@@ -248,7 +293,9 @@ class Keyed:
             return d
         pool = POOLS[kind]
         # the pool is bounded: each further try adds a name by a hyphen
-        return "-".join(pool[(next(s) * 65536 + next(s) * 256 + next(s)) % len(pool)] for _ in range(1 + attempt)).lower()
+        chosen = [(next(s) * 65536 + next(s) * 256 + next(s)) % len(pool) for _ in range(1 + attempt)]
+        # a name never stands for itself, alone or as a part
+        return "-".join(pool[(i + 1) % len(pool)] if pool[i].lower() in norm.split("-") else pool[i] for i in chosen).lower()
 
     def dress(self, kind: str, found: str, plain: str) -> str:
         """A surrogate in the format in which the entity stands in the text."""
@@ -291,20 +338,39 @@ def _tries(key: bytes):
     def run(batches):
         k = Keyed(key)
         for rb in batches:
-            s = [k.surrogate(a, b, c) for a, b, c in zip(*(x.to_pylist() for x in rb.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(s, pa.string())], ["kind", "norm", "attempt", "surrogate"])
+            s = [k.surrogate(form, norm, attempt) for form, norm, attempt in zip(*(rb.column(c).to_pylist() for c in ("form", "norm", "attempt")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(s, pa.string())], [*rb.schema.names, "surrogate"])
 
     return run
 
 
+def named_once(entities: DataFrame) -> DataFrame:
+    """(kind, norm, form, mixed) of distinct entities: a name has one kind, and one form (its pool) from all its mentions.
+
+    It is a given name if it is one anywhere, of the gender its forms of address agree on.  ``mixed`` names were mentioned in more
+    than one way, so their surrogate does not follow from one mention.
+    """
+    is_name = F.col("kind").rlike("^(given|family)")
+    script = F.regexp_extract("kind", "(:.*)?$", 1)
+    own = entities.withColumn("base", F.when(is_name, F.concat(F.lit("name"), script)).otherwise(F.col("kind")))
+    any_ = lambda pattern: F.max(F.col("kind").rlike(pattern))
+    x = own.groupBy("base", "norm").agg(any_("^given").alias("given"), any_("^(given|family)-f").alias("f"), any_("^(given|family)-m").alias("m"), F.count_distinct("kind").alias("n"), F.min("kind").alias("only"))
+    gender = F.when(F.col("f") & ~F.col("m"), "-f").when(F.col("m") & ~F.col("f"), "-m").otherwise(F.when(F.col("base").contains(":"), "-f").otherwise(""))
+    gender = F.when(F.col("given") | F.col("base").contains(":"), gender).otherwise("")
+    form = F.concat(F.when(F.col("given"), "given").otherwise("family"), gender, F.regexp_replace("base", "^name", ""))
+    return x.select(F.col("base").alias("kind"), "norm", F.when(F.col("n") > 1, form).otherwise(F.col("only")).alias("form"), (F.col("n") > 1).alias("mixed"))
+
+
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def settle(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, attempt, surrogate) of distinct entities, with surrogates that no two share and that are no entity."""
-    schema = "kind string, norm string, attempt int, surrogate string"
-    cur = stage(entities.select("kind", "norm", F.lit(0).alias("attempt")).mapInArrow(_tries(key), schema), "surrogates")
+    """(kind, norm, form, mixed, attempt, surrogate) of distinct entities, with surrogates that no two share and that are no entity."""
+    schema = "kind string, norm string, form string, mixed boolean, attempt int, surrogate string"
+    if "form" not in entities.columns:
+        entities = entities.select("kind", "norm", F.col("kind").alias("form"), F.lit(False).alias("mixed"))
+    cur = stage(entities.select("kind", "norm", "form", "mixed", F.lit(0).alias("attempt")).mapInArrow(_tries(key), schema), "surrogates")
     new, first = cur, True
     while True:
         # after the first round only surrogates that the last one made can collide
@@ -317,7 +383,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
             drop_stage(again)
             return cur
         few = _few(again)
-        fresh = stage(cur.join(few, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_tries(key), schema), "fresh")
+        fresh = stage(cur.join(few, ["kind", "norm"], "left_semi").select("kind", "norm", "form", "mixed", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_tries(key), schema), "fresh")
         old = cur
         cur = stage(cur.join(few, ["kind", "norm"], "left_anti").unionByName(fresh), "surrogates")
         drop_stage(old, again, *([] if first else [new]))
@@ -342,7 +408,8 @@ def _replace(key: bytes, few, joined: bool):
                 more = {(x["kind"], x["norm"]): x["surrogate"] for x in own[i] or ()}
                 parts, at = [], 0
                 for a, b, kind, norm in found:
-                    plain = more.get((kind, norm)) or known.get((kind, norm)) or k.surrogate(kind, norm)
+                    one = (base(kind), norm)
+                    plain = more.get(one) or known.get(one) or k.surrogate(kind, norm)
                     parts += [texts[i][at:a], k.dress(kind, texts[i][a:b], plain)]
                     at = b
                 texts[i] = "".join([*parts, texts[i][at:]])
@@ -356,7 +423,7 @@ def _mentions(batches):
     for rb in batches:
         rows = []
         for i, rid, text in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-            rows += [(i, rid, *x) for x in sorted({(k, n) for _, _, k, n in find(text or "")})]
+            rows += [(i, rid, *x) for x in sorted({(base(k), n) for _, _, k, n in find(text or "")})]
         c = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.string())], ["doc_id", "rid", "kind", "norm"])
 
@@ -366,7 +433,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"snpweave") -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     entities = own.select("text").mapInArrow(_entities, "kind string, norm string").distinct()
-    odd = settle(entities, key).filter("attempt > 0").select("kind", "norm", "surrogate")
+    odd = settle(named_once(entities), key).filter("attempt > 0 or mixed").select("kind", "norm", "surrogate")
     if odd.limit(FEW + 1).count() <= FEW:
         few = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in odd.collect()})
         return own.mapInArrow(_replace(key, few, False), _OUT)
