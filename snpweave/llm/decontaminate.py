@@ -8,7 +8,8 @@ still shares seeds.  One plan serves every size of benchmark:
    of at most ``MOST_BITS``, 1 in 10^7 others pass) goes to all tasks; documents are read once, and one without a
    passing seed goes no further.
 2. The others are kept as hashes of their words, and their seeds are joined with the benchmark's by a shuffle on the
-   seed.  A seed that many items or many documents hold is split over ``SALTS`` tasks on the document's side.
+   seed.  A seed with over ``HOT`` hits is split on the document's side, a task for each ``HOT`` of them; hits are salted
+   before they meet the list of such seeds, so that no join has all of them in one task.
 3. A hit names an item and a diagonal.  Distinct ones (combined before their shuffle) meet the items' words and the
    documents' words again; the item is laid along the document on the diagonal, matching words count for, others
    against, and the best stretch decides.
@@ -20,7 +21,7 @@ their words stand in a row.
 Defined results
 * null or empty texts and items without words match nothing; null item ids take no part.
 * ``leaks``: null doc_ids take no part; ``drop_leaks`` judges rows without an id by their text.
-* items with the same words are one, named by the smallest item_id.
+* items with the same words are looked for once; a document that leaks one leaks them all, and all are named.
 * one row for each distinct (doc_id, text) that leaks, whatever the benchmark's size; rows that repeat both are one.
 * an empty benchmark or table gives an empty result; further columns are ignored.
 """
@@ -39,7 +40,7 @@ U64 = np.uint64
 MASKS = ("111011", "1101011", "110010011", "10110101")
 #: the filter's bits for a seed, and at most: 64 MB; a benchmark of more than 8 million seeds lets more through to the join
 BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 29, 8
-SALTS, HOT = 16, 4096
+SALTS, MOST_SALTS, HOT = 64, 4096, 4096
 #: documents whose ids are sent to all tasks: at most 16 bytes each
 FEW = 1_000_000
 _COEF = tk.mix(np.arange(201, 233, dtype=U64)) | U64(1)
@@ -204,10 +205,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, min_words: int, share: float,
     """(doc_id, rid, item_ids, overlap) of the distinct (doc_id, text) that leak; ``rid`` is the hash of the text.  None: no item has words."""
     spark = docs.sparkSession
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    items = stage(own.mapInArrow(_items, "item_id long, words binary").filter("length(words) > 0").groupBy("words").agg(F.min("item_id").alias("item_id")), "items")
+    every = stage(own.mapInArrow(_items, "item_id long, words binary").filter("length(words) > 0"), "every-item")
+    items = stage(every.groupBy("words").agg(F.min("item_id").alias("item_id")), "items")
+    members = stage(every.join(items.withColumnRenamed("item_id", "leader"), "words").select("leader", "item_id").distinct(), "members")
     seeds = stage(items.select("item_id", "words").mapInArrow(_item_seeds(min_words), "seed long, item_id long, at int"), "item-seeds")
     n = seeds.count()
     if not n:
+        drop_stage(every, items, members, seeds)
         return None
     limit = max(min_words, max(map(len, MASKS)))
     short = [r[0] for r in items.select((F.length("words") / 8).cast("int").alias("n")).filter(F.col("n") < limit).distinct().orderBy("n").collect()]  # fewer than ``limit``
@@ -215,19 +219,21 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, min_words: int, share: float,
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
     near = stage(text.mapInArrow(tk.lean(_hits(table, short)), "doc_id long, rid long, words binary, seeds array<long>, ats array<int>").dropDuplicates(["doc_id", "rid"]), "seed-hits")
     hits = near.select("doc_id", "rid", F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("ats").alias("p"))).alias("x")).select("doc_id", "rid", F.col("x.s").alias("seed"), F.col("x.p").alias("p"))
-    # seeds that many documents hold are dealt to SALTS tasks each; there are as many as hits over HOT at most
-    hot = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seed", F.lit(SALTS).alias("salts"))
-    salt = F.pmod(F.xxhash64("doc_id", "rid", "p"), F.coalesce("salts", F.lit(1)))
-    left = hits.join(hot, "seed", "left").withColumn("salt", salt)
-    right = seeds.join(hot, "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
+    # seeds that many documents hold are dealt to a task for each HOT hits; there are as many as hits over HOT at most
+    hot = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seed", F.least(F.ceil(F.col("n") / HOT), F.lit(MOST_SALTS)).cast("long").alias("salts"))
+    h = F.xxhash64("doc_id", "rid", "p")
+    spread = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    left = hits.withColumn("part", F.pmod(h, F.lit(SALTS)).cast("long")).join(spread, ["seed", "part"], "left").withColumn("salt", F.pmod(h, F.coalesce("salts", F.lit(1).cast("long")))).drop("part")
+    right = seeds.join(hot, "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)))
     found = left.drop("salts").join(right.drop("salts"), ["seed", "salt"]).select("doc_id", "rid", "item_id", (F.col("p") - F.col("at")).alias("d"))
     lots = found.groupBy("doc_id", "rid", "item_id").agg(F.collect_set("d").alias("diagonals"))
     named = items.select("item_id", F.col("words").alias("item_words"))
     same = lots["doc_id"].eqNullSafe(near["doc_id"]) & (lots["rid"] == near["rid"])
     pairs = lots.join(named, "item_id").join(near.select("doc_id", "rid", "words"), same).select(lots["doc_id"], lots["rid"], "item_id", "diagonals", "words", "item_words")
     got = pairs.mapInArrow(_verify(min_words, share, long), "doc_id long, rid long, item_id long, overlap double")
+    got = got.withColumnRenamed("item_id", "leader").join(members, "leader")
     out = stage(got.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("overlap")), "leaks")
-    drop_stage(items, seeds, near)
+    drop_stage(every, items, members, seeds, near)
     return out
 
 
