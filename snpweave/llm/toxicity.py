@@ -45,12 +45,12 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in STANDS]] = True
-SEPARATORS = " .-_*"
+SEPARATORS = " .-_*,/:;"
 COST_SIGN, COST_KEPT, COST_REPEAT, COST_SEPARATOR, COST_SPACE = 0.5, 6.0, 0.6, 0.2, 2.5
 STARTS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC0 for b in range(256)])
 _TAIL = b"!$%&*#@|.,;:?)\"'+]}"
 _HEAD = b"%&*#|.,;:?(\"'+[{!"
-_IS_TAIL, _IS_HEAD, _IS_APART, _IS_LINE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (_TAIL, _HEAD, b".-_*", b"\n\r"))
+_IS_TAIL, _IS_HEAD, _IS_APART, _IS_LINE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (_TAIL, _HEAD, b".-_*,/:;|", b"\n\r"))
 
 
 def _threes(d: np.ndarray) -> np.ndarray:
@@ -168,7 +168,18 @@ def _elongated(word: str) -> bool:
     low = word.lower()
     return bool(_TRIPLE.search(low)) and len(set(low)) > 1 and not _ROMAN.fullmatch(low)
 _ONE = "(?:[^\\W_]|[@$!|+])"
-_DOTTED = re.compile(rf"^{_ONE}(?:[.\-_*]{_ONE}){{2,}}$")
+_DOTTED = re.compile(rf"^{_ONE}(?:[.\-_*,/:;|]{_ONE}){{2,}}$")
+#: a bar may stand for a letter, but not where it stands between all letters
+_BARRED = re.compile(r"^[^\W\d_](?:\|[^\W\d_]){2,}$")
+#: signs at which a token falls into parts that are read by themselves
+_PARTS = re.compile(r"([.:/=\",;&?#\-_*~'()\[\]{}<>%]+)")
+_MAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
+
+
+def _spelt(part: str) -> bool:
+    """Whether signs stand among the letters of a part."""
+    signs, alike = sum(c in STANDS for c in part), sum(c.isalpha() for c in part)
+    return alike >= 2 and 0 < signs <= 1.5 * alike
 
 
 class Restorer:
@@ -186,6 +197,18 @@ class Restorer:
             got = self.memo[span] = decode(span, self.model)
         return got
 
+    def parts(self, text: str) -> str:
+        """A token with signs between its parts: each part with signs among its letters is read, others lose repeated letters; addresses stay."""
+        if _MAIL.fullmatch(text):
+            return text
+        out = []
+        for part in _PARTS.split(text):
+            if _spelt(part):
+                out.append(self.read(part))
+            else:
+                out.append(_LETTERS.sub(lambda m: self.read(m[0]) if _elongated(m[0]) else m[0], part) if _TRIPLE.search(part.lower()) else part)
+        return "".join(out)
+
     def spans(self, col):
         """(row, start, end, tokens set apart or none) in bytes of suspicious spans, in order; rows without any are passed over in numpy."""
         data, _ = tk.text_buffers(col)
@@ -248,11 +271,12 @@ class Restorer:
                 if text.count(" ") < 2 or not 2 <= alike or signs > 1.5 * alike or len(set(text.lower())) < 3:
                     continue
             else:
-                whole = 2 <= alike and signs <= 1.5 * alike and (signs > 0 and not re.search(r"[.:/=\"]", text) or _DOTTED.match(text))
-                if not whole:  # only the words with a repeated letter, in their places
-                    if not _TRIPLE.search(text.lower()):
-                        continue
-                    got = _LETTERS.sub(lambda m: self.read(m[0]) if _elongated(m[0]) else m[0], text)
+                if _BARRED.match(text):
+                    text = text.replace("|", ".")
+                parted = not _DOTTED.match(text) and (re.search(r"[.:/=\"]", text) or any(len(x) > 2 and _spelt(x) for x in _PARTS.split(text)[::2]) and _PARTS.search(text))
+                whole = not parted and 2 <= alike and signs <= 1.5 * alike and (signs > 0 or _DOTTED.match(text))
+                if not whole:
+                    got = self.parts(text)
                     if got != text:
                         new.setdefault(row, []).append((s, e, got))
                     continue
