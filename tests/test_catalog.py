@@ -32,3 +32,19 @@ def test_helpers_of_the_catalog_have_names_of_their_own():
 @pytest.mark.parametrize("name", ["import_dart_geno__1row", "filter_het__summary_haplotype"])
 def test_query_equals_its_sql(spark, name):
     assert same(spark, name)
+
+
+def test_dimensions_collapse_before_they_are_sorted(spark):
+    from snpweave import adapter
+    from snpweave.model import Dataset
+
+    d = Dataset.from_tidy(adapter.tidy(spark, SF))
+    for dim in (d.individuals, d.markers):
+        plan = dim._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan.rsplit("SortAggregate", 1)[1]  # below the sort that picks a row for each key
+    assert d.individuals.count() == 10 and d.markers.count() == 200
+
+
+@pytest.mark.parametrize("name", ["extract_individuals_metadata", "extract_markers_metadata"])
+def test_metadata_equals_its_sql(spark, name):
+    assert same(spark, name)
