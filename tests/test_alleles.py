@@ -1,13 +1,17 @@
 """Markers with any number of alleles."""
 
 import random
+from collections import Counter
+from itertools import zip_longest
 
 import pytest
 from pyspark.sql import functions as F
 
+from snpweave import catalog
 from snpweave.functions import genotypes as gt
 from snpweave.operators import alleles, stats
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "MARKERS string, INDIVIDUALS string, STRATA string, REF string, ALT string, GT_VCF_NUC string, AD array<long>"
 
 
@@ -102,3 +106,31 @@ def test_filters_and_no_declared_alleles(spark):
     with pytest.raises(ValueError):
         alleles.minor_alleles(g, "mean")
     assert alleles.pi_pop(g.limit(0), 90).filter("STRATA <> 'OVERALL'").count() == 0
+
+
+def test_pairs_of_alleles_in_their_marker(spark):
+    calls = [("m", "p", "AC/AC"), ("m", "p", "AC|AGT"), ("m", "q", "TT/./."), ("m", "q", "TT/TT"), ("m", "q", "AGT/TT/TT"), ("n", "p", "A/."), ("n", "q", None), ("o", "p", "A/A")]
+    g = spark.createDataFrame(calls, "MARKERS string, STRATA string, GT_VCF_NUC string")
+    apart = lambda a, b: sum(x != y for x, y in zip_longest(a, b))
+    want = {}
+    for keys in ((), ("STRATA",)):
+        n = Counter()
+        for m, s, c in calls:
+            a = (c or ".").replace("|", "/").split("/")
+            n.update(() if "." in a else [((m, s)[: 1 + len(keys)], x) for x in a])
+        for at in {k for k, _ in n}:
+            own = {x: v for (k, x), v in n.items() if k == at}
+            want[at] = sum(own[a] * own[b] * apart(a, b) for a in own for b in own if a < b) / sum(own.values()) ** 2 / 10
+        got = alleles.pi_markers(g, 10, *keys)
+        assert {tuple(r[c] for c in ("MARKERS", *keys)): pytest.approx(r["PI"], abs=1e-15) for r in got.collect()} == {k: v for k, v in want.items() if len(k) == 1 + len(keys)}
+        assert {(*(r[c] for c in ("MARKERS", *keys)), r["ALLELES"]): r["N"] for r in alleles.allele_table(g, *keys).collect() if r["N"]} == {(*k, x): v for (k, x), v in n.items()}
+
+
+@pytest.mark.parametrize("name", ["pi_rad", "compute_maf", "calibrate_alleles", "calibrate_alleles_depth", "pi_pop"])
+def test_haplotypes_are_dealt_once(spark, name):
+    """The items go to their markers as narrow rows; nothing of a size with the cells is dealt again, and no lambda is given a cell's call."""
+    q = catalog.QUERIES[{"calibrate_alleles": "calibrate_alleles__haplotypes_count", "calibrate_alleles_depth": "calibrate_alleles__haplotypes_depth"}.get(name, f"{name}__haplotypes")]
+    plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "hashpartitioning(STRATA" not in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+    assert not any("GT_VCF_NUC" in x and "exists(" in x for x in plan.split("\n"))
