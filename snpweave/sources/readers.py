@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as gt
 from ..functions import names
 from ..operators import dart, metadata, recode
+from ..operators.order import numbered
 from . import bgzf
 
 #: fixed values: what a VCF header says about its caller
@@ -282,20 +283,32 @@ def read_vcf(spark: SparkSession, path: str, strata: DataFrame | None = None, mu
 
 def read_tped(spark: SparkSession, path: str) -> DataFrame:
     """Long six-digit genotypes of a tped with its tfam; loci that nobody has are dropped."""
-    return tidy_tped(spark.read.text(path), [r[0] for r in spark.read.text(path[:-5] + ".tfam").filter("value <> ''").collect()])
-
-
-def tidy_tped(lines: DataFrame, samples: list[str]) -> DataFrame:
-    """The same from lines (``value``) and the lines of the samples' file, which are in the order of the calls."""
-    fam = [x.split() for x in samples]
-    ids = F.array(*[F.struct(F.lit(r[1]).alias("i"), F.lit(r[0]).alias("s")) for r in fam])
-    f = F.split(F.trim("value"), r"\s+")
-    t = lines.filter("value <> ''").select(F.get(f, F.lit(0)).alias("CHROM"), F.get(f, F.lit(1)).alias("LOCUS"), F.get(f, F.lit(3)).alias("POS"), F.slice(f, 5, F.lit(2 * len(fam))).alias("a"))
-    t = t.select("CHROM", "LOCUS", "POS", "a", F.posexplode(ids).alias("k", "who"))
-    c = lambda d: gt.code(F.get("a", 2 * F.col("k") + d))
-    x = t.select(F.concat_ws("__", *[names.clean_markers_names(F.col(k)) for k in ("CHROM", "LOCUS", "POS")]).alias("MARKERS"), "CHROM", "LOCUS", "POS", names.clean_ind_names(F.col("who.i")).alias("INDIVIDUALS"), F.col("who.s").alias("STRATA"), F.concat(c(0), c(1)).alias("GT"))
-    typed = x.filter(F.col("GT") != gt.MISSING_GT).select("MARKERS").distinct()
-    return x.join(typed, "MARKERS", "left_semi")
+    fam = numbered_lines(spark, path[:-5] + ".tfam").filter("line <> ''")
+    return tidy_tped(spark.read.text(path), fam.select(F.col("n").alias("KEY"), F.col("line").alias("LINE")))
+
+
+def tidy_tped(lines: DataFrame, samples: DataFrame) -> DataFrame:
+    """The same from lines (``value``) and the lines of the samples' file (``LINE``), which by ``KEY`` are in the order of the calls.
+
+    A line's calls leave it one by one, each with its place, and meet the samples by place: no row holds a whole line beside a call, and
+    no names come to the driver.
+    """
+    f = F.split(F.trim("LINE"), r"\s+")
+    who = numbered(samples, "k", "KEY").select((F.col("k") - 1).alias("k"), names.clean_ind_names(F.get(f, F.lit(1))).alias("INDIVIDUALS"), F.get(f, F.lit(0)).alias("STRATA"))
+    n = who.count()
+    f = F.split(F.trim("value"), r"\s+", 5)
+    t = lines.filter("value <> ''").select(F.get(f, F.lit(0)).alias("CHROM"), F.get(f, F.lit(1)).alias("LOCUS"), F.get(f, F.lit(3)).alias("POS"), F.get(f, F.lit(4)).alias("rest"))
+    t = t.select(F.concat_ws("__", *[names.clean_markers_names(F.col(k)) for k in ("CHROM", "LOCUS", "POS")]).alias("MARKERS"), "CHROM", "LOCUS", "POS", "rest")
+    pairs = F.slice(F.regexp_extract_all(F.coalesce("rest", F.lit("")), F.lit(r"\S+(\s+\S+)?"), F.lit(0)), 1, max(n, 1))
+    # a call that is not missing has the letter of a base alone between blanks
+    some = F.exists(pairs, lambda c: c.rlike(r"(?i)(^|\s)[ACGT](\s|$)"))
+    typed = t.groupBy("MARKERS").agg(F.max(some).alias("some")).filter("some").select("MARKERS")
+    # a line that ends early has missing calls
+    calls = F.concat("v", F.array_repeat(F.lit(""), F.greatest(F.lit(n) - F.size("v"), F.lit(0))))
+    x = t.join(typed, "MARKERS", "left_semi").select("MARKERS", "CHROM", "LOCUS", "POS", pairs.alias("v")).select("MARKERS", "CHROM", "LOCUS", "POS", F.posexplode(calls).alias("k", "v"))
+    c = F.split("v", r"\s+")
+    x = x.select("MARKERS", "CHROM", "LOCUS", "POS", "k", F.concat(gt.code(F.get(c, F.lit(0))), gt.code(F.get(c, F.lit(1)))).alias("GT"))
+    return x.join(who, "k").select("MARKERS", "CHROM", "LOCUS", "POS", "INDIVIDUALS", "STRATA", "GT")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

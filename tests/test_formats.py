@@ -58,6 +58,17 @@ def test_tped_round_trip(spark, g, tmp_path):
     assert rows(back, "MARKERS", "INDIVIDUALS", "STRATA", "GT") == rows(want, "MARKERS", "INDIVIDUALS", "STRATA", "GT")
 
 
+def test_tped_samples_stay_in_tables(spark, tmp_path):
+    """Samples are rows, met by place: the plan neither names them nor has a whole line beside each call; odd lines as before."""
+    (tmp_path / "x.tfam").write_text("p  s_1 0 0 0 -9\n\nq s2 0 0 0 -9\np s3 0 0 0 -9\n")
+    (tmp_path / "x.tped").write_text("1 a 0 5 A C  g G 0 0\n1 b 0 6 0 0 N 0 0 0\n\n2\tc\t0\t7\tT\tA\tC\n2 d 0 8 A A C C G G T T\n2 e 0 9 0 0 0 0 0 0 A A\n2 f 0 9\n")
+    back = readers.read_tped(spark, str(tmp_path / "x.tped"))
+    want = [("1__a__5", ("001002", "003003", "000000")), ("2__c__7", ("004001", "002000", "000000")), ("2__d__8", ("001001", "002002", "003003"))]
+    assert rows(back, "MARKERS", "INDIVIDUALS", "STRATA", "GT") == sorted((m, i, s, c) for m, x in want for i, s, c in zip(("s-1", "s2", "s3"), "pqp", x))
+    plan = back._jdf.queryExecution().toString()
+    assert "s_1" not in plan and "s-1" not in plan and not any("Generate posexplode" in x and "who" in x for x in plan.split("\n"))
+
+
 def test_multiallelic_and_fields(spark, tmp_path):
     p = tmp_path / "m.vcf"
     p.write_text("##fileformat=VCFv4.2\n##contig=<ID=c1>\n##reference=ref.fa\n##FORMAT=<ID=GT,Number=1>\n##FORMAT=<ID=DP,Number=1>\n##FORMAT=<ID=CATG,Number=4>\n##FORMAT=<ID=GL,Number=3>\n##FORMAT=<ID=GQ,Number=1>\n"
