@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snpweave.operators import pairs
 
@@ -43,6 +44,15 @@ def test_counts_by_blocks_and_slices(grid, monkeypatch, block, size, strip):
     assert groups(links) == groups(want) and (block < 2048 or len(links) < len(want))
 
 
+def test_first_names_come_in_runs(grid, monkeypatch):
+    """What a task writes of two blocks has each first name once in a run (stored in little), and blocks are full."""
+    for k, v in (("BLOCK", 7), ("SLICE", 9)):
+        monkeypatch.setattr(pairs, k, v)
+    own = pairs.pair_counts(grid[1]).select(F.spark_partition_id().alias("p"), "ID1", "ID2").collect()
+    runs = sum(a["p"] != b["p"] or a["ID1"] != b["ID1"] for a, b in zip(own, own[1:], strict=False)) + 1
+    assert len(own) == 40 * 39 // 2 and runs <= 40 * 6
+
+
 def test_pairs_are_not_shuffled(grid):
     plan = pairs.pair_counts(grid[1])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0] and "Aggregate" not in plan.split("MapInArrow")[0]
