@@ -41,6 +41,8 @@ MASKS = ("111011", "1101011", "110010011", "10110101")
 #: the filter's bits for a seed, and at most: 64 MB; a benchmark of more than 8 million seeds lets more through to the join
 BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 29, 8
 SALTS, MOST_SALTS, HOT = 64, 4096, 4096
+#: parts in which the filter reaches the driver: at most 8 MB each
+LOTS = 8
 #: documents whose ids are sent to all tasks: at most 16 bytes each
 FEW = 1_000_000
 _COEF = tk.mix(np.arange(201, 233, dtype=U64)) | U64(1)
@@ -123,7 +125,8 @@ def _bit_table(seeds: DataFrame, n: int) -> np.ndarray:
         bits *= 2
     out = np.zeros(bits // 8, np.uint8)
     schema = "piece long, set binary"
-    for r in seeds.select("seed").mapInArrow(_bits(bits), schema).repartition("piece").mapInArrow(_either, schema).toLocalIterator():
+    # pieces come a part of the table after the other, each a job of its own: as many as LOTS, whatever the partitions
+    for r in seeds.select("seed").mapInArrow(_bits(bits), schema).repartition("piece").coalesce(LOTS).mapInArrow(_either, schema).toLocalIterator():
         out[r[0] * 4096 : (r[0] + 1) * 4096] = np.frombuffer(r[1], np.uint8)
     return out
 

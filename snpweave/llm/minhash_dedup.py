@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import components
-from .staging import drop_stage, stage
+from .staging import drop_stage, stage, stage_distinct
 
 BLOCK, SALTS = 512, 16
 #: rows of a broadcast list of hot keys: at most 16 bytes each
@@ -268,13 +268,13 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _meet(stars: DataFrame, data: DataFrame, link, parts: int) -> DataFrame:
-    """The (a, b) of ``stars`` (lead, cls) whose ``data`` (cls, ...) ``link`` joins; hot leaders are shared out in lots."""
+    """The (a, b) of ``stars`` (lead, cls) whose ``data`` (cls, ...) ``link`` joins, some more than once; hot leaders are shared out in lots."""
     hot = stars.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("lead", F.ceil(F.col("m") / BLOCK).alias("lots"))
     mine = stars.join(_few(hot), "lead", "left").select("lead", F.pmod(F.xxhash64("cls"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"), F.lit(True).alias("asks"), "cls")
     leads = mine.select("lead", "lot").distinct().select("lead", "lot", F.lit(False).alias("asks"), F.col("lead").alias("cls"))
     rows = mine.unionByName(leads).join(data, "cls").select("lead", "lot", "asks", "cls", *[c for c in data.columns if c != "cls"])
     dealt = rows.repartition(parts, "lead", "lot").sortWithinPartitions("lead", "lot", "asks")
-    return dealt.mapInArrow(tk.lean(_stars(link)), "a long, b long").distinct()
+    return dealt.mapInArrow(tk.lean(_stars(link)), "a long, b long")
 
 
 def _visits(entries: DataFrame, comp: DataFrame) -> DataFrame:
@@ -318,22 +318,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         used = ids.select(F.col("cls").alias("doc_id")).distinct()
         return stage(own.join(used.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(tk.lean(_full_sets(shingle)), "cls long, items binary"), "sets")
 
-    stars = stage(entries.filter("lead < cls").select("lead", "cls").distinct(), "stars")
-    likely = stage(_meet(stars, signs, _by_signature(alike), parts).select(F.col("a").alias("lead"), F.col("b").alias("cls")), "likely")
+    stars = stage_distinct(entries.filter("lead < cls").select("lead", "cls"), "stars", entries.count())
+    likely = stage_distinct(_meet(stars, signs, _by_signature(alike), parts).select(F.col("a").alias("lead"), F.col("b").alias("cls")), "likely", stars.count())
     full = sets(likely.select("cls").unionByName(likely.select(F.col("lead").alias("cls"))))
-    edges = stage(_meet(likely, full, _by_set(percent), parts), "edges")
+    edges = stage_distinct(_meet(likely, full, _by_set(percent), parts), "edges", likely.count())
     drop_stage(stars, likely, full)
-    comp = stage(components(edges, "a", "b"), "components")
+    comp = stage_distinct(components(edges, "a", "b"), "components", 2 * edges.count())
     visits = stage(_visits(entries, comp), "visits")
     if visits.limit(1).count():
         order = ["key", "b", "v", "asks", "cls"]
         seen = visits.join(signs, "cls").select(*order, "comp", "n", "sig").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
-        some = stage(seen.mapInArrow(tk.lean(_suspects(alike)), "key long, cls long").distinct(), "suspects")
+        some = stage_distinct(seen.mapInArrow(tk.lean(_suspects(alike)), "key long, cls long"), "suspects", visits.count())
         full = sets(some.select("cls"))
         dealt = visits.join(some, ["key", "cls"], "left_semi").join(full, "cls").select(*order, "comp", "items").repartition(parts, "key", "b", "v").sortWithinPartitions(*order)
-        more = stage(dealt.mapInArrow(tk.lean(_confirm(percent)), "a long, b long").distinct(), "edges")
+        more = stage_distinct(dealt.mapInArrow(tk.lean(_confirm(percent)), "a long, b long"), "edges", visits.count())
         if more.limit(1).count():
-            comp = stage(components(edges.unionByName(more), "a", "b"), "components")
+            # what is known is stars by now; only ``more`` is followed further
+            both = comp.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+            comp, old = stage_distinct(components(both, "a", "b"), "components", 2 * both.count()), comp
+            drop_stage(old)
         drop_stage(some, full, more)
     drop_stage(entries, edges, visits, reps)
     known = stage(classes.join(comp, classes["cls"] == comp["node"], "left").select("f1", "f2", "m", F.coalesce("component", "cls").alias("comp")), "known")

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: rows of a file of ``stage_distinct``, and files at least where there are as many partitions
+ROWS, LEAST = 50_000, 24
+
 _own: dict[str, str] = {}
 
 
@@ -43,6 +46,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_distinct(df: DataFrame, name: str, most: int) -> DataFrame:
+    """The distinct rows of ``df``, staged; there are about ``most`` at most, and a file holds ``ROWS`` of so many.
+
+    They are dealt by all their columns, so no value of one can crowd a task; few rows in many partitions are written by
+    ``LEAST`` tasks, as the files of a partition each cost more than their rows.
+    """
+    return stage(df.distinct().coalesce(max(LEAST, -(-most // ROWS))), name)
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Remove staged tables that no later plan reads."""
     for df in tables:
