@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from snpweave import catalog
 from snpweave.operators import pairs
 
 
@@ -33,3 +34,10 @@ def test_similarity_comes_in_runs(grid):
     n, least, rows = runs(pairs.genome_similarity(g), "MARKERS_COMMON", "IDENTICAL")
     assert len(rows) == 780 and n == least
     assert {(r["ID1"], r["ID2"]): (r["MARKERS_COMMON"], r["IDENTICAL"]) for r in rows} == {k: v[:2] for k, v in plain(x)}
+
+
+def test_distances_come_in_runs(grid):
+    x, g = grid
+    n, least, rows = runs(pairs.matrix_to_pairs(catalog._square(g)), "DISTANCE")
+    assert len(rows) == 780 and n == least
+    assert {(r["ID1"], r["ID2"]): r["DISTANCE"] for r in rows} == {k: v[2] for k, v in plain(x)}
