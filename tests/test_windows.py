@@ -118,3 +118,23 @@ def test_golden(spark):
             keys.append((c, k))
     want = np.sqrt((_dense(mats, 2) ** 2).sum(axis=1))
     assert set(w) == set(keys) and np.allclose([w[k][2] for k in keys], want, rtol=1e-5, atol=1e-8)
+
+
+@pytest.mark.parametrize(("dense", "block"), [(2048, 500), (2048, 7), (10, 7), (10, 60)])
+def test_all_windows_are_scaled_whatever_their_axes_take(spark, monkeypatch, dense, block):
+    """The scaling never comes from some of the windows: not where their axes are large, nor where their matrix stays out of the driver."""
+    monkeypatch.setattr(models, "DENSE", dense)
+    mats = _windows(np.random.default_rng(9), 60, 30, 3, 20)
+    df = spark.createDataFrame([("1", i, 0, 1, 10, v.tolist(), a.tobytes()) for i, (v, a) in enumerate(mats)], FIELDS).repartition(3)
+    want = _dense(mats, 2)
+    got = models.window_scaling(df, 2, block, most=8 * 3 * 11 * block).orderBy("WINDOW").collect()
+    own = np.array([[r["LS_PC1"], r["LS_PC2"]] for r in got])
+    assert np.allclose(np.abs(own), np.abs(want), rtol=1e-6, atol=1e-7)
+    assert np.allclose([r["LS_DIST"] for r in got], np.sqrt((want**2).sum(axis=1)), atol=1e-7)
+
+
+def test_largest_axes_by_few_vectors():
+    """Where the vectors that are held do not do, the best of them start anew."""
+    d = np.concatenate([[1.003, 1.001], np.linspace(0, 1, 298)])
+    values, axes = models.top_axes(lambda q: d[:, None] * q, 300, 2, most=40)
+    assert np.allclose(values, d[:2], atol=1e-9) and np.allclose(np.abs(axes[:, :2]), np.eye(2), atol=1e-4)
