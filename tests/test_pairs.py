@@ -62,3 +62,27 @@ def test_no_pairs(spark):
     g = spark.createDataFrame([("m", "a", "p", None), ("m", "b", "p", 1)], "MARKERS string, INDIVIDUALS string, STRATA string, GT_BIN int")
     assert pairs.pair_counts(g).count() == pairs.distance(g).count() == pairs.near_samples(g, 0.5).count() == 0
     assert pairs.distance(g.filter("GT_BIN > 5"), below=0.5).count() == 0
+
+
+def test_units_are_dealt_evenly(grid, monkeypatch):
+    """Each pair of blocks has a task of its own where there are as many tasks: none waits for two while another has none."""
+    for k, v in (("BLOCK", 7), ("SLICE", 9)):
+        monkeypatch.setattr(pairs, k, v)
+    assert pairs.pair_counts(grid[1]).select(F.spark_partition_id()).distinct().count() == 6 * 7 // 2
+
+
+def test_largest_distance_straight_from_the_counts():
+    rng = np.random.default_rng(5)
+    pack = lambda v: (v.reshape(-1, 4).astype(np.uint8) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
+    x = rng.integers(0, 4, (9, 12))
+    x[2], x[3, :11] = 3, 3
+    for same in (True, False):
+        unit = pairs._Unit((9, 9), same, ("absdiff",))
+        for side in (0, 1):
+            for i in range(9):
+                unit.take(side, i, f"{'s' if same or not side else 't'}{i // 2}", "p", pack(x[i]))
+        unit.add()
+        for method in ("manhattan", "ibs"):
+            want = [unit.distances(method, i, j).max() for i, j in unit.pairs() if len(i)]
+            assert unit.top(method) == max(want)
+    assert pairs._Unit((3, 3), True).top("ibs") is None and not unit.identical.size
