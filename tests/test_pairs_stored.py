@@ -41,3 +41,11 @@ def test_distances_come_in_runs(grid):
     n, least, rows = runs(pairs.matrix_to_pairs(catalog._square(g)), "DISTANCE")
     assert len(rows) == 780 and n == least
     assert {(r["ID1"], r["ID2"]): r["DISTANCE"] for r in rows} == {k: v[2] for k, v in plain(x)}
+
+
+def test_similarity_takes_no_strata_along(spark):
+    """Whether strata are the same is told in the task: of ID1, ID2 and two counts nothing else leaves it.  A missing stratum is like no other."""
+    rows = [("m", "a", None, 1), ("m", "b", None, 1), ("m", "c", "p", 0), ("m", "d", "p", 2), ("m", "e", "q", 2)]
+    own = pairs.genome_similarity(spark.createDataFrame(rows, "MARKERS string, INDIVIDUALS string, STRATA string, GT_BIN int"))
+    assert "ID1_STRATA" not in own._jdf.queryExecution().executedPlan().toString()
+    assert {r["ID1"] + r["ID2"]: r["POP_COMP"] for r in own.collect()} == {a + b: "same pop" if a + b == "cd" else "different pop" for a, b in ("ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de")}
