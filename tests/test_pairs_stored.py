@@ -49,3 +49,13 @@ def test_similarity_takes_no_strata_along(spark):
     own = pairs.genome_similarity(spark.createDataFrame(rows, "MARKERS string, INDIVIDUALS string, STRATA string, GT_BIN int"))
     assert "ID1_STRATA" not in own._jdf.queryExecution().executedPlan().toString()
     assert {r["ID1"] + r["ID2"]: r["POP_COMP"] for r in own.collect()} == {a + b: "same pop" if a + b == "cd" else "different pop" for a, b in ("ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de")}
+
+
+def test_tibble_computes_pairs_once(spark, grid):
+    """No cell of the square matrix is made, nor the pairs a second time for their maximum; the rows are those of the matrix."""
+    g = grid[1]
+    own = catalog.QUERIES["distance2tibble"](spark, "/root/testdata/sf0.001")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(array(" not in plan and plan.count("MapInArrow") == 1
+    key = lambda df: sorted((r["ID1"], r["ID2"], r["DISTANCE"], r["DISTANCE_RELATIVE"]) for r in df.collect())
+    assert key(pairs.distance_pairs(g)) == key(pairs.matrix_to_pairs(catalog._square(g)))
